@@ -11,7 +11,8 @@ Plan: windows are 16-byte hashes and positions, grouped with partial
 aggregation; the repeated ones are a table in the shared folder, so that both
 sides of the join that finds their occurrences are plain scans and Spark can
 split a passage that very many documents share.  Covered lines are gathered
-per document (no more than it has lines) and meet the texts in one join.
+per document (no more than it has lines) and meet the texts in one hash join,
+named so that small and large inputs run alike and texts are not sorted.
 
 Defined cases: a null text stays null; a text of fewer than three lines is
 never changed; windows whose lines hold only spaces do not count; rows with
@@ -52,14 +53,14 @@ def dedup_lines(docs: DataFrame, size: int = 3, key: str = "doc_id", text: str =
     at = F.struct("id", "th", "pos")
     same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
     later = (
-        found.join(first, ["w1", "w2"])
+        found.join(first.hint("merge"), ["w1", "w2"])
         .filter(at > F.col("first"))
         .select("id", "th", F.when(same, F.greatest("pos", F.col("first.pos") + size)).otherwise(F.col("pos")).alias("lo"), (F.col("pos") + size - 1).alias("hi"))
         .filter("lo <= hi")
     )
     covered = later.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("hi", "lo"))).alias("covered"))
     covered = common.staged(covered.select("id", "th", _mask("covered").alias("mask")), "covered-lines")
-    joined = docs.withColumn("_th", F.xxhash64(text)).join(covered, docs[key].eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th")), "left")
+    joined = docs.withColumn("_th", F.xxhash64(text)).join(covered.hint("shuffle_hash"), docs[key].eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th")), "left")
     kept = F.expr(f"filter(split(`{text}`, '\\n', -1), (l, i) -> coalesce(substring(mask, i + 1, 1) <> X'31', true))")
     renewed = F.when(F.col("mask").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     removed = F.coalesce(F.length(F.translate(F.col("mask").cast("string"), "0", "")), F.lit(0))

@@ -7,10 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, line_dedup, mixing, packing, simhash
+from . import ann, chat, language_id, line_dedup, media_chunks, mixing, packing, secrets, simhash, toxicity
 from .common import table
 
 
+def op1_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_chunks.store_and_read(table(spark, sf_dir, "documents"))
+
+
+def op2_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
+def op3_secret_grammars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.learn(docs))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in secrets.KINDS],
+        F.sha2(secrets.digest(F.filter("spans", lambda s: s["kind"] != "learned")), 256).alias("base_sha256"),
+        secrets.digest(F.col("spans")).alias("spans"),
+    )
+
+
 def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources brought to tempered shares (sizes to the power 0.7) at the corpus' own size."""
     return mixing.mix(table(spark, sf_dir, "documents"), alpha=0.7, size_factor=1.0, seed=1)
@@ -37,6 +57,48 @@ FROM copies
 """
 
 
+#: A text that looks like the template's own marks.
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+def op5_chat_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], rows.schema)
+    return chat.read_back(chat.format_turns(rows.unionByName(more)))
+
+
+OP5_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), marked AS (
+  SELECT *, LAG(role) OVER o AS before, ROW_NUMBER() OVER o AS n,
+    REPLACE(REPLACE(REPLACE(text, '\', '\\'), '### ', '#\## '), '</turn>', '<\/turn>') AS safe,
+    REPLACE(REPLACE(REPLACE(REPLACE(role, '\', '\\'), '### ', '#\## '), '</turn>', '<\/turn>'), ':', '\:') AS safe_role
+  FROM turns WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), judged AS (
+  SELECT *, CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before IN ('system', 'tool') THEN role = CASE before WHEN 'system' THEN 'user' ELSE 'assistant' END
+    WHEN before = 'user' THEN role = 'assistant' WHEN before = 'assistant' THEN role IN ('user', 'tool') ELSE FALSE END AS fine
+  FROM marked
+)
+SELECT conv_id, COUNT(*) AS n_turns, SHA256(STRING_AGG(role || CHR(10) || text || CHR(10), '' ORDER BY n)) AS turns_sha256,
+  CAST(SUM(CASE WHEN role = 'assistant' THEN LENGTH(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  SHA256(COALESCE(STRING_AGG(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(SUM(LENGTH(safe_role) + LENGTH(safe) + 4 + 2 + 8) AS BIGINT) AS formatted_chars,
+  BOOL_AND(fine) AS valid, BOOL_AND(fine) AND MAX_BY(role, n) = 'assistant' AS final
+FROM judged GROUP BY conv_id
+"""
+
+
+def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probabilities for the categories that the labels give, in the chain's order."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    low, toxic = F.col("quality") == 0, F.col("toxic") == 1
+    chain = toxicity.train(docs, labels, {"low_quality": low, "toxic": toxic, "toxic_low_quality": low & toxic})
+    return toxicity.score(docs, chain).withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
 def op7_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out())
     model = language_id.train(docs.filter(~F.col("held_out")))
@@ -85,4 +147,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_poisson_mixing": OP4_SQL, "op8_line_windows": OP8_SQL}
+    return {"op4_poisson_mixing": OP4_SQL, "op5_chat_machine": OP5_SQL, "op8_line_windows": OP8_SQL}
