@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -88,32 +89,33 @@ def fingerprints(docs: DataFrame, shingle: int, key: str = "doc_id", text: str =
 
 
 class BKTree:
-    """Distinct 64-bit values; a node's children are keyed by their distance to it."""
+    """64-bit values, each once; a node's children are keyed by their distance to it."""
 
     def __init__(self, values):
         it = iter(values)
         self.root = (next(it), {})
         for value in it:
-            node = self.root
-            while True:
-                d = (node[0] ^ value).bit_count()
-                child = node[1].get(d)
-                if child is None:
-                    node[1][d] = (value, {})
-                    break
-                node = child
-
-    def within(self, value: int, radius: int) -> list[int]:
-        found, stack = [], [self.root]
+            self.add(value)
+
+    def add(self, value: int) -> None:
+        node = self.root
+        while d := (node[0] ^ value).bit_count():
+            child = node[1].get(d)
+            if child is None:
+                node[1][d] = (value, {})
+                return
+            node = child
+
+    def within(self, value: int, radius: int) -> Iterator[int]:
+        stack = [self.root]
         while stack:
             at, children = stack.pop()
             d = (at ^ value).bit_count()
             if d <= radius:
-                found.append(at)
+                yield at
             if children:
                 low, high = d - radius, d + radius
                 stack.extend(child for edge, child in children.items() if low <= edge <= high)
-        return found
 
 
 def _forest(values: list[int], radius: int) -> list[tuple[int, int]]:
@@ -297,7 +299,13 @@ def similarity_of(one: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 
 def _similar(nodes: list[tuple[int, int, bytes]], radius: int, least: float) -> list[tuple[int, int]]:
-    """Spanning edges of the verified links in one shard; nodes are (node, fp, sketch)."""
+    """Spanning edges of the verified links in one shard; nodes are (node, fp, sketch).
+
+    Nodes are searched and added one by one.  Those of the main component (the
+    first link's) have a tree of their own, whose search ends at the first
+    verified link, since more links to it would change nothing; so a shard of
+    thousands of near copies takes little more than a search for each.
+    """
     root = list(range(len(nodes)))
 
     def find(x: int) -> int:
@@ -306,21 +314,45 @@ def _similar(nodes: list[tuple[int, int, bytes]], radius: int, least: float) ->
             x = root[x]
         return x
 
-    by_fp: dict[int, list[int]] = {}
-    for i, (_, fp, _) in enumerate(nodes):
-        by_fp.setdefault(fp, []).append(i)
-    tree = BKTree(by_fp)
     sketches = np.frombuffer(b"".join(s for _, _, s in nodes), dtype=np.uint8).reshape(len(nodes), -1)
-    out = []
-    for i, (node, fp, _) in enumerate(nodes):
-        mine = find(i)
-        near = [j for v in tree.within(fp, radius) for j in by_fp[v] if j < i and find(j) != mine]
-        if not near:
-            continue
-        for j, s in zip(near, similarity_of(sketches[i], sketches[near]), strict=True):
-            if s >= least and (a := find(j)) != (b := find(i)):
+    trees: dict[bool, BKTree | None] = {True: None, False: None}
+    held: dict[bool, dict[int, list[int]]] = {True: {}, False: {}}
+    members: dict[int, list[int]] = {}
+    main, out = -1, []
+
+    def put(i: int, part: bool) -> None:
+        fp = nodes[i][1]
+        if trees[part] is None:
+            trees[part] = BKTree([fp])
+        elif fp not in held[part]:
+            trees[part].add(fp)
+        held[part].setdefault(fp, []).append(i)
+
+    def linked(i: int, part: bool) -> Iterator[int]:
+        if trees[part] is None:
+            return
+        near = (j for v in trees[part].within(nodes[i][1], radius) for j in held[part][v] if find(j) != find(i))
+        while some := list(islice(near, 16)):
+            for j, s in zip(some, similarity_of(sketches[i], sketches[some]), strict=True):
+                if s >= least and find(j) != find(i):
+                    yield j
+
+    for i, (node, _, _) in enumerate(nodes):
+        members[i] = [i]
+        for part in (True, False):
+            for j in linked(i, part):
+                a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
                 out.append((max(node, nodes[j][0]), min(node, nodes[j][0])))
+                rest = members.pop(max(a, b))
+                if main < 0 or main in (a, b):
+                    moved = [*rest, *members[min(a, b)]] if main < 0 else rest if main == min(a, b) else members[min(a, b)]
+                    for k in moved:
+                        if k != i:
+                            put(k, True)
+                    main = min(a, b)
+                members[min(a, b)] += rest
+        put(i, find(i) == main)
     return out
 
 

@@ -6,13 +6,18 @@ probabilities come, in training, from models that have not seen the row
 (out-of-fold), so later models do not learn from numbers that are better than
 they will be in use.
 
-Features: presence of words (lower case) out of a vocabulary chosen by the
-chi-squared statistic of the labelled rows.  Each model is a logistic
-regression with an L1 penalty, then refitted on the words that it kept.
+Features: presence of words (lower case), of words with a given beginning of
+three to seven letters, so that inflected and compound forms count, and of two
+different words with that beginning.  A
+category's features are those of the largest chi-squared statistic, of at
+least `LEAST_CHI`; each model is a logistic regression with an L1 penalty,
+then refitted on the features that it kept.  A word can only raise a
+probability (its weight is not negative), so ordinary words around a toxic one
+do not hide it; the earlier categories' weights may have either sign.
 
 Training sample: at most `sample_rows` labelled rows, those first by a hash of
-the id, joined with their texts; the vocabulary has at most `vocabulary`
-words.  Every row of the table is scored by its whole text.
+the id, joined with their texts; there are at most `vocabulary` features for
+each category.  Every row of the table is scored by its whole text.
 
 Defined cases: a null or wordless text is scored by the intercepts, like any
 text without known words; a label that is null counts as 0; a category
@@ -25,7 +30,9 @@ ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,42 +41,59 @@ from pyspark.sql import functions as F
 from . import common
 
 WORD = re.compile(r"[^\W\d_]+")
-_WORD_SQL = r"[\p{L}]+"
+#: Lengths of the beginnings that are features; "abc*" is one, "abc*2" stands for two words with it.
+STEMS = (3, 4, 5, 6, 7)
+LEAST_CHI = 20.0
+
+
+def features(text: str | None) -> set[str]:
+    """All features of a text."""
+    words = set(WORD.findall((text or "").lower()))
+    stems = Counter(f"{w[:n]}*" for w in words for n in STEMS if len(w) >= n)
+    return words.union(stems, (f"{s}2" for s, n in stems.items() if n > 1))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l1: float, l2: float = 1e-3, steps: int = 150) -> np.ndarray:
-    """Weights (intercept last, not penalised) by accelerated proximal gradient, then without the L1 part on the kept columns."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, free: int = 0, l1: float = 0.002, l2: float = 3e-5, steps: int = 1000) -> np.ndarray:
+    """Weights, intercept last, by accelerated proximal gradient, then without the L1 part on the kept columns.
+
+    All but the last `free` columns have weights of at least zero and the L1 penalty.
+    """
     if not len(y) or y.min() == y.max():
         w = np.zeros(x.shape[1] + 1)
         w[-1] = -40 if not len(y) or y[0] == 0 else 40
         return w
 
-    def descend(x: np.ndarray, l1: float, l2: float, steps: int) -> np.ndarray:
+    x, at, counts = np.unique(x, axis=0, return_inverse=True, return_counts=True)  # rows are few, as most texts have no feature
+    n, hits = len(y), np.bincount(at.ravel(), weights=y, minlength=len(x))
+    x = x.astype(np.float64)
+
+    def descend(x: np.ndarray, l1: float, steps: int) -> np.ndarray:
+        bound = x.shape[1] - free
         x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)])
         v = np.ones(x.shape[1])
         for _ in range(12):
-            v = x.T @ (x @ v)
+            v = x.T @ (counts * (x @ v))
             v /= np.linalg.norm(v)
-        rate = 1 / (0.25 * np.linalg.norm(x.T @ (x @ v)) / len(y) * 1.05 + l2)
+        rate = 1 / (0.25 * np.linalg.norm(x.T @ (counts * (x @ v))) / n * 1.05 + l2)
         w = at = np.zeros(x.shape[1])
         t = 1.0
         for _ in range(steps):
-            gradient = x.T @ (_sigmoid(x @ at) - y) / len(y)
+            gradient = x.T @ (counts * _sigmoid(x @ at) - hits) / n
             gradient[:-1] += l2 * at[:-1]
             new = at - rate * gradient
-            new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - rate * l1, 0)
+            new[:bound] = np.maximum(new[:bound] - rate * l1, 0)
             t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
             at = new + (t - 1) / t_new * (new - w)
             w, t = new, t_new
         return w
 
-    w = descend(x, l1, l2, steps)
-    kept = np.flatnonzero(w[:-1])
-    again = descend(x[:, kept], 0.0, l2, 4 * steps)
+    w = descend(x, l1, steps)
+    kept = np.flatnonzero((w[:-1] != 0) | (np.arange(x.shape[1]) >= x.shape[1] - free))
+    again = descend(x[:, kept], 0.0, 2 * steps)
     w = np.zeros(x.shape[1] + 1)
     w[kept], w[-1] = again[:-1], again[-1]
     return w
@@ -84,18 +108,22 @@ class Chain:
     weights: list[np.ndarray]
 
     @staticmethod
-    def fit(categories: list[str], words: list[str], x: np.ndarray, y: np.ndarray, folds: np.ndarray, l1: float = 0.004) -> "Chain":
-        """x: rows by words; y: rows by categories; folds: each row's fold number."""
+    def fit(categories: list[str], words: list[str], x: np.ndarray, y: np.ndarray, folds: np.ndarray, own: list[np.ndarray] | None = None) -> "Chain":
+        """x: rows by words; y: rows by categories; folds: each row's fold number; own: each category's columns of x (default: all)."""
         earlier = np.zeros((len(x), 0), dtype=np.float32)
         weights = []
         for c in range(len(categories)):
-            seen = np.hstack([x, earlier])
+            columns = np.arange(len(words)) if own is None else own[c]
+            seen = np.hstack([x[:, columns], earlier])
             out_of_fold = np.zeros(len(x))
             for fold in np.unique(folds):
-                w = fit_logistic(seen[folds != fold], y[folds != fold, c], l1)
+                w = fit_logistic(seen[folds != fold], y[folds != fold, c], free=c)
                 held = folds == fold
                 out_of_fold[held] = _sigmoid(seen[held] @ w[:-1] + w[-1])
-            weights.append(fit_logistic(seen, y[:, c], l1))
+            w = fit_logistic(seen, y[:, c], free=c)
+            full = np.zeros(len(words) + c + 1)
+            full[columns], full[len(words) :] = w[: len(columns)], w[len(columns) :]
+            weights.append(full)
             earlier = np.hstack([earlier, out_of_fold[:, None].astype(np.float32)])
         return Chain(categories, words, weights)
 
@@ -108,7 +136,7 @@ class Chain:
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], sample_rows: int = 8000, vocabulary: int = 1000, n_folds: int = 4, key: str = "doc_id", text: str = "text") -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], sample_rows: int = 8000, vocabulary: int = 300, n_folds: int = 4, key: str = "doc_id", text: str = "text") -> Chain:
     """Fits a chain; categories maps names, in the chain's order, to 0/1 columns of labels."""
     names = list(categories)
     marks = labels.filter(F.col(key).isNotNull()).select(F.col(key).alias("_id"), *[F.coalesce(c.cast("int"), F.lit(0)).alias(f"_{k}") for k, c in categories.items()])
@@ -119,45 +147,73 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], s
     marks = marks.filter(F.pmod(order, F.lit(1 << 20)) < (1 << 20) * min(1.0, 1.2 * sample_rows / n)).orderBy(order, *marks.columns).limit(sample_rows)
     marks = common.staged(marks.withColumn("row", F.monotonically_increasing_id()), "labelled")
     marked = docs.select(F.col(key), F.coalesce(text, F.lit("")).alias("t")).join(F.broadcast(marks), F.col(key) == F.col("_id"))  # at most sample_rows rows
-    words = marked.select("row", *[f"_{k}" for k in names], F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(_WORD_SQL), F.lit(0))).alias("w"))
+
+    def listed_features(batches):
+        for rows in batches:
+            yield {c: [r[i] for r in rows] for i, c in enumerate(columns[:-1])} | {"w": [sorted(features(r[-1])) for r in rows]}
+
+    columns = ["row", *[f"_{k}" for k in names], "t"]
+    words = common.map_rows(marked.select(*columns), listed_features, "row bigint, " + "".join(f"_{k} int, " for k in names) + "w array<string>")
     words = common.staged(words, "labelled-words")
     totals = words.agg(F.count("*").alias("n"), *[F.sum(f"_{k}").alias(k) for k in names]).first()
     if not totals["n"]:
         return Chain(names, [], [np.array([*np.zeros(c), -40.0]) for c in range(len(names))])
     counts = words.select(*[f"_{k}" for k in names], F.explode("w").alias("w")).groupBy("w").agg(F.count("*").alias("df"), *[F.sum(f"_{k}").alias(k) for k in names]).filter("df >= 3")
-    scores = []
+    counts = common.staged(counts, "word-counts")
+    wanted: dict[str, set[str]] = {}
     for k in names:  # chi-squared of presence and category, from the four counts
         total, positive = float(totals["n"]), float(totals[k])
         expected = F.col("df") * F.lit(positive / total)
         spread = F.col("df") * F.lit(max(positive * (total - positive), 1e-9) / total**2) * (F.lit(1.0) - F.col("df") / F.lit(total + 1e-9))
-        scores.append((F.col(k) - expected) * (F.col(k) - expected) / F.greatest(spread, F.lit(1e-9)))
-    top = counts.select("w", F.greatest(*scores).alias("s") if len(scores) > 1 else scores[0].alias("s")).orderBy(F.desc("s"), "w").limit(vocabulary)
-    chosen = sorted(r["w"] for r in top.collect())
+        score_of = (F.col(k) - expected) * (F.col(k) - expected) / F.greatest(spread, F.lit(1e-9))
+        best = counts.filter((F.col(k) > expected) & (score_of >= LEAST_CHI)).orderBy(score_of.desc(), "w").limit(vocabulary)
+        wanted[k] = {r["w"] for r in best.select("w").collect()}
+    chosen = sorted(set().union(*wanted.values()))
     number = {w: i for i, w in enumerate(chosen)}
     listed = words.select("row", *[f"_{k}" for k in names], F.array_intersect("w", F.array(*map(F.lit, chosen)) if chosen else F.array().cast("array<string>")).alias("w")).orderBy("row").collect()
     x = np.zeros((len(listed), len(chosen)), dtype=np.float32)
     for i, r in enumerate(listed):
         x[i, [number[w] for w in r["w"]]] = 1
     y = np.array([[r[f"_{k}"] for k in names] for r in listed], dtype=float)
+    chosen, x = _told_apart(chosen, x)
     folds = np.arange(len(listed)) % n_folds  # the rows are in the order of a hash
-    return Chain.fit(names, chosen, x, y, folds)
+    own = [np.array([i for i, w in enumerate(chosen) if w in wanted[k]], dtype=np.int64) for k in names]
+    return Chain.fit(names, chosen, x, y, folds, own)
+
+
+def _told_apart(words: list[str], x: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Leaves out features that occur in the same rows as a more specific one (a whole word, else a longer beginning)."""
+    order = sorted(range(len(words)), key=lambda i: ("*" in words[i], -len(words[i]), words[i]))
+    seen: dict[bytes, int] = {}
+    for i in order:
+        seen.setdefault(np.packbits(x[:, i] > 0).tobytes(), i)
+    kept = sorted(seen.values())
+    return [words[i] for i in kept], x[:, kept]
 
 
-def score(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Chain, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, p_<category> ...) for every row of docs."""
     kind = dict(docs.dtypes)[key]
-    held = docs.sparkSession.sparkContext.broadcast(chain)  # vocabulary words and weights
-    names = [f"p_{c}" for c in chain.categories]
+    held = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary words and weights
+    names = [f"p_{c}" for c in model.categories]
 
     def run(batches):
         number = {w: i for i, w in enumerate(held.value.words)}
         known = set(number)
+        stems = {f.removesuffix("2") for f in known if "*" in f}
+        cache: dict[str, tuple[str, ...]] = {}
         for rows in batches:
+            if len(cache) > 200_000:
+                cache.clear()
             at, columns = [], []
             for i, (_, t) in enumerate(rows):
-                found = known.intersection(WORD.findall((t or "").lower()))
+                words = set(WORD.findall((t or "").lower()))
+                for w in words.difference(cache):
+                    cache[w] = tuple(s for n in STEMS if len(w) >= n and (s := f"{w[:n]}*") in stems)
+                counts = Counter(chain.from_iterable(map(cache.__getitem__, words)))
+                found = known.intersection(words.union(counts, (f"{s}2" for s, n in counts.items() if n > 1)))
                 at += [i] * len(found)
-                columns += [number[w] for w in sorted(found)]
+                columns += sorted(number[f] for f in found)
             p = held.value.predict(np.array(at, dtype=np.int64), np.array(columns, dtype=np.int64), len(rows))
             yield {key: [k for k, _ in rows], **{c: p[:, j] for j, c in enumerate(names)}}
 
