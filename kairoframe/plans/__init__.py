@@ -1,3 +1,3 @@
 """The queries over the driver's tables; importing the package registers all of them."""
 
-from . import pit, relational  # noqa: F401
+from . import analysis, pit, relational  # noqa: F401

@@ -227,7 +227,7 @@ v AS (
   FROM orders c JOIN h ON h.o_custkey = c.o_custkey AND h.event_time < c.o_orderdate AND h.available_at <= c.o_orderdate
 ), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY row_id ORDER BY event_time DESC) AS r FROM v WHERE version = 1)
 SELECT row_id, COUNT(*) AS events, ROUND(SUM(l_extendedprice) FILTER (WHERE r <= 5), 4) AS value_last_5,
-  ROUND(90 * SUM(l_extendedprice) FILTER (WHERE r <= 10) / NULLIF(SUM(l_quantity) FILTER (WHERE r <= 10), 0), 1) AS value_per_90_units_10,
+  ROUND(90 * SUM(l_extendedprice) FILTER (WHERE r <= 10) / NULLIF(SUM(l_quantity) FILTER (WHERE r <= 10), 0), 6) AS value_per_90_units_10,
   ROUND(SUM(l_quantity * EXP(-0.35::DOUBLE * (r - 1))) FILTER (WHERE r <= 10) / SUM(EXP(-0.35::DOUBLE * (r - 1))) FILTER (WHERE r <= 10), 3) AS quantity_ewma_10,
   MAX(available_at) AS max_available_at
 FROM r GROUP BY row_id""",
@@ -244,7 +244,7 @@ def pit_bitemporal_shipments(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("row_id").agg(
         F.count("*").alias("events"),
         F.round(F.sum(F.when(r <= 5, price)), 4).alias("value_last_5"),
-        _r(T.rate(price, quantity, r, 10), 1).alias("value_per_90_units_10"),
+        _r(T.rate(price, quantity, r, 10), 6).alias("value_per_90_units_10"),
         _r(T.ewma(quantity, r, 10)).alias("quantity_ewma_10"),
         F.max("available_at").alias("max_available_at"),
     )
