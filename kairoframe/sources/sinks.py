@@ -77,7 +77,7 @@ def merge_into(spark: SparkSession, folder: str, incoming: DataFrame, keys: list
 
     Readers of the old version are not disturbed.
     """
-    pointer = f"{folder}/_current"
+    pointer = f"{folder}/current.txt"
     current = spark.read.parquet(f"{folder}/{read_text(spark, pointer)}") if exists(spark, pointer) else incoming.limit(0)
     version = f"v-{uuid.uuid4().hex}"
     upsert(current, incoming, keys, guard).write.parquet(f"{folder}/{version}")
@@ -86,14 +86,14 @@ def merge_into(spark: SparkSession, folder: str, incoming: DataFrame, keys: list
 
 
 def current(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{read_text(spark, f'{folder}/_current')}")
+    return spark.read.parquet(f"{folder}/{read_text(spark, f'{folder}/current.txt')}")
 
 
 def delete_where(spark: SparkSession, folder: str, condition: F.Column) -> str:
     """The table without the rows that the condition holds for, as a new version."""
     version = f"v-{uuid.uuid4().hex}"
     current(spark, folder).filter(~F.coalesce(condition, F.lit(False))).write.parquet(f"{folder}/{version}")
-    write_text(spark, f"{folder}/_current", version)
+    write_text(spark, f"{folder}/current.txt", version)
     return version
 
 
