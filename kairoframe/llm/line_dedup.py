@@ -59,12 +59,13 @@ def dedup_lines(docs: DataFrame, size: int = 3, key: str = "doc_id", text: str =
         .filter("lo <= hi")
     )
     covered = later.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("hi", "lo"))).alias("covered"))
-    covered = common.staged(covered.select("id", "th", _mask("covered").alias("mask")), "covered-lines")
-    joined = docs.withColumn("_th", F.xxhash64(text)).join(covered.hint("shuffle_hash"), docs[key].eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th")), "left")
-    kept = F.expr(f"filter(split(`{text}`, '\\n', -1), (l, i) -> coalesce(substring(mask, i + 1, 1) <> X'31', true))")
-    renewed = F.when(F.col("mask").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    removed = F.coalesce(F.length(F.translate(F.col("mask").cast("string"), "0", "")), F.lit(0))
-    return joined.select(*[renewed.alias(text) if c == text else docs[c] for c in docs.columns], removed.cast("int").alias("lines_removed"))
+    covered = common.staged(covered.select(F.col("id").alias("_ld_id"), F.col("th").alias("_ld_th"), _mask("covered").alias("_ld_mask")), "covered-lines")
+    same_text = docs[key].eqNullSafe(F.col("_ld_id")) & (F.xxhash64(docs[text]) == F.col("_ld_th"))
+    joined = docs.join(covered.hint("shuffle_hash"), same_text, "left")
+    kept = F.expr(f"filter(split(`{text}`, '\\n', -1), (l, i) -> coalesce(substring(_ld_mask, i + 1, 1) <> X'31', true))")
+    renewed = F.when(F.col("_ld_mask").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    removed = F.coalesce(F.length(F.translate(F.col("_ld_mask").cast("string"), "0", "")), F.lit(0))
+    return joined.select(*[renewed.alias(text) if c == text else docs[c] for c in docs.columns if c != "lines_removed"], removed.cast("int").alias("lines_removed"))
 
 
 def _mask(covered: str) -> F.Column:
