@@ -109,7 +109,7 @@ def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
     picked = rows.filter(F.pmod(order, F.lit(1 << 20)) < (1 << 20) * min(1.0, 2 * sample / n)).orderBy(order).limit(sample).select("v").collect()
     x = np.array([r[0] for r in picked])
     quantiser = Quantiser.fit(x, n_words=min(64, max(2, len(x) // 32)))
-    held = rows.sparkSession.sparkContext.broadcast(quantiser)
+    held = common.Shipped(rows.sparkSession, quantiser)
     kind = dict(rows.dtypes)[key]
 
     def encode(batches):
@@ -143,7 +143,7 @@ def search(index: DataFrame, quantiser: Quantiser, queries: list[tuple[int, byte
     spark = index.sparkSession
     common.prepare(spark)
     kind = dict(index.dtypes)[key]
-    held = spark.sparkContext.broadcast((np.array([q for q, _ in queries]), np.stack([np.frombuffer(v) for _, v in queries]), quantiser))
+    held = common.Shipped(spark, (np.array([q for q, _ in queries]), np.stack([np.frombuffer(v) for _, v in queries]), quantiser))
 
     def run(batches):
         ids, q, books = held.value

@@ -67,6 +67,24 @@ def process_cache() -> dict:
     return module.__dict__.setdefault("entries", {})
 
 
+class Shipped:
+    """A broadcast value of a bounded size, pickled by value, as a worker may not have this package."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        prepare(spark)
+        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._name = uuid.uuid4().hex
+
+    @property
+    def value(self):
+        held = process_cache().setdefault("shipped", {})
+        if self._name not in held:
+            if len(held) >= 4:
+                held.clear()
+            held[self._name] = cloudpickle.loads(self._bytes.value)
+        return held[self._name]
+
+
 def by_size(items: Iterable, size: Callable, limit: int = CHARS_PER_STEP) -> Iterator[list]:
     """Consecutive lists of items whose sizes add up to about the limit; no item is split."""
     group, total = [], 0

@@ -337,7 +337,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     common.prepare(spark)
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
-    held = spark.sparkContext.broadcast(model)  # of a fixed size: BUCKETS times the number of languages
+    held = common.Shipped(spark, model)  # of a fixed size: BUCKETS times the number of languages
     kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
     schema = StructType([*kept, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     names = [f.name for f in kept]

@@ -194,7 +194,7 @@ def _told_apart(words: list[str], x: np.ndarray) -> tuple[list[str], np.ndarray]
 def score(docs: DataFrame, model: Chain, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, p_<category> ...) for every row of docs."""
     kind = dict(docs.dtypes)[key]
-    held = docs.sparkSession.sparkContext.broadcast(model)  # vocabulary words and weights
+    held = common.Shipped(docs.sparkSession, model)  # vocabulary words and weights
     names = [f"p_{c}" for c in model.categories]
 
     def run(batches):
