@@ -91,16 +91,12 @@ FROM judged GROUP BY conv_id
 """
 
 
-#: A document is toxic from this probability on; a single toxic word in a text brings about 0.4 or more, none under 0.05.
-TOXIC_FROM = 0.3
-
-
 def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's probabilities for the categories that the labels give, in the chain's order."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     low, toxic = F.col("quality") == 0, F.col("toxic") == 1
     chain = toxicity.train(docs, labels, {"low_quality": low, "toxic": toxic, "toxic_low_quality": low & toxic})
-    return toxicity.score(docs, chain).withColumn("toxic", F.col("p_toxic") >= TOXIC_FROM)
+    return toxicity.score(docs, chain).withColumnRenamed("is_toxic", "toxic")
 
 
 def op7_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

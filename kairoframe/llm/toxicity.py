@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
@@ -57,7 +57,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, free: int = 0, l1: float = 0.002, l2: float = 3e-5, steps: int = 1000) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, free: int = 0, l1: float = 0.0003, l2: float = 1e-6, steps: int = 1000) -> np.ndarray:
     """Weights, intercept last, by accelerated proximal gradient, then without the L1 part on the kept columns.
 
     All but the last `free` columns have weights of at least zero and the L1 penalty.
@@ -99,19 +99,35 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, free: int = 0, l1: float = 0.002,
     return w
 
 
+def _threshold(p: np.ndarray, y: np.ndarray) -> float:
+    order = np.argsort(-p, kind="stable")
+    hits, ranked = np.cumsum(y[order]), p[order]
+    ends = np.flatnonzero(np.append(np.diff(ranked) != 0, True)) if len(p) else np.zeros(0, dtype=int)
+    if not len(ends) or not y.sum():
+        return 0.5
+    best = ends[(2 * hits[ends] / (ends + 1 + y.sum())).argmax()]
+    below = ranked[best + 1] if best + 1 < len(p) else 0.0
+    return float(np.sqrt(max(ranked[best], 1e-12) * max(below, 1e-12)))
+
+
 @dataclass
 class Chain:
-    """Weights of each category: words, then the earlier categories' probabilities, then the intercept."""
+    """Weights of each category: words, then the earlier categories' probabilities, then the intercept.
+
+    A category's threshold is the one of the best F-score of the out-of-fold
+    probabilities, half way (of logarithms) between the rows that it parts.
+    """
 
     categories: list[str]
     words: list[str]
     weights: list[np.ndarray]
+    thresholds: list[float] = field(default_factory=list)
 
     @staticmethod
     def fit(categories: list[str], words: list[str], x: np.ndarray, y: np.ndarray, folds: np.ndarray, own: list[np.ndarray] | None = None) -> "Chain":
         """x: rows by words; y: rows by categories; folds: each row's fold number; own: each category's columns of x (default: all)."""
         earlier = np.zeros((len(x), 0), dtype=np.float32)
-        weights = []
+        weights, thresholds = [], []
         for c in range(len(categories)):
             columns = np.arange(len(words)) if own is None else own[c]
             seen = np.hstack([x[:, columns], earlier])
@@ -124,8 +140,9 @@ class Chain:
             full = np.zeros(len(words) + c + 1)
             full[columns], full[len(words) :] = w[: len(columns)], w[len(columns) :]
             weights.append(full)
+            thresholds.append(_threshold(out_of_fold, y[:, c]))
             earlier = np.hstack([earlier, out_of_fold[:, None].astype(np.float32)])
-        return Chain(categories, words, weights)
+        return Chain(categories, words, weights, thresholds)
 
     def predict(self, rows: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
         """Probabilities (n by categories) of texts given as (row, word number) pairs."""
@@ -192,7 +209,7 @@ def _told_apart(words: list[str], x: np.ndarray) -> tuple[list[str], np.ndarray]
 
 
 def score(docs: DataFrame, model: Chain, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, p_<category> ...) for every row of docs."""
+    """(key, p_<category> ..., is_<category> ...) for every row of docs."""
     kind = dict(docs.dtypes)[key]
     held = common.Shipped(docs.sparkSession, model)  # vocabulary words and weights
     names = [f"p_{c}" for c in model.categories]
@@ -215,6 +232,7 @@ def score(docs: DataFrame, model: Chain, key: str = "doc_id", text: str = "text"
                 at += [i] * len(found)
                 columns += sorted(number[f] for f in found)
             p = held.value.predict(np.array(at, dtype=np.int64), np.array(columns, dtype=np.int64), len(rows))
-            yield {key: [k for k, _ in rows], **{c: p[:, j] for j, c in enumerate(names)}}
+            bounds = held.value.thresholds or [0.5] * len(names)
+            yield {key: [k for k, _ in rows], **{c: p[:, j] for j, c in enumerate(names)}, **{f"is_{c}": p[:, j] >= bounds[j] for j, c in enumerate(held.value.categories)}}
 
-    return common.map_rows(docs.select(key, text), run, f"{key} {kind}, " + ", ".join(f"{c} double" for c in names))
+    return common.map_rows(docs.select(key, text), run, f"{key} {kind}, " + ", ".join([f"{c} double" for c in names] + [f"is_{c} boolean" for c in model.categories]))

@@ -208,8 +208,8 @@ def test_chain_separates_held_out_rows_and_stands_odd_input(spark, docs, empty):
     labels = spark.createDataFrame([m for m in marks if m[0] < 400] + [(None, 1, 1), (401, None, None)], "doc_id bigint, quality int, toxic int")
     categories = {"low": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
     model = toxicity.train(df, labels, categories)
-    p = {r.doc_id: r.p_toxic for r in toxicity.score(df, model).collect()}
-    assert all((p[i] >= 0.5) == bool(t) for i, _, t in marks if i > 401)
+    p = {r.doc_id: r.is_toxic for r in toxicity.score(df, model).collect()}
+    assert all(p[i] == bool(t) for i, _, t in marks if i > 401)
     assert toxicity.score(docs, model).count() == docs.count()
     assert toxicity.score(empty, model).count() == 0
     none = toxicity.train(df, labels.limit(0), categories)
