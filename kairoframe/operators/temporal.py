@@ -221,18 +221,25 @@ def array_ewma(recent: str, field: str, limit: int, decay: float = DECAY) -> Col
     return F.when(F.size(pairs) > 0, total["n"] / total["d"])
 
 
-def array_stddev(recent: str, field: str, limit: int) -> Column:
-    """Sample standard deviation, by two passes; null under two values."""
-    near = F.filter(F.transform(F.slice(recent, 1, limit), lambda e: e[field].cast("double")), lambda v: v.isNotNull())
-    n = F.size(near)
-    mean = F.aggregate(near, F.lit(0.0), lambda a, v: a + v) / n
-    return F.when(n >= 2, F.sqrt(F.aggregate(F.transform(near, lambda v: (v - mean) * (v - mean)), F.lit(0.0), lambda a, v: a + v) / (n - 1)))
-
-
-def array_trend(recent: str, field: str, limit: int) -> Column:
-    pairs = F.filter(F.transform(F.slice(recent, 1, limit), lambda e, i: F.struct(e[field].cast("double").alias("y"), (i + 1).cast("double").alias("x"))), lambda p: p["y"].isNotNull())
-    n = F.size(pairs)
-    add = lambda f: F.aggregate(F.transform(pairs, f), F.lit(0.0), lambda a, v: a + v)
-    mx, my = add(lambda p: p["x"]) / n, add(lambda p: p["y"]) / n
-    sxy, sxx = add(lambda p: (p["x"] - mx) * (p["y"] - my)), add(lambda p: (p["x"] - mx) * (p["x"] - mx))
-    return F.when(n >= 2, -sxy / sxx)
+def array_moments(recent: str, field: str, limit: int) -> Column:
+    """Count and sums about the first value (y) and of the recency (x) over the known values, in one pass."""
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("i", "n", "first", "y", "yy", "x", "xx", "xy")])
+
+    def step(a, e):
+        v, x = e[field].cast("double"), a["i"] + 1
+        first = F.when(a["n"] == 0, v).otherwise(a["first"])
+        d = v - first
+        known = F.struct(x.alias("i"), (a["n"] + 1).alias("n"), first.alias("first"), (a["y"] + d).alias("y"), (a["yy"] + d * d).alias("yy"), (a["x"] + x).alias("x"), (a["xx"] + x * x).alias("xx"), (a["xy"] + x * d).alias("xy"))
+        return F.when(v.isNull(), F.struct(x.alias("i"), *[a[k].alias(k) for k in ("n", "first", "y", "yy", "x", "xx", "xy")])).otherwise(known)
+
+    return F.aggregate(F.slice(recent, 1, limit), zero, step)
+
+
+def moments_stddev(m: Column) -> Column:
+    """Sample standard deviation from array_moments; null under two values."""
+    return F.when(m["n"] >= 2, F.sqrt(F.greatest(F.lit(0.0), (m["yy"] - m["y"] * m["y"] / m["n"]) / (m["n"] - 1))))
+
+
+def moments_trend(m: Column) -> Column:
+    """Slope against recency from array_moments, rising is positive; null under two values."""
+    return F.when(m["n"] >= 2, -(m["xy"] - m["x"] * m["y"] / m["n"]) / (m["xx"] - m["x"] * m["x"] / m["n"]))

@@ -45,14 +45,15 @@ def _history(kind: str, on: str, key: str, limit: int) -> str:
 
 def customer_features(candidates: DataFrame) -> DataFrame:
     found = T.recent_before(candidates, candidates, ("customer", "customer"), "cutoff", "cutoff", "row_id", ["price"], 10)
+    found = found.withColumns({"_m5": T.array_moments("recent", "price", 5), "_m10": T.array_moments("recent", "price", 10)})
     return found.select(
         "row_id",
         F.size("recent").cast("bigint").alias("history_count"),
         _r(T.array_sum("recent", "price", 1)).alias("price_last_1"),
         _r(T.array_sum("recent", "price", 5)).alias("price_last_5"),
         _r(T.array_ewma("recent", "price", 10)).alias("price_ewma_10"),
-        _r(T.array_trend("recent", "price", 5)).alias("price_trend_5"),
-        _r(T.array_stddev("recent", "price", 10)).alias("price_volatility_10"),
+        _r(T.moments_trend(F.col("_m5"))).alias("price_trend_5"),
+        _r(T.moments_stddev(F.col("_m10"))).alias("price_volatility_10"),
         F.get("recent", 0)["t"].alias("customer_max_available_at"),
     )
 

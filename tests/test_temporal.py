@@ -63,5 +63,5 @@ def test_audit_and_guard(spark):
 def test_array_features_equal_aggregates(spark):
     rows = spark.createDataFrame([(1, i, v) for i, v in enumerate([3.0, None, 5.0, 8.0], 1)], "k int, r int, v double")
     agg = rows.groupBy("k").agg(T.ewma(F.col("v"), F.col("r"), 3).alias("e"), T.trend(F.col("v"), F.col("r"), 4).alias("t"), F.stddev_samp("v").alias("s")).first()
-    arr = rows.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("r", "v"))).alias("a")).select(T.array_ewma("a", "v", 3).alias("e"), T.array_trend("a", "v", 4).alias("t"), T.array_stddev("a", "v", 4).alias("s")).first()
+    arr = rows.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("r", "v"))).alias("a")).select(T.array_ewma("a", "v", 3).alias("e"), T.moments_trend(T.array_moments("a", "v", 4)).alias("t"), T.moments_stddev(T.array_moments("a", "v", 4)).alias("s")).first()
     assert [arr[c] for c in "ets"] == pytest.approx([agg[c] for c in "ets"])
