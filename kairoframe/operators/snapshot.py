@@ -218,8 +218,13 @@ def upcoming_memberships(fixtures: DataFrame, observed: DataFrame, transfers: Da
     sheets = lineups.filter(F.col("available_at") <= cutoff)
     step = lambda kind, at, team, role, known, tie: F.struct(F.lit(kind).alias("kind"), at.cast("timestamp").alias("at"), known.alias("known"), tie.cast("string").alias("tie"), team.alias("team"), role.alias("role"))
     games = fixtures.select("match_id", "kickoff_at", "home_team_id", "away_team_id")
-    a = games.select("match_id").crossJoin(seen.select("player_id", step(0, F.col("event_time"), F.col("team_id"), F.col("role"), F.col("available_at"), F.lit("")).alias("s")))  # fixtures of one horizon
-    b = games.select("match_id", "kickoff_at").crossJoin(moves.select("player_id", "transfer_date", step(1, F.col("transfer_date"), F.col("to_team_id"), F.coalesce("_role", "own_role"), F.col("available_at"), F.col("id")).alias("s"))).filter(F.col("transfer_date") <= F.to_date("kickoff_at")).select("match_id", "player_id", "s")
+    # Only players whom some evidence puts into one of a fixture's teams can end there.
+    sides = games.select("match_id", F.explode(F.array("home_team_id", "away_team_id")).alias("team_id"))
+    hinted = seen.select("player_id", "team_id").unionByName(moves.select("player_id", F.col("to_team_id").alias("team_id"))).distinct()
+    pairs = hinted.join(sides, "team_id").select("match_id", "player_id").unionByName(sheets.join(games.select("match_id"), "match_id", "left_semi").select("match_id", "player_id")).distinct()
+    a = pairs.join(seen.select("player_id", step(0, F.col("event_time"), F.col("team_id"), F.col("role"), F.col("available_at"), F.lit("")).alias("s")), "player_id").select("match_id", "player_id", "s")
+    steps_of_moves = moves.select("player_id", "transfer_date", step(1, F.col("transfer_date"), F.col("to_team_id"), F.coalesce("_role", "own_role"), F.col("available_at"), F.col("id")).alias("s"))
+    b = pairs.join(games.select("match_id", "kickoff_at"), "match_id").join(steps_of_moves, "player_id").filter(F.col("transfer_date") <= F.to_date("kickoff_at")).select("match_id", "player_id", "s")
     c = games.select("match_id").join(sheets.select("match_id", "player_id", step(2, F.col("available_at"), F.col("team_id"), F.col("role"), F.col("available_at"), F.col("id")).alias("s")), "match_id")
     steps = a.unionByName(b).unionByName(c).groupBy("match_id", "player_id").agg(F.array_sort(F.collect_list("s")).alias("steps"))
     start = F.struct(F.lit(None).cast("string").alias("team"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("timestamp").alias("known"))
