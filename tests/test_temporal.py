@@ -28,7 +28,7 @@ def test_latest_visible_version_counts(spark):
 def test_recent_before_handles_ties_and_no_history(spark):
     h = spark.createDataFrame([("a", 1, 1, 1.0), ("a", 2, 2, 2.0), ("a", 2, 3, 3.0), ("a", 4, 4, 4.0), (None, 1, 5, 5.0)], "k string, t int, id int, v double")
     c = spark.createDataFrame([(1, "a", 4), (2, "a", 1), (3, "zzz", 9), (4, None, 9), (5, "a", 9)], "row int, who string, cutoff int")
-    got = {r["row"]: [e["id"] for e in r["recent"]] for r in T.recent_before(c, h, ("who", "k"), "cutoff", "t", "id", ["v"], 2).collect()}
+    got = {r["row"]: [e["tb"] for e in r["recent"]] for r in T.recent_before(c, h, ("who", "k"), "cutoff", "t", "id", ["v"], 2).collect()}
     assert got == {1: [3, 2], 2: [], 3: [], 4: [], 5: [4, 3]}
 
 
