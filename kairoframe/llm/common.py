@@ -124,7 +124,3 @@ def hash_share(*columns, seed: str = "") -> F.Column:
     """A number in [0, 1) that depends on the columns' values alone; DuckDB can compute it too."""
     text = F.concat_ws(":", F.lit(seed), *(F.coalesce(c.cast("string"), F.lit("~")) for c in columns))
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") / F.lit(float(2**52))
-
-
-def has_rows(df: DataFrame) -> bool:
-    return not df.isEmpty()
