@@ -58,7 +58,7 @@ def dedup_lines(docs: DataFrame, size: int = 3, key: str = "doc_id", text: str =
         .select("id", "th", F.when(same, F.greatest("pos", F.col("first.pos") + size)).otherwise(F.col("pos")).alias("lo"), (F.col("pos") + size - 1).alias("hi"))
         .filter("lo <= hi")
     )
-    covered = later.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("hi", "lo"))).alias("covered"))
+    covered = later.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("covered"))
     covered = common.staged(covered.select(F.col("id").alias("_ld_id"), F.col("th").alias("_ld_th"), _mask("covered").alias("_ld_mask")), "covered-lines")
     same_text = docs[key].eqNullSafe(F.col("_ld_id")) & (F.xxhash64(docs[text]) == F.col("_ld_th"))
     joined = docs.join(covered.hint("shuffle_hash"), same_text, "left")
@@ -69,7 +69,10 @@ def dedup_lines(docs: DataFrame, size: int = 3, key: str = "doc_id", text: str =
 
 
 def _mask(covered: str) -> F.Column:
-    """Bytes '0' and '1', one for each line up to the last covered one, from (hi, lo) in the order of hi."""
+    """Bytes '0' and '1', one for each line up to the last covered one, from (lo, hi) in the order of lo.
+
+    lo need not rise with hi: it is raised where a window overlaps its own first occurrence.
+    """
     return F.expr(
         f"""cast(aggregate(
               {covered},

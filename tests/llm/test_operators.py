@@ -311,6 +311,17 @@ def test_line_windows_equal_brute_force(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_windows_cover_runs_of_equal_lines(spark):
+    """A later occurrence that overlaps its own first one begins later than a window that ends after it."""
+    rng = np.random.default_rng(5)
+    rows = [(1, "x\nx\ny"), (2, "x\nx\nx\nx\ny")]
+    rows += [(100 + i, "\n".join(rng.choice(["x", "y"], rng.integers(3, 30), p=[0.8, 0.2]))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.text, r.lines_removed) for r in line_dedup.dedup_lines(df).collect()}
+    assert got[2] == ("x\nx", 3)
+    assert sorted((k, t) for k, (t, _) in got.items()) == sorted(brute_lines(rows))
+
+
 def test_line_dedup_keeps_nulls_and_columns(docs):
     out = line_dedup.dedup_lines(docs)
     assert out.columns == [*docs.columns, "lines_removed"] and out.count() == docs.count()
