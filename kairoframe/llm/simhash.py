@@ -261,8 +261,20 @@ _MULTIPLIERS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) ^ 0xD1B54A32D192ED03
 BINS = 256
 
 
-def signature(text: str | None, shingle: int, rows: int = 2) -> tuple[int, list[int], bytes]:
-    """Fingerprint, band keys and sketch of one text.
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle of one text in its order, repeats included; a shorter text is one shingle."""
+    import xxhash
+
+    words = WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    n = max(1, len(words) - shingle + 1)
+    grams = map(b" ".join, zip(*(words[k : k + n] for k in range(shingle)), strict=True)) if len(words) >= shingle else [b" ".join(words)]
+    return np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), dtype=np.uint64, count=n)
+
+
+def signature(text: str | None, shingle: int, rows: int = 2) -> tuple[int, list[int], bytes, int]:
+    """Fingerprint, band keys, sketch and a hash of the shingle set of one text.
 
     A band key joins `rows` min-hashes of the shingle set; the sketch keeps a
     byte of the smallest hash in each of 256 bins (0: empty), from which the
@@ -270,12 +282,10 @@ def signature(text: str | None, shingle: int, rows: int = 2) -> tuple[int, list[
     """
     import xxhash
 
-    words = WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
-    if not words:
-        return 0, [0] * (len(_MULTIPLIERS) // rows), bytes(BINS)
-    n = max(1, len(words) - shingle + 1)
-    grams = map(b" ".join, zip(*(words[k : k + n] for k in range(shingle)), strict=True)) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(g, 42) for g in grams), dtype=np.uint64, count=n)
+    hashes = shingle_hashes(text, shingle)
+    n = len(hashes)
+    if not n:
+        return 0, [0] * (len(_MULTIPLIERS) // rows), bytes(BINS), 0
     counts, least, smallest = np.zeros(2048), np.full(len(_MULTIPLIERS), 2**64 - 1, dtype=np.uint64), np.full(BINS, 2**64 - 1, dtype=np.uint64)
     for start in range(0, n, 100_000):
         h = hashes[start : start + 100_000]
@@ -287,7 +297,7 @@ def signature(text: str | None, shingle: int, rows: int = 2) -> tuple[int, list[
     fp = int(np.packbits(ones > n / 2, bitorder="little").view("<u8")[0])
     sketch = np.where(smallest == 2**64 - 1, 0, smallest % np.uint64(255) + np.uint64(1)).astype(np.uint8).tobytes()
     bands = [xxhash.xxh64_intdigest(least[k : k + rows].tobytes(), k) for k in range(0, len(least), rows)]
-    return fp, bands, sketch
+    return fp, bands, sketch, xxhash.xxh64_intdigest(np.unique(hashes).tobytes())
 
 
 def similarity_of(one: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -298,23 +308,37 @@ def similarity_of(one: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.where(n == 0, 1.0, same.sum(axis=1) / np.maximum(n, 1))
 
 
-def _similar(nodes: list[tuple[int, int, bytes]], radius: int, least: float) -> list[tuple[int, int]]:
-    """Spanning edges of the verified links in one shard; nodes are (node, fp, sketch).
+def jaccard(one: np.ndarray, other: np.ndarray) -> float:
+    """Exact similarity of two sets, given as sorted distinct values."""
+    both = np.intersect1d(one, other, assume_unique=True).size
+    return both / (one.size + other.size - both) if one.size or other.size else 1.0
 
-    Nodes are searched and added one by one.  Those of the main component (the
-    first link's) have a tree of their own, whose search ends at the first
-    verified link, since more links to it would change nothing; so a shard of
-    thousands of near copies takes little more than a search for each.
-    """
-    root = list(range(len(nodes)))
 
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+def _similar(nodes: list[tuple], radius: int, least: float, similarity: float | None = None) -> list[tuple[int, int]]:
+    """Spanning edges of the links in one shard; nodes are (node, fp, sketch) or (node, fp, sketch, shingle set).
 
-    sketches = np.frombuffer(b"".join(s for _, _, s in nodes), dtype=np.uint8).reshape(len(nodes), -1)
+    A link is a pair whose sketches give `least`; with `similarity`, one whose
+    sets have that similarity besides.  Nodes are searched and added one by
+    one.  Those of the main component (the first link's) have a tree of their
+    own, whose search ends at the first link, since more links to it would
+    change nothing; so a shard of thousands of near copies takes little more
+    than a search for each.  The trees only give near fingerprints first: what
+    is not linked then is compared too, whatever its fingerprint.
+    """
+    label = np.arange(len(nodes))
+    find = label.__getitem__
+    tried: set[int] = set()
+
+    def confirmed(i: int, j: int) -> bool:
+        if similarity is None:
+            return True
+        if j in tried:
+            return False
+        tried.add(j)
+        one, other = (np.frombuffer(nodes[k][3], dtype=np.uint64) for k in (i, j))
+        return min(one.size, other.size) >= similarity * max(one.size, other.size) and jaccard(one, other) >= similarity
+
+    sketches = np.frombuffer(b"".join(n[2] for n in nodes), dtype=np.uint8).reshape(len(nodes), -1)
     trees: dict[bool, BKTree | None] = {True: None, False: None}
     held: dict[bool, dict[int, list[int]]] = {True: {}, False: {}}
     members: dict[int, list[int]] = {}
@@ -334,56 +358,88 @@ def _similar(nodes: list[tuple[int, int, bytes]], radius: int, least: float) ->
         near = (j for v in trees[part].within(nodes[i][1], radius) for j in held[part][v] if find(j) != find(i))
         while some := list(islice(near, 16)):
             for j, s in zip(some, similarity_of(sketches[i], sketches[some]), strict=True):
-                if s >= least and find(j) != find(i):
+                if s >= least and find(j) != find(i) and confirmed(i, j):
+                    yield j
+
+    def others(i: int) -> Iterator[int]:
+        rest = np.flatnonzero(label[:i] != label[i])
+        for k in range(0, len(rest), 512):
+            some = rest[k : k + 512]
+            some = some[label[some] != label[i]]
+            for j in some[similarity_of(sketches[i], sketches[some]) >= least].tolist():
+                if find(j) != find(i) and confirmed(i, j):
                     yield j
 
-    for i, (node, _, _) in enumerate(nodes):
+    for i, (node, *_) in enumerate(nodes):
         members[i] = [i]
-        for part in (True, False):
-            for j in linked(i, part):
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
+        tried.clear()
+        for found in (linked(i, True), linked(i, False), others(i)):
+            for j in found:
+                a, b = sorted((int(find(i)), int(find(j))))
+                label[label == b] = a
                 out.append((max(node, nodes[j][0]), min(node, nodes[j][0])))
-                rest = members.pop(max(a, b))
+                rest = members.pop(b)
                 if main < 0 or main in (a, b):
-                    moved = [*rest, *members[min(a, b)]] if main < 0 else rest if main == min(a, b) else members[min(a, b)]
+                    moved = [*rest, *members[a]] if main < 0 else rest if main == a else members[a]
                     for k in moved:
                         if k != i:
                             put(k, True)
-                    main = min(a, b)
-                members[min(a, b)] += rest
+                    main = a
+                members[a] += rest
         put(i, find(i) == main)
     return out
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 16, margin: float = 0.03, key: str = "doc_id", text: str = "text", hot_rows: int = 2000, hot_shards: int = 20_000) -> DataFrame:
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 16, slack: float = 0.12, key: str = "doc_id", text: str = "text", hot_rows: int = 2000, hot_shards: int = 20_000) -> DataFrame:
     """(key, component_id) by similarity of the shingle sets, where few-bit links are too strict.
 
     At a Jaccard similarity of 0.8, SimHash fingerprints of five-word shingles
     differ in up to about 14 of 64 bits, which bit blocks cannot index.  Here
     the shards of the BK-trees are bands of two min-hashes (eight bands: a
-    link of 0.8 shares one with probability 0.9997); a tree finds the
-    fingerprints within `radius`, and the sketches confirm the similarity
-    (standard error at most 0.025; accepted from similarity - margin).
-    Equal signatures are one node, so exact copies cost one row.  Shards of
-    more than max(hot_rows, rows / hot_shards) nodes are dealt out again by
-    their nodes' other bands.
+    link of 0.8 shares one with probability 0.9997).  In a shard the sketches
+    (standard error at most 0.025) propose what may be similar, from
+    similarity - slack on; trees give fingerprints within `radius` first, but
+    exclude nothing.  The components of the proposals are groups; each brings
+    its texts' shingle sets together, and a link is what those sets' exact
+    similarity says.  Equal sets are one node, so exact copies cost one row.
+    Shards of more than max(hot_rows, rows / hot_shards) nodes are dealt out
+    again by their nodes' other bands, and such groups by their nodes' bands.
     """
     kind = dict(docs.dtypes)[key]
 
     def sign(batches):
         for rows in batches:
-            signed = [signature(t, shingle) for _, t in rows]
+            signed = [signature(t, shingle) for _, t, _ in rows]
             yield {
-                key: [k for k, _ in rows],
+                key: [k for k, _, _ in rows],
+                "th": [h for _, _, h in rows],
                 "fp": np.array([s[0] for s in signed], dtype=np.uint64).view(np.int64),
                 "bands": [np.array(s[1], dtype=np.uint64).view(np.int64).tolist() for s in signed],
                 "sketch": [s[2] for s in signed],
+                "node": np.array([s[3] for s in signed], dtype=np.uint64).view(np.int64),
             }
 
-    signed = common.map_rows(docs.select(key, text), sign, f"{key} {kind}, fp bigint, bands array<bigint>, sketch binary")
-    signed = common.staged(signed.withColumn("node", F.xxhash64("fp", "sketch")), "signed")
-    least = common.staged(signed.groupBy("node").agg(F.min(key).alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+    def linked(rows: DataFrame, least: float, exact: float | None = None) -> DataFrame:
+        """Components of the links inside the shards of rows (shard, node, fp, sketch and, for exact ones, grams)."""
+
+        def run(batches):
+            shard, held = None, []
+            for rows in batches:
+                pairs = []
+                for s, node, fp, *rest in rows:
+                    if s != shard:
+                        pairs += _similar(held, radius, least, exact) if len(held) > 1 else []
+                        shard, held = s, []
+                    held.append((node, fp % 2**64, *rest))
+                yield {"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}
+            pairs = _similar(held, radius, least, exact) if len(held) > 1 else []
+            yield {"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}
+
+        return components(common.map_rows(rows.repartition("shard").sortWithinPartitions("shard"), run, "a bigint, b bigint"))
+
+    signed = common.map_rows(docs.select(key, text, F.xxhash64(text).alias("th")), sign, f"{key} {kind}, th bigint, fp bigint, bands array<bigint>, sketch binary, node bigint")
+    signed = common.staged(signed, "signed")
+    least = common.staged(signed.groupBy("node").agg(F.min(key).alias("least"), *[F.first(c).alias(c) for c in ("th", "fp", "bands", "sketch")]), "nodes")
     shards = least.select("node", "bands", F.posexplode("bands")).select("node", "bands", F.xxhash64("pos", "col").alias("shard"))
     sizes = common.staged(shards.groupBy("shard").count().filter("count > 1"), "shard-sizes")
     total = sizes.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
@@ -391,23 +447,24 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     shared = shards.join(sizes, "shard").withColumn("hot", F.col("count") > bound)
     again = F.transform("bands", lambda b: F.xxhash64("shard", b))
     dealt = shared.select("node", F.explode(F.when(F.col("hot"), again).otherwise(F.array("shard"))).alias("shard"))
-    rows = dealt.join(least.select("node", "fp", "sketch"), "node").repartition("shard").sortWithinPartitions("shard")
-    accept = similarity - margin
+    rows = dealt.join(least.select("node", "fp", "sketch"), "node").select("shard", "node", "fp", "sketch")
+    proposed = common.staged(linked(rows, similarity - slack).withColumnRenamed("root", "grp"), "proposed")
 
-    def run(batches):
-        shard, held = None, []
+    def grams(batches):
         for rows in batches:
-            pairs = []
-            for s, node, fp, sketch in rows:
-                if s != shard:
-                    pairs += _similar(held, radius, accept) if len(held) > 1 else []
-                    shard, held = s, []
-                held.append((node, fp % 2**64, sketch))
-            yield {"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}
-        pairs = _similar(held, radius, accept) if len(held) > 1 else []
-        yield {"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}
-
-    found = components(common.map_rows(rows.select("shard", "node", "fp", "sketch"), run, "a bigint, b bigint"))
+            for some in common.by_size(rows, lambda r: len(r[-1] or "")):
+                yield {
+                    **{c: [r[i] for r in some] for i, c in enumerate(("shards", "node", "fp", "sketch"))},
+                    "grams": [np.unique(shingle_hashes(r[-1], shingle)).tobytes() for r in some],
+                }
+
+    crowds = proposed.groupBy("grp").count().filter(F.col("count") > bound).select("grp", F.lit(True).alias("hot"))  # few, as shards are
+    own = F.transform("bands", lambda b, i: F.xxhash64("grp", i, b))
+    groups = proposed.join(F.broadcast(crowds), "grp", "left").join(least, "node").withColumn("shards", F.when(F.col("hot"), own).otherwise(F.array("grp")))
+    texts = docs.groupBy(F.xxhash64(text).alias("th")).agg(F.first(text).alias("_text"))
+    sets = groups.join(texts, "th").select("shards", "node", "fp", "sketch", "_text")
+    sets = common.map_rows(sets, grams, "shards array<bigint>, node bigint, fp bigint, sketch binary, grams binary")
+    found = linked(sets.select(F.explode("shards").alias("shard"), "node", "fp", "sketch", "grams"), similarity - slack, similarity)
     of = common.staged(least.select("node", "least").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "members")
     top = common.staged(of.groupBy("root").agg(F.min("least").alias("component_id")), "tops")
     named = common.staged(of.join(top, "root").select("node", "component_id"), "named")

@@ -430,6 +430,27 @@ def test_one_of_each_group_stays(spark, real, docs):
     assert simhash.keep_one(docs).count() == 5
 
 
+def test_links_are_those_of_the_exact_similarity(spark):
+    """Pairs of similarity 0.76 to 0.83, and equal sets of shingles whose fingerprints are far apart."""
+    rng = np.random.default_rng(21)
+    rows, linked = [], {}
+    for i in range(90):
+        words = [f"w{x}" for x in rng.integers(0, 10**9, 1000)]
+        changed = list(words)
+        for k in range(19 + i % 9):
+            changed[10 + 30 * k] = f"z{i}"
+        sets = [{" ".join(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words, changed)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(changed))]
+        linked[2 * i + 1] = 2 * i if len(sets[0] & sets[1]) / len(sets[0] | sets[1]) >= 0.8 else 2 * i + 1
+    x, y = ([f"{c}{k}" for k in rng.integers(0, 10**9, 40)] for c in "xy")
+    rows += [(1000, " ".join(x * 50 + y * 2)), (1001, " ".join(x * 2 + y * 50))]
+    assert (simhash.fingerprint(rows[-1][1], 5) ^ simhash.fingerprint(rows[-2][1], 5)).bit_count() > 16
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for bounds in ({}, {"hot_rows": 1}):
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(df, **bounds).collect()}
+        assert {d: got[d] for d in linked} == linked and got[1001] == 1000
+
+
 def test_similarity_estimate():
     rng = np.random.default_rng(12)
     words = [f"w{x}" for x in rng.integers(0, 10**6, 3000)]
