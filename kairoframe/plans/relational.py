@@ -340,6 +340,12 @@ def normalize_names(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", S.normalize_name(F.substring("text", 1, 200)).alias("name"))
 
 
+@register("normalize_texts", "SELECT doc_id, TRIM(REGEXP_REPLACE(LOWER(STRIP_ACCENTS(REPLACE(REPLACE(text, 'ß', ' '), chr(10), ' '))), '[^a-z0-9]+', ' ', 'g')) AS name FROM documents")
+def normalize_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every whole document in normal form."""
+    return table(spark, sf, "documents").select("doc_id", S.normalize_name(F.col("text")).alias("name"))
+
+
 @register("rest_days", "SELECT event_id, DATE_DIFF('day', LAG(ts) OVER w, ts) AS rest_days FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def rest_days(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
