@@ -13,8 +13,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch: texts may be megabytes long, so batches stay short.
-ROWS_PER_BATCH = 512
+#: Rows and bytes in an Arrow batch: texts may be megabytes long, so batches stay short.
+ROWS_PER_BATCH, BYTES_PER_BATCH = 512, 8 << 20
 
 #: Characters that one vectorised step works on at a time.
 CHARS_PER_STEP = 1_000_000
@@ -27,38 +27,79 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prepare(spark: SparkSession) -> None:
     """Ships this subpackage by value and keeps Arrow batches of texts short.
 
-    Executors of a cluster need not have the package installed.  A batch size
-    that somebody has set below the one used here stays.
+    Executors of a cluster need not have the package installed.  Spark takes
+    the batch bounds from the session only, so they are set there; bounds that
+    somebody has set below the ones used here stay.
     """
     cloudpickle.register_pickle_by_value(sys.modules[__package__])
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= ROWS_PER_BATCH:
-        spark.conf.set(key, str(ROWS_PER_BATCH))
+    for name, most in (("maxRecordsPerBatch", ROWS_PER_BATCH), ("maxBytesPerBatch", BYTES_PER_BATCH)):
+        key = f"spark.sql.execution.arrow.{name}"
+        held = spark.conf.get(key).removesuffix("b")
+        if not (held.isdigit() and 0 < int(held) <= most):
+            spark.conf.set(key, str(most))
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a folder of this
-    machine is set.
+    Where the session names none, a folder of this machine will do only if
+    everything runs on it; with executors elsewhere that is an error, as each
+    of them would write to a disk of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors share (master {master})")
         folder = f"file://{tempfile.mkdtemp(prefix='kairoframe-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+#: Folders that this process has staged and not released, by session application.
+_staged: dict[str, set[str]] = {}
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, which `release` or `release_all` deletes."""
+    path = f"{shared_folder(spark)}/kairoframe/{name}-{uuid.uuid4().hex}"
+    _staged.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
 def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes df to the shared folder and reads it back.
 
-    This cuts the lineage at a table that outlives any executor; each call has
-    a folder of its own, which may be deleted once the results are written.
+    This cuts the lineage at a table that outlives any executor.  Results are
+    lazy and read these tables, so they stay until `release_all`; a table that
+    a later staged one has made unnecessary is released at once.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/kairoframe/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kairoframe_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_kairoframe_path", None)
+        if path is not None:
+            _delete(df.sparkSession, path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Deletes all that this application has staged; call it when the results have been written."""
+    for path in list(_staged.get(spark.sparkContext.applicationId, ())):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _staged.get(spark.sparkContext.applicationId, set()).discard(path)
 
 
 def process_cache() -> dict:

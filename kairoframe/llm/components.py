@@ -22,12 +22,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Loops and repeated edges are fine; null ends are ignored.  No edges, no
     rows.  Raises if the rounds did not settle (they do in about log n).
     """
-    spark = edges.sparkSession
     edges = edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = common.staged(edges, "edges")
     before = None
     for _ in range(max_rounds):
-        edges = _star(_star(edges, large=True), large=False)
+        for large in (True, False):
+            last, edges = edges, _star(edges, large)
+            common.release(last)
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == before:
             break
@@ -46,5 +47,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         linked = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         least = common.staged(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
-        linked = edges.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("x"), F.col("m").alias("y")), F.struct(F.col("a").alias("x"), F.col("m").alias("y")))).alias("e")).select(F.greatest("e.x", "e.y").alias("a"), F.least("e.x", "e.y").alias("b"))
-    return common.staged(linked.filter("a != b").distinct(), "star")
+        ends = F.array(*[F.struct(F.col(x).alias("x"), F.col("m").alias("y")) for x in ("b", "a")])
+        linked = edges.join(least, "a").select(F.explode(ends).alias("e")).select(F.greatest("e.x", "e.y").alias("a"), F.least("e.x", "e.y").alias("b"))
+    out = common.staged(linked.filter("a != b").distinct(), "star")
+    common.release(least)
+    return out

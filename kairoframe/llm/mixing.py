@@ -64,8 +64,9 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha:
         table = F.broadcast(table)
     own = F.coalesce(F.col(key).cast("string"), F.md5(F.coalesce(F.col(text), F.lit(""))))
     kept = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    drawn = docs.select(*kept, common.hash_share(own, seed=f"count-{seed}").alias("_u")).join(table, F.col(source).eqNullSafe(F.col("_source")))
-    counted = drawn.select(*kept, F.expr("size(filter(_cdf, c -> c < _u))").alias("_n")).filter("_n > 0")
-    copies = counted.select(*kept, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
-    mixed = copies.withColumn("shuffle_key", common.hash_share(own, F.col("copy"), seed=f"place-{seed}"))
-    return mixed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", key, "copy")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), own.alias("own"), F.col(source).alias("of"))  # docs' columns inside, so that no name clashes
+    drawn = rows.join(table, F.col("of").eqNullSafe(F.col("_source"))).withColumn("u", common.hash_share(F.col("own"), seed=f"count-{seed}"))
+    counted = drawn.select("row", "own", F.expr("size(filter(_cdf, c -> c < u))").alias("n")).filter("n > 0")
+    copies = counted.select("row", "own", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    mixed = copies.withColumn("shuffle_key", common.hash_share(F.col("own"), F.col("copy"), seed=f"place-{seed}"))
+    return mixed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "own", "copy").select("row.*", "copy", "shuffle_key")

@@ -4,20 +4,22 @@ A fingerprint bit is 1 if it is set in over half of the document's shingle
 hashes (XXH64, seed 42; repeated shingles count repeatedly).  Fingerprints
 that differ in at most `radius` bits are linked.
 
-Search.  The distinct fingerprints are cut into 2 * radius bit blocks; two
-fingerprints within the radius agree in at least `radius` whole blocks, so
-every pair of blocks (for radius 2: six pairs of 16 bits) makes a shard key,
-and each link lies in a shard.  In a shard a BK-tree holds the fingerprints:
-children are keyed by their Hamming distance to the parent, and a search
-follows only edges whose key is within the radius of the query's distance to
-the parent.  The fingerprints of a corpus have no size bound, so the shards
-are dealt out by a shuffle, not broadcast; a tree never leaves its task.
-
-Hot shards (many different fingerprints that agree in 32 bits, as in a large
-group of near copies) are dealt out again by the blocks of their other bits;
-the list of hot shards has a bound by construction, whatever the input.
-Inside a task, a run that is still long is cut the same way before its trees
-are built, so that a tree's size stays bounded.
+Search.  The distinct fingerprints are cut into m bit blocks (m at least
+radius + 1); two fingerprints within the radius agree in at least m - radius
+whole blocks, so every choice of that many blocks makes a shard key and each
+link lies in a shard.  m and the bits used of each key follow from the number
+of fingerprints alone, so that a shard holds about `SHARD` of them whatever the
+input.  Every shard has BK-trees: children are keyed by their Hamming distance
+to the parent, and a search follows only edges whose key is within the radius
+of the query's distance to the parent; every fingerprint of the shard is
+searched.  The fingerprints of a corpus have no size bound and must not pass
+through the driver, so trees are built where a shuffle has dealt their shard
+and are not broadcast.
+
+Hot shards (many different fingerprints that agree in a key, as in a large
+group of near copies) are cut into blocks by interleaved parts of their other
+bits, one of which agrees for every link, before the shuffle and again before
+their trees are built, so that a tree's size stays bounded.
 
 A shard gives a spanning forest of its links, not all pairs: as many rows as
 fingerprints at most, and no component is lost.
@@ -31,7 +33,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -44,8 +46,8 @@ from .components import components
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
-#: Distinct fingerprints in a tree before its run is cut by further blocks.
-TREE = 512
+#: Fingerprints that a shard holds on average, and those that a tree holds before it is cut by further parts.
+SHARD, TREE = 64, 512
 
 
 # ------------------------------------------------------------- fingerprints
@@ -129,13 +131,12 @@ def _forest(values: list[int], radius: int) -> list[tuple[int, int]]:
         return x
 
     out = []
-    for group in _trees(values, _blocks(2 * radius)):
+    for group in _trees(values, radius):
         if len(group) < 2:
             continue
-        tree = BKTree(group) if len(group) > 3 else None
+        tree = BKTree(group)
         for v in group:
-            near = tree.within(v, radius) if tree else [w for w in group if (v ^ w).bit_count() <= radius]
-            for w in near:
+            for w in tree.within(v, radius):
                 a, b = find(v), find(w)
                 if a != b:
                     root[max(a, b)] = min(a, b)
@@ -143,12 +144,11 @@ def _forest(values: list[int], radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _trees(values: list[int], blocks: list[int], depth: int = 0) -> Iterator[list[int]]:
+def _trees(values: list[int], radius: int, depth: int = 0) -> Iterator[list[int]]:
     """Groups that hold every link between the values, none much over TREE unless its values agree nearly everywhere."""
     if len(values) <= TREE or depth == 3:
         yield values
         return
-    radius = len(blocks) // 2
     varying = 0
     for v in values:
         varying |= v ^ values[0]
@@ -160,7 +160,7 @@ def _trees(values: list[int], blocks: list[int], depth: int = 0) -> Iterator[lis
             groups.setdefault(v & mask, []).append(v)
         for group in groups.values():
             if len(group) > 1:
-                yield from _trees(group, blocks, depth + 1)
+                yield from _trees(group, radius, depth + 1)
 
 
 def _blocks(n: int) -> list[int]:
@@ -175,37 +175,41 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def shard_keys(fps: DataFrame, radius: int) -> DataFrame:
-    """(shard, fp): a row for each choice of `radius` of the 2 * radius blocks."""
+def masks_for(rows: int, radius: int) -> list[int]:
+    """Bit masks, one of which two values within the radius always agree in; rows values make shards of about SHARD."""
     from itertools import combinations
 
-    masks = [sum(c) for c in combinations(_blocks(2 * radius), radius)] if radius else [(1 << 64) - 1]
+    bits = max(1, (max(rows, 1) // SHARD).bit_length())
+    blocks = radius + 1
+    while 64 * (blocks - radius) // blocks < bits and blocks < 2 * radius + 2:
+        blocks += 1
+    out = []
+    for chosen in combinations(_blocks(blocks), blocks - radius):
+        places = [p for p in range(64) if sum(chosen) >> p & 1]
+        out.append(sum(1 << places[k * len(places) // min(bits, len(places))] for k in range(min(bits, len(places)))))
+    return out
+
+
+def shard_keys(fps: DataFrame, masks: list[int]) -> DataFrame:
+    """(shard, fp): a row for each mask."""
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)])
     return fps.select("fp", F.explode(keys).alias("shard"))
 
 
-def refined(shards: DataFrame, rows: int, radius: int, hot_rows: int = 4096, hot_shards: int = 20_000) -> DataFrame:
-    """Deals hot shards out again, by radius + 1 interleaved parts of all bits, one of which agrees for every link.
-
-    A shard is hot above max(hot_rows, rows / hot_shards) rows, so that at
-    most hot_shards shards are hot, whatever the input: that bounds the
-    broadcast list.
-    """
-    bound = max(hot_rows, rows // hot_shards + 1)
-    hot = F.broadcast(shards.groupBy("shard").count().filter(F.col("count") > bound).select("shard", F.lit(True).alias("hot")))
+def refined(shards: DataFrame, radius: int, block: int = 4096) -> DataFrame:
+    """Deals shards of more than `block` rows out again, by radius + 1 interleaved parts of all bits, one of which agrees for every link."""
+    hot = shards.groupBy("shard").count().filter(F.col("count") > block).select("shard", F.lit(True).alias("hot"))
     parts = [_signed(sum(1 << p for p in range(k, 64, radius + 1))) for k in range(radius + 1)]
     again = F.array(*[F.xxhash64(F.col("shard"), F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(parts)])
-    return shards.join(hot, "shard", "left").select("fp", F.explode(F.when(F.col("hot"), again).otherwise(F.array("shard"))).alias("shard"))
+    return shards.join(hot.hint("merge"), "shard", "left").select("fp", F.explode(F.when(F.col("hot"), again).otherwise(F.array("shard"))).alias("shard"))
 
 
 def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     """Spanning links (a, b) among the distinct fingerprints of column fp: same components as all links."""
     common.prepare(fps.sparkSession)
     distinct = common.staged(fps.select("fp").distinct(), "fingerprints")
-    rows = distinct.count()
-    shards = shard_keys(distinct, radius)
-    n_keys = 1 if not radius else len(_blocks(2 * radius)) * (2 * radius - 1) // 2
-    dealt = refined(shards, rows * n_keys, radius).repartition("shard").sortWithinPartitions("shard")
+    shards = shard_keys(distinct, masks_for(distinct.count(), radius))
+    dealt = refined(shards, radius).repartition("shard").sortWithinPartitions("shard")
 
     def run(batches):
         import pyarrow as pa
@@ -259,6 +263,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, radius: int = 2, key: str
 _MULTIPLIERS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) ^ 0xD1B54A32D192ED03 << k) % 2**64 | 1 for k in range(16)], dtype=np.uint64)
 #: Bins of a one-permutation sketch, a byte each.
 BINS = 256
+#: Nodes of a shard that a task compares with each other, and leaders that go to each block of a shard of several blocks.
+BLOCK, LEADERS = 2000, 8
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -320,7 +326,7 @@ def _similar(nodes: list[tuple], radius: int, least: float, similarity: float |
     A link is a pair whose sketches give `least`; with `similarity`, one whose
     sets have that similarity besides.  Nodes are searched and added one by
     one.  Those of the main component (the first link's) have a tree of their
-    own, whose search ends at the first link, since more links to it would
+    own, in which what is already linked is passed over, since more links would
     change nothing; so a shard of thousands of near copies takes little more
     than a search for each.  The trees only give near fingerprints first: what
     is not linked then is compared too, whatever its fingerprint.
@@ -390,8 +396,106 @@ def _similar(nodes: list[tuple], radius: int, least: float, similarity: float |
     return out
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 16, slack: float = 0.12, key: str = "doc_id", text: str = "text", hot_rows: int = 2000, hot_shards: int = 20_000) -> DataFrame:
-    """(key, component_id) by similarity of the shingle sets, where few-bit links are too strict.
+def dealt_in_blocks(keys: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """keys (shard, node) with `lead` and `part`, the task's key, and the number of blocks of each shard of several.
+
+    A shard of n nodes makes ceil(n / block) blocks by a hash of the node.  Its
+    leaders (the smallest node of each of LEADERS hash classes) go to every
+    block.  Shards of one block have no leaders.
+    """
+    sizes = keys.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("shard", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    sizes = common.staged(sizes, "large-shards")
+    spread = F.pmod(F.xxhash64("node"), F.lit(LEADERS))
+    leaders = keys.join(sizes, "shard").groupBy("shard", spread.alias("class")).agg(F.min("node").alias("node")).select("shard", "node", F.lit(True).alias("lead"))
+    marked = keys.join(sizes, "shard", "left").join(common.staged(leaders, "leaders"), ["shard", "node"], "left")
+    own = F.array(_block(F.col("node"), F.coalesce("blocks", F.lit(1))))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    dealt = marked.withColumn("block", F.explode(F.when(F.col("lead"), every).otherwise(own)))
+    return dealt.select("shard", "node", F.coalesce("lead", F.lit(False)).alias("lead"), F.xxhash64("shard", "block").alias("part")), sizes
+
+
+def _block(node: F.Column, blocks: F.Column) -> F.Column:
+    return F.pmod(F.xxhash64(F.lit("block"), node), blocks).cast("int")
+
+
+def shard_links(keys: DataFrame, described: Callable[[DataFrame], DataFrame], radius: int, least: float, exact: float | None = None, block: int = BLOCK) -> DataFrame:
+    """(a, b) whose components are those of all links inside the shards of keys (shard, node).
+
+    described adds fp, sketch and, for exact links, grams to rows with a node.
+
+    No task holds more than about two blocks of a shard.  First, each block
+    with the shard's leaders: in a large group of near copies nearly all nodes
+    get connected to the first leader there.  Two such nodes need no link of
+    their own, so only the nodes that were not connected are left; they are
+    compared, in blocks, with every block of their shard.  No link is lost.
+    """
+    extra = [c for c in ("grams",) if exact is not None]
+    dealt, sizes = dealt_in_blocks(keys, block)
+
+    def found(held: list[tuple], large: bool) -> tuple[list, list]:
+        """Links of a part, and its nodes that are not connected to its first leader."""
+        pairs = _similar([h[1:] for h in held], radius, least, exact) if len(held) > 1 else []
+        if not large:
+            return pairs, []
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := root.get(x, x)) != x:
+                root[x] = root.get(y, y)
+                x = y
+            return x
+
+        for a, b in pairs:
+            root[find(a)] = find(b)
+        chief = find(min(h[1] for h in held if h[0]))
+        return pairs, [h[1] for h in held if find(h[1]) != chief]
+
+    def run(batches):
+        part, shard, held = None, None, []
+
+        def flush(out: dict[str, list]) -> None:
+            pairs, rest = found(held, any(h[0] for h in held))
+            out["a"] += [a for a, _ in pairs] + rest
+            out["b"] += [b for _, b in pairs] + [None] * len(rest)
+            out["shard"] += [None] * len(pairs) + [shard] * len(rest)
+
+        for rows in batches:
+            out: dict[str, list] = {"a": [], "b": [], "shard": []}
+            for p, s, lead, node, fp, *more in rows:
+                if p != part:
+                    if held:
+                        flush(out)
+                    part, shard, held = p, s, []
+                held.append((lead, node, fp % 2**64, *more))
+            yield out
+        out = {"a": [], "b": [], "shard": []}
+        if held:
+            flush(out)
+        yield out
+
+    columns = ["part", "shard", "lead", "node", "fp", "sketch", *extra]
+
+    def compared(parts: DataFrame) -> DataFrame:
+        rows = described(parts).select(columns).repartition("part").sortWithinPartitions("part")
+        return common.staged(common.map_rows(rows, run, "a bigint, b bigint, shard bigint"), "block-links")
+
+    first = compared(dealt)
+    links = first.filter("b IS NOT NULL").select("a", "b")
+    rest = common.staged(first.filter("b IS NULL").select("shard", F.col("a").alias("node")).distinct(), "unconnected")
+    if rest.isEmpty():  # every node is connected to its shard's first leader, so no pair is left to compare
+        return links
+    asking = rest.groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks")).join(sizes, "shard")
+    asked = keys.join(common.staged(asking, "asking"), "shard").join(rest.withColumn("asks", F.lit(True)), ["shard", "node"], "left")
+    places = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.xxhash64("shard", _block(F.col("node"), F.col("blocks")), c))
+    chunk = F.pmod(F.xxhash64(F.lit("chunk"), "node"), F.col("chunks")).cast("int")
+    all_blocks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("shard", j, chunk))
+    places = F.when(F.col("asks"), F.array_union(all_blocks, places)).otherwise(places)
+    again = asked.select("shard", "node", F.lit(False).alias("lead"), F.explode(places).alias("part"))
+    return links.unionByName(compared(again).select("a", "b"))
+
+
+def similar_rows(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 16, slack: float = 0.12, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+    """(id, th, rep_id, rep_th) for every row of docs: th is a hash of the text, rep the first (id, th) of the row's group, null ids last.
 
     At a Jaccard similarity of 0.8, SimHash fingerprints of five-word shingles
     differ in up to about 14 of 64 bits, which bit blocks cannot index.  Here
@@ -402,16 +506,16 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     exclude nothing.  The components of the proposals are groups; each brings
     its texts' shingle sets together, and a link is what those sets' exact
     similarity says.  Equal sets are one node, so exact copies cost one row.
-    Shards of more than max(hot_rows, rows / hot_shards) nodes are dealt out
-    again by their nodes' other bands, and such groups by their nodes' bands.
+    Shards and groups of any size are worked through in blocks.
     """
     kind = dict(docs.dtypes)[key]
+    given = ("part", "shard", "lead", "node", "fp", "sketch")
 
     def sign(batches):
         for rows in batches:
             signed = [signature(t, shingle) for _, t, _ in rows]
             yield {
-                key: [k for k, _, _ in rows],
+                "id": [k for k, _, _ in rows],
                 "th": [h for _, _, h in rows],
                 "fp": np.array([s[0] for s in signed], dtype=np.uint64).view(np.int64),
                 "bands": [np.array(s[1], dtype=np.uint64).view(np.int64).tolist() for s in signed],
@@ -419,73 +523,58 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
                 "node": np.array([s[3] for s in signed], dtype=np.uint64).view(np.int64),
             }
 
-    def linked(rows: DataFrame, least: float, exact: float | None = None) -> DataFrame:
-        """Components of the links inside the shards of rows (shard, node, fp, sketch and, for exact ones, grams)."""
-
-        def run(batches):
-            shard, held = None, []
-            for rows in batches:
-                pairs = []
-                for s, node, fp, *rest in rows:
-                    if s != shard:
-                        pairs += _similar(held, radius, least, exact) if len(held) > 1 else []
-                        shard, held = s, []
-                    held.append((node, fp % 2**64, *rest))
-                yield {"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}
-            pairs = _similar(held, radius, least, exact) if len(held) > 1 else []
-            yield {"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}
-
-        return components(common.map_rows(rows.repartition("shard").sortWithinPartitions("shard"), run, "a bigint, b bigint"))
-
-    signed = common.map_rows(docs.select(key, text, F.xxhash64(text).alias("th")), sign, f"{key} {kind}, th bigint, fp bigint, bands array<bigint>, sketch binary, node bigint")
-    signed = common.staged(signed, "signed")
-    least = common.staged(signed.groupBy("node").agg(F.min(key).alias("least"), *[F.first(c).alias(c) for c in ("th", "fp", "bands", "sketch")]), "nodes")
-    shards = least.select("node", "bands", F.posexplode("bands")).select("node", "bands", F.xxhash64("pos", "col").alias("shard"))
-    sizes = common.staged(shards.groupBy("shard").count().filter("count > 1"), "shard-sizes")
-    total = sizes.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    bound = max(hot_rows, total // hot_shards + 1)  # at most hot_shards shards are above it
-    shared = shards.join(sizes, "shard").withColumn("hot", F.col("count") > bound)
-    again = F.transform("bands", lambda b: F.xxhash64("shard", b))
-    dealt = shared.select("node", F.explode(F.when(F.col("hot"), again).otherwise(F.array("shard"))).alias("shard"))
-    rows = dealt.join(least.select("node", "fp", "sketch"), "node").select("shard", "node", "fp", "sketch")
-    proposed = common.staged(linked(rows, similarity - slack).withColumnRenamed("root", "grp"), "proposed")
-
     def grams(batches):
         for rows in batches:
             for some in common.by_size(rows, lambda r: len(r[-1] or "")):
                 yield {
-                    **{c: [r[i] for r in some] for i, c in enumerate(("shards", "node", "fp", "sketch"))},
+                    **{c: [r[i] for r in some] for i, c in enumerate(given)},
                     "grams": [np.unique(shingle_hashes(r[-1], shingle)).tobytes() for r in some],
                 }
 
-    crowds = proposed.groupBy("grp").count().filter(F.col("count") > bound).select("grp", F.lit(True).alias("hot"))  # few, as shards are
-    own = F.transform("bands", lambda b, i: F.xxhash64("grp", i, b))
-    groups = proposed.join(F.broadcast(crowds), "grp", "left").join(least, "node").withColumn("shards", F.when(F.col("hot"), own).otherwise(F.array("grp")))
+    signed = common.map_rows(docs.select(key, text, F.xxhash64(text)), sign, f"id {kind}, th bigint, fp bigint, bands array<bigint>, sketch binary, node bigint")
+    signed = common.staged(signed, "signed")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first")
+    nodes = common.staged(signed.groupBy("node").agg(first, *[F.first(c).alias(c) for c in ("th", "fp", "bands", "sketch")]), "nodes")
+    shards = nodes.select("node", F.posexplode("bands")).select("node", F.xxhash64("pos", "col").alias("shard"))
+    shared = shards.groupBy("shard").count().filter("count > 1").select("shard")
+    keys = common.staged(shards.join(shared, "shard"), "shards")
+    groups = components(shard_links(keys, lambda parts: parts.join(nodes.select("node", "fp", "sketch"), "node"), radius, similarity - slack, block=block))
+    groups = common.staged(groups.select(F.col("root").alias("shard"), "node"), "proposed")
     texts = docs.groupBy(F.xxhash64(text).alias("th")).agg(F.first(text).alias("_text"))
-    sets = groups.join(texts, "th").select("shards", "node", "fp", "sketch", "_text")
-    sets = common.map_rows(sets, grams, "shards array<bigint>, node bigint, fp bigint, sketch binary, grams binary")
-    found = linked(sets.select(F.explode("shards").alias("shard"), "node", "fp", "sketch", "grams"), similarity - slack, similarity)
-    of = common.staged(least.select("node", "least").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "members")
-    top = common.staged(of.groupBy("root").agg(F.min("least").alias("component_id")), "tops")
-    named = common.staged(of.join(top, "root").select("node", "component_id"), "named")
-    return signed.select(key, "node").join(named, "node").select(key, "component_id")
+
+    def with_sets(parts: DataFrame) -> DataFrame:
+        rows = parts.join(nodes.select("node", "th", "fp", "sketch"), "node").join(texts, "th")
+        return common.map_rows(rows.select(*given, "_text"), grams, "part bigint, shard bigint, lead boolean, node bigint, fp bigint, sketch binary, grams binary")
+
+    found = components(shard_links(groups, with_sets, radius, similarity - slack, similarity, block))
+    of = common.staged(nodes.select("node", "first").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first"), "members")
+    top = common.staged(of.groupBy("root").agg(F.min("first").alias("rep")), "tops")
+    named = common.staged(of.join(top, "root").select("node", "rep"), "named")
+    common.release(keys, groups, of, top)
+    return signed.select("id", "th", "node").join(named, "node").select("id", "th", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th"))
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", **bounds) -> DataFrame:
+    """(key, component_id) for every row: the smallest key among the texts that a chain of similar ones reaches."""
+    found = similar_rows(docs, shingle, similarity, key=key, text=text, **bounds)
+    return found.select(F.col("id").alias(key), F.col("rep_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row with the smallest key of each group of similar documents, with docs' own columns.
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text", **bounds) -> DataFrame:
+    """One row of each group of similar documents, with docs' own columns: that of the smallest key, then hash of the text.
 
-    Rows that repeat a key count as one document: one of them, the first by
-    the hash of its text, stays.  Rows without a key whose component has no
-    key at all cannot be told apart and all stay.
+    Rows that share a key but not a group are documents of their own and all
+    stay.  A row without a key stays only if its group has none with a key.
+    Of rows that repeat both key and text one stays, the first by a hash of
+    all its columns.
     """
-    from pyspark.sql import Window
-
-    found = similar_documents(docs, shingle, similarity, key=key, text=text)
-    dropped = found.filter(~F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_dropped"), F.lit(True).alias("_gone"))
-    dropped = common.staged(dropped.distinct(), "dropped")
-    rest = docs.join(dropped, docs[key].eqNullSafe(F.col("_dropped")), "left").filter(F.col("_gone").isNull()).drop("_dropped", "_gone")
-    repeated = docs.groupBy(key).count().filter(f"count > 1 and {key} is not null").select(F.col(key).alias("_again"))
-    if repeated.isEmpty():
-        return rest
-    first = Window.partitionBy(key).orderBy(F.xxhash64(text))
-    return rest.withColumn("_n", F.row_number().over(first)).filter(F.col(key).isNull() | (F.col("_n") == 1)).drop("_n")
+    found = similar_rows(docs, shingle, similarity, key=key, text=text, **bounds)
+    same = F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th"))
+    rows = common.staged(found.groupBy("id", "th").agg(F.bool_and(~same).alias("gone"), F.count("*").alias("n")).filter("gone OR n > 1"), "not-alone")
+    match = docs[key].eqNullSafe(rows["id"]) & (F.xxhash64(docs[text]) == rows["th"])
+    alone = docs.join(rows.hint("shuffle_hash"), match, "left_anti")
+    again = rows.filter("NOT gone")
+    match = docs[key].eqNullSafe(again["id"]) & (F.xxhash64(docs[text]) == again["th"])
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    several = docs.join(again, match, "left_semi").groupBy(docs[key], F.xxhash64(docs[text])).agg(F.min_by(whole, F.xxhash64(*[docs[c] for c in docs.columns])).alias("row"))
+    return alone.unionByName(several.select("row.*"))

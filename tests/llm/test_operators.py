@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and held-out rows, with the cases that break things."""
 
 import hashlib
+import os
 import re
 import zlib
 
@@ -9,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from kairoframe.llm import ann, chat, components, language_id, line_dedup, media_chunks, mixing, packing, queries, secrets, simhash, toxicity
+from kairoframe.llm import ann, chat, common, components, language_id, line_dedup, media_chunks, mixing, packing, queries, secrets, simhash, toxicity
 
 LONG = " ".join(f"word{i % 977}x{i}" for i in range(60_000))
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, fp string, shard int"
@@ -378,6 +379,41 @@ def test_links_lose_no_component(spark):
     assert parts(near) == parts(small)
 
 
+def test_every_fingerprint_is_searched_in_a_tree(real, monkeypatch):
+    """Shards have about SHARD fingerprints, each shard has a tree, and component ids are those of brute force."""
+    fps = [(r.doc_id, simhash.fingerprint(r.text, 3)) for r in real.select("doc_id", "text").collect()]
+    values = sorted({f for _, f in fps})
+    masks = simhash.masks_for(len(values), 2)
+    for a in values:
+        for b in values:
+            assert (a ^ b).bit_count() > 2 or any((a ^ b) & m == 0 for m in masks)
+    shards = [{} for _ in masks]
+    for held, m in zip(shards, masks, strict=True):
+        for v in values:
+            held.setdefault(v & m, []).append(v)
+    searched = []
+    within = simhash.BKTree.within
+    monkeypatch.setattr(simhash.BKTree, "within", lambda self, v, r: searched.append(v) or within(self, v, r))
+    for held in shards:
+        for group in held.values():
+            simhash._forest(group, 2)
+    assert len(searched) >= 0.9 * len(masks) * len(values) and len(shards[0]) < len(values) / 8
+    linked = parts([(i, j) for i, (_, a) in enumerate(fps) for j, (_, b) in enumerate(fps[: i + 1]) if (a ^ b).bit_count() <= 2])
+    want = {fps[i][0]: min(fps[k][0] for k in group) for group in linked for i in group}
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(real, shingle=3).collect()} == want
+
+
+@pytest.mark.parametrize("rows", [0, 1, 200, 10**5, 10**8, 10**10, 10**13])
+@pytest.mark.parametrize("radius", [0, 1, 2, 3])
+def test_masks_lose_no_pair(rows, radius):
+    rng = np.random.default_rng(1)
+    masks = simhash.masks_for(rows, radius)
+    assert len(masks) <= 70
+    for _ in range(300):
+        d = sum(1 << int(p) for p in rng.choice(64, radius, replace=False))
+        assert any(d & m == 0 for m in masks)
+
+
 def parts(edges):
     root = {}
 
@@ -446,11 +482,74 @@ def test_links_are_those_of_the_exact_similarity(spark):
     rows += [(1000, " ".join(x * 50 + y * 2)), (1001, " ".join(x * 2 + y * 50))]
     assert (simhash.fingerprint(rows[-1][1], 5) ^ simhash.fingerprint(rows[-2][1], 5)).bit_count() > 16
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for bounds in ({}, {"hot_rows": 1}):
+    for bounds in ({}, {"block": 3}):
         got = {r.doc_id: r.component_id for r in simhash.similar_documents(df, **bounds).collect()}
         assert {d: got[d] for d in linked} == linked and got[1001] == 1000
 
 
+def brute_similar(rows, n=5, least=0.8):
+    """Groups of rows (id, text) by the exact similarity of all pairs of their shingle sets: each row's smallest id."""
+    sets = []
+    for _, t in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set())
+    links = [(i, i) for i in range(len(rows))]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or (a or b) and len(a & b) >= least * len(a | b):
+                links.append((i, j))
+    out = {}
+    for group in parts(links):
+        for i in group:
+            out[i] = min(rows[k][0] for k in group)
+    return out
+
+
+def near_copies(rng, groups=6, size=60, words=400):
+    """Groups of near copies: chains and stars about a text, from hardly to just under 0.8 alike, and texts of their own."""
+    rows = []
+    for g in range(groups):
+        base = [f"g{g}w{x}" for x in rng.integers(0, 10**6, words)]
+        at = list(base)
+        for i in range(size):
+            changed = list(at if g % 2 else base)
+            for k in rng.integers(0, words, int(rng.integers(1, 9))):
+                changed[k] = f"n{g}{i}{k}"
+            at = changed if g % 2 else at
+            rows.append((len(rows), " ".join(changed)))
+    return rows + [(len(rows) + i, " ".join(f"s{x}" for x in rng.integers(0, 10**6, 50))) for i in range(20)]
+
+
+@pytest.mark.parametrize("block", [2000, 40, 7])
+def test_large_shards_are_cut_into_blocks_and_no_link_is_lost(spark, block):
+    rows = near_copies(np.random.default_rng(31))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df, block=block).collect()}
+    assert got == brute_similar(rows)
+    keys = df.select(F.lit(1).cast("bigint").alias("shard"), F.col("doc_id").alias("node"))
+    dealt, sizes = simhash.dealt_in_blocks(keys, block)
+    most = dealt.groupBy("part").count().agg(F.max("count")).first()[0]
+    assert most <= (len(rows) if block == 2000 else 2 * block + simhash.LEADERS + 8)
+    assert dealt.select("node").distinct().count() == len(rows) and sizes.count() == (block < 2000)
+
+
+def test_real_near_copies_equal_brute_force(real):
+    rows = [(r.doc_id, r.text) for r in real.select("doc_id", "text").collect()]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(real).collect()}
+    want = brute_similar(rows)
+    assert got == {rows[i][0]: c for i, c in want.items()}
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    rng = np.random.default_rng(3)
+    a, b = (" ".join(f"{c}{x}" for x in rng.integers(0, 10**6, 100)) for c in "ab")
+    rows = [(5, a, 1), (5, b, 2), (3, a, 3), (None, a, 4), (None, None, 5), (None, None, 6), (9, b + " end", 7), (5, b, 2)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, _n int").withColumns({"_gone": F.lit(1), "_dropped": F.lit(1), "id": F.lit(0), "th": F.lit(0), "n": F.lit(0), "row": F.lit(0)})
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(5, b), (3, a), (0, "")])
+
+
 def test_similarity_estimate():
     rng = np.random.default_rng(12)
     words = [f"w{x}" for x in rng.integers(0, 10**6, 3000)]
@@ -489,6 +588,26 @@ def test_counts_are_inverse_poisson_and_reach_the_weights(spark, empty):
     assert mixing.mix(df, weights={"big": 1.0}).filter("source = 'small'").count() == 0
 
 
+def test_staging_needs_a_shared_folder_unless_all_runs_here(spark):
+    class Elsewhere:
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: d)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(Elsewhere)
+    held = common.staged(spark.range(3), "to-release")
+    path = held._kairoframe_path.removeprefix("file://")
+    assert os.path.isdir(path)
+    common.release(held)
+    assert not os.path.exists(path)
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, "t", "a") for i in range(20)], "doc_id bigint, text string, source string").withColumns({c: F.lit(1) for c in ("_u", "_n", "_cdf", "_source", "row", "own", "of", "n", "u", "rate")})
+    out = mixing.mix(df, weights={"a": 1.0}, size_factor=3.0)
+    assert out.columns == [*df.columns, "copy", "shuffle_key"] and out.select("_n", "row", "u").distinct().collect() == [(1, 1, 1)]
+
+
 def test_mixing_odd_rows(docs):
     out = mixing.mix(docs, alpha=1.0, size_factor=30.0)
     assert out.columns == [*docs.columns, "copy", "shuffle_key"]
