@@ -13,12 +13,13 @@ of the rows that is ranked exactly (`shortlist / shard_rows`), and with it the
 recall, does not fall as tables grow.  Queries go over the shards in blocks of
 at most `block` queries; a block is the only thing broadcast.
 
-Defined cases: vectors that are null, zero, hold a null or a non-finite
-component, or have another dimension than most take no part, neither as
-queries nor as candidates; rows with a query's id are not its candidates;
-rows that repeat an id are candidates one by one; ties go to the smaller id;
-fewer candidates than k give fewer rows; an empty table gives an empty result;
-other columns are ignored.
+Defined cases: vectors that are null, zero, or hold a null or a non-finite
+component take no part, neither as queries nor as candidates; a null id takes
+no part; vectors of several dimensions are searched among those of their own;
+each row is a query and a candidate by itself, so rows that repeat an id are
+each other's candidates and each has its own result; ties go to the smaller
+id; fewer candidates than k give fewer rows; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,24 +89,19 @@ def _nearest(x: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def valid(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, v): the rows that take part, v an array of doubles of the most frequent dimension."""
+    """(key, v): the rows that take part, v an array of doubles."""
     v = vectors.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
-    v = v.filter(F.forall("v", fine) & F.exists("v", lambda x: x != 0))
-    top = v.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return v.filter(F.size("v") == (top["d"] if top else 0))
+    return v.filter(F.forall("v", fine) & F.exists("v", lambda x: x != 0))
 
 
-def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", sample: int = 4000, shard_rows: int = 4096) -> tuple[DataFrame, Quantiser | None]:
-    """Staged index (shard, key, v, codes, norm) of every valid row, and the quantiser.
+def build_index(rows: DataFrame, key: str, sample: int = 4000, shard_rows: int = 4096) -> tuple[DataFrame, Quantiser]:
+    """Staged index (shard, row, key, v, codes, norm) of every row of rows (row, key, v; of one dimension), and the quantiser.
 
     The quantiser is fitted on at most `sample` rows, those first by a hash.
     """
-    rows = common.staged(valid(vectors, key, vector), "vectors")
     n = rows.count()
-    if not n:
-        return rows.withColumns({"shard": F.lit(0), "codes": F.lit(b""), "norm": F.lit(0.0)}), None
-    order = F.xxhash64(F.lit("fit"), key)
+    order = F.xxhash64(F.lit("fit"), "row")
     picked = rows.filter(F.pmod(order, F.lit(1 << 20)) < (1 << 20) * min(1.0, 2 * sample / n)).orderBy(order).limit(sample).select("v").collect()
     x = np.array([r[0] for r in picked])
     quantiser = Quantiser.fit(x, n_words=min(64, max(2, len(x) // 32)))
@@ -114,14 +110,14 @@ def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
 
     def encode(batches):
         for part in batches:
-            v = np.array([r[1] for r in part])
+            v = np.array([r[2] for r in part])
             codes = held.value.encode(v)
             norm = (held.value.decode(codes).astype(np.float64) ** 2).sum(axis=1)
-            yield {key: [r[0] for r in part], "v": [x.tobytes() for x in v], "codes": [c.tobytes() for c in codes.astype(np.uint8)], "norm": norm}
+            yield {"row": [r[0] for r in part], key: [r[1] for r in part], "v": [x.tobytes() for x in v], "codes": [c.tobytes() for c in codes.astype(np.uint8)], "norm": norm}
 
-    coded = common.map_rows(rows, encode, f"{key} {kind}, v binary, codes binary, norm double")
-    shards = coded.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(n // shard_rows + 1)).cast("int"))
-    return common.staged(shards.repartition("shard").sortWithinPartitions("shard", key), "index"), quantiser
+    coded = common.map_rows(rows.select("row", key, "v"), encode, f"row bigint, {key} {kind}, v binary, codes binary, norm double")
+    shards = coded.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(n // shard_rows + 1)).cast("int"))
+    return common.staged(shards.repartition("shard").sortWithinPartitions("shard", key, "row"), "index"), quantiser
 
 
 def _first(scores: np.ndarray, count: int) -> np.ndarray:
@@ -138,15 +134,15 @@ def _partitioned(scores: np.ndarray, count: int) -> np.ndarray:
     return short[:, :count]
 
 
-def search(index: DataFrame, quantiser: Quantiser, queries: list[tuple[int, bytes]], k: int, shortlist: int, key: str = "vec_id") -> DataFrame:
-    """(query_id, rank, key, score) for one block of queries (id, vector bytes)."""
+def search(index: DataFrame, quantiser: Quantiser, queries: list[tuple[int, int, bytes]], k: int, shortlist: int, key: str = "vec_id") -> DataFrame:
+    """(query_id, rank, key, score) for one block of queries (row, id, vector bytes)."""
     spark = index.sparkSession
     common.prepare(spark)
     kind = dict(index.dtypes)[key]
-    held = common.Shipped(spark, (np.array([q for q, _ in queries]), np.stack([np.frombuffer(v) for _, v in queries]), quantiser))
+    held = common.Shipped(spark, (np.array([r for r, _, _ in queries]), np.array([q for _, q, _ in queries]), np.stack([np.frombuffer(v) for _, _, v in queries]), quantiser))
 
     def run(batches):
-        ids, q, books = held.value
+        own, ids, q, books = held.value
         tables = np.einsum("qd,mwd->qmw", q.astype(np.float32), books.books)
         best_d = np.full((len(ids), k), np.inf)
         best_id = np.zeros((len(ids), k), dtype=np.int64)
@@ -154,19 +150,19 @@ def search(index: DataFrame, quantiser: Quantiser, queries: list[tuple[int, byte
 
         def look(rows):
             nonlocal best_d, best_id
-            keys = np.array([r[1] for r in rows])
-            v = np.stack([np.frombuffer(r[2]) for r in rows])
-            codes = np.stack([np.frombuffer(r[3], dtype=np.uint8) for r in rows])
-            norm = np.array([r[4] for r in rows], dtype=np.float32)
+            numbers, keys = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+            v = np.stack([np.frombuffer(r[3]) for r in rows])
+            codes = np.stack([np.frombuffer(r[4], dtype=np.uint8) for r in rows])
+            norm = np.array([r[5] for r in rows], dtype=np.float32)
             for start in range(0, len(ids), 256):
                 part = slice(start, start + 256)
                 approx = np.tile(norm, (len(ids[part]), 1))
                 for m in range(codes.shape[1]):
                     approx -= 2 * tables[part, m][:, codes[:, m]]
-                approx[ids[part][:, None] == keys] = np.inf
+                approx[own[part][:, None] == numbers] = np.inf
                 near = _first(approx, shortlist)
                 d = np.sqrt(((v[near] - q[part, None]) ** 2).sum(axis=2))
-                d[ids[part][:, None] == keys[near]] = np.inf
+                d[own[part][:, None] == numbers[near]] = np.inf
                 all_d = np.concatenate([best_d[part], d], axis=1)
                 all_id = np.concatenate([best_id[part], keys[near]], axis=1)
                 order = np.lexsort((all_id, all_d), axis=1)[:, :k]
@@ -183,34 +179,36 @@ def search(index: DataFrame, quantiser: Quantiser, queries: list[tuple[int, byte
         if rows:
             look(rows)
         found = np.isfinite(best_d)
-        yield {"query_id": np.repeat(ids, k).reshape(len(ids), k)[found], key: best_id[found], "score": best_d[found]}
+        repeated = lambda x: np.repeat(x, k).reshape(len(ids), k)[found]
+        yield {"query": repeated(own), "query_id": repeated(ids), key: best_id[found], "score": best_d[found]}
 
-    hits = common.map_rows(index.select("shard", key, "v", "codes", "norm"), run, f"query_id {kind}, {key} {kind}, score double")
-    order = Window.partitionBy("query_id").orderBy("score", key)
+    hits = common.map_rows(index.select("shard", "row", key, "v", "codes", "norm"), run, f"query bigint, query_id {kind}, {key} {kind}, score double")
+    order = Window.partitionBy("query").orderBy("score", key)
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", key, "score")
 
 
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, shortlist: int = 200, shard_rows: int = 4096, block: int = 2048, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k nearest of every row whose key is divisible by `every`: (query_id, rank, key, score).
 
-    Rows that repeat a query's id with another vector are queries of the
-    smallest vector by its bytes.
+    Each block's hits are appended to one table in the shared folder, so the
+    plan of the result is one scan however many blocks there are.
     """
-    index, quantiser = build_index(vectors, key, vector, shard_rows=shard_rows)
+    spark = vectors.sparkSession
     kind = dict(vectors.dtypes)[key]
-    empty = vectors.sparkSession.createDataFrame([], f"query_id {kind}, rank int, {key} {kind}, score double")
-    if quantiser is None:
-        return empty
-    queries = index.filter(F.col(key) % every == 0).groupBy(key).agg(F.min("v").alias("v"))
-    n = queries.count()
-    queries = common.staged(queries.withColumn("block", F.pmod(F.xxhash64(key), F.lit(-(-n // block) or 1))), "queries")
-    out = []
-    for b in range(-(-n // block)):
-        rows = [(r[0], r[1]) for r in queries.filter(F.col("block") == b).orderBy(key).select(key, "v").collect()]
-        if rows:
-            found = search(index, quantiser, [(q, bytes(v)) for q, v in rows], k, shortlist, key)
-            out.append(common.staged(found, f"hits-{b}") if n > block else found)
-    result = out[0] if out else empty
-    for more in out[1:]:
-        result = result.unionByName(more)
-    return result
+    folder = common.new_folder(spark, "hits")
+    schema = f"query_id {kind}, rank int, {key} {kind}, score double"
+    spark.createDataFrame([], schema).write.parquet(folder)
+    rows = valid(vectors, key, vector).withColumn("row", F.monotonically_increasing_id())
+    rows = common.staged(rows.withColumn("d", F.size("v")), "vectors")
+    for (dimension,) in rows.select("d").distinct().orderBy("d").collect():  # hardly ever more than one
+        index, quantiser = build_index(rows.filter(F.col("d") == dimension), key, shard_rows=shard_rows)
+        queries = index.filter(F.col(key) % every == 0).select("row", key, "v")
+        blocks = -(-queries.count() // block)
+        queries = common.staged(queries.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(max(blocks, 1)))), "queries")
+        for b in range(blocks):
+            asked = [(r[0], r[1], bytes(r[2])) for r in queries.filter(F.col("block") == b).orderBy(key, "row").select("row", key, "v").collect()]
+            if asked:
+                search(index, quantiser, asked, k, shortlist, key).write.mode("append").parquet(folder)
+        common.release(index, queries)
+    common.release(rows)
+    return spark.read.schema(schema).parquet(folder)

@@ -28,6 +28,7 @@ def op3_secret_grammars(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count(k).alias(f"n_{k}") for k in secrets.KINDS],
         F.sha2(secrets.digest(F.filter("spans", lambda s: s["kind"] != "learned")), 256).alias("base_sha256"),
         secrets.digest(F.col("spans")).alias("spans"),
+        F.array_max(F.transform("spans", lambda s: s["bits"])).alias("best_bits"),
     )
 
 
