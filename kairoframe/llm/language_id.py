@@ -5,7 +5,7 @@ prefixes and suffixes, character n-grams, its own identity and membership in
 lexicons learned from the training words; transition weights between the
 languages of neighbouring words are learned too.  Forward-backward gives each
 word's distribution over languages, so code-switched text is labelled word by
-word; a document gets the language with the largest share of its letters.
+word (`label_words`); a document gets the language with the largest share of its letters.
 
 Training: the labels are those of documents, so chains are made by joining
 runs of words from several labelled documents (code-switching with known
@@ -16,6 +16,10 @@ sample (documents per language) cover all rows.
 
 Prediction takes the text alone and reads all of it.
 
+The chain's languages share each word among them even where none fits, so a
+text in another language is told by its words: `familiar` is the share of
+letters in words whose character trigrams mostly occur in the training words.
+
 Defined cases: null text or a text without a letter gives `und` and score 0;
 ties between languages go to the first in sorted order; repeated rows are
 separate rows; without any labelled row, every text is `und` with score 0; an
@@ -105,6 +109,12 @@ class Model:
         self.lexicon: dict[str, int] = {}
         self.lexicon_weight = np.zeros((n, n), dtype=np.float32)
         self.transition = np.zeros((n, n), dtype=np.float32)
+        self.trigrams: frozenset[str] = frozenset()
+
+    def familiar(self, word: str) -> bool:
+        """Whether at least three quarters of the word's trigrams, boundaries included, occur in the training words."""
+        marked = f"^{word}$"
+        return 4 * sum(marked[i : i + 3] in self.trigrams for i in range(len(marked) - 2)) >= 3 * (len(marked) - 2)
 
     def emissions(self, words: list[str]) -> np.ndarray:
         buckets, starts = features(words)
@@ -120,6 +130,10 @@ class Model:
         return self.many([text])[0]
 
     def many(self, texts: list[str]) -> list[np.ndarray | None]:
+        return [None if found is None else found[0] for found in self.judged(texts)]
+
+    def judged(self, texts: list[str]) -> list[tuple[np.ndarray, float] | None]:
+        """Each language's share of the letters of each text, and the share of letters in familiar words."""
         counts = []
         known: dict[str, int] = {}
         pieces = []
@@ -141,15 +155,29 @@ class Model:
         index = index[spelt]
         if not len(index):
             return [None] * len(texts)
-        emission, weight = self.emissions(words)[index], letters[index]
-        sums = self._posterior(emission, weight, counts[counts > 0])
-        out: list[np.ndarray | None] = [None] * len(texts)
-        for at, share in zip(np.flatnonzero(counts), sums, strict=True):
-            out[at] = share / share.sum()
+        weight = letters[index]
+        gamma = self._posterior(self.emissions(words)[index], counts[counts > 0])
+        begin = (np.cumsum(counts) - counts)[counts > 0]
+        sums = np.add.reduceat(gamma * weight[:, None], begin, axis=0)
+        usual = np.fromiter(map(self.familiar, words), dtype=np.float32, count=len(words))[index]
+        shares = np.add.reduceat(weight * usual, begin) / np.add.reduceat(weight, begin)
+        out: list[tuple[np.ndarray, float] | None] = [None] * len(texts)
+        for at, share, usual_share in zip(np.flatnonzero(counts), sums, shares, strict=True):
+            out[at] = share / share.sum(), float(usual_share)
         return out
 
-    def _posterior(self, emission: np.ndarray, weight: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Posterior of each token by forward-backward, weighted and summed over each chain.
+    def words(self, text: str) -> list[tuple[int, int, str, float]]:
+        """(start, end, language, probability) of each word of a text that has a letter, in order."""
+        spans = [(m.start(), m.end()) for m in WORD.finditer(text) if _letters(m[0])]
+        if not spans:
+            return []
+        forms = [text[a:z].lower() for a, z in spans]
+        gamma = self._posterior(self.emissions(forms), np.array([len(forms)]))
+        best = gamma.argmax(axis=1)
+        return [(a, z, self.languages[k], float(g[k])) for (a, z), k, g in zip(spans, best, gamma, strict=True)]
+
+    def _posterior(self, emission: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Posterior of each token by forward-backward; counts are the chains' lengths.
 
         Chains are cut into blocks whose transfer matrices are computed side
         by side; vectors at the block borders then follow chain by chain.
@@ -196,17 +224,16 @@ class Model:
             moved /= moved.max(axis=1, keepdims=True)
             v = np.where(live[:, k, None], moved, v)
             forward[k] = v
-        total = np.zeros((b, n), dtype=np.float64)
+        out = np.empty((len(emission), n), dtype=np.float32)
         v = after
-        w = weight[at]
         for k in range(BLOCK - 1, -1, -1):
             gamma = forward[k] * v
             gamma /= gamma.sum(axis=1, keepdims=True)
-            total += np.where(live[:, k, None], gamma * w[:, k, None], 0.0)
+            out[at[live[:, k], k]] = gamma[live[:, k]]
             moved = (v * e[:, k]) @ t.T
             moved /= moved.max(axis=1, keepdims=True)
             v = np.where(live[:, k, None], moved, v)
-        return np.add.reduceat(total, first, axis=0)
+        return out
 
     # ------------------------------------------------------------- training
 
@@ -221,6 +248,7 @@ class Model:
         for lang, words in runs:
             for w in words:
                 seen.setdefault(w, np.zeros(n))[lang] += 1
+        self.trigrams = frozenset(f"^{w}$"[i : i + 3] for w, c in seen.items() if c.sum() > 1 for i in range(len(w)))
         self.lexicon = {w: int(c.argmax()) for w, c in seen.items() if c.sum() >= 5 and c.max() >= 0.9 * c.sum()}
         by_lang = [np.array([seen_at for seen_at, (lang, _) in enumerate(runs) if lang == k]) for k in range(n)]
         present = [k for k in range(n) if len(by_lang[k])]
@@ -318,47 +346,64 @@ def train(docs: DataFrame, docs_per_lang: int = 300, chars_per_doc: int = 3000,
     counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
     if not counts:
         return None
-    order = common.hash_share(F.col(key), seed="language-sample")
+    own = F.xxhash64(text)
+    order = common.hash_share(F.col(key), own, seed="language-sample")
     bound = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, min(1.0, 1.5 * docs_per_lang / v))])
     begin = (common.hash_share(F.col(key), seed="language-place") * F.greatest(F.lit(1), F.length(text) - chars_per_doc + 1)).cast("int") + 1
-    sample = labelled.filter(order < bound[F.col(lang)]).select(F.col(lang), order.alias("o"), F.col(text).substr(begin, F.lit(chars_per_doc)).alias("t")).collect()
+    sample = labelled.filter(order < bound[F.col(lang)]).select(F.col(lang).alias("lang"), (order / bound[F.col(lang)]).alias("o"), own.alias("own"), F.col(text).substr(begin, F.lit(chars_per_doc)).alias("t"))
+    rows = sample.orderBy("o", "own").limit(3 * docs_per_lang * len(counts)).collect()  # rows that repeat id and text fall together: a hard bound
     by_lang: dict[str, list] = {}
-    for r in sorted(sample, key=lambda r: (r["o"], r["t"])):
-        by_lang.setdefault(r[lang], []).append(r["t"])
-    rows = [(k, t) for k in sorted(by_lang) for t in by_lang[k][:docs_per_lang]]
-    return Model(sorted(counts)).fit(rows)
+    for r in rows:
+        by_lang.setdefault(r["lang"], []).append(r["t"])
+    return Model(sorted(counts)).fit([(k, t) for k in sorted(by_lang) for t in by_lang[k][:docs_per_lang]])
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """Adds lang_pred (string) and score (double) to docs, from the text column alone."""
+    """Adds lang_pred (string), score and familiar (doubles) to docs, from the text column alone; columns of these names are replaced."""
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     spark = docs.sparkSession
     common.prepare(spark)
+    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "familiar")]
+    names = [f.name for f in kept]
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
+        return docs.select(*names, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("familiar"))
     held = common.Shipped(spark, model)  # of a fixed size: BUCKETS times the number of languages
-    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    schema = StructType([*kept, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    names = [f.name for f in kept]
+    schema = StructType([*kept, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("familiar", DoubleType())])
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            pred, score = [], []
+            pred, score, usual = [], [], []
             for group in common.by_size(texts, lambda x: len(x or "")):
-                for share in held.value.many([x or "" for x in group]):
+                for found in held.value.judged([x or "" for x in group]):
+                    share, familiar = found or (None, 0.0)
                     best = None if share is None else int(share.argmax())
                     pred.append(UNDETERMINED if best is None else held.value.languages[best])
                     score.append(0.0 if best is None else min(1.0, max(0.0, float(share[best]))))
+                    usual.append(min(1.0, familiar))
             columns = [batch.column(batch.schema.get_field_index(x)) for x in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(usual, pa.float64())], names=[*names, "lang_pred", "score", "familiar"])
 
     return docs.select(*names).mapInArrow(run, schema)
 
 
+def label_words(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, words) for every row: each word's start and end (code points), language and its probability, in order."""
+    kind = dict(docs.dtypes)[key]
+    held = common.Shipped(docs.sparkSession, model)
+
+    def run(batches):
+        for rows in batches:
+            for part in common.by_size(rows, lambda r: len(r[1] or "")):
+                words = [[{"start": a, "end": z, "lang": lang, "p": p} for a, z, lang, p in held.value.words(t or "")] for _, t in part]
+                yield {key: [k for k, _ in part], "words": words}
+
+    return common.map_rows(docs.select(key, text), run, f"{key} {kind}, words array<struct<start bigint, end bigint, lang string, p double>>")
+
+
 def held_out(key: str = "doc_id") -> F.Column:
     """True for the quarter of the ids that a model must not learn from."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
