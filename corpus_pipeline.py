@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from kairoframe.llm import common, language_id, line_dedup, mixing, packing, simhash
 
-#: A text whose best language has less than this share of its letters is in no learned language.
-LEAST_LANGUAGE_SHARE = 0.4
+#: A text with less than this share of its letters in familiar words is in no learned language.
+LEAST_FAMILIAR = 0.5
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters and texts that no learned language fits; a missing lang is filled in."""
     found = language_id.identify(docs, language_id.train(docs))
-    kept = found.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SHARE))
+    kept = found.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("familiar") >= LEAST_FAMILIAR))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
@@ -55,7 +55,8 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Language ID, SimHash and packing have no SQL form; tests hold the stages against brute force.
+#: Language ID, SimHash and packing have no SQL form; tests/llm/test_pipeline.py holds every stage, one after the
+#: other, against a brute-force version.
 ORACLE_SQL = None
 
 
