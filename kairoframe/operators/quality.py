@@ -79,30 +79,28 @@ def content_digest(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws("|", F.count("*").cast("string"), *parts), 256).alias("digest"))
 
 
-def secret_keys(df: DataFrame, json_column: str, pattern: str = "(?i)(password|secret|token|api_?key)") -> DataFrame:
-    """Rows whose JSON object has a top-level key that looks like a secret's."""
-    return df.filter(F.exists(F.json_object_keys(json_column), lambda k: k.rlike(pattern)))
-
-
-def legal_roster(roles: Sequence[Sequence[str]], slots: dict[str, int]) -> bool:
-    """Whether every player can have a slot of one of their roles: augmenting paths, slots with capacities."""
-    filled: dict[str, list[int]] = {r: [] for r in slots}
-
-    def place(i: int, seen: set[str]) -> bool:
-        for r in roles[i]:
-            if r in slots and r not in seen:
-                seen.add(r)
-                if len(filled[r]) < slots[r]:
-                    filled[r].append(i)
-                    return True
-                for j in list(filled[r]):
-                    if place(j, seen):
-                        filled[r].remove(j)
-                        filled[r].append(i)
-                        return True
-        return False
-
-    return all(place(i, set()) for i in range(len(roles)))
+def secret_keys(df: DataFrame, json_column: str, pattern: str = "(password|secret|token|api_?key)") -> DataFrame:
+    """Rows whose JSON has, at any depth, a key that looks like a secret's."""
+    return df.filter(F.col(json_column).rlike(rf'(?i)"[^"\\]*{pattern}[^"\\]*"\s*:'))
+
+
+def legal_rosters(roster: DataFrame, slots: dict[str, int], team: str = "team", roles: str = "roles") -> DataFrame:
+    """(team, legal): whether all its players can be placed at once, each in one of their roles.
+
+    A role without a limit in slots has room for all.  By Hall's theorem the
+    others can be placed if and only if for every set of limited roles no more
+    players have all their roles in it than it has slots; the counts per set of
+    roles are one aggregate, whatever the roster's size.
+    """
+    names = sorted(slots)
+    bit = F.aggregate(roles, F.lit(0), lambda m, r: m.bitwiseOR(F.coalesce(S.lookup(r, {n: str(1 << i) for i, n in enumerate(names)}).cast("int"), F.lit(0))))
+    free = F.exists(roles, lambda r: ~r.isin(names))
+    masks = roster.select(team, F.when(free, F.lit(-1)).otherwise(bit).alias("mask")).groupBy(team, "mask").agg(F.count("*").alias("n"))
+    held = masks.groupBy(team).agg(F.collect_list(F.struct("mask", "n")).alias("masks"))  # at most one entry for each set of roles
+    rooms = [(s, sum(slots[n] for i, n in enumerate(names) if s >> i & 1)) for s in range(1 << len(names))]
+    sets = F.array(*[F.struct(F.lit(s).alias("set"), F.lit(room).alias("room")) for s, room in rooms])
+    inside = lambda s: F.aggregate(F.filter("masks", lambda m: (m["mask"] >= 0) & (m["mask"].bitwiseOR(s["set"]) == s["set"])), F.lit(0).cast("bigint"), lambda t, m: t + m["n"])
+    return held.select(team, F.forall(sets, lambda s: inside(s) <= s["room"]).alias("legal"))
 
 
 def quarantine(df: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:

@@ -40,7 +40,12 @@ def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> Dat
 
 def with_summary(df: DataFrame, summary: DataFrame) -> DataFrame:
     """Each row with the one row of an ungrouped aggregate."""
-    return df.crossJoin(F.broadcast(summary))
+    return df.crossJoin(F.broadcast(summary.limit(1)))  # an aggregate has one row
+
+
+def either(a: Column, b: Column, value: object) -> Column:
+    """Whether one of two columns has the value, e.g. a team at home or away."""
+    return (a == value) | (b == value)
 
 
 def both_sides(df: DataFrame, sides: dict[str, dict[str, str]], name: str = "side") -> DataFrame:

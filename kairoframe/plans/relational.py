@@ -334,13 +334,7 @@ def season_and_week(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", S.season_code(day).alias("season"), S.week_start(day).alias("week"))
 
 
-@register("normalize_names", "SELECT doc_id, TRIM(REGEXP_REPLACE(LOWER(STRIP_ACCENTS(REPLACE(REPLACE(SUBSTR(text, 1, 200), 'ß', ' '), chr(10), ' '))), '[^a-z0-9]+', ' ', 'g')) AS name FROM documents")
-def normalize_names(spark: SparkSession, sf: str) -> DataFrame:
-    """The heading of a document (its first 200 characters are the name here) in normal form."""
-    return table(spark, sf, "documents").select("doc_id", S.normalize_name(F.substring("text", 1, 200)).alias("name"))
-
-
-@register("normalize_texts", "SELECT doc_id, TRIM(REGEXP_REPLACE(LOWER(STRIP_ACCENTS(REPLACE(REPLACE(text, 'ß', ' '), chr(10), ' '))), '[^a-z0-9]+', ' ', 'g')) AS name FROM documents")
+@register("normalize_texts", "SELECT doc_id, TRIM(REGEXP_REPLACE(REPLACE(LOWER(STRIP_ACCENTS(text)), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g')) AS name FROM documents")
 def normalize_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Every whole document in normal form."""
     return table(spark, sf, "documents").select("doc_id", S.normalize_name(F.col("text")).alias("name"))

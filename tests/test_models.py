@@ -69,9 +69,17 @@ def test_negative_binomial_recovers_a_slope():
     assert w == pytest.approx([0.7, 0.5], abs=0.08) and alpha == pytest.approx(0.4, abs=0.15)
 
 
-def test_legal_roster_needs_augmenting_paths():
-    assert Q.legal_roster([("A", "B"), ("A",), ("B", "C")], {"A": 1, "B": 1, "C": 1})
-    assert not Q.legal_roster([("A",), ("A",)], {"A": 1, "B": 1})
+def test_legal_rosters_equal_trying_all_placements(spark):
+    from itertools import product
+
+    rng = np.random.default_rng(6)
+    slots, rows, want = {"A": 1, "B": 2, "C": 1}, [], {}
+    for team in range(120):
+        players = [sorted(rng.choice(list("ABCD"), rng.integers(0, 3), replace=False)) for _ in range(rng.integers(1, 6))]
+        rows += [(team, [str(r) for r in roles]) for roles in players]
+        want[team] = any(all(p.count(r) <= n for r, n in slots.items()) for p in product(*players))
+    got = {r.team: r.legal for r in Q.legal_rosters(spark.createDataFrame(rows, "team int, roles array<string>"), slots).collect()}
+    assert got == want and 10 < sum(want.values()) < 110
 
 
 def test_snapshot_round_trip_and_tampering(spark, tmp_path):
