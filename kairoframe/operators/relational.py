@@ -92,5 +92,7 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str], guard:
 
 
 def insert_if_absent(current: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    fresh = incoming.dropDuplicates(list(keys)).join(current.select(*keys), list(keys), "left_anti")
+    """Rows of new keys, of several of one key the first by all columns."""
+    one = top_per_group(incoming, keys, [F.col(c) for c in incoming.columns if c not in keys] or [F.lit(1)], 1, "_first").drop("_first")
+    fresh = one.join(current.select(*keys), list(keys), "left_anti")
     return current.unionByName(fresh)

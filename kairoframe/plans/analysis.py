@@ -15,21 +15,22 @@ from .catalog import register
 
 @register("identity_top_candidate", """
 WITH q AS (SELECT p_partkey, LOWER(p_name) AS name, p_brand, p_type FROM part WHERE p_partkey % 20 = 0),
-c AS (SELECT p_partkey AS candidate, LOWER(p_name) AS other, p_brand, p_type AS other_type FROM part WHERE p_partkey % 20 <> 0),
+c AS (SELECT p_partkey AS candidate, LOWER(p_name) AS other, p_brand, p_type AS other_type FROM part),
 s AS (
   SELECT p_partkey, candidate, ROUND(GREATEST(0.0::DOUBLE, LEAST(1.0::DOUBLE,
     CASE WHEN name = other THEN 0.82::DOUBLE ELSE 0.70::DOUBLE * (1 - LEVENSHTEIN(name, other)::DOUBLE / GREATEST(LENGTH(name), LENGTH(other))) END
     + CASE WHEN p_type = other_type THEN 0.14::DOUBLE ELSE -0.30::DOUBLE END)), 6) AS score
-  FROM q JOIN c ON q.p_brand = c.p_brand AND SUBSTR(name, 1, 1) = SUBSTR(other, 1, 1)
+  FROM q JOIN c ON q.p_brand = c.p_brand AND p_partkey <> candidate
 ), r AS (SELECT *, ROW_NUMBER() OVER w AS n, LEAD(score) OVER w AS runner_up FROM s WINDOW w AS (PARTITION BY p_partkey ORDER BY score DESC, candidate))
-SELECT p_partkey, candidate, score, CASE WHEN score < 0.70 THEN 'unresolved' WHEN score < 0.87 OR score - COALESCE(runner_up, 0) <= 0.04::DOUBLE THEN 'ambiguous' ELSE 'resolved' END AS decision FROM r WHERE n = 1""")
+SELECT q.p_partkey, candidate, score, CASE WHEN score IS NULL OR score < 0.70 THEN 'unresolved' WHEN score < 0.87 OR score - COALESCE(runner_up, 0) <= 0.04::DOUBLE THEN 'ambiguous' ELSE 'resolved' END AS decision FROM q LEFT JOIN r ON q.p_partkey = r.p_partkey AND n = 1""")
 def identity_top_candidate(spark: SparkSession, sf: str) -> DataFrame:
-    """Blocked by brand and first letter, so that queries meet few candidates."""
-    part = table(spark, sf, "part").select("p_partkey", F.lower("p_name").alias("name"), "p_brand", "p_type", F.substring(F.lower("p_name"), 1, 1).alias("letter"))
+    """Each query against all other parts of its brand (the block); a query without candidates is unresolved."""
+    part = table(spark, sf, "part").select("p_partkey", F.lower("p_name").alias("name"), "p_brand", "p_type")
     q = part.filter("p_partkey % 20 = 0")
-    c = part.filter("p_partkey % 20 <> 0").select(F.col("p_partkey").alias("candidate"), F.col("name").alias("other"), "p_brand", F.col("p_type").alias("other_type"), "letter")
-    scored = q.join(c, ["p_brand", "letter"]).withColumn("score", Q.identity_score(F.col("name"), F.col("other"), Q.evidence(F.lit(True), F.col("p_type") == F.col("other_type"), 0.14, 0.30)))
-    return Q.decide(scored, "p_partkey", "candidate").select("p_partkey", "candidate", "score", "decision")
+    c = part.select(F.col("p_partkey").alias("candidate"), F.col("name").alias("other"), "p_brand", F.col("p_type").alias("other_type"))
+    scored = q.join(c, "p_brand").filter("p_partkey <> candidate").withColumn("score", Q.identity_score(F.col("name"), F.col("other"), Q.evidence(F.lit(True), F.col("p_type") == F.col("other_type"), 0.14, 0.30)))
+    best = Q.decide(scored, "p_partkey", "candidate").select("p_partkey", "candidate", "score", "decision")
+    return q.select("p_partkey").join(best, "p_partkey", "left").withColumn("decision", F.coalesce("decision", F.lit("unresolved")))
 
 
 @register("name_corroboration", """

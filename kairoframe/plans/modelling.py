@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +10,7 @@ from ..operators import decision as D
 from ..operators import learning as L
 from ..operators import scoring as O
 from ..operators import simulation as X
-from ..sources.tables import table
+from ..sources.tables import shared_folder, table
 from ..streaming import live
 from .catalog import register
 
@@ -24,15 +22,14 @@ FORMATIONS = {
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A place in the shared folder; a folder of this machine only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='kairoframe-')}"
-    return f"{base.rstrip('/')}/{name}"
+    return f"{shared_folder(spark)}/{name}"
 
 
 def squads(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Fixtures and players made of customers: eight teams of sixteen, four matches."""
-    c = table(spark, sf, "customer").withColumn("team", (F.col("c_custkey") % 8).cast("int"))
-    c = c.withColumn("n", F.row_number().over(Window.partitionBy("team").orderBy("c_custkey"))).filter("n <= 16")
+    """Fixtures and players made of all customers: an even number of teams of sixteen and a few more."""
+    c = table(spark, sf, "customer")
+    c = c.withColumn("team", (F.col("c_custkey") % (2 * max(1, c.count() // 32))).cast("int"))
+    c = c.withColumn("n", F.row_number().over(Window.partitionBy("team").orderBy("c_custkey")))
     x = F.pmod(F.xxhash64("c_custkey"), F.lit(1000)) / 1000.0
     position = F.when(F.col("n") <= 2, "GK").when(F.col("n") <= 7, "DEF").when(F.col("n") <= 12, "MID").otherwise("FWD")
     attack = F.when(position == "FWD", 3.0).when(position == "MID", 1.5).when(position == "DEF", 0.5).otherwise(0.0)
@@ -64,14 +61,14 @@ def squads(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 @register("simulate_fixtures")
 def simulate_fixtures(spark: SparkSession, sf: str) -> DataFrame:
     fixtures, players = squads(spark, sf)
-    return X.summarize(X.simulate(fixtures, players, runs=2000, block=500, seed=3))
+    return X.summarize(X.simulate(fixtures, players, runs=500, block=500, seed=3))
 
 
-@register("simulation_conservation")
+@register("simulation_conservation", "WITH t AS (SELECT GREATEST(1, COUNT(*) // 32) AS n FROM customer) SELECT 'match-' || i AS match_id, 0::BIGINT AS wrong_minutes, 0::BIGINT AS wrong_keepers, 0::BIGINT AS wrong_goals, 500::BIGINT AS runs FROM t, LATERAL (SELECT UNNEST(RANGE(n)) AS i)")
 def simulation_conservation(spark: SparkSession, sf: str) -> DataFrame:
     """Per fixture how many runs break a law: minutes of a team, goals against conceded goals, one keeper."""
     fixtures, players = squads(spark, sf)
-    samples = X.simulate(fixtures, players, runs=1000, block=500, seed=3)
+    samples = X.simulate(fixtures, players, runs=500, block=500, seed=3)
     team = samples.groupBy("match_id", "run", "side").agg(F.sum("minutes").alias("minutes"), F.sum("goals").alias("goals"), F.sum("own_goals").alias("own"), F.sum("goals_conceded").alias("conceded"), F.count_if((F.col("position") == "GK") & (F.col("minutes") > 0)).alias("keepers"))
     wide = team.groupBy("match_id", "run").pivot("side", ["home", "away"]).agg(F.first("goals").alias("goals"), F.first("own").alias("own"), F.first("conceded").alias("conceded"))
     laws = team.groupBy("match_id").agg(F.count_if(F.col("minutes") != 990).alias("wrong_minutes"), F.count_if(F.col("keepers") != 1).alias("wrong_keepers"))
@@ -198,7 +195,7 @@ def stream_change_points(spark: SparkSession, sf: str) -> DataFrame:
 def head_to_head(spark: SparkSession, sf: str) -> DataFrame:
     """Per match the shares of scenarios that the home eleven wins, draws and loses on points."""
     fixtures, players = squads(spark, sf)
-    samples = X.simulate(fixtures, players, runs=1000, block=500, seed=11)
+    samples = X.simulate(fixtures, players, runs=500, block=500, seed=11)
     points = O.points(F.lit(6.0), {"goals": 3.0, "assists": 1.0, "yellow_cards": -0.5}, F.col("minutes"))
     total = samples.groupBy("match_id", "run").pivot("side", ["home", "away"]).agg(F.sum(points))
     d = F.col("home") - F.col("away")

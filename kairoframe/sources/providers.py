@@ -326,3 +326,83 @@ def odds(rows: DataFrame) -> DataFrame:
     b = a.select("observed_at", "fixture", "b.name", F.explode("b.bets").alias("m"))
     c = b.select("observed_at", "fixture", "name", F.col("m.name").alias("market"), F.explode("m.values").alias("v"))
     return c.filter("v.odd IS NOT NULL").select(F.col("fixture.id").cast("string").alias("match_id"), F.col("name").alias("bookmaker"), "market", F.col("v.value").alias("selection"), F.col("v.odd").try_cast("decimal(10,4)").alias("decimal_odds"), F.col("observed_at").alias("available_at"))
+
+
+def scheduled_matches(df: DataFrame, retrieved_at: Column) -> DataFrame:
+    """Fixtures of a Parquet file: a written time gives minute precision; played ones were known after the match, others when retrieved."""
+    require(df, ["match_id", "match_date", "home_team", "away_team", "home_team_id", "away_team_id", "match_status", "season"])
+    df = with_defaults(df, dict.fromkeys(("home_score", "away_score")))
+    written = F.col("match_date").cast("string")
+    kickoff = written.try_cast("timestamp")
+    precision = F.when(written.contains(":"), "minute").otherwise("date")
+    status = F.lower(F.col("match_status"))
+    played = status.isin("played", "finished", "ft")
+    return df.select(
+        F.col("match_id").cast("string").alias("match_id"),
+        F.replace(F.col("season").cast("string"), F.lit("/"), F.lit("-")).alias("season"),
+        kickoff.alias("kickoff_at"),
+        precision.alias("kickoff_precision"),
+        F.when(played, result_available_at(kickoff, precision)).otherwise(retrieved_at).alias("available_at"),
+        F.col("home_team_id").cast("string").alias("home_team_id"),
+        F.col("away_team_id").cast("string").alias("away_team_id"),
+        F.when(played, "finished").otherwise(status).alias("status"),
+        F.col("home_score").try_cast("int").alias("home_score"),
+        F.col("away_score").try_cast("int").alias("away_score"),
+    )
+
+
+# -------------------------------------------------- competition JSON, version 4
+
+_TEAM = "struct<id: bigint, name: string, shortName: string>"
+COMPETITION = (
+    f"matches array<struct<id: bigint, utcDate: string, status: string, matchday: int, season: struct<startDate: string>, homeTeam: {_TEAM}, awayTeam: {_TEAM}, "
+    "score: struct<fullTime: struct<home: int, away: int>>, referees: array<struct<id: bigint, name: string, type: string>>>>, "
+    f"season struct<startDate: string>, standings array<struct<type: string, `table`: array<struct<position: int, team: {_TEAM}, playedGames: int, points: int, won: int, draw: int, lost: int, goalsFor: int, goalsAgainst: int>>>>, "
+    f"teams array<{_TEAM}>"
+)
+
+
+def competition_body(payloads: DataFrame, column: str) -> DataFrame:
+    """Bodies beside observed_at; one without any of the three parts is left out."""
+    body = payloads.select("observed_at", F.from_json(column, COMPETITION).alias("b")).select("observed_at", "b.*")
+    return body.filter("matches IS NOT NULL OR standings IS NOT NULL OR teams IS NOT NULL")
+
+
+def _season(start: Column) -> Column:
+    year = F.substring(start, 1, 4).cast("int")
+    return F.concat_ws("-", year.cast("string"), (year + 1).cast("string"))
+
+
+def _short(team: str) -> Column:
+    return F.coalesce(F.nullif(F.col(f"{team}.shortName"), F.lit("")), F.col(f"{team}.name"))
+
+
+def competition_matches(body: DataFrame) -> DataFrame:
+    m = body.select("observed_at", F.explode("matches").alias("m"))
+    done = F.col("m.status") == "FINISHED"
+    status = F.coalesce(lookup(F.col("m.status"), {"TIMED": "scheduled", "IN_PLAY": "live", "PAUSED": "live"}), F.lower("m.status"))
+    judge = F.get(F.filter("m.referees", lambda r: r["type"] == "REFEREE"), 0)
+    return m.select(
+        F.col("m.id").cast("string").alias("match_id"),
+        _season(F.col("m.season.startDate")).alias("season"),
+        F.col("m.utcDate").try_cast("timestamp").alias("kickoff_at"),
+        F.when(F.col("m.status") == "SCHEDULED", "date").otherwise("minute").alias("kickoff_precision"),
+        status.alias("status"),
+        _short("m.homeTeam").alias("home_team"),
+        _short("m.awayTeam").alias("away_team"),
+        F.when(done, F.col("m.score.fullTime.home")).alias("home_score"),
+        F.when(done, F.col("m.score.fullTime.away")).alias("away_score"),
+        F.col("m.matchday").alias("matchweek"),
+        judge["name"].alias("referee"),
+        F.col("observed_at").alias("available_at"),
+    )
+
+
+def competition_standings(body: DataFrame) -> DataFrame:
+    g = body.select("observed_at", _season(F.col("season.startDate")).alias("season"), F.explode("standings").alias("g"))
+    t = g.select("observed_at", "season", F.col("g.type").alias("table_type"), F.explode("g.table").alias("t"))
+    return t.select("season", "table_type", F.col("t.team.id").cast("string").alias("team_id"), _short("t.team").alias("team"), F.col("t.position").alias("rank"), F.col("t.playedGames").alias("played"), "t.points", "t.won", F.col("t.draw").alias("drawn"), "t.lost", F.col("observed_at").alias("available_at"))
+
+
+def competition_teams(body: DataFrame) -> DataFrame:
+    return body.select(F.explode("teams").alias("t")).select(F.col("t.id").cast("string").alias("team_id"), _short("t").alias("team"))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.scalars import decimal, role_token
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -83,4 +86,52 @@ def delimited_text(spark: SparkSession, path: str, names: Sequence[str], max_row
     fields = lines.select(F.transform(cut, lambda x: F.nullif(F.trim(x), F.lit(""))).alias("f"))
     rows = fields.select(*[F.get("f", i).alias(n) for i, n in enumerate(names)])
     rows = rows.filter(F.coalesce(F.lower(F.col(names[0])) != names[0].lower(), F.lit(True)))
-    return rows if max_rows is None else rows.limit(max_rows)
+    if max_rows is not None and rows.limit(max_rows + 1).count() > max_rows:
+        raise ValueError(f"more than {max_rows} rows in {path}")
+    return rows
+
+
+def roster_csv(df: DataFrame) -> DataFrame:
+    """Roster rows of string columns under headers of any case: name (or player), role, team, purchase_price (or price)."""
+    by_name = {c.strip().casefold(): c for c in df.columns}
+    unknown = sorted(set(by_name) - {"name", "player", "role", "team", "purchase_price", "price"})
+    if unknown or not {"name", "player"} & set(by_name):
+        raise ValueError(f"unknown columns {unknown}" if unknown else "no column name or player")
+
+    def first(*names: str) -> Column:
+        held = [F.nullif(F.trim(F.col(f"`{by_name[n]}`").cast("string")), F.lit("")) for n in names if n in by_name]
+        return F.coalesce(*held[:1], F.lit(None).cast("string"))
+
+    return df.select(first("name", "player").alias("name"), first("role").alias("role"), first("team").alias("team"), decimal(first("purchase_price", "price")).alias("price"))
+
+
+def pasted_rosters(lines: DataFrame, keys: Sequence[str], line: str = "line") -> DataFrame:
+    """Rows of pasted text, line by line: name, roles, team, price and whether a field was not understood.
+
+    The separator is the tab, semicolon or comma that the line has most of;
+    roles are split at slashes, semicolons, bars and spaces; a header line (its
+    first field is name or nome) is left out.
+    """
+    count = lambda s: F.length(line) - F.length(F.replace(F.col(line), F.lit(s)))
+    most = F.greatest(count("\t"), count(";"), count(","))
+    cut = F.when(most == 0, F.array(line)).when(count("\t") == most, F.split(line, "\t")).when(count(";") == most, F.split(line, ";")).otherwise(F.split(line, ","))
+    f = lines.select(*keys, F.transform(cut, lambda x: F.nullif(F.trim(x), F.lit(""))).alias("f"))
+    tokens = F.filter(F.split(F.coalesce(F.get("f", 1), F.lit("")), r"[/;|\s]+"), lambda t: t != "")
+    roles = F.transform(tokens, role_token)
+    price = F.get("f", 3)
+    value = decimal(F.regexp_replace(price, "[€ ]", ""))
+    odd = F.exists(roles, lambda r: r.isNull()) | (price.isNotNull() & value.isNull())
+    rows = f.select(*keys, F.get("f", 0).alias("name"), F.array_distinct(F.array_compact(roles)).alias("roles"), F.get("f", 2).alias("team"), value.alias("price"), odd.alias("issue"))
+    return rows.filter(F.col("name").isNotNull() & ~F.lower("name").isin("name", "nome"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; a folder of this machine only where all runs on it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors share (master {master})")
+        folder = f"file://{tempfile.mkdtemp(prefix='kairoframe-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
