@@ -64,11 +64,11 @@ def simulate_fixtures(spark: SparkSession, sf: str) -> DataFrame:
     return X.summarize(X.simulate(fixtures, players, runs=500, block=500, seed=3))
 
 
-@register("simulation_conservation", "WITH t AS (SELECT GREATEST(1, COUNT(*) // 32) AS n FROM customer) SELECT 'match-' || i AS match_id, 0::BIGINT AS wrong_minutes, 0::BIGINT AS wrong_keepers, 0::BIGINT AS wrong_goals, 500::BIGINT AS runs FROM t, LATERAL (SELECT UNNEST(RANGE(n)) AS i)")
+@register("simulation_conservation", "WITH t AS (SELECT GREATEST(1, COUNT(*) // 32) AS n FROM customer) SELECT 'match-' || i AS match_id, 0::BIGINT AS wrong_minutes, 0::BIGINT AS wrong_keepers, 0::BIGINT AS wrong_goals, 1000::BIGINT AS runs FROM t, LATERAL (SELECT UNNEST(RANGE(n)) AS i)")
 def simulation_conservation(spark: SparkSession, sf: str) -> DataFrame:
     """Per fixture how many runs break a law: minutes of a team, goals against conceded goals, one keeper."""
     fixtures, players = squads(spark, sf)
-    samples = X.simulate(fixtures, players, runs=500, block=500, seed=3)
+    samples = X.simulate(fixtures, players, runs=1000, block=500, seed=3)
     team = samples.groupBy("match_id", "run", "side").agg(F.sum("minutes").alias("minutes"), F.sum("goals").alias("goals"), F.sum("own_goals").alias("own"), F.sum("goals_conceded").alias("conceded"), F.count_if((F.col("position") == "GK") & (F.col("minutes") > 0)).alias("keepers"))
     wide = team.groupBy("match_id", "run").pivot("side", ["home", "away"]).agg(F.first("goals").alias("goals"), F.first("own").alias("own"), F.first("conceded").alias("conceded"))
     laws = team.groupBy("match_id").agg(F.count_if(F.col("minutes") != 990).alias("wrong_minutes"), F.count_if(F.col("keepers") != 1).alias("wrong_keepers"))
