@@ -60,13 +60,17 @@ def cumulative(rate: str) -> F.Column:
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha: float = 0.7, size_factor: float = 1.0, seed: int = 1, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """docs' rows, each as often as drawn, with copy (int, from 1) and shuffle_key (double), in shuffled order."""
     table = common.staged(rates(docs, weights, alpha, size_factor, source, text).select(F.col("source").alias("_source"), cumulative("rate").alias("_cdf")), "rates")
-    if table.count() <= BROADCAST_SOURCES:
-        table = F.broadcast(table)
+    few = table.count() <= BROADCAST_SOURCES
     own = F.coalesce(F.col(key).cast("string"), F.md5(F.coalesce(F.col(text), F.lit(""))))
     kept = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), own.alias("own"), F.col(source).alias("of"))  # docs' columns inside, so that no name clashes
-    drawn = rows.join(table, F.col("of").eqNullSafe(F.col("_source"))).withColumn("u", common.hash_share(F.col("own"), seed=f"count-{seed}"))
-    counted = drawn.select("row", "own", F.expr("size(filter(_cdf, c -> c < u))").alias("n")).filter("n > 0")
-    copies = counted.select("row", "own", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
-    mixed = copies.withColumn("shuffle_key", common.hash_share(F.col("own"), F.col("copy"), seed=f"place-{seed}"))
-    return mixed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "own", "copy").select("row.*", "copy", "shuffle_key")
+    free = "_" * (1 + max(len(c) for c in docs.columns))  # longer than any name of docs, so that none clashes
+    own_, of_, u_, n_, cdf_, source_ = (free + c for c in ("own", "of", "u", "n", "cdf", "source"))
+    table = table.withColumnsRenamed({"_source": source_, "_cdf": cdf_})
+    table = F.broadcast(table) if few else table
+    columns = [F.col(f"`{c}`") for c in kept]
+    rows = docs.select(*columns, own.alias(own_), F.col(source).alias(of_)).withColumn(u_, common.hash_share(F.col(own_), seed=f"count-{seed}"))
+    drawn = rows.join(table, F.col(of_).eqNullSafe(F.col(source_)))
+    counted = drawn.select(*columns, own_, F.expr(f"size(filter({cdf_}, c -> c < {u_}))").alias(n_)).filter(F.col(n_) > 0)
+    copies = counted.select(*columns, own_, F.explode(F.sequence(F.lit(1), F.col(n_))).alias("copy"))
+    mixed = copies.withColumn("shuffle_key", common.hash_share(F.col(own_), F.col("copy"), seed=f"place-{seed}"))
+    return mixed.repartition("shuffle_key").sortWithinPartitions("shuffle_key", own_, "copy").drop(own_)
