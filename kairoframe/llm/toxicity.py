@@ -16,7 +16,7 @@ probability (its weight is not negative), so ordinary words around a toxic one
 do not hide it; the earlier categories' weights may have either sign.
 
 Training sample: at most `sample_rows` labelled rows, those first by a hash of
-the id, joined with their texts (at most twice as many rows, where ids repeat); there are at most `vocabulary` features for
+the id, each with its text (of documents that share the id the first by a hash); there are at most `vocabulary` features for
 each category.  Every row of the table is scored by its whole text.
 
 Defined cases: a null or wordless text is scored by the intercepts, like any
@@ -164,6 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], s
     marks = marks.filter(F.pmod(order, F.lit(1 << 20)) < (1 << 20) * min(1.0, 1.2 * sample_rows / n)).orderBy(order, *marks.columns).limit(sample_rows)
     marks = common.staged(marks.withColumn("row", F.monotonically_increasing_id()), "labelled")
     marked = docs.select(F.col(key), F.coalesce(text, F.lit("")).alias("t")).join(F.broadcast(marks), F.col(key) == F.col("_id"))  # at most sample_rows rows
+    marked = marked.groupBy("row", *[f"_{k}" for k in names]).agg(F.min_by("t", F.xxhash64("t")).alias("t"))  # one text each, however many documents share an id
 
     def listed_features(batches):
         for rows in batches:
@@ -171,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, F.Column], s
 
     columns = ["row", *[f"_{k}" for k in names], "t"]
     words = common.map_rows(marked.select(*columns), listed_features, "row bigint, " + "".join(f"_{k} int, " for k in names) + "w array<string>")
-    words = common.staged(words.orderBy("row").limit(2 * sample_rows), "labelled-words")  # an id that very many documents share brings them all
+    words = common.staged(words, "labelled-words")
     totals = words.agg(F.count("*").alias("n"), *[F.sum(f"_{k}").alias(k) for k in names]).first()
     if not totals["n"]:
         return Chain(names, [], [np.array([*np.zeros(c), -40.0]) for c in range(len(names))])
