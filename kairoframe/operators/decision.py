@@ -107,6 +107,46 @@ def scenario_points(points: np.ndarray, appeared: np.ndarray, roles: Sequence[st
     return best
 
 
+def multirole_points(points: np.ndarray, appeared: np.ndarray, roles: Sequence[Sequence[str]], starters: Sequence[int], bench: Sequence[int], formations: Sequence[Sequence[str]], limit: int = 5) -> np.ndarray:
+    """As `scenario_points`, for players with any number of roles and formations given as lists of places.
+
+    Whether players can all be placed at once follows from Hall's theorem: for
+    every union of role sets no more players may have their roles inside it
+    than it has places.  The counts for each union are columns, so all
+    scenarios are decided together and no matching is searched.  A player
+    enters if the condition still holds with them, which is whether the
+    players on the pitch could be moved to make a place.
+    """
+    names = sorted({r for slots in formations for r in slots})
+    mask = [sum(1 << names.index(r) for r in set(own) if r in names) for own in roles]
+    unions = {0}
+    for m in {mask[i] for i in (*starters, *bench)}:
+        unions |= {u | m for u in unions}
+    sets = np.array(sorted(unions))
+    inside = {i: (mask[i] & ~sets) == 0 for i in (*starters, *bench)}
+    active = np.zeros((len(points), len(sets)), dtype=np.int16)
+    base = np.zeros(len(points))
+    for i in starters:
+        active += appeared[:, i, None] & inside[i]
+        base += np.where(appeared[:, i], points[:, i], 0)
+    best_rank, best = np.full(len(points), -np.inf), np.zeros(len(points))
+    for slots in formations:
+        room = np.array([sum(bool(u >> names.index(r) & 1) for r in slots) for u in sets.tolist()])
+        held, total = active.copy(), base.copy()
+        fits = (held <= room).all(axis=1)
+        count, early = np.zeros(len(points)), np.zeros(len(points))
+        for place, i in enumerate(bench):
+            enters = appeared[:, i] & (count < limit) & (held + inside[i] <= np.where(inside[i], room, 1 << 14)).all(axis=1)
+            held += enters[:, None] & inside[i]
+            total += np.where(enters, points[:, i], 0)
+            count += enters
+            early += np.where(enters, 2.0 ** -(place + 1), 0)
+        rank = np.where(fits, count + early / 2, -np.inf)
+        better = rank > best_rank
+        best_rank, best = np.where(better, rank, best_rank), np.where(better, total, best)
+    return best
+
+
 def neighbours(starters: tuple[int, ...], bench: Sequence[int], roles: Sequence[str]) -> list[tuple[int, ...]]:
     """Line-ups that differ by one player of the same role."""
     out = []

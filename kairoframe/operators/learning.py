@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -17,7 +18,11 @@ from . import metrics as M
 
 #: Candidates from the simplest to the most complex; ties go to the simpler one.
 CLASSIFIERS = ("logistic", "forest", "boosted")
-REGRESSORS = ("linear", "poisson", "boosted")
+REGRESSORS = ("linear", "poisson", "hurdle", "boosted")
+#: Families by complexity; ties go to the simpler one, then to the first by name.
+COMPLEXITY = {"baseline": 0, "linear": 1, "poisson": 2, "hurdle": 2, "boosted": 3}
+
+Predictor = Callable[[DataFrame], DataFrame]
 
 
 def with_indicators(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -137,3 +142,150 @@ def zero_excess(df: DataFrame, count: str) -> DataFrame:
     """One row: the share of zeros, the share that a Poisson of the same mean has, and whether a hurdle is called for."""
     row = df.agg(F.avg((F.col(count) == 0).cast("double")).alias("zeros"), F.exp(-F.avg(count)).alias("poisson_zeros"))
     return row.withColumn("hurdle", F.col("zeros") - F.col("poisson_zeros") > 0.02)
+
+
+def fit_regressor(train: DataFrame, features: Sequence[str], label: str, kind: str = "linear", low: float = 0.0, high: float | None = None) -> Predictor:
+    """A function that adds `prediction`, never outside [low, high]; rows without a label are not learned from."""
+    rows = train.filter(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double"))
+    if kind == "baseline":
+        mean = float(rows.agg(F.avg(label)).first()[0])
+        raw = lambda df: df.withColumn("prediction", F.lit(mean))
+    elif kind == "hurdle":
+        raw = fit_hurdle(rows, features, label)
+    else:
+        prepared = with_indicators(rows, features)
+        model = Pipeline(stages=[*preparation(prepared, features), regressor(kind, label)]).fit(prepared)
+        raw = lambda df: model.transform(with_indicators(df, features)).select(*df.columns, "prediction")
+
+    def predict(df: DataFrame) -> DataFrame:
+        p = F.greatest(F.col("prediction"), F.lit(low))
+        return raw(df).withColumn("prediction", p if high is None else F.least(p, F.lit(high)))
+
+    return predict
+
+
+def fit_hurdle(train: DataFrame, features: Sequence[str], label: str, least_excess: float = 0.02) -> Predictor:
+    """A count model; two parts if there are more zeros than a Poisson regression explains.
+
+    The parts are the probability of any count and a Poisson regression of what
+    a positive count has above one.  Labels that are all zero predict zero.
+    """
+    y = F.col(label)
+    seen = train.agg(F.count_if(y > 0).alias("positive"), F.count_if(y == 0).alias("zero"), F.max(y).alias("most")).first()
+    if not seen["positive"]:
+        return lambda df: df.withColumn("prediction", F.lit(0.0))
+    poisson = fit_regressor(train, features, label, "poisson")
+    excess = poisson(train).agg(F.avg((y == 0).cast("double")) - F.avg(F.exp(-F.col("prediction")))).first()[0]
+    if excess <= least_excess or not seen["zero"]:
+        return poisson
+    event = fit_classifier(train.withColumn("_event", (y > 0).cast("double")), features, "_event")
+    more = fit_regressor(train.filter(y > 0).withColumn(label, y - 1), features, label, "poisson") if seen["most"] > 1 else None
+
+    def predict(df: DataFrame) -> DataFrame:
+        above = more(df).withColumnRenamed("prediction", "_above") if more else df.withColumn("_above", F.lit(0.0))
+        return probabilities(event, above, features).select(*df.columns, (F.col("p") * (1 + F.col("_above"))).alias("prediction"))
+
+    return predict
+
+
+@dataclass
+class Selection:
+    """What the candidates scored, which was chosen, how it did on the last period, and the function that uses it."""
+
+    name: str
+    promoted: bool
+    scores: dict[str, float]
+    holdout: dict[str, float]
+    subgroups_passed: bool
+    predict: Predictor
+    radius: float | None = None
+    notes: dict[str, float] = field(default_factory=dict)
+
+
+def trainable(df: DataFrame, features: Sequence[str], label: str, period: str, least_rows: int = 100, least_periods: int = 4, least_coverage: float = 0.0, binary: bool = False) -> tuple[list[str], str | None]:
+    """The features with enough values, and why nothing can be learned (None: it can), from one aggregate."""
+    rows = df.filter(F.col(label).isNotNull())
+    got = rows.agg(F.count("*").alias("_rows"), F.count_distinct(period).alias("_periods"), F.count_distinct(label).alias("_classes"), *[F.count(F.col(c).try_cast("double")).alias(c) for c in features]).first()
+    kept = [c for c in features if got[c] and got[c] >= least_coverage * got["_rows"]]
+    said = [(got["_rows"] < least_rows, "too few rows"), (got["_periods"] < least_periods, "too few periods"), (binary and got["_classes"] < 2, "one class"), (not kept, "no feature with values")]
+    return kept, next((why for bad, why in said if bad), None)
+
+
+def _beats(loss: float, other: float, slack: float) -> bool:
+    return loss <= other * (1 + slack)
+
+
+def _no_group_worse(scored: DataFrame, base: DataFrame, group: str | None, loss: F.Column, slack: float, least: int) -> bool:
+    """Whether in every group of at least `least` rows the challenger's loss is within the slack of the baseline's."""
+    if group is None:
+        return True
+    of = lambda df, name: df.groupBy(group).agg(loss.alias(name), F.count("*").alias(f"{name}_n"))
+    both = of(scored, "a").join(of(base, "b"), group).filter(F.col("a_n") >= least)
+    return both.filter(F.col("a") > F.greatest(F.col("b"), F.lit(1e-7)) * (1 + slack)).isEmpty()
+
+
+def select_regressor(df: DataFrame, features: Sequence[str], label: str, period: str, count: bool = False, kinds: Sequence[str] = REGRESSORS, group: str | None = None, least_gain: float = 0.005, most_loss: float = 0.05, coverage: float = 0.8, low: float = 0.0, high: float | None = None, group_slack: float = 0.25, least_group: int = 100) -> Selection:
+    """The regression or count model that wins over rolling folds and holds on the last period, else the mean.
+
+    The loss is the mean absolute error, of counts the Poisson deviance.  All
+    but the last period are folds; the winner must gain `least_gain` of the
+    baseline's loss there, on the last period lose no more than `most_loss`
+    against it, and no more than `group_slack` in any group of at least
+    `least_group` rows.  The chosen model learned from
+    all but the last period, which gives its interval's radius.
+    """
+    rows = df.filter(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double"))
+    y, p = F.col(label), F.col("prediction")
+    loss = M.poisson_deviance(y, p) if count else M.mae(y, p)
+    periods = [r[0] for r in rows.select(period).distinct().orderBy(period).collect()]
+    if len(periods) < 4:
+        raise ValueError("fewer than four periods")
+    names = ["baseline", *kinds]
+    losses: dict[str, list[float]] = {k: [] for k in names}
+    for test_period in periods[2:-1]:
+        fit, test = rows.filter(F.col(period) < test_period).persist(), rows.filter(F.col(period) == test_period)
+        for kind in names:
+            losses[kind].append(fit_regressor(fit, features, label, kind, low, high)(test).agg(loss).first()[0])
+        fit.unpersist()
+    scores = {k: float(np.mean(v)) for k, v in losses.items()}
+    least = min(scores.values())
+    best = min((k for k in names if np.isclose(scores[k], least, rtol=1e-10, atol=1e-12)), key=lambda k: (COMPLEXITY.get(k, 4), k))
+    promoted = best != "baseline" and scores["baseline"] - scores[best] >= least_gain * scores["baseline"]
+
+    fit, last = rows.filter(F.col(period) < periods[-1]), rows.filter(F.col(period) == periods[-1])
+    base = fit_regressor(fit, features, label, "baseline", low, high)
+    chosen = fit_regressor(fit, features, label, best, low, high) if promoted else base
+    held = {k: f(last).agg(loss).first()[0] for k, f in (("selected", chosen), ("baseline", base))}
+    passed = _no_group_worse(chosen(last), base(last), group, loss, group_slack, least_group)
+    if promoted and not (passed and _beats(held["selected"], held["baseline"], most_loss)):
+        promoted, chosen, held["selected"] = False, base, held["baseline"]
+    radius = M.conformal_radius(chosen(last), y - p, coverage).first()["radius"]
+    return Selection(best if promoted else "baseline", promoted, scores, held, passed, chosen, radius)
+
+
+def promote_classifier(df: DataFrame, features: Sequence[str], label: str, period: str, kinds: Sequence[str] = CLASSIFIERS, group: str | None = None, most_loss: float = 0.05, group_slack: float = 0.25, least_group: int = 100) -> Selection:
+    """`select_classifier` on all but the last period, then held to the last one, as a whole and in each group.
+
+    `predict` adds p, calibrated on the last period, of a model of all before.
+    """
+    rows = df.filter(F.col(label).isNotNull())
+    last_period = rows.agg(F.max(period)).first()[0]
+    fit, last = rows.filter(F.col(period) < last_period).persist(), rows.filter(F.col(period) == last_period)
+    name, means = select_classifier(fit, features, label, period, kinds)
+    prior = fit.agg(M.laplace_prior(F.col(label))).first()[0]
+    y = F.col(label).cast("double")
+    loss = M.log_loss(y, F.col("p"))
+    base = lambda rows: rows.withColumn("p", F.lit(prior))
+    chosen = base
+    if name != "baseline":
+        model = fit_classifier(fit, features, label, name)
+        chosen = lambda rows: probabilities(model, rows, features)
+    held = {k: f(last).agg(loss).first()[0] for k, f in (("selected", chosen), ("baseline", base))}
+    passed = _no_group_worse(chosen(last), base(last), group, loss, group_slack, least_group)
+    promoted = name != "baseline" and passed and _beats(held["selected"], held["baseline"], most_loss)
+    if not promoted:
+        name, chosen, held["selected"] = "baseline", base, held["baseline"]
+    fit.unpersist()
+    kind, calibrated = calibrate(chosen(last), label) if promoted else ("identity", None)
+    predict = (lambda rows: calibrated(chosen(rows)).withColumn("p", F.col("calibrated")).drop("calibrated")) if promoted else chosen
+    return Selection(name, promoted, {k: v["log_loss"] for k, v in means.items()}, held, passed, predict, notes={"isotonic": float(kind == "isotonic")})

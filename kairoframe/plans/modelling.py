@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from ..operators import decision as D
 from ..operators import learning as L
 from ..operators import scoring as O
 from ..operators import simulation as X
+from ..sources import sinks
 from ..sources.tables import shared_folder, table
 from ..streaming import live
 from .catalog import register
@@ -213,3 +216,57 @@ def rare_event_prior(spark: SparkSession, sf: str) -> DataFrame:
     return X.rare_event_prior(facts).select("player_id", "role", F.round("penalties_rate", 8).alias("penalties_rate"), F.round("own_goals_rate", 8).alias("own_goals_rate"))
 
 
+@register("sample_archive", "WITH t AS (SELECT GREATEST(1, COUNT(*) // 32) AS n FROM customer) SELECT 'match-' || CAST((c_custkey % (2 * n)) // 2 AS VARCHAR) AS match_id, 50 * COUNT(*) AS samples, 0::BIGINT AS simulated_again FROM customer, t GROUP BY 1")
+def sample_archive(spark: SparkSession, sf: str) -> DataFrame:
+    """Samples of half of the fixtures are archived, then of all, then asked for once more: nothing is simulated twice."""
+    fixtures, players = squads(spark, sf)
+    place = folder(spark, f"archive-{uuid.uuid4().hex}")
+    half = fixtures.filter(F.pmod(F.xxhash64("match_id"), F.lit(2)) == 0)
+    for some in (half, fixtures):
+        sinks.archived_samples(spark, place, some, players.join(some.select("match_id"), "match_id", "left_semi"), runs=50, block=50, seed=13)
+    samples, again = sinks.archived_samples(spark, place, fixtures, players, runs=50, block=50, seed=13)
+    return samples.groupBy("match_id").agg(F.count("*").alias("samples"), F.lit(again).cast("bigint").alias("simulated_again"))
+
+
+@register("appended_runs", "SELECT 'b' AS run_id, l_returnflag AS target, COUNT(*) AS n FROM lineitem GROUP BY ALL UNION ALL SELECT 'a', l_returnflag, COUNT(*) FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL")
+def appended_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions of two runs, the second written twice: its rows are there once, the first run's stay."""
+    place = folder(spark, f"predictions-{uuid.uuid4().hex}")
+    rows = table(spark, sf, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("target"), "l_linenumber")
+    for run_id, part in (("a", rows.filter("l_linenumber = 1")), ("b", rows.filter("l_linenumber = 1")), ("b", rows)):
+        sinks.append_run(part, place, run_id)
+    return spark.read.parquet(place).groupBy("run_id", "target").agg(F.count("*").alias("n"))
+
+
+@register("multirole_lineups")
+def multirole_lineups(spark: SparkSession, sf: str) -> DataFrame:
+    """Per team the mean points of its best eleven with substitutions, where every third player has a second role."""
+    fixtures, players = squads(spark, sf)
+    samples = X.simulate(fixtures, players, runs=500, block=500, seed=17)
+    points = O.points(F.lit(6.0), {"goals": 3.0, "assists": 1.0, "yellow_cards": -0.5, "own_goals": -2.0}, F.col("minutes"))
+    scored = samples.select("match_id", "side", "run", "player_id", "position", points.alias("points"), (F.col("minutes") > 0).alias("appeared"))
+    second = {"DEF": "MID", "MID": "FWD", "FWD": "MID"}
+
+    def value(team: pd.DataFrame) -> pd.DataFrame:
+        worth, here = (team.pivot(index="run", columns="player_id", values=c).sort_index(axis=1) for c in ("points", "appeared"))
+        first = team.drop_duplicates("player_id").set_index("player_id")["position"].reindex(worth.columns)
+        roles = [(r, second[r]) if r in second and int(i) % 3 == 0 else (r,) for i, r in first.items()]
+        p, a = worth.to_numpy(), here.to_numpy().astype(bool)
+        name, chosen, _ = D.best_lineup(p.mean(axis=0), roles, FORMATIONS)
+        bench = sorted(set(range(len(roles))) - set(chosen), key=lambda i: (-p[:, i].mean(), i))
+        total = D.multirole_points(p, a, roles, chosen, bench, list(FORMATIONS.values()))
+        return pd.DataFrame({"match_id": team["match_id"].iloc[0], "side": team["side"].iloc[0], "formation": name, "points": round(float(total.mean()), 6)}, index=[0])
+
+    return scored.groupBy("match_id", "side").applyInPandas(value, "match_id string, side string, formation string, points double")
+
+
+@register("count_model_arena")
+def count_model_arena(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders of a customer in a year: each candidate's loss over the folds, and which one is used."""
+    orders, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    counts = orders.groupBy(F.col("o_custkey").alias("c_custkey"), F.year("o_orderdate").alias("season")).agg(F.count("*").alias("n"))
+    seasons = orders.select(F.year("o_orderdate").alias("season")).distinct()
+    every = c.select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment").crossJoin(F.broadcast(seasons))  # a row for each year
+    rows = every.join(counts, ["c_custkey", "season"], "left").select("season", "c_mktsegment", F.coalesce("n", F.lit(0)).alias("n"), "c_acctbal", F.col("c_nationkey").cast("double").alias("nation"))
+    found = L.select_regressor(rows, ["c_acctbal", "nation"], "n", "season", count=True, kinds=("linear", "poisson", "hurdle"), group="c_mktsegment")
+    return spark.createDataFrame([(k, round(v, 6), k == found.name, found.radius) for k, v in found.scores.items()], "candidate string, deviance double, used boolean, radius double")

@@ -1,14 +1,16 @@
-"""Sinks: content-addressed snapshots, raw payloads by partition, upserts by rewrite, and pointers to models."""
+"""Sinks: content-addressed snapshots, raw payloads by partition, upserts by rewrite, runs, an archive of samples, and pointers to models."""
 
 from __future__ import annotations
 
 import hashlib
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import simulation
 from ..operators.quality import content_digest
 from ..operators.relational import upsert
 
@@ -129,3 +131,54 @@ def load_champion(spark: SparkSession, folder: str, name: str):
     from pyspark.ml import PipelineModel
 
     return PipelineModel.load(f"{folder}/{name}/{read_text(spark, f'{folder}/{name}/champion')}")
+
+
+def append_run(rows: DataFrame, folder: str, run_id: str) -> None:
+    """Rows of a run (predictions, recommendations, explanations) in a partition of their own; the same run again replaces it."""
+    rows.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(folder)
+
+
+def run_job(spark: SparkSession, folder: str, run_id: str, work: Callable[[], DataFrame | None]) -> bool:
+    """Does a unit of work and appends its status; a failure is a row (run_id, status, error), not an exception."""
+    try:
+        work()
+        status = ("succeeded", None)
+    except Exception as e:  # noqa: BLE001  whatever it was, the run has failed
+        status = ("failed", f"{type(e).__name__}: {e}"[:2000])
+    spark.createDataFrame([(run_id, *status)], "run_id string, status string, error string").write.mode("append").parquet(folder)
+    return status[0] == "succeeded"
+
+
+SAMPLE_FORMAT = 1
+
+
+def forecast_keys(fixtures: DataFrame, players: DataFrame, runs: int, block: int, seed: int) -> DataFrame:
+    """(match_id, key, expected): the digest of all that a fixture's samples depend on, and how many rows they are."""
+    names = [x.split()[0] for x in simulation.PLAYER.split(", ")]
+    squads = players.groupBy("match_id").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("squad"))
+    told = F.to_json(F.struct(*[x.split()[0] for x in simulation.FIXTURE.split(", ")], "squad", *[F.lit(v).alias(k) for k, v in (("runs", runs), ("block", block), ("seed", seed), ("format", SAMPLE_FORMAT))]))
+    return fixtures.join(squads, "match_id").select("match_id", F.sha2(told, 256).alias("key"), (F.size("squad") * F.lit(runs)).cast("bigint").alias("expected"))
+
+
+def archived_samples(spark: SparkSession, folder: str, fixtures: DataFrame, players: DataFrame, runs: int = 10_000, block: int = 1000, seed: int = 0) -> tuple[DataFrame, int]:
+    """Samples of all fixtures, of which only those are simulated that the archive does not hold; and how many were.
+
+    Each call writes one batch and then, read back, its entries (key, batch,
+    rows), so a batch that was not finished is never read; an entry whose
+    number of rows is wrong counts as missing.
+    """
+    entry = "key string, batch string, rows bigint"
+    listed = lambda: spark.read.schema(entry).parquet(f"{folder}/entries") if exists(spark, f"{folder}/entries") else spark.createDataFrame([], entry)
+    wanted = forecast_keys(fixtures, players, runs, block, seed)
+    good = lambda: wanted.join(listed(), "key").filter("rows = expected").groupBy("match_id", "key").agg(F.min("batch").alias("batch"))
+    missing = wanted.join(good().select("match_id"), "match_id", "left_anti")
+    n = missing.count()
+    if n:
+        batch = uuid.uuid4().hex
+        some = lambda df: df.join(missing.select("match_id"), "match_id", "left_semi")
+        fresh = simulation.simulate(some(fixtures), some(players), runs, block, seed).join(missing.select("match_id", "key"), "match_id")
+        fresh.write.parquet(f"{folder}/samples/batch={batch}")
+        counted = spark.read.parquet(f"{folder}/samples/batch={batch}").groupBy("key").agg(F.count("*").alias("rows"))
+        counted.select("key", F.lit(batch).alias("batch"), "rows").write.mode("append").parquet(f"{folder}/entries")
+    samples = spark.read.schema(f"{simulation.SAMPLE}, key string, batch string").parquet(f"{folder}/samples")
+    return samples.join(good().select("key", "batch"), ["key", "batch"], "left_semi"), n
