@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, language_id, line_dedup, media_chunks, mixing, packing, secrets, simhash, toxicity
+from . import ann, chat, filter_audit, language_id, line_dedup, media_chunks, mixing, packing, secrets, simhash, toxicity
 from .common import table
 
 
@@ -142,10 +142,53 @@ def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, COALESCE(lang, '') AS part, COALESCE(text, '') AS text,
+    LIST_FILTER(STRING_SPLIT_REGEX(COALESCE(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+  FROM documents
+), bits AS (
+  SELECT doc_id, part,
+    [LEN(words) < 100, 100 * LEN(LIST_DISTINCT(words)) < 80 * LEN(words),
+     100 * LENGTH(REGEXP_REPLACE(text, '[^A-Z]', '', 'g')) > 10 * LENGTH(text), REGEXP_MATCHES(text, '[#$%&*|]'),
+     COALESCE(doc_id > MIN(doc_id) OVER (PARTITION BY text), FALSE)] AS fails
+  FROM texts
+), labelled AS (
+  SELECT b.part, b.fails, COALESCE(l.good, FALSE) AS good, COALESCE(l.toxic, FALSE) AS toxic
+  FROM bits b LEFT JOIN (SELECT doc_id, BOOL_OR(COALESCE(quality = 1, FALSE)) AS good, BOOL_OR(COALESCE(toxic = 1, FALSE)) AS toxic FROM labels GROUP BY doc_id) l ON b.doc_id = l.doc_id
+), counts AS (
+  SELECT part, fails, COUNT(*) AS n, COUNT(*) FILTER (WHERE good) AS good, COUNT(*) FILTER (WHERE toxic) AS toxic FROM labelled GROUP BY part, fails
+), orders(filter_order) AS (
+  SELECT '' UNION ALL SELECT filter_order || letter FROM orders, (SELECT UNNEST(['A', 'B', 'C', 'D', 'E']) AS letter) WHERE NOT CONTAINS(filter_order, letter)
+), steps AS (
+  SELECT filter_order, CAST(UNNEST(RANGE(1, 6)) AS INTEGER) AS step FROM orders WHERE LENGTH(filter_order) = 5
+), judged AS (
+  SELECT c.*, s.filter_order, s.step, ASCII(filter_order[s.step]) - 64 AS filter,
+    LIST_BOOL_OR(LIST_TRANSFORM(RANGE(1, s.step), lambda i: c.fails[ASCII(s.filter_order[i]) - 64])) IS TRUE AS gone
+  FROM counts c, steps s
+), told AS (
+  SELECT *, NOT gone AND fails[filter] AS here, fails[filter] AND LEN(LIST_FILTER(fails, lambda f: f)) = 1 AS alone FROM judged
+), summed AS (
+  SELECT part, filter_order, step, filter, COALESCE(SUM(n) FILTER (WHERE NOT gone AND NOT here), 0) AS kept, COALESCE(SUM(n) FILTER (WHERE here), 0) AS removed,
+    COALESCE(SUM(n) FILTER (WHERE gone AND fails[filter]), 0) AS redundant, COALESCE(SUM(n) FILTER (WHERE alone), 0) AS unique_fails,
+    COALESCE(SUM(good) FILTER (WHERE here), 0) AS good_lost, COALESCE(SUM(toxic) FILTER (WHERE here), 0) AS toxic_lost
+  FROM told GROUP BY part, filter_order, step, filter
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(SUM(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley
+FROM summed
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_poisson_mixing": OP4_SQL, "op5_chat_machine": OP5_SQL, "op8_line_windows": OP8_SQL}
+    return {"op4_poisson_mixing": OP4_SQL, "op5_chat_machine": OP5_SQL, "op8_line_windows": OP8_SQL, "op13_filter_audit": OP13_SQL}
