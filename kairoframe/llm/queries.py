@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, filter_audit, language_id, line_dedup, media_chunks, mixing, packing, secrets, simhash, toxicity
+from . import ann, chat, filter_audit, katz, language_id, line_dedup, media_chunks, mixing, packing, secrets, simhash, toxicity
 from .common import table
 
 
@@ -142,6 +142,12 @@ def op10_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op11_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of four fifths of them."""
+    scored = katz.score(table(spark, sf_dir, "documents"), ~katz.held_out())
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
