@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, filter_audit, katz, language_id, line_dedup, media_chunks, mixing, packing, secrets, simhash, toxicity
+from . import ann, chat, collocations, filter_audit, katz, language_id, line_dedup, media_chunks, mixing, packing, secrets, simhash, toxicity
 from .common import table
 
 
@@ -148,6 +148,37 @@ def op11_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT COALESCE(lang, 'und') AS lang, UNNEST(STRING_SPLIT_REGEX(TRANSLATE(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece
+  FROM documents
+), words AS (SELECT lang, LIST_FILTER(STRING_SPLIT_REGEX(piece, '[ 	]+'), lambda w: w <> '') AS w FROM pieces),
+spots AS (SELECT lang, w, UNNEST(RANGE(1, LEN(w) + 1)) AS i FROM words),
+spans AS (SELECT lang, m, ARRAY_TO_STRING(w[i:i + m - 1], ' ') AS phrase FROM spots, (SELECT UNNEST(RANGE(1, 6)) AS m) WHERE i + m - 1 <= LEN(w)),
+f AS (SELECT lang, phrase, m, COUNT(*) AS a FROM spans GROUP BY lang, phrase, m HAVING COUNT(*) >= 100),
+total AS (SELECT lang, SUM(LEN(w)) AS n FROM words GROUP BY lang),
+cuts AS (
+  SELECT c.lang, c.phrase, c.m, c.a, k, STRING_SPLIT(c.phrase, ' ') AS w FROM f c, (SELECT UNNEST(RANGE(1, 5)) AS k) WHERE k < c.m
+), scored AS (
+  SELECT c.lang, c.phrase, c.m, c.a, c.k, x.a AS l, y.a AS r, t.n,
+    CAST(1000 AS HUGEINT) * c.a * CAST(t.n AS HUGEINT) // (CAST(x.a AS HUGEINT) * y.a) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = ARRAY_TO_STRING(c.w[1:c.k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = ARRAY_TO_STRING(c.w[c.k + 1:c.m], ' ') JOIN total t ON t.lang = c.lang
+), lowest AS (SELECT * FROM scored QUALIFY ROW_NUMBER() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+  SELECT * FROM lowest s WHERE NOT EXISTS (
+    SELECT 1 FROM f x WHERE x.lang = s.lang AND x.m > s.m AND 100 * x.a >= 100 * s.a AND CONTAINS(' ' || x.phrase || ' ', ' ' || s.phrase || ' '))
+)
+SELECT lang, CAST(ROW_NUMBER() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY ROW_NUMBER() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -197,4 +228,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_poisson_mixing": OP4_SQL, "op5_chat_machine": OP5_SQL, "op8_line_windows": OP8_SQL, "op13_filter_audit": OP13_SQL}
+    return {"op4_poisson_mixing": OP4_SQL, "op5_chat_machine": OP5_SQL, "op8_line_windows": OP8_SQL, "op12_collocations": OP12_SQL, "op13_filter_audit": OP13_SQL}
