@@ -16,7 +16,7 @@ Candidates are found in three steps, and none is lost on the way:
    automaton, each phrase between two spaces, so that only whole words match.
    The automaton reads the chunk's words and counts all matches, overlapping
    ones included; an automaton is never larger than its chunk.  Counts are
-   summed by part and phrase, and only then is `least` applied.
+   summed by part and phrase in buckets, and only then is `least` applied.
 
 Every cut of a candidate into two gives 1000 a n / (l r), whole numbers only
 (decimals of 38 digits); the lowest counts.  A candidate inside a longer one
@@ -99,9 +99,9 @@ class Phrases:
             h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + self.hash[at + k])
         return [(_mixed(h + np.uint64(2 * r + 1)) % np.uint64(cells)).astype(np.int64) + r * cells for r in range(ROWS)]
 
-    def named(self, lengths: tuple[int, ...]) -> tuple[list[str], np.ndarray]:
-        """The different phrases that are left, as text, and their numbers of words."""
-        found, sizes = [], []
+    def named(self, lengths: tuple[int, ...]) -> list[str]:
+        """The different phrases that are left, as text."""
+        found = []
         words = [w.decode("utf-8", "replace") for w in self.words]
         for n in lengths:
             at = np.flatnonzero(self.left[n])
@@ -110,8 +110,7 @@ class Phrases:
                 _, code = np.unique(code * len(words) + self.ids[at + k], return_inverse=True)
             _, first = np.unique(code, return_index=True)
             found += [" ".join([words[i] for i in self.ids[p : p + n]]) for p in at[first]]
-            sizes += [n] * len(first)
-        return found, np.array(sizes, dtype=np.int32)
+        return found
 
     def text(self) -> str:
         words = ["\n", *(w.decode("utf-8", "replace") for w in self.words[1:])]
@@ -214,14 +213,17 @@ def thinned(chunks: DataFrame, words: DataFrame, buckets: int, least: int) -> Da
     return chunks.select("chunk", "part", "words", "ids").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(thin, STATE)
 
 
-def counted(state: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
-    """(part, phrase, size, a): how often a chunk's automaton finds each of its phrases."""
+def counted(state: DataFrame, lengths: tuple[int, ...], buckets: int, least: int) -> DataFrame:
+    """(part, phrase, size, a): the phrases that the chunks' automata find `least` times in all.
+
+    A chunk sends its counts packed, by bucket of the phrase; buckets add them up.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 phrases = Phrases(row)
-                names, sizes = phrases.named(lengths)
+                names = phrases.named(lengths)
                 if not names:
                     continue
                 automaton = ahocorasick.Automaton()
@@ -229,11 +231,26 @@ def counted(state: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
                     automaton.add_word(f" {name} ", i)
                 automaton.make_automaton()
                 found = np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(phrases.text())), dtype=np.int64), minlength=len(names))
-                for at in range(0, len(names), 20_000):
-                    part = names[at : at + 20_000]
-                    yield pa.RecordBatch.from_pydict({"part": [row["part"]] * len(part), "phrase": part, "size": sizes[at : at + 20_000], "a": found[at : at + 20_000]})
+                names = [name.encode() for name in names]
+                order, sizes = C.dealt(names, row["part"], buckets)
+                cuts = [(k, c) for k, c in enumerate(np.split(order, np.cumsum(sizes)[:-1])) if len(c)]
+                yield pa.RecordBatch.from_pydict({
+                    "bucket": pa.array([k for k, _ in cuts], pa.int64()), "part": [row["part"]] * len(cuts),
+                    "phrases": pa.array([C.pack_words([names[i] for i in c]) for _, c in cuts], pa.binary()), "counts": pa.array([C.pack(found[c]) for _, c in cuts], pa.binary()),
+                })
+
+    def add_up(key: tuple, table: pa.Table) -> pa.Table:
+        totals: dict[str, dict[bytes, int]] = {}
+        for row in table.to_pylist():
+            total = totals.setdefault(row["part"], {})
+            for name, n in zip(C.unpack_words(row["phrases"]), C.unpack(row["counts"]).tolist(), strict=True):
+                total[name] = total.get(name, 0) + n
+        kept = [(part, name.decode(), n) for part, total in totals.items() for name, n in total.items() if n >= least]
+        return pa.table({k: pa.array([x[i] for x in kept], t) for i, (k, t) in enumerate((("part", pa.string()), ("phrase", pa.string()), ("a", pa.int64())))})
 
-    return state.mapInArrow(scan, "part string, phrase string, size int, a bigint")
+    sent = state.mapInArrow(scan, "bucket bigint, part string, phrases binary, counts binary")
+    found = sent.groupBy("bucket").applyInArrow(add_up, "part string, phrase string, a bigint")
+    return found.select("part", "phrase", F.size(F.split("phrase", " ")).alias("size"), "a")
 
 
 def candidates(docs: DataFrame, text: str = "text", part: str = "lang", least: int = 100, longest: int = 5, chunk: int = C.TOKENS, entries: int = C.ENTRIES, cells: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -250,7 +267,7 @@ def candidates(docs: DataFrame, text: str = "text", part: str = "lang", least: i
         if lengths:
             before, state = state, common.staged(sketched(state, lengths, cells, least), "phrase-state")
             common.release(before)
-    found = counted(state, tuple(range(2, longest + 1))).groupBy("part", "phrase", "size").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
+    found = counted(state, tuple(range(2, longest + 1)), max(1, -(-(size.tokens or 0) // (8 * entries))), least)
     out = common.staged(found, "phrases"), common.staged(frequent_words(words, least), "frequent-words")
     common.release(state, words)
     return out
