@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import require, with_defaults
+from . import folds
 from . import temporal as T
 
 #: Prior means and strengths of a referee's smoothed rates.
@@ -29,77 +30,82 @@ LINEAGE = ("player_max_available_at", "team_max_available_at", "opponent_max_ava
 CUTOFF = "prediction_cutoff"
 
 
-def _histories(contexts: DataFrame, history: DataFrame, row: list[str], on: tuple[str, str]) -> DataFrame:
-    """Visible events of each context, one version of each, with recency; equal versions fall to a hash of the row."""
-    key = "_context"
-    tie = F.xxhash64(*history.columns)
-    h = history.withColumn("_tie", tie).withColumnRenamed(on[1], "_key")
-    c = contexts.withColumn(key, F.xxhash64(*row) if len(row) > 1 else F.col(row[0]))
-    return T.history_as_of(c, h, key, [(on[0], "_key")], CUTOFF, "event_time", "available_at", ["event_time"], [F.desc("available_at"), F.col("_tie")], [F.desc("event_time")])
+#: What a team's schedule looks back on, in microseconds.
+CONGESTED = 14 * 86_400_000_000
+_ALL = 1 << 30
 
 
-def _near(r: Column, n: int, value: Column) -> Column:
-    return F.sum(F.when(r <= n, value))
+def _histories(contexts: DataFrame, history: DataFrame, on: tuple[str, str], fields: list[str], limit: int, horizon: int = 0) -> DataFrame:
+    """contexts with their last visible events, one version of each; equal versions fall to a hash of the row."""
+    h = history.withColumn("_tie", F.xxhash64(*history.columns))
+    return folds.recent_as_of(contexts, h, on, CUTOFF, "event_time", "available_at", [F.desc("available_at"), F.col("_tie")], fields, limit, horizon)
 
 
 def player_features(candidates: DataFrame, history: DataFrame) -> DataFrame:
-    found = _histories(candidates.select("snapshot_row_id", "player_id", CUTOFF), history.withColumnRenamed("player_id", "_p"), ["snapshot_row_id"], ("player_id", "_p"))
-    r, m, here = F.col("recency"), F.col("minutes"), F.col("event_statistics_available").cast("int") == 1
-    return found.groupBy("snapshot_row_id").agg(
-        F.count_if(r <= 10).alias("player_history_count"),
-        F.count_if((r <= 10) & here).alias("event_history_count"),
-        *[_near(r, n, m).alias(f"minutes_last_{n}") for n in (1, 3, 5, 10)],
-        _near(r, 5, F.col("started").cast("int")).alias("starts_last_5"),
-        _near(r, 5, F.col("goals")).alias("goals_last_5"),
-        _near(r, 5, F.col("assists")).alias("assists_last_5"),
-        T.ewma(m, r, 10).alias("minutes_ewma_10"),
-        *[T.rate(F.col(c), m, r, n).alias(f"{c}_per90_last_{n}") for c, n in (("xg", 10), ("xa", 10), ("shots", 5), ("tackles", 10), ("interceptions", 10), ("saves", 10))],
-        F.stddev_samp(F.when(r <= 10, m)).alias("minutes_volatility_10"),
-        T.trend(m.cast("double"), r, 5).alias("minutes_trend_5"),
-        F.max("available_at").alias("player_max_available_at"),
+    fields = ["minutes", "started", "event_statistics_available", *PLAYER_METRICS]
+    found = _histories(candidates.select("snapshot_row_id", "player_id", CUTOFF), history, ("player_id", "player_id"), fields, 10)
+    found = found.withColumns({"_m5": T.array_moments("recent", "minutes", 5), "_m10": T.array_moments("recent", "minutes", 10)})
+    played = "bigint" if dict(history.dtypes)["minutes"] in ("tinyint", "smallint", "int", "bigint") else "double"
+    return found.select(
+        "snapshot_row_id",
+        T.array_count("recent", 10).alias("player_history_count"),
+        T.array_count("recent", 10, lambda x: x["event_statistics_available"].cast("int") == 1).alias("event_history_count"),
+        *[T.array_sum("recent", "minutes", n).cast(played).alias(f"minutes_last_{n}") for n in (1, 3, 5, 10)],
+        T.array_sum("recent", "started", 5).cast("bigint").alias("starts_last_5"),
+        T.array_sum("recent", "goals", 5).alias("goals_last_5"),
+        T.array_sum("recent", "assists", 5).alias("assists_last_5"),
+        T.array_ewma("recent", "minutes", 10).alias("minutes_ewma_10"),
+        *[T.array_rate("recent", c, "minutes", n).alias(f"{c}_per90_last_{n}") for c, n in (("xg", 10), ("xa", 10), ("shots", 5), ("tackles", 10), ("interceptions", 10), ("saves", 10))],
+        T.moments_stddev(F.col("_m10")).alias("minutes_volatility_10"),
+        T.moments_trend(F.col("_m5")).alias("minutes_trend_5"),
+        F.col("known").alias("player_max_available_at"),
     )
 
 
 def team_features(candidates: DataFrame, history: DataFrame) -> DataFrame:
     contexts = candidates.select("team_id", CUTOFF, "kickoff_at").distinct()
-    found = _histories(contexts, history.drop("referee_id").withColumnRenamed("team_id", "_t"), ["team_id", CUTOFF, "kickoff_at"], ("team_id", "_t"))
-    r = F.col("recency")
-    recent = F.col("event_time") >= F.col(CUTOFF) - F.expr("INTERVAL '14' DAY")
-    return found.groupBy("team_id", CUTOFF, "kickoff_at").agg(
-        F.count_if(r <= 10).alias("team_history_count"),
-        _near(r, 5, F.col("goals_for")).alias("team_goals_for_last_5"),
-        _near(r, 5, F.col("goals_against")).alias("team_goals_against_last_5"),
-        T.ewma(F.col("xg_for"), r, 10).alias("team_xg_for_ewma_10"),
-        T.ewma(F.col("xg_against"), r, 10).alias("team_xg_against_ewma_10"),
-        F.datediff(F.max("kickoff_at"), F.max("event_time")).alias("rest_days"),
-        F.count_if(recent).alias("schedule_congestion_14d"),
-        F.max("available_at").alias("team_max_available_at"),
+    found = _histories(contexts, history, ("team_id", "team_id"), ["goals_for", "goals_against", "xg_for", "xg_against"], 10, CONGESTED)
+    lately = F.col(CUTOFF) - F.expr("INTERVAL '14' DAY")
+    return found.select(
+        "team_id",
+        CUTOFF,
+        "kickoff_at",
+        T.array_count("recent", 10).alias("team_history_count"),
+        T.array_sum("recent", "goals_for", 5).alias("team_goals_for_last_5"),
+        T.array_sum("recent", "goals_against", 5).alias("team_goals_against_last_5"),
+        T.array_ewma("recent", "xg_for", 10).alias("team_xg_for_ewma_10"),
+        T.array_ewma("recent", "xg_against", 10).alias("team_xg_against_ewma_10"),
+        F.datediff("kickoff_at", F.get("recent", 0)["event_time"]).alias("rest_days"),
+        T.array_count("recent", _ALL, lambda x: x["event_time"] >= lately).alias("schedule_congestion_14d"),
+        F.col("known").alias("team_max_available_at"),
     )
 
 
 def opponent_features(candidates: DataFrame, history: DataFrame) -> DataFrame:
     contexts = candidates.select("opponent_team_id", CUTOFF).distinct()
-    found = _histories(contexts, history.drop("referee_id").withColumnRenamed("team_id", "_t"), ["opponent_team_id", CUTOFF], ("opponent_team_id", "_t"))
-    r = F.col("recency")
-    return found.groupBy("opponent_team_id", CUTOFF).agg(
-        F.count_if(r <= 10).alias("opponent_history_count"),
-        _near(r, 5, F.col("goals_for")).alias("opponent_goals_for_last_5"),
-        _near(r, 5, F.col("goals_against")).alias("opponent_goals_against_last_5"),
-        T.ewma(F.col("xg_against"), r, 10).alias("opponent_xg_against_ewma_10"),
-        F.max("available_at").alias("opponent_max_available_at"),
+    found = _histories(contexts, history, ("opponent_team_id", "team_id"), ["goals_for", "goals_against", "xg_against"], 10)
+    return found.select(
+        "opponent_team_id",
+        CUTOFF,
+        T.array_count("recent", 10).alias("opponent_history_count"),
+        T.array_sum("recent", "goals_for", 5).alias("opponent_goals_for_last_5"),
+        T.array_sum("recent", "goals_against", 5).alias("opponent_goals_against_last_5"),
+        T.array_ewma("recent", "xg_against", 10).alias("opponent_xg_against_ewma_10"),
+        F.col("known").alias("opponent_max_available_at"),
     )
 
 
 def referee_features(candidates: DataFrame, history: DataFrame) -> DataFrame:
     contexts = candidates.filter("referee_id IS NOT NULL").select("referee_id", CUTOFF).distinct()
-    found = _histories(contexts, history.withColumnRenamed("referee_id", "_r"), ["referee_id", CUTOFF], ("referee_id", "_r"))
-    near = F.col("recency") <= 20
-    n = F.count_if(near).cast("double")
-    return found.groupBy("referee_id", CUTOFF).agg(
-        F.count_if(near).alias("referee_history_count"),
-        T.smoothed(F.sum(F.when(near, F.col("cards"))), n, CARDS_PRIOR, CARDS_STRENGTH).alias("referee_cards_per_match_20"),
-        T.smoothed(F.sum(F.when(near, F.col("penalties"))), n, PENALTIES_PRIOR, PENALTIES_STRENGTH).alias("referee_penalties_per_match_20"),
-        F.max("available_at").alias("referee_max_available_at"),
+    found = _histories(contexts, history, ("referee_id", "referee_id"), ["cards", "penalties"], 20)
+    n = T.array_count("recent", 20).cast("double")
+    return found.select(
+        "referee_id",
+        CUTOFF,
+        T.array_count("recent", 20).alias("referee_history_count"),
+        T.smoothed(T.array_sum("recent", "cards", 20), n, CARDS_PRIOR, CARDS_STRENGTH).alias("referee_cards_per_match_20"),
+        T.smoothed(T.array_sum("recent", "penalties", 20), n, PENALTIES_PRIOR, PENALTIES_STRENGTH).alias("referee_penalties_per_match_20"),
+        F.col("known").alias("referee_max_available_at"),
     )
 
 

@@ -8,7 +8,7 @@ for its availability.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -221,6 +221,21 @@ def array_ewma(recent: str, field: str, limit: int, decay: float = DECAY) -> Col
     return F.when(F.size(pairs) > 0, total["n"] / total["d"])
 
 
+def array_rate(recent: str, value: str, exposure: str, limit: int, per: float = 90.0) -> Column:
+    """per * sum(value) / sum(exposure) over the first `limit` elements whose value is known."""
+    zero = F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("e"))
+    near = F.filter(F.slice(recent, 1, limit), lambda x: x[value].isNotNull())
+    add = lambda a, x: F.struct((a["v"] + x[value].cast("double")).alias("v"), (a["e"] + F.coalesce(x[exposure].cast("double"), F.lit(0.0))).alias("e"))
+    total = F.aggregate(near, zero, add)
+    return F.when(F.size(near) > 0, F.lit(per) * total["v"] / F.nullif(total["e"], F.lit(0.0)))
+
+
+def array_count(recent: str, limit: int, condition: Callable[[Column], Column] | None = None) -> Column:
+    """How many of the first `limit` elements there are, or how many meet a condition."""
+    near = F.slice(recent, 1, limit)
+    return F.size(near if condition is None else F.filter(near, lambda x: F.coalesce(condition(x), F.lit(False)))).cast("bigint")
+
+
 def array_moments(recent: str, field: str, limit: int) -> Column:
     """Count and sums about the first value (y) and of the recency (x) over the known values, in one pass."""
     zero = F.struct(*[F.lit(0.0).alias(k) for k in ("i", "n", "first", "y", "yy", "x", "xx", "xy")])

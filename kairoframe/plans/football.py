@@ -39,7 +39,7 @@ def _histories(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Data
         F.max(F.when(k % 2 == 0, (k % 20) / 10.0)).alias("xg_for"), F.max((k % 30) / 10.0).alias("xg_against"), F.max(k % 6).cast("double").alias("cards"), F.max(F.when(k % 5 != 0, (k % 2).cast("double"))).alias("penalties"),
         F.concat(F.lit("r"), F.first("nation") % 5).alias("referee_id"),
     )
-    candidates = o.filter(k % 7 == 3).select(
+    candidates = o.select(
         k.cast("string").alias("snapshot_row_id"), "player_id", F.concat(F.lit("t"), "nation").alias("team_id"), F.concat(F.lit("t"), (F.col("nation") + 1) % 25).alias("opponent_team_id"), k.alias("match_id"), F.col("o_orderdate").alias("prediction_cutoff"),
         (F.col("o_orderdate") + F.expr("INTERVAL '30' HOUR")).alias("kickoff_at"), (k % 2).cast("int").alias("home_flag"), F.when(k % 4 != 0, F.concat(F.lit("r"), F.col("nation") % 5)).alias("referee_id"),
     )
@@ -51,7 +51,7 @@ WITH o AS (SELECT o_orderkey AS k, CAST(o_custkey AS VARCHAR) AS player, c_natio
 ph AS (SELECT player, d, d + INTERVAL 1 DAY * (2 + 20 * v) AS known, MAX({'minutes': m - v * (k % 2), 'started': k % 3 = 0, 'here': CAST(k % 5 <> 0 AS INT), 'goals': (k % 4 + v)::DOUBLE, 'assists': CASE WHEN k % 7 <> 0 THEN (k % 2)::DOUBLE END,
   'xg': CASE WHEN k % 3 <> 1 THEN (k % 10) / 10.0::DOUBLE END, 'shots': (k % 6)::DOUBLE, 'tackles': (k % 5)::DOUBLE, 'interceptions': CASE WHEN k % 2 = 0 THEN (k % 3)::DOUBLE END}) AS x FROM o, (VALUES (0), (1)) t(v) GROUP BY ALL),
 th AS (SELECT n, d, d + INTERVAL 1 DAY AS known, MAX(k % 4)::DOUBLE AS gf, MIN(k % 3)::DOUBLE AS ga, MAX(CASE WHEN k % 2 = 0 THEN (k % 20) / 10.0::DOUBLE END) AS xf, MAX((k % 30) / 10.0::DOUBLE) AS xa FROM o GROUP BY n, d),
-c AS (SELECT * FROM o WHERE k % 7 = 3),
+c AS (SELECT * FROM o),
 weights AS (SELECT LIST(EXP(-0.35::DOUBLE * i) ORDER BY i) AS w FROM RANGE(10) t(i)),
 pv AS (SELECT c.k, h.d, ARG_MAX(h.x, h.known) AS x, MAX(h.known) AS seen FROM c JOIN ph h ON h.player = c.player AND h.d < c.d AND h.known <= c.d GROUP BY c.k, h.d),
 pl AS (SELECT k, LIST(x ORDER BY d DESC)[1:10] AS l, MAX(seen) AS seen FROM pv GROUP BY k),
@@ -96,10 +96,10 @@ def snapshot_teams(spark: SparkSession, sf: str) -> DataFrame:
 WITH o AS (SELECT o_orderkey AS k, c_nationkey AS n, o_orderdate AS d FROM orders JOIN customer ON o_custkey = c_custkey),
 t AS (SELECT n, 'r' || (n % 5) AS r, d, MAX(k % 6)::DOUBLE AS cards, MAX(CASE WHEN k % 5 <> 0 THEN (k % 2)::DOUBLE END) AS pens FROM o GROUP BY n, d),
 h AS (SELECT r, d, CASE WHEN COUNT(*) = 2 AND COUNT(cards) = 2 THEN SUM(cards) END AS cards, CASE WHEN COUNT(*) = 2 AND COUNT(pens) = 2 THEN SUM(pens) END AS pens FROM t GROUP BY r, d),
-c AS (SELECT k, d, 'r' || (n % 5) AS r FROM o WHERE k % 7 = 3 AND k % 4 <> 0),
+c AS (SELECT k, d, 'r' || (n % 5) AS r FROM o WHERE k % 4 <> 0),
 l AS (SELECT c.k, LIST({'c': h.cards, 'p': h.pens} ORDER BY h.d DESC)[1:20] AS l FROM c JOIN h ON h.r = c.r AND h.d < c.d AND h.d + INTERVAL 1 DAY <= c.d GROUP BY c.k)
 SELECT CAST(o.k AS VARCHAR) AS snapshot_row_id, COALESCE(LEN(l), 0) AS n, ROUND((LIST_SUM(LIST_TRANSFORM(l, lambda x: x.c)) + 22.5::DOUBLE) / (LEN(l) + 5), 6) AS cards, ROUND((LIST_SUM(LIST_TRANSFORM(l, lambda x: x.p)) + 2.5::DOUBLE) / (LEN(l) + 10), 6) AS penalties
-FROM o LEFT JOIN l ON l.k = o.k WHERE o.k % 7 = 3""")
+FROM o LEFT JOIN l ON l.k = o.k""")
 def snapshot_referees(spark: SparkSession, sf: str) -> DataFrame:
     """Referees' histories are derived from the two teams' rows."""
     out = P.build(*_histories(spark, sf))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import folds
 from ..operators import temporal as T
-from ..sources.tables import table
+from ..sources.tables import staged, table
 from .catalog import register
 
 
@@ -43,8 +44,13 @@ def _history(kind: str, on: str, key: str, limit: int) -> str:
   QUALIFY r <= {limit})"""
 
 
+def _recent(contexts: DataFrame, events: DataFrame, key: str, of: str, fields: list[str], limit: int) -> DataFrame:
+    """The last orders of a key before each context's cutoff."""
+    return folds.recent_as_of(contexts, events, (key, of), "cutoff", "cutoff", None, [], fields, limit, tiebreak="row_id")
+
+
 def customer_features(candidates: DataFrame) -> DataFrame:
-    found = T.recent_before(candidates, candidates, ("customer", "customer"), "cutoff", "cutoff", "row_id", ["price"], 10)
+    found = _recent(candidates, candidates, "customer", "customer", ["price"], 10)
     found = found.withColumns({"_m5": T.array_moments("recent", "price", 5), "_m10": T.array_moments("recent", "price", 10)})
     return found.select(
         "row_id",
@@ -54,7 +60,7 @@ def customer_features(candidates: DataFrame) -> DataFrame:
         _r(T.array_ewma("recent", "price", 10)).alias("price_ewma_10"),
         _r(T.moments_trend(F.col("_m5"))).alias("price_trend_5"),
         _r(T.moments_stddev(F.col("_m10"))).alias("price_volatility_10"),
-        F.get("recent", 0)["t"].alias("customer_max_available_at"),
+        F.get("recent", 0)["event_time"].alias("customer_max_available_at"),
     )
 
 
@@ -75,23 +81,21 @@ def pit_customer_order_history(spark: SparkSession, sf: str) -> DataFrame:
 def nation_features(candidates: DataFrame) -> DataFrame:
     """Context features once for each (nation, cutoff): many orders share them."""
     contexts = candidates.select("nation", "cutoff").distinct()
-    found = T.recent_before(contexts, candidates, ("nation", "nation"), "cutoff", "cutoff", "row_id", ["price"], 10)
-    from pyspark.sql import Window
-
-    micros = F.unix_micros(F.col("cutoff").cast("timestamp"))
-    days = 14 * 86_400_000_000
-    per_time = candidates.groupBy("nation", "cutoff").agg(F.count("*").alias("n")).withColumn("us", micros)
-    before = Window.partitionBy("nation").orderBy("us").rangeBetween(-days, -1)
-    counted = per_time.select("nation", "cutoff", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("congestion_14d"))
-    return found.join(counted, ["nation", "cutoff"]).select(
+    # A context asks twice: at its cutoff, and 14 days before, for how many orders there were by then.
+    asks = contexts.select("nation", F.col("cutoff").alias("at"), F.explode(F.array(F.lit(0), F.lit(14))).alias("ago"))
+    asks = asks.select("nation", "at", "ago", (F.col("at") - F.make_dt_interval(F.col("ago"))).alias("cutoff"))
+    told = _recent(asks, candidates, "nation", "nation", ["price"], 10)
+    now = F.col("ago") == 0
+    found = told.groupBy("nation", F.col("at").alias("cutoff")).agg(F.first(F.when(now, F.col("recent")), ignorenulls=True).alias("recent"), F.sum(F.when(now, F.col("events")).otherwise(-F.col("events"))).alias("congestion_14d"))
+    return found.select(
         "nation",
         "cutoff",
         F.size("recent").cast("bigint").alias("nation_history_count"),
         _r(T.array_sum("recent", "price", 5)).alias("nation_price_last_5"),
         _r(T.array_ewma("recent", "price", 10)).alias("nation_price_ewma_10"),
-        F.datediff(F.col("cutoff"), F.get("recent", 0)["t"]).cast("bigint").alias("rest_days"),
+        F.datediff(F.col("cutoff"), F.get("recent", 0)["event_time"]).cast("bigint").alias("rest_days"),
         "congestion_14d",
-        F.get("recent", 0)["t"].alias("nation_max_available_at"),
+        F.get("recent", 0)["event_time"].alias("nation_max_available_at"),
     )
 
 
@@ -123,14 +127,14 @@ def pit_context_nation(spark: SparkSession, sf: str) -> DataFrame:
 
 def opponent_features(candidates: DataFrame) -> DataFrame:
     contexts = candidates.select("opponent", "cutoff").distinct()
-    found = T.recent_before(contexts, candidates, ("opponent", "nation"), "cutoff", "cutoff", "row_id", ["price"], 10)
+    found = _recent(contexts, candidates, "opponent", "nation", ["price"], 10)
     return found.select(
         "opponent",
         "cutoff",
         F.size("recent").cast("bigint").alias("opponent_history_count"),
         _r(T.array_sum("recent", "price", 5)).alias("opponent_price_last_5"),
         _r(T.array_ewma("recent", "price", 10)).alias("opponent_price_ewma_10"),
-        F.get("recent", 0)["t"].alias("opponent_max_available_at"),
+        F.get("recent", 0)["event_time"].alias("opponent_max_available_at"),
     )
 
 
@@ -154,13 +158,13 @@ def desk_features(candidates: DataFrame) -> DataFrame:
     """Share of large orders at the desk, smoothed towards a prior; a null desk matches nothing."""
     contexts = candidates.select("desk", "cutoff").distinct()
     large = candidates.withColumn("large", (F.col("price") > 400_000).cast("double"))
-    found = T.recent_before(contexts, large, ("desk", "desk"), "cutoff", "cutoff", "row_id", ["large"], DESK_EVENTS)
+    found = _recent(contexts, large, "desk", "desk", ["large"], DESK_EVENTS)
     return found.select(
         "desk",
         "cutoff",
         F.size("recent").cast("bigint").alias("desk_history_count"),
         _r(T.smoothed(T.array_sum("recent", "large", DESK_EVENTS), F.size("recent").cast("double"), DESK_PRIOR, DESK_STRENGTH)).alias("desk_large_rate_20"),
-        F.get("recent", 0)["t"].alias("desk_max_available_at"),
+        F.get("recent", 0)["event_time"].alias("desk_max_available_at"),
     )
 
 
@@ -183,6 +187,7 @@ COUNTS = ("history_count", "nation_history_count", "opponent_history_count", "de
 
 def full_snapshot(candidates: DataFrame) -> DataFrame:
     """All features of every candidate; counts and sums are zero where there is no history, rates stay null."""
+    candidates = staged(candidates, "candidates")  # five feature families read them
     desks = desk_features(candidates).withColumnsRenamed({"desk": "_desk", "cutoff": "_at"})
     joined = (
         candidates.join(customer_features(candidates), "row_id", "left")
@@ -240,12 +245,12 @@ def pit_bitemporal_shipments(spark: SparkSession, sf: str) -> DataFrame:
     )
     candidates = orders.select(F.col("o_orderkey").alias("row_id"), "o_custkey", F.col("o_orderdate").alias("cutoff"))
     newest = [F.desc(c) for c in ("available_at", "h_order", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
-    found = T.history_as_of(candidates, history, "row_id", [("o_custkey", "h_cust")], "cutoff", "event_time", "available_at", ["event_time"], newest, [F.desc("event_time")])
-    r, price, quantity = F.col("recency"), F.col("l_extendedprice"), F.col("l_quantity")
-    return found.groupBy("row_id").agg(
-        F.count("*").alias("events"),
-        F.round(F.sum(F.when(r <= 5, price)), 4).alias("value_last_5"),
-        _r(T.rate(price, quantity, r, 10), 6).alias("value_per_90_units_10"),
-        _r(T.ewma(quantity, r, 10)).alias("quantity_ewma_10"),
-        F.max("available_at").alias("max_available_at"),
+    found = folds.recent_as_of(candidates, history, ("o_custkey", "h_cust"), "cutoff", "event_time", "available_at", newest, ["l_quantity", "l_extendedprice"], 10)
+    return found.filter("events > 0").select(
+        "row_id",
+        "events",
+        F.round(T.array_sum("recent", "l_extendedprice", 5), 4).alias("value_last_5"),
+        _r(T.array_rate("recent", "l_extendedprice", "l_quantity", 10), 6).alias("value_per_90_units_10"),
+        _r(T.array_ewma("recent", "l_quantity", 10)).alias("quantity_ewma_10"),
+        F.col("known").alias("max_available_at"),
     )

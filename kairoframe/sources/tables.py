@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -135,3 +136,23 @@ def shared_folder(spark: SparkSession) -> str:
         folder = f"file://{tempfile.mkdtemp(prefix='kairoframe-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
+
+
+#: Folders that this process has staged and not released, by application.
+_staged: dict[str, set[str]] = {}
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Writes df to the shared folder and reads it back: the lineage ends at a table that outlives any executor."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/kairoframe/{name}-{uuid.uuid4().hex}"
+    _staged.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release_staged(spark: SparkSession) -> None:
+    """Deletes what `staged` has written for this application; call it when the results that read it have been written."""
+    for path in _staged.pop(spark.sparkContext.applicationId, ()):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
