@@ -9,14 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from . import similarity
 
 #: Thresholds of the decision about the best candidate.
 RESOLVED, CONSIDERED, MARGIN = 0.87, 0.70, 0.04
 
 
-def identity_score(query_name: Column, candidate_name: Column, extra: Column | None = None) -> Column:
-    """0.82 for equal normalized names, else 0.70 times their similarity, with evidence added, within [0, 1], to 6 places."""
-    base = F.when(query_name == candidate_name, 0.82).otherwise(0.70 * S.similarity(query_name, candidate_name))
+def identity_score(query_name: Column, candidate_name: Column, extra: Column | None = None, alike: Column | None = None) -> Column:
+    """0.82 for equal normalized names, else 0.70 times their similarity (`alike` if it is known), with evidence added, within [0, 1], to 6 places."""
+    base = F.when(query_name == candidate_name, 0.82).otherwise(0.70 * (S.similarity(query_name, candidate_name) if alike is None else alike))
     return F.round(S.clip(base + (F.lit(0.0) if extra is None else extra), 0.0, 1.0), 6)
 
 
@@ -33,6 +34,59 @@ def decide(scored: DataFrame, query: str, candidate: str, score: str = "score")
     return best.withColumn("decision", F.when(F.col(score) < CONSIDERED, "unresolved").when(close, "ambiguous").otherwise("resolved"))
 
 
+#: The evidence beside the name: (column, gain where it agrees, loss where it does not, what agreement is called).
+IDENTITY_EVIDENCE = (("born", 0.14, 0.30, "date_of_birth_match"), ("nationality", 0.03, 0.02, "nationality_match"), ("team", 0.08, 0.05, "temporal_team_match"), ("position", 0.02, 0.0, "position_match"))
+
+
+def resolve_identities(queries: DataFrame, candidates: DataFrame, query: str, candidate: str, mapping: DataFrame | None = None, k: int = 5) -> DataFrame:
+    """(query, status, selected, confidence, method, candidates): who each query is.
+
+    queries: `query`, name, born, nationality, team, day, position; candidates:
+    `candidate`, name, born, nationality, team, valid_from, valid_to, position.
+    Names are normalized, what is not known is null.  A team counts for a
+    candidate within its validity (both ends included, open ones too) and
+    against one of another team.  mapping: (query, candidate) known before; if
+    its candidate is among them, it is the one.  candidates: the k best, each
+    with its confidence and evidence.  Names are searched by the edit-distance
+    join, so not every query meets every candidate.
+    """
+    both = lambda x: F.col(x).isNotNull() & F.col(f"_{x}").isNotNull()
+    in_time = F.col("day").isNull() | ((F.col("_valid_from").isNull() | (F.col("_valid_from") <= F.col("day"))) & (F.col("_valid_to").isNull() | (F.col("_valid_to") >= F.col("day"))))
+    agrees = {x: F.col(x) == F.col(f"_{x}") for x, *_ in IDENTITY_EVIDENCE} | {"nationality": F.lower("nationality") == F.lower("_nationality")}
+    extra = F.lit(0.0)
+    for x, gain, loss, _ in IDENTITY_EVIDENCE:
+        counts = F.when(agrees[x] & (in_time if x == "team" else F.lit(True)), gain).when(~agrees[x], -loss).otherwise(0.0)
+        extra = extra + F.when(both(x), counts).otherwise(0.0)
+    most = sum(gain for _, gain, _, _ in IDENTITY_EVIDENCE)
+    evidence, facts = ["born", "nationality", "team", "day", "position"], ["born", "nationality", "team", "valid_from", "valid_to", "position"]
+    near = similarity.nearest(queries, candidates, query, candidate, "name", evidence, lambda a, b, alike: identity_score(a, b, extra, alike), lambda s: 0.70 * s + most, k, facts=facts)
+    named = candidates.select(candidate, *[F.col(x).alias(f"_{x}") for x in ("name", *facts)])
+    told = near.join(named, candidate).join(queries.select(query, "name", *evidence), query)
+    labels = [F.when(F.col("name") == F.col("_name"), "exact_normalized_name").otherwise("fuzzy_name"), F.when(both("born") & ~agrees["born"], "date_of_birth_conflict")]
+    labels += [F.when(both(x) & agrees[x] & (in_time if x == "team" else F.lit(True)), label) for x, _, _, label in IDENTITY_EVIDENCE]
+    entry = F.struct((-F.col("score")).alias("_order"), F.col(candidate).alias("candidate"), F.col("score").alias("confidence"), F.array_sort(F.array_compact(F.array(*labels))).alias("evidence"))
+    ranked = told.groupBy(query).agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: F.struct(x["candidate"].alias("candidate"), x["confidence"].alias("confidence"), x["evidence"].alias("evidence"))).alias("candidates"))
+    out = queries.select(query).join(ranked, query, "left")
+    best, second = F.get("candidates", 0), F.get("candidates", 1)
+    confidence = F.coalesce(best["confidence"], F.lit(0.0))
+    close = (confidence < RESOLVED) | (second.isNotNull() & (confidence - second["confidence"] <= MARGIN))
+    status = F.when(confidence < CONSIDERED, "unresolved").when(close, "ambiguous").otherwise("resolved")
+    method = F.when(F.array_contains(best["evidence"], "temporal_team_match"), "temporal_context").when(F.array_contains(best["evidence"], "exact_normalized_name"), "exact").otherwise("fuzzy")
+    known = F.lit(None)
+    if mapping is not None:
+        owned = mapping.select(F.col(query), F.col(candidate).alias("_mapped")).join(candidates.select(F.col(candidate).alias("_mapped")), "_mapped", "left_semi")
+        out, known = out.join(owned, query, "left"), F.col("_mapped")
+    settled = F.when(known.isNotNull(), "resolved").otherwise(status)
+    return out.select(
+        query,
+        settled.alias("status"),
+        F.when(known.isNotNull(), known).when(status == "resolved", best["candidate"]).alias("selected"),
+        F.when(known.isNotNull(), 1.0).otherwise(confidence).alias("confidence"),
+        F.when(known.isNotNull(), "existing_mapping").when(status == "resolved", method).alias("method"),
+        F.when(known.isNotNull(), F.array(F.struct(known.cast(dict(candidates.dtypes)[candidate]).alias("candidate"), F.lit(1.0).alias("confidence"), F.array(F.lit("existing_provider_mapping")).alias("evidence")))).otherwise(F.coalesce("candidates", F.filter("candidates", lambda x: F.lit(False)))).alias("candidates"),
+    )
+
+
 def redirects(df: DataFrame, key: str, same: Sequence[Column]) -> DataFrame:
     """(old, new) for the keys that stand for what a smaller key already stands for."""
     grouped = df.withColumn("new", F.min(key).over(Window.partitionBy(*same)))

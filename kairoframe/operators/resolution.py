@@ -14,34 +14,48 @@ FINAL = ("finished", "awarded", "forfeited")
 
 
 def new_id(*parts: Column) -> Column:
-    """An id that the parts alone decide."""
-    return F.concat(F.lit("new-"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16))
+    """An id that the parts alone decide; a missing part is not an empty one, and bars within parts are kept apart."""
+    marked = [F.coalesce(F.replace(F.replace(p.cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), F.lit("\\0")) for p in parts]
+    return F.concat(F.lit("new-"), F.substring(F.sha2(F.concat_ws("|", *marked), 256), 1, 16))
 
 
 def get_or_create(incoming: DataFrame, known: DataFrame, name: str, key: str, known_name: str) -> DataFrame:
-    """incoming with `key` and `state`: found, created, or blocked where several known rows have the name."""
-    owners = known.groupBy(F.col(known_name).alias("_name")).agg(F.count("*").alias("_n"), F.min(key).alias("_key"))
+    """incoming with `key` and `state`: found, created, or blocked where several known entities have the name.
+
+    Known rows that repeat a key are one entity.  Rows without a name are
+    nobody in particular: they get no key and the state `unnamed`.
+    """
+    owners = known.filter(F.col(known_name).isNotNull()).groupBy(F.col(known_name).alias("_name")).agg(F.count_distinct(key).alias("_n"), F.min(key).alias("_key"))
     joined = incoming.join(owners, incoming[name] == owners["_name"], "left")
-    state = F.when(F.col("_n") > 1, "blocked").when(F.col("_n") == 1, "found").otherwise("created")
-    made = F.when(F.col("_n") == 1, F.col("_key").cast("string")).when(F.col("_n").isNull(), new_id(F.col(name)))
-    return joined.select(*[incoming[c] for c in incoming.columns], made.alias(key), state.alias("state"))
+    state = F.when(incoming[name].isNull(), "unnamed").when(F.col("_n") > 1, "blocked").when(F.col("_n") == 1, "found").otherwise("created")
+    made = F.when(F.col("_n") == 1, F.col("_key").cast("string")).when(F.col("_n").isNull() & incoming[name].isNotNull(), new_id(incoming[name]))
+    return joined.select(*[incoming[c] for c in incoming.columns if c not in (key, "state")], made.alias(key), state.alias("state"))
 
 
 def players_get_or_create(incoming: DataFrame, known: DataFrame, fixture: str = "match_id", team: str = "team_id", name: str = "name", key: str = "player_id") -> DataFrame:
     """incoming with `key`, `state` and `review`.
 
     A known player of the same fixture and team whose name corroborates is the
-    one, if no second one does; otherwise a new player is made, to be reviewed
-    if the fixture has a corroborating name twice or the name's last word once.
+    one, if no second player does; otherwise a new player is made, to be
+    reviewed if the fixture has a corroborating name twice or the name's last
+    word once.  What is decided is the same for all rows of a fixture, team and
+    name, so it is decided once for each and joined to the rows, repeated ones
+    included; known rows that repeat a player are one.  Rows without a name
+    get no key and the state `unnamed`.
     """
-    cast = known.select(F.col(fixture).alias("_f"), F.col(team).alias("_t"), F.col(name).alias("_name"), F.col(key).cast("string").alias("_key"))
-    pairs = incoming.join(cast, (incoming[fixture] == cast["_f"]) & (incoming[team] == cast["_t"]), "left")
-    fits = S.corroborated(F.col(name), F.col("_name"))
-    surname = F.element_at(F.split(F.col(name), " "), -1) == F.element_at(F.split("_name", " "), -1)
-    grouped = pairs.groupBy(*[incoming[c] for c in incoming.columns]).agg(F.count_if(fits).alias("_fits"), F.min(F.when(fits, F.col("_key"))).alias("_key"), F.count_if(surname).alias("_like"))
-    one = F.col("_fits") == 1
-    review = F.when(~one & (F.col("_fits") > 1), "same name").when(~one & (F.col("_like") > 0), "same surname")
-    return grouped.select(*incoming.columns, F.when(one, F.col("_key")).otherwise(new_id(F.col(fixture), F.col(team), F.col(name))).alias(key), F.when(one, "found").otherwise("created").alias("state"), review.alias("review"))
+    cast = known.select(F.col(fixture).alias("_f"), F.col(team).alias("_t"), F.col(name).alias("_name"), F.col(key).cast("string").alias("_key")).distinct()
+    asked = incoming.select(F.col(fixture).alias("_if"), F.col(team).alias("_it"), F.col(name).alias("_in")).filter("_in IS NOT NULL").distinct()
+    pairs = asked.join(cast, (F.col("_if") == F.col("_f")) & (F.col("_it") == F.col("_t")), "left")
+    fits = F.coalesce(S.corroborated(F.col("_in"), F.col("_name")), F.lit(False))
+    surname = F.element_at(F.split("_in", " "), -1) == F.element_at(F.split("_name", " "), -1)
+    judged = pairs.groupBy("_if", "_it", "_in").agg(F.count_distinct(F.when(fits, F.col("_key"))).alias("_fits"), F.min(F.when(fits, F.col("_key"))).alias("_one"), F.count_if(surname).alias("_like"))
+    same = incoming[fixture].eqNullSafe(judged["_if"]) & incoming[team].eqNullSafe(judged["_it"]) & (incoming[name] == judged["_in"])
+    joined = incoming.join(judged, same, "left")
+    named, one = F.col("_in").isNotNull(), F.col("_fits") == 1
+    state = F.when(~named, "unnamed").when(one, "found").otherwise("created")
+    made = F.when(one, F.col("_one")).when(named, new_id(F.col("_if"), F.col("_it"), F.col("_in")))
+    review = F.when(named & ~one & (F.col("_fits") > 1), "same name").when(named & ~one & (F.col("_like") > 0), "same surname")
+    return joined.select(*[incoming[c] for c in incoming.columns if c not in (key, "state", "review")], made.alias(key), state.alias("state"), review.alias("review"))
 
 
 def matches_get_or_create(incoming: DataFrame, known: DataFrame, mapping: DataFrame, sides: Sequence[str], kickoff: str, scores: Sequence[str], key: str = "match_id", record: str = "record_id", days: int = 21) -> DataFrame:

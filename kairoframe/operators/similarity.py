@@ -20,12 +20,17 @@ candidate that is still unseen could reach its k-th best.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import staged
+
 #: Similarities down to which the rounds of `nearest` look; queries that are open after the last meet every candidate.
 ROUNDS = (0.8, 0.6, 0.4, 0.2)
+#: Parts of the candidates that an open query meets after the last round.
+BLOCKS = 16
 
 
 def _edits(length: str, least: float) -> str:
@@ -34,26 +39,26 @@ def _edits(length: str, least: float) -> str:
 
 
 def _segments(texts: DataFrame, least: float) -> DataFrame:
-    """(t, L, i, s): the segments of every text; the last ones are longer by one where it does not divide."""
-    e = texts.filter("length(t) > 0").selectExpr("t", "length(t) as L", f"{_edits('length(t)', least)} as e")
-    cut = "L - (e + 1) * cast(floor(L / (e + 1)) as int)"  # how many segments are longer
-    rows = e.selectExpr("t", "L", "e", f"{cut} as more", "cast(floor(L / (e + 1)) as int) as size", "explode(sequence(0, e)) as i")
+    """(t, long_size, i, s): the segments of every text; the last ones are longer by one where it does not divide."""
+    e = texts.filter("length(t) > 0").selectExpr("t", "length(t) as long_size", f"{_edits('length(t)', least)} as e")
+    cut = "long_size - (e + 1) * cast(floor(long_size / (e + 1)) as int)"  # how many segments are longer
+    rows = e.selectExpr("t", "long_size", "e", f"{cut} as more", "cast(floor(long_size / (e + 1)) as int) as size", "explode(sequence(0, e)) as i")
     start = "i * size + greatest(0, i - (e + 1 - more))"
     long = "if(i >= e + 1 - more, size + 1, size)"
-    return rows.selectExpr("t", "L", "i", f"substring(t, {start} + 1, {long}) as s")
+    return rows.selectExpr("t", "long_size", "i", f"substring(t, {start} + 1, {long}) as s")
 
 
 def _probes(texts: DataFrame, least: float) -> DataFrame:
-    """(t, L, i, s): the substrings of every text that may be segment i of a text of length L, its own or a greater one."""
+    """(t, long_size, i, s): the substrings of every text that may be segment i of a text of length long_size, its own or a greater one."""
     longest = f"cast(floor(length(t) / {least - 1e-9!r}) as int)"
-    rows = texts.filter("length(t) > 0").selectExpr("t", "length(t) as l", f"explode(sequence(length(t), {longest})) as L")
-    rows = rows.selectExpr("t", "l", "L", f"{_edits('L', least)} as e")
-    rows = rows.selectExpr("t", "l", "L", "e", "cast(floor(L / (e + 1)) as int) as size", "explode(sequence(0, e)) as i")
-    rows = rows.selectExpr("t", "l", "L", "i", "e", "i * size + greatest(0, i - (e + 1 - (L - (e + 1) * size))) as start", "if(i >= e + 1 - (L - (e + 1) * size), size + 1, size) as long")
-    # i edits at most before the segment, or e - i at most behind it, where the texts' ends differ by l - L
-    low, high = "greatest(0, start - i, start + l - L - (e - i))", "least(l - long, start + i, start + l - L + (e - i))"
-    at = rows.selectExpr("t", "L", "i", "long", f"{low} as low", f"{high} as high").filter("low <= high")
-    return at.selectExpr("t", "L", "i", "long", "explode(sequence(low, high)) as p").selectExpr("t", "L", "i", "substring(t, p + 1, long) as s").distinct()
+    rows = texts.filter("length(t) > 0").selectExpr("t", "length(t) as own_size", f"explode(sequence(length(t), {longest})) as long_size")
+    rows = rows.selectExpr("t", "own_size", "long_size", f"{_edits('long_size', least)} as e")
+    rows = rows.selectExpr("t", "own_size", "long_size", "e", "cast(floor(long_size / (e + 1)) as int) as size", "explode(sequence(0, e)) as i")
+    rows = rows.selectExpr("t", "own_size", "long_size", "i", "e", "i * size + greatest(0, i - (e + 1 - (long_size - (e + 1) * size))) as start", "if(i >= e + 1 - (long_size - (e + 1) * size), size + 1, size) as long")
+    # i edits at most before the segment, or e - i at most behind it, where the texts' ends differ by own_size - long_size
+    low, high = "greatest(0, start - i, start + own_size - long_size - (e - i))", "least(own_size - long, start + i, start + own_size - long_size + (e - i))"
+    at = rows.selectExpr("t", "long_size", "i", "long", f"{low} as low", f"{high} as high").filter("low <= high")
+    return at.selectExpr("t", "long_size", "i", "long", "explode(sequence(low, high)) as p").selectExpr("t", "long_size", "i", "substring(t, p + 1, long) as s").distinct()
 
 
 def edit_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: float) -> DataFrame:
@@ -64,13 +69,13 @@ def edit_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: float)
     if not 0 < least <= 1:
         raise ValueError(f"similarity {least} is not above 0 and up to 1")
     ours, theirs = left.select(F.col(a).alias("t")).filter("t is not null").distinct(), right.select(F.col(b).alias("t")).filter("t is not null").distinct()
-    on = ["L", "i", "s"]
+    on = ["long_size", "i", "s"]
     longer = _segments(ours, least).withColumnRenamed("t", a).join(_probes(theirs, least).withColumnRenamed("t", b), on)
     shorter = _probes(ours, least).withColumnRenamed("t", a).join(_segments(theirs, least).withColumnRenamed("t", b), on)
     met = longer.select(a, b).union(shorter.select(a, b)).distinct()
     empty = ours.filter("t = ''").select(F.col("t").alias(a)).join(theirs.filter("t = ''").select(F.col("t").alias(b)), F.col(a) == F.col(b))
     size = F.greatest(F.length(a), F.length(b))
-    near = F.levenshtein(F.col(a), F.col(b), 1 << 20)
+    near = F.levenshtein(F.col(a), F.col(b))
     found = met.union(empty).withColumn("similarity", F.when(size == 0, 1.0).otherwise(1 - near / size))
     return found.filter(F.col("similarity") >= least - 1e-9)
 
@@ -86,56 +91,57 @@ def nearest(
     bound: Callable[[float], float],
     k: int = 2,
     rounds: Sequence[float] = ROUNDS,
+    facts: Sequence[str] | None = None,
 ) -> DataFrame:
     """(query, candidate, score): each query's k best candidates but itself, ties to the smaller candidate.
 
-    queries: `query`, `name` and `evidence` columns; candidates: `candidate`
-    and the same.  score takes the name of the query, that of the candidate and
-    the similarity, may use the candidate's evidence as `_<column>`, and for a
+    queries: `query`, `name` and `evidence` columns; candidates: `candidate`,
+    `name` and `facts` (if not given, the same as `evidence`).  score takes the
+    name of the query, that of the candidate and the similarity, may use the
+    query's evidence and the candidate's facts as `_<column>`, and for a
     similarity below s is at most bound(s).
     """
+    facts = evidence if facts is None else facts
     # Of candidates that no score tells apart, a query needs its k best and one more, as it may be one of them itself.
-    order = Window.partitionBy(name, *evidence).orderBy(candidate)
+    order = Window.partitionBy(name, *facts).orderBy(candidate)
     few = candidates.filter(F.col(name).isNotNull()).withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= k + 1)
-    profiles = few.groupBy(F.col(name).alias("_name"), *[F.col(c).alias(f"_{c}") for c in evidence]).agg(F.sort_array(F.collect_list(candidate)).alias("_ids"))
+    profiles = few.groupBy(F.col(name).alias("_name"), *[F.col(c).alias(f"_{c}") for c in facts]).agg(F.sort_array(F.collect_list(candidate)).alias("_ids"))
+    profiles = staged(profiles, "profiles")
     asked = queries.filter(F.col(name).isNotNull()).select(query, name, *evidence)
-    wanted = asked.select(name, *evidence).distinct()
-    ids = asked.groupBy(name, *evidence).agg(F.collect_list(query).alias("_queries"))
-
-    def ranked(open_: DataFrame, pairs: DataFrame | None) -> DataFrame:
-        """The k best of each open query profile among the candidates whose names are in pairs; all of them if None."""
-        if pairs is None:
-            blocks = 16
-            spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b")
-            met = open_.select("*", spread).join(profiles.withColumn("_b", F.pmod(F.xxhash64("_name"), F.lit(blocks)).cast("int")), "_b").drop("_b")
-            size = F.greatest(F.length(name), F.length("_name"))
-            met = met.withColumn("similarity", F.when(size == 0, 1.0).otherwise(1 - F.levenshtein(name, "_name") / size))
-        else:
-            met = open_.join(pairs, name).join(profiles, "_name")
-        scored = met.withColumn("score", score(F.col(name), F.col("_name"), F.col("similarity")))
-        each = scored.select(name, *evidence, "score", F.explode("_ids").alias(candidate))
-        w = Window.partitionBy(name, *evidence).orderBy(F.desc("score"), candidate)
-        return each.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= k + 1).drop("_place")
-
-    done, rest = None, wanted
+    rest = asked.select(name, *evidence).distinct()
+    done = None
     for least in [*rounds, None]:
-        found = ranked(rest, None if least is None else edit_pairs(rest, profiles, name, "_name", least))
+        found = staged(_best(rest, profiles, candidate, name, evidence, score, k + 1, least), "likest")
         if least is not None:
-            best = found.groupBy(name, *evidence).agg(F.sort_array(F.collect_list("score"), asc=False).alias("_s"))
-            settled = best.filter((F.size("_s") > k) & (F.col("_s")[k] >= bound(least))).drop("_s")
-            same = [F.col(f"q.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (name, *evidence)]
-            both = same[0]
-            for c in same[1:]:
-                both = both & c
-            found = found.alias("q").join(settled.alias("s"), both, "left_semi")
-            rest = rest.alias("q").join(settled.alias("s"), both, "left_anti")
+            # One of the k + 1 best may be the query itself; what is unseen stays below the bound.
+            scores = found.groupBy(name, *evidence).agg(F.sort_array(F.collect_list("score"), asc=False).alias("_s"))
+            settled = scores.filter((F.size("_s") > k) & (F.get("_s", k) > bound(least))).drop("_s")
+            alike = _alike(name, *evidence)
+            found = found.alias("x").join(settled.alias("y"), alike, "left_semi")
+            rest = staged(rest.alias("x").join(settled.alias("y"), alike, "left_anti"), "open-queries")
         done = found if done is None else done.unionByName(found)
         if least is not None and rest.isEmpty():
             break
-    own = [F.col(f"f.{c}").eqNullSafe(F.col(f"i.{c}")) for c in (name, *evidence)]
-    on = own[0]
-    for c in own[1:]:
-        on = on & c
-    each = done.alias("f").join(ids.alias("i"), on).select(F.explode("i._queries").alias(query), F.col(f"f.{candidate}").alias(candidate), "f.score").filter(F.col(query) != F.col(candidate))
+    each = done.alias("x").join(asked.alias("y"), _alike(name, *evidence)).filter(F.col(query) != F.col(candidate)).select(query, candidate, "score")
     w = Window.partitionBy(query).orderBy(F.desc("score"), candidate)
     return each.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= k).drop("_place")
+
+
+def _alike(*columns: str) -> Column:
+    """Whether x and y agree in all of them, nulls included."""
+    return reduce(lambda a, b: a & b, [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in columns])
+
+
+def _best(queries: DataFrame, profiles: DataFrame, candidate: str, name: str, evidence: Sequence[str], score: Callable[[Column, Column, Column], Column], k: int, least: float | None) -> DataFrame:
+    """The k best candidates of each query profile among those at least so alike; without `least`, among all."""
+    if least is None:
+        spread = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("_b")
+        met = queries.select("*", spread).join(profiles.withColumn("_b", F.pmod(F.xxhash64("_name"), F.lit(BLOCKS)).cast("int")), "_b").drop("_b")
+        size = F.greatest(F.length(name), F.length("_name"))
+        met = met.withColumn("similarity", F.when(size == 0, 1.0).otherwise(1 - F.levenshtein(name, "_name") / size))
+    else:
+        met = queries.join(edit_pairs(queries, profiles, name, "_name", least), name).join(profiles, "_name")
+    scored = met.withColumn("score", score(F.col(name), F.col("_name"), F.col("similarity")))
+    w = Window.partitionBy(name, *evidence).orderBy(F.desc("score"), candidate)
+    each = scored.select(name, *evidence, "score", F.explode("_ids").alias(candidate))
+    return each.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= k).drop("_place")

@@ -9,6 +9,7 @@ from ..functions import scalars as S
 from ..operators import metrics as M
 from ..operators import quality as Q
 from ..operators import scoring as O
+from ..operators import similarity
 from ..sources.tables import table
 from .catalog import register
 
@@ -24,16 +25,12 @@ s AS (
 ), r AS (SELECT *, ROW_NUMBER() OVER w AS n, LEAD(score) OVER w AS runner_up FROM s WINDOW w AS (PARTITION BY p_partkey ORDER BY score DESC, candidate))
 SELECT q.p_partkey, candidate, score, CASE WHEN score IS NULL OR score < 0.70 THEN 'unresolved' WHEN score < 0.87 OR score - COALESCE(runner_up, 0) <= 0.04::DOUBLE THEN 'ambiguous' ELSE 'resolved' END AS decision FROM q LEFT JOIN r ON q.p_partkey = r.p_partkey AND n = 1""")
 def identity_top_candidate(spark: SparkSession, sf: str) -> DataFrame:
-    """Each query against every other part, in blocks of queries; a query without candidates is unresolved."""
+    """Each query against every other part, by the edit-distance join; a query without candidates is unresolved."""
     part = table(spark, sf, "part").select("p_partkey", F.lower("p_name").alias("name"), "p_type")
-    part = part.repartition(spark.sparkContext.defaultParallelism, "p_partkey")  # a short scan, then much work for each row
-    q = part.filter("p_partkey % 20 = 0")
-    blocks = q.count() // 256 + 1
-    asked = q.withColumn("block", F.pmod(F.xxhash64("p_partkey"), F.lit(blocks)))
-    c = part.select(F.col("p_partkey").alias("candidate"), F.col("name").alias("other"), F.col("p_type").alias("other_type"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
-    scored = c.join(asked, "block").filter("p_partkey <> candidate").withColumn("score", Q.identity_score(F.col("name"), F.col("other"), Q.evidence(F.lit(True), F.col("p_type") == F.col("other_type"), 0.14, 0.30)))
-    first_two = F.row_number().over(Window.partitionBy("p_partkey").orderBy(F.desc("score"), "candidate"))  # cut before the shuffle, in every task
-    scored = scored.select("p_partkey", "candidate", "score").withColumn("place", first_two).filter("place <= 2").drop("place")
+    q, c = part.filter("p_partkey % 20 = 0"), part.withColumnRenamed("p_partkey", "candidate")
+    same_type = Q.evidence(F.lit(True), F.col("p_type") == F.col("_p_type"), 0.14, 0.30)
+    score = lambda name, other, alike: Q.identity_score(name, other, same_type, alike)
+    scored = similarity.nearest(q, c, "p_partkey", "candidate", "name", ["p_type"], score, lambda below: 0.70 * below + 0.14)
     best = Q.decide(scored, "p_partkey", "candidate").select("p_partkey", "candidate", "score", "decision")
     return q.select("p_partkey").join(best, "p_partkey", "left").withColumn("decision", F.coalesce("decision", F.lit("unresolved")))
 

@@ -154,9 +154,10 @@ _CAST = "SELECT l_orderkey AS match_id, l_suppkey % 5 AS team_id, l_linenumber,
 WITH c AS ({_CAST}),
 k AS (SELECT match_id, team_id, l_partkey AS key, p_name AS name FROM c WHERE l_linenumber % 2 = 0),
 i AS (SELECT match_id, team_id, l_linenumber AS line, SUBSTR(p_name, 1, 1) || ' ' || SPLIT_PART(p_name, ' ', 2) AS name FROM c WHERE l_linenumber % 2 = 1),
-p AS (SELECT i.*, k.key, COALESCE(SUBSTR(k.name, 1, 1) = SUBSTR(i.name, 1, 1) AND SPLIT_PART(k.name, ' ', 2) = SPLIT_PART(i.name, ' ', 2), FALSE) AS fits, COALESCE(SPLIT_PART(k.name, ' ', 2) = SPLIT_PART(i.name, ' ', 2), FALSE) AS surname FROM i LEFT JOIN k ON i.match_id = k.match_id AND i.team_id = k.team_id),
-g AS (SELECT match_id, team_id, line, name, SUM(CAST(fits AS INT)) AS n, MIN(CAST(key AS VARCHAR)) FILTER (WHERE fits) AS key, SUM(CAST(surname AS INT)) AS m FROM p GROUP BY ALL)
-SELECT match_id, line, CASE WHEN n = 1 THEN key ELSE 'new-' || SUBSTR(SHA256(match_id || '|' || team_id || '|' || name), 1, 16) END AS player_id, CASE WHEN n = 1 THEN 'found' ELSE 'created' END AS state, CASE WHEN n > 1 THEN 'same name' WHEN n = 0 AND m > 0 THEN 'same surname' END AS review FROM g""")
+p AS (SELECT i.match_id, i.team_id, i.name, k.key, COALESCE(SUBSTR(k.name, 1, 1) = SUBSTR(i.name, 1, 1) AND SPLIT_PART(k.name, ' ', 2) = SPLIT_PART(i.name, ' ', 2), FALSE) AS fits, COALESCE(SPLIT_PART(k.name, ' ', 2) = SPLIT_PART(i.name, ' ', 2), FALSE) AS surname FROM i LEFT JOIN k ON i.match_id = k.match_id AND i.team_id = k.team_id),
+g AS (SELECT match_id, team_id, name, COUNT(DISTINCT key) FILTER (WHERE fits) AS n, MIN(CAST(key AS VARCHAR)) FILTER (WHERE fits) AS key, SUM(CAST(surname AS INT)) AS m FROM p GROUP BY ALL)
+SELECT i.match_id, line, CASE WHEN n = 1 THEN key ELSE 'new-' || SUBSTR(SHA256(i.match_id || '|' || i.team_id || '|' || i.name), 1, 16) END AS player_id, CASE WHEN n = 1 THEN 'found' ELSE 'created' END AS state, CASE WHEN n > 1 THEN 'same name' WHEN n <> 1 AND m > 0 THEN 'same surname' END AS review
+FROM i JOIN g ON g.match_id = i.match_id AND g.team_id = i.team_id AND g.name = i.name""")
 def player_get_or_create(spark: SparkSession, sf: str) -> DataFrame:
     cast = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("match_id"), (F.col("l_suppkey") % 5).alias("team_id"), F.col("l_linenumber").alias("line"), "l_partkey", "p_name")
     known = cast.filter("line % 2 = 0").select("match_id", "team_id", F.col("l_partkey").alias("player_id"), F.col("p_name").alias("name"))
@@ -181,20 +182,36 @@ def match_get_or_create(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("import_resolution", """
-WITH q AS (SELECT p_partkey, LOWER(p_name) AS name, p_type FROM part WHERE p_partkey % 50 = 1),
-c AS (SELECT p_partkey AS candidate, LOWER(p_name) AS other, p_type AS other_type FROM part WHERE p_retailprice < 1500),
-s AS (SELECT p_partkey, candidate, ROUND(GREATEST(0.0::DOUBLE, LEAST(1.0::DOUBLE, 0.82::DOUBLE + CASE WHEN p_type = other_type THEN 0.14::DOUBLE ELSE -0.30::DOUBLE END)), 6) AS score FROM q JOIN c ON name = other AND p_partkey <> candidate),
-r AS (SELECT *, ROW_NUMBER() OVER w AS n, LEAD(score) OVER w AS runner FROM s WINDOW w AS (PARTITION BY p_partkey ORDER BY score DESC, candidate))
-SELECT q.p_partkey, candidate, score, CASE WHEN score IS NULL OR score < 0.70 THEN 'unresolved' WHEN score < 0.87 OR score - COALESCE(runner, 0) <= 0.04::DOUBLE THEN 'ambiguous' ELSE 'resolved' END AS decision FROM q LEFT JOIN r ON q.p_partkey = r.p_partkey AND n = 1""")
+WITH p AS (
+  SELECT p_partkey AS k, LOWER(p_name) AS name, p_type AS born, p_brand AS team, p_size % 4 AS pos, CASE WHEN p_partkey % 5 <> 0 THEN p_size % 7 END AS nat, DATE '2020-01-01' + p_size AS a,
+    CASE WHEN p_size % 3 <> 0 THEN DATE '2020-01-31' + p_size END AS z, p_retailprice FROM part
+), s AS (
+  SELECT q.k, c.k AS candidate, ROUND(GREATEST(0.0::DOUBLE, LEAST(1.0::DOUBLE,
+    CASE WHEN q.name = c.name THEN 0.82::DOUBLE ELSE 0.70::DOUBLE * (1 - LEVENSHTEIN(q.name, c.name)::DOUBLE / GREATEST(LENGTH(q.name), LENGTH(c.name))) END
+    + CASE WHEN q.born = c.born THEN 0.14::DOUBLE ELSE -0.30::DOUBLE END + CASE WHEN q.nat IS NULL OR c.nat IS NULL THEN 0.0::DOUBLE WHEN q.nat = c.nat THEN 0.03::DOUBLE ELSE -0.02::DOUBLE END
+    + CASE WHEN q.team <> c.team THEN -0.05::DOUBLE WHEN c.a <= DATE '2020-01-20' AND (c.z IS NULL OR c.z >= DATE '2020-01-20') THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END
+    + CASE WHEN q.pos = c.pos THEN 0.02::DOUBLE ELSE 0.0::DOUBLE END)), 6) AS score, q.name = c.name AS same, q.team = c.team AND c.a <= DATE '2020-01-20' AND (c.z IS NULL OR c.z >= DATE '2020-01-20') AS teamed
+  FROM p q JOIN p c ON q.k % 20 = 0 AND c.p_retailprice < 1500 AND q.k <> c.k
+), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY k ORDER BY score DESC, candidate) AS n FROM s QUALIFY n <= 5),
+l AS (SELECT k, MAX(score) AS top, MAX(score) FILTER (WHERE n = 2) AS next, MAX(candidate) FILTER (WHERE n = 1) AS best, BOOL_OR(same) FILTER (WHERE n = 1) AS same, BOOL_OR(teamed) FILTER (WHERE n = 1) AS teamed,
+  STRING_AGG(candidate || ':' || CAST(CAST(ROUND(score * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY n) AS listed FROM r GROUP BY k),
+d AS (SELECT *, CASE WHEN top < 0.70 THEN 'unresolved' WHEN top < 0.87 OR top - next <= 0.04::DOUBLE THEN 'ambiguous' ELSE 'resolved' END AS status FROM l)
+SELECT p.k AS p_partkey, CASE WHEN p.k % 100 = 0 THEN 'resolved' ELSE status END AS status, CASE WHEN p.k % 100 = 0 THEN 3 WHEN status = 'resolved' THEN best END AS selected, CASE WHEN p.k % 100 = 0 THEN 1.0 ELSE top END AS confidence,
+  CASE WHEN p.k % 100 = 0 THEN 'existing_mapping' WHEN status = 'resolved' THEN CASE WHEN teamed THEN 'temporal_context' WHEN same THEN 'exact' ELSE 'fuzzy' END END AS method,
+  CASE WHEN p.k % 100 = 0 THEN '3:1000000' ELSE listed END AS candidates
+FROM p JOIN d ON d.k = p.k WHERE p.k % 20 = 0""")
 def import_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    """Imported names against the active players of equal normalized name; each import has a row."""
-    part = table(spark, sf, "part").select("p_partkey", F.lower("p_name").alias("name"), "p_type", "p_retailprice")
-    q = part.filter("p_partkey % 50 = 1")
-    active = part.filter("p_retailprice < 1500").select(F.col("p_partkey").alias("candidate"), F.col("name").alias("other"), F.col("p_type").alias("other_type"))
-    scored = q.join(active, (F.col("name") == F.col("other")) & (F.col("p_partkey") != F.col("candidate")))
-    scored = scored.withColumn("score", Q.identity_score(F.col("name"), F.col("other"), Q.evidence(F.lit(True), F.col("p_type") == F.col("other_type"), 0.14, 0.30)))
-    best = Q.decide(scored, "p_partkey", "candidate").select("p_partkey", "candidate", "score", "decision")
-    return q.select("p_partkey").join(best, "p_partkey", "left").withColumn("decision", F.coalesce("decision", F.lit("unresolved")))
+    """Imported names against all active players: names, birth, nationality, club at the time and position; the five best of each."""
+    part = table(spark, sf, "part").select(
+        "p_partkey", "p_retailprice", S.normalize_name(F.col("p_name")).alias("name"), F.col("p_type").alias("born"), F.when(F.col("p_partkey") % 5 != 0, (F.col("p_size") % 7).cast("string")).alias("nationality"), F.col("p_brand").alias("team"),
+        (F.col("p_size") % 4).alias("position"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("p_size")).alias("valid_from"), F.when(F.col("p_size") % 3 != 0, F.date_add(F.lit("2020-01-31").cast("date"), F.col("p_size"))).alias("valid_to"),
+    )
+    queries = part.filter("p_partkey % 20 = 0").withColumn("day", F.lit("2020-01-20").cast("date"))
+    active = part.filter("p_retailprice < 1500").withColumnRenamed("p_partkey", "candidate")
+    mapping = queries.filter("p_partkey % 100 = 0").select("p_partkey", F.lit(3).cast("bigint").alias("candidate"))
+    found = Q.resolve_identities(queries, active, "p_partkey", "candidate", mapping)
+    listed = F.array_join(F.transform("candidates", lambda x: F.concat_ws(":", x["candidate"].cast("string"), F.round(x["confidence"] * 1_000_000).cast("bigint").cast("string"))), ",")
+    return found.withColumn("candidates", listed)
 
 
 @register("self_pair_matches", """
