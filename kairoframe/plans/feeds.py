@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import quality as Q
 from ..sources import providers as P
-from ..sources import sinks, tables
+from ..sources import replay, sinks, tables, versions
 from ..sources.tables import table
 from .catalog import register
 
@@ -255,6 +255,55 @@ def raw_archive(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.read_raw(spark, where).groupBy("provider").agg(F.count("content").alias("n"))
 
 
+_REPLAY = """
+WITH runs AS (SELECT k, 'r' || LPAD(CAST(k AS VARCHAR), 2, '0') AS run, CASE WHEN k = 5 THEN 'failed' ELSE 'succeeded' END AS status FROM RANGE(14) t(k)),
+sent AS (
+  SELECT l_orderkey % 12 AS k, l_orderkey AS o, l_linenumber AS line, l_partkey AS part, CASE WHEN l_orderkey % 7 = 0 AND l_linenumber = 3 THEN NULL ELSE l_quantity END AS quantity, l_shipdate AS seen FROM lineitem
+  UNION ALL SELECT 12, l_orderkey, l_linenumber, l_partkey, CASE WHEN l_orderkey % 7 = 0 AND l_linenumber = 3 THEN NULL ELSE l_quantity END, l_shipdate FROM lineitem WHERE l_orderkey % 10 = 0
+  UNION ALL SELECT 13, l_orderkey, l_linenumber, l_partkey, l_quantity + 1, l_shipdate FROM lineitem WHERE l_orderkey % 7 = 0 AND l_linenumber = 3
+)
+"""
+
+
+@register("raw_replay", _REPLAY + """
+, valid AS (SELECT s.*, '{"o":' || o || ',"line":' || line || ',"part":' || part || ',"quantity":' || CAST(quantity AS INTEGER) || '}' AS content FROM sent s JOIN runs USING (k) WHERE status = 'succeeded' AND quantity IS NOT NULL),
+first AS (SELECT o, line, part, content, seen, MIN(k) AS k FROM valid GROUP BY ALL),
+won AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY o, line ORDER BY seen DESC, k DESC, SHA256(content) DESC) AS n FROM first)
+SELECT o, line, part, CAST(content->>'quantity' AS INTEGER) AS quantity, seen AS available_at, 'r' || LPAD(CAST(k AS VARCHAR), 2, '0') AS run_id FROM won WHERE n = 1""")
+def raw_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines rebuilt from their archived payloads in three batches; the first attempt is lost in the second one, and the third changes nothing.
+
+    One run failed, one repeats observations, and payloads without a quantity are superseded by a later run.
+    """
+    lines = table(spark, sf, "lineitem")
+    put = lambda run, quantity, rows: rows.select(run.cast("int").alias("k"), F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), quantity.cast("int").alias("quantity"), F.col("l_shipdate").alias("available_at"))
+    unknown = (F.col("l_orderkey") % 7 == 0) & (F.col("l_linenumber") == 3)
+    quantity = F.when(~unknown, F.col("l_quantity"))
+    sent = put(F.col("l_orderkey") % 12, quantity, lines).union(put(F.lit(12), quantity, lines.filter("l_orderkey % 10 = 0"))).union(put(F.lit(13), F.col("l_quantity") + 1, lines.filter(unknown)))
+    run_id = lambda k: F.concat(F.lit("r"), F.lpad(k.cast("string"), 2, "0"))
+    content = F.to_json(F.struct("o", "line", "part", "quantity"))
+    observations = sent.select(run_id(F.col("k")).alias("run_id"), F.lit("player_lines").alias("kind"), F.concat_ws(":", "o", "line").alias("object_id"), content.alias("content"), F.sha2(content, 256).alias("sha256"), "available_at")
+    runs = spark.range(14).select(run_id(F.col("id")).alias("run_id"), F.lit("shop").alias("source"), F.lit("all").alias("scope"), F.when(F.col("id") == 5, "failed").otherwise("succeeded").alias("status"), F.timestamp_seconds(F.col("id") * 86400).alias("started_at"), F.lit(None).cast("string").alias("replay_of"))
+    planned = replay.plan(runs, observations, valid=F.get_json_object("content", "$.quantity").isNotNull())
+    parse = lambda rows: rows.select("*", F.from_json("content", "o bigint, line int, part bigint, quantity int").alias("j")).select(*rows.columns, "j.*")
+    targets = [replay.Target("lines", ("player_lines",), ("o", "line"), parse)]
+    store = versions.Store(spark, _place(spark, "replay"))
+
+    def lost(batch: int) -> None:
+        if batch == 1:
+            raise ConnectionError("the run is lost")
+
+    try:
+        replay.replay(store, planned, targets, 3, lost)
+    except ConnectionError:
+        replay.replay(store, planned, targets, 3)
+    number = store.head()[0]
+    replay.replay(store, planned, targets, 2)
+    if store.head()[0] != number:
+        raise AssertionError("a second replay has changed the tables")
+    return store.read("lines").select("o", "line", "part", "quantity", "available_at", "run_id")
+
+
 @register("versioned_updates", """
 SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'retired' ELSE s_name END AS name, CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal + 1 ELSE s_acctbal END AS balance FROM supplier WHERE s_suppkey % 5 <> 0""")
 def versioned_updates(spark: SparkSession, sf: str) -> DataFrame:

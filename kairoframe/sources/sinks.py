@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import simulation
 from ..operators.quality import content_digest
-from ..operators.relational import upsert
+from . import versions
 
 
 def _path(spark: SparkSession, path: str):
@@ -26,15 +26,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file, written under another name and renamed."""
-    p, fs = _path(spark, path)
-    part, _ = _path(spark, f"{path}.{uuid.uuid4().hex}")
-    out = fs.create(part, True)
-    out.write(bytearray(text.encode()))
-    out.close()
-    fs.delete(p, False)
-    if not fs.rename(part, p):
-        raise OSError(f"could not rename to {path}")
+    """A small file that takes the place of the one before it; a reader sees one or the other."""
+    versions.put(spark, path, text, replace=True)
 
 
 def read_text(spark: SparkSession, path: str) -> str:
@@ -82,39 +75,34 @@ def read_raw(spark: SparkSession, folder: str) -> DataFrame:
     return held.withColumn("content", F.when(F.sha2("content", 256) == F.col("sha256"), F.col("content")).otherwise(broken))
 
 
-def merge_into(spark: SparkSession, folder: str, incoming: DataFrame, keys: list[str], guard: str | None = None) -> str:
-    """Upserts into a versioned table: writes the next version beside the current one, then moves the pointer.
+ROWS = "rows"
+
 
-    Readers of the old version are not disturbed.
+def merge_into(spark: SparkSession, folder: str, incoming: DataFrame, keys: list[str], guard: str | None = None) -> int:
+    """Upserts into a versioned table and gives the new version's number; readers of the old one are not disturbed.
+
+    If another writer is first, the upsert is done again over what it wrote.
     """
-    pointer = f"{folder}/current.txt"
-    current = spark.read.parquet(f"{folder}/{read_text(spark, pointer)}") if exists(spark, pointer) else incoming.limit(0)
-    version = f"v-{uuid.uuid4().hex}"
-    upsert(current, incoming, keys, guard).write.parquet(f"{folder}/{version}")
-    write_text(spark, pointer, version)
-    return version
+    return versions.Store(spark, folder).transact(lambda work: work.upsert(ROWS, incoming, keys, guard))
 
 
 def current(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{read_text(spark, f'{folder}/current.txt')}")
+    return versions.Store(spark, folder).read(ROWS)
 
 
-def delete_where(spark: SparkSession, folder: str, condition: F.Column) -> str:
+def delete_where(spark: SparkSession, folder: str, condition: F.Column) -> int:
     """The table without the rows that the condition holds for, as a new version."""
-    version = f"v-{uuid.uuid4().hex}"
-    current(spark, folder).filter(~F.coalesce(condition, F.lit(False))).write.parquet(f"{folder}/{version}")
-    write_text(spark, f"{folder}/current.txt", version)
-    return version
+    return versions.Store(spark, folder).transact(lambda work: work.delete(ROWS, condition))
 
 
-def update_where(spark: SparkSession, folder: str, condition: F.Column, values: dict[str, F.Column]) -> str:
+def update_where(spark: SparkSession, folder: str, condition: F.Column, values: dict[str, F.Column]) -> int:
     """The table with those columns set where the condition holds, as a new version."""
-    version = f"v-{uuid.uuid4().hex}"
-    hit = F.coalesce(condition, F.lit(False))
-    held = current(spark, folder)
-    held.select(*[F.when(hit, values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in held.columns]).write.parquet(f"{folder}/{version}")
-    write_text(spark, f"{folder}/current.txt", version)
-    return version
+    return versions.Store(spark, folder).transact(lambda work: work.update(ROWS, condition, values))
+
+
+def refresh_where(spark: SparkSession, folder: str, condition: F.Column, rows: DataFrame) -> int:
+    """Deletes what the condition holds for and inserts rows, in one version."""
+    return versions.Store(spark, folder).transact(lambda work: work.replace_where(ROWS, condition, rows))
 
 
 def register_model(model, spark: SparkSession, folder: str, name: str, metrics: dict, champion: bool) -> str:
