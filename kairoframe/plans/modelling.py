@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import decision as D
 from ..operators import learning as L
+from ..operators import market
 from ..operators import scoring as O
 from ..operators import simulation as X
 from ..sources import sinks
@@ -205,6 +206,62 @@ def head_to_head(spark: SparkSession, sf: str) -> DataFrame:
     return total.groupBy("match_id").agg(*[F.avg(c.cast("double")).alias(n) for n, c in (("win", d > 0), ("draw", d == 0), ("loss", d < 0))])
 
 
+#: Places of a small line-up; roles by the size of a part.
+SMALL_FORMATIONS = {"2-3": "AABBB", "3-2": "AAABB"}
+
+
+@register("matchup_lineups", """
+WITH r AS (SELECT p_partkey // 8 AS team, CAST(p_partkey % 8 AS INTEGER) AS i, p_size % 3 AS role, p_partkey FROM part),
+q AS (SELECT l_partkey, CAST(l_orderkey % 20 AS INTEGER) AS s, CAST(ROUND(SUM(l_quantity) * 100) AS BIGINT) AS v FROM lineitem GROUP BY ALL),
+p AS (SELECT r.team, r.i, g.s, COALESCE(q.v, 0) AS v FROM r CROSS JOIN (SELECT CAST(UNNEST(RANGE(20)) AS INTEGER) AS s) g LEFT JOIN q ON q.l_partkey = r.p_partkey AND q.s = g.s),
+t AS (SELECT team, s, SUM(v) * 5 // 8 AS v FROM p GROUP BY ALL),
+o AS (SELECT a.team, t.s, t.v FROM (SELECT DISTINCT team, MAX(team) OVER () AS last FROM r) a JOIN t ON t.team = CASE WHEN a.team = a.last THEN 0 ELSE a.team + 1 END),
+sets AS (SELECT m, UNNEST(LIST_FILTER(RANGE(8), lambda i: (m >> i) & 1 = 1)) AS i FROM RANGE(256) x(m) WHERE BIT_COUNT(m::INTEGER) = 5),
+legal AS (SELECT team, m, LIST(sets.i ORDER BY sets.i) AS l FROM sets JOIN r ON r.i = sets.i GROUP BY team, m
+  HAVING COUNT(*) = 5 AND ((COUNT(*) FILTER (WHERE role = 0) <= 2 AND COUNT(*) FILTER (WHERE role = 1) <= 3) OR (COUNT(*) FILTER (WHERE role = 0) <= 3 AND COUNT(*) FILTER (WHERE role = 1) <= 2))),
+scored AS (SELECT legal.team, legal.m, legal.l, p.s, SUM(p.v) AS v FROM legal JOIN sets USING (m) JOIN p ON p.team = legal.team AND p.i = sets.i GROUP BY ALL),
+worth AS (SELECT scored.team, l, COUNT(*) FILTER (WHERE scored.v > o.v) AS wins, COUNT(*) FILTER (WHERE scored.v = o.v) AS draws, SUM(scored.v) AS total FROM scored JOIN o ON o.team = scored.team AND o.s = scored.s GROUP BY ALL)
+SELECT team, ARRAY_TO_STRING(l, ',') AS players, wins, draws, CAST(total AS BIGINT) AS total FROM worth QUALIFY ROW_NUMBER() OVER (PARTITION BY team ORDER BY 2 * wins + draws DESC, total DESC, l) = 1""")
+def matchup_lineups(spark: SparkSession, sf: str) -> DataFrame:
+    """Each team's best line-up against the next team: eight parts a team, their quantities in twenty scenarios."""
+    part = table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 8).alias("team"), (F.col("p_partkey") % 8).cast("int").alias("i"), (F.col("p_size") % 3).alias("role"), "p_partkey")
+    sold = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey"), (F.col("l_orderkey") % 20).cast("int").alias("s")).agg(F.round(F.sum("l_quantity") * 100).cast("bigint").alias("v"))
+    points = part.select("*", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("s")).join(sold, ["p_partkey", "s"], "left").fillna(0, ["v"])
+    last = part.agg(F.max("team").alias("last"))
+    theirs = points.groupBy("team", "s").agg(F.floor(F.sum("v") * 5 / 8).cast("bigint").alias("theirs"))
+    faced = theirs.crossJoin(F.broadcast(last)).select(F.when(F.col("team") == 0, F.col("last")).otherwise(F.col("team") - 1).alias("team"), "s", "theirs")  # last: one row
+    roles = {0: frozenset("A"), 1: frozenset("B"), 2: frozenset("AB")}
+
+    def choose(squad: pd.DataFrame) -> pd.DataFrame:
+        value = squad.pivot(index="i", columns="s", values="v").sort_index()
+        role = squad.drop_duplicates("i").set_index("i")["role"].reindex(value.index)
+        against = squad.drop_duplicates("s").set_index("s")["theirs"].reindex(value.columns)
+        found = market.best_against(value.to_numpy(), [roles[r] for r in role], SMALL_FORMATIONS, against.to_numpy())
+        rows = [] if found is None else [(squad["team"].iloc[0], ",".join(str(value.index[i]) for i in found[0]), found[1], found[2], int(value.to_numpy()[list(found[0])].sum()))]
+        return pd.DataFrame(rows, columns=["team", "players", "wins", "draws", "total"])
+
+    return points.join(faced, ["team", "s"]).groupBy("team").applyInPandas(choose, "team bigint, players string, wins bigint, draws bigint, total bigint")
+
+
+MARKET_FORMATIONS = {"2-2-2": "DDMMFF", "3-2-1": "DDDMMF", "2-3-1": "DDMMMF"}
+
+
+@register("market_exchanges")
+def market_exchanges(spark: SparkSession, sf: str) -> DataFrame:
+    """Each supplier's best exchanges of parts within its league of ten suppliers, line-ups chosen anew for each of ten fixtures."""
+    part, supplier, lines = table(spark, sf, "part"), table(spark, sf, "supplier"), table(spark, sf, "lineitem")
+    n = supplier.count()
+    league = lambda k: F.col(k) % n % max(1, n // 10)
+    role = F.element_at(F.array(*[F.array(*map(F.lit, r)) for r in ("D", "M", "F", "MF")]), F.col("p_size") % 4 + 1)
+    sold = lines.groupBy(F.col("l_partkey").alias("p_partkey"), (F.col("l_orderkey") % 10 + 1).cast("int").alias("fixture")).agg(F.round(F.avg("l_quantity"), 4).alias("points"))
+    each = part.select("p_partkey", role.alias("roles"), F.col("p_retailprice").alias("price"), league("p_partkey").alias("league"), F.explode(F.sequence(F.lit(1), F.lit(10))).alias("fixture"))
+    offered = each.join(sold, ["p_partkey", "fixture"], "left").fillna(0.0, ["points"]).withColumnRenamed("p_partkey", "player")
+    rosters = offered.withColumn("manager", F.col("player") % n)
+    budgets = supplier.select(F.col("s_suppkey").alias("manager"), (F.abs("s_acctbal") / 10).alias("budget"))
+    found = market.rank_exchanges(rosters, offered, budgets, MARKET_FORMATIONS, refund=True)
+    return found.select("manager", "rank", "target", "dropped", "price", "affordability", *[F.round(c, 4).alias(c) for c in ("improvement", "over_replacement", "efficiency", "gain_1", "gain_3", "gain_5", "gain_10")])
+
+
 @register("rare_event_prior", """
 WITH f AS (SELECT user_id, event_type, ROUND(value) AS minutes, CAST(json_extract(props, '$.k') AS BIGINT) % 4 AS penalties, CAST(json_extract(props, '$.k') AS BIGINT) % 3 AS own FROM events WHERE ROUND(value) > 0),
 p AS (SELECT user_id, ARG_MAX(event_type, (minutes, event_type)) AS role, SUM(minutes) AS m, SUM(penalties)::DOUBLE AS pen, SUM(own)::DOUBLE AS own FROM f WHERE penalties <= 2 GROUP BY user_id),
