@@ -14,6 +14,8 @@ from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, Iso
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import staged
+
 from . import metrics as M
 
 #: Candidates from the simplest to the most complex; ties go to the simpler one.
@@ -138,6 +140,59 @@ def fit_negative_binomial(x: np.ndarray, y: np.ndarray, l2: float = 0.01, rounds
     return w, alpha
 
 
+#: Groups whose models are fitted side by side; their sums come to the driver in every round.
+MOST_GROUPS = 10_000
+
+
+def fit_negative_binomials(df: DataFrame, group: str, features: Sequence[str], label: str, l2: float = 0.01, rounds: int = 40) -> DataFrame:
+    """(group, weights with the intercept last, dispersion, n): `fit_negative_binomial` for every group, over rows that stay where they are.
+
+    Each round is two aggregates over all groups at once: the residuals'
+    moments, which give the dispersion, and the sums of a Newton step (as many
+    numbers for a group as its features squared); the steps are solved on the
+    driver.  Rows with a missing value or group are left out.
+    """
+    if df.select(group).distinct().count() > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups")
+    spark, size = df.sparkSession, len(features) + 1
+    rows = df.select(F.col(group).alias("g"), F.array(*[F.col(c).cast("double") for c in features], F.lit(1.0)).alias("x"), F.col(label).cast("double").alias("y"))
+    rows = staged(rows.filter(F.col("g").isNotNull() & F.col("y").isNotNull() & ~F.exists("x", lambda v: v.isNull())), "counts")
+    kind = rows.schema["g"].dataType.simpleString()
+    first = rows.groupBy("g").agg(F.avg("y").alias("m"), F.count("*").alias("n")).collect()
+    n = {r["g"]: r["n"] for r in first}
+    weights = {r["g"]: np.array([0.0] * (size - 1) + [np.log(max(r["m"], 1e-6))]) for r in first}
+    dispersion, open_ = dict.fromkeys(n, 0.1), set(n)
+    penalty = np.diag([l2] * (size - 1) + [0.0])
+    pairs = [(i, j) for i in range(size) for j in range(i, size)]
+
+    def with_means() -> DataFrame:
+        """The open groups' rows with their mean; a few numbers for each group are joined."""
+        state = spark.createDataFrame([(g, weights[g].tolist(), dispersion[g]) for g in open_], f"g {kind}, w array<double>, a double")
+        linear = F.aggregate(F.zip_with("x", "w", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+        return rows.join(F.broadcast(state), "g").withColumn("mu", F.exp(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), linear))))
+
+    for _ in range(rounds):
+        if not open_:
+            break
+        scale = 1 + F.col("a") * F.col("mu")
+        x = [F.col("x")[i] for i in range(size)]
+        sums = with_means().groupBy("g").agg(*[F.sum(x[i] * (F.col("y") - F.col("mu")) / scale).alias(f"s{i}") for i in range(size)], *[F.sum(F.col("mu") / scale * x[i] * x[j]).alias(f"h{i}_{j}") for i, j in pairs])
+        done = set()
+        for r in sums.collect():
+            hessian = np.zeros((size, size))
+            for i, j in pairs:
+                hessian[i, j] = hessian[j, i] = r[f"h{i}_{j}"]
+            w = weights[r["g"]]
+            step = np.linalg.solve(hessian + penalty + 1e-9 * np.eye(size), np.array([r[f"s{i}"] for i in range(size)]) - penalty @ w)
+            weights[r["g"]] = w + np.clip(step, -2, 2)
+            if abs(step).max() < 1e-8:
+                done.add(r["g"])
+        spread = ((F.col("y") - F.col("mu")) * (F.col("y") - F.col("mu")) - F.col("mu")) / (F.greatest("mu", F.lit(1e-9)) * F.greatest("mu", F.lit(1e-9)))
+        dispersion |= {r["g"]: max(1e-6, r["a"]) for r in with_means().groupBy("g").agg(F.avg(spread).alias("a")).collect()}
+        open_ -= done
+    return spark.createDataFrame([(g, weights[g].tolist(), float(dispersion[g]), n[g]) for g in n], f"{group} {kind}, weights array<double>, dispersion double, n bigint")
+
+
 def zero_excess(df: DataFrame, count: str) -> DataFrame:
     """One row: the share of zeros, the share that a Poisson of the same mean has, and whether a hurdle is called for."""
     row = df.agg(F.avg((F.col(count) == 0).cast("double")).alias("zeros"), F.exp(-F.avg(count)).alias("poisson_zeros"))

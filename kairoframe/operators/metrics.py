@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip
+from . import ranks
 
 EDGE = 1e-7
 
@@ -63,8 +64,7 @@ def average_precision(df: DataFrame, y: str, p: str) -> DataFrame:
     Scores are summed up first, so the running sums go over distinct scores.
     """
     per_score = df.groupBy(p).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("double")).alias("pos"))
-    w = Window.orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    run = per_score.select("pos", F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("k"))
+    run = ranks.running(per_score, [], [F.desc(p)], {"tp": F.col("pos"), "k": F.col("n")})
     return run.agg((F.sum(F.col("pos") * F.col("tp") / F.col("k")) / F.sum("pos")).alias("average_precision"))
 
 
@@ -86,13 +86,10 @@ def rolling_origin(df: DataFrame, period: str, minimum: int = 2) -> DataFrame:
 
 def conformal_radius(df: DataFrame, error: Column, coverage: float = 0.8, keys: Sequence[str] = ()) -> DataFrame:
     """Per key the order statistic of |error| at ceil(level * (n - 1)), level = min(1, ceil((n + 1) * coverage) / n)."""
-    e = df.select(*keys, F.abs(error).alias("_e"))
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    n = F.count("*").over(w)
-    rank = F.row_number().over(w.orderBy("_e")) - 1
-    level = F.least(F.lit(1.0), F.ceil((F.col("_n") + 1) * coverage) / F.col("_n"))
-    ranked = e.withColumns({"_n": n, "_i": rank})
-    return ranked.filter(F.col("_i") == F.ceil(F.round(level * (F.col("_n") - 1), 9))).select(*keys, F.col("_e").alias("radius"), F.col("_n").alias("n"))
+    n = F.col("n")
+    level = F.least(F.lit(1.0), F.ceil((n + 1) * coverage) / n)
+    found = ranks.order_statistics(df, keys, F.abs(error), {"radius": F.ceil(F.round(level * (n - 1), 9))})
+    return found.select(*keys, "radius", "n")
 
 
 def subgroup(df: DataFrame, group: str, y: str, p: str, least: int = 20) -> DataFrame:
@@ -104,16 +101,17 @@ def subgroup(df: DataFrame, group: str, y: str, p: str, least: int = 20) -> Data
 def bootstrap_mean(df: DataFrame, cluster: str, value: str, resamples: int = 2000, seed: str = "bootstrap", low: float = 0.025, high: float = 0.975) -> DataFrame:
     """One row: mean of the clusters' means and its interval by resampling clusters.
 
-    Draw j of resample b takes the cluster whose number a hash of (seed, b, j)
-    gives; there are as many draws as clusters.  Clusters are periods: few.
+    Draw j of resample b takes the cluster whose number a digest of seed, b
+    and j gives; there are as many draws as clusters.
     """
     means = df.groupBy(cluster).agg(F.avg(value).alias("m"))
-    numbered = means.withColumn("i", F.row_number().over(Window.orderBy(cluster)) - 1)
-    n = numbered.count()
-    spark = df.sparkSession
-    draws = spark.range(resamples * max(n, 1)).select(F.floor(F.col("id") / max(n, 1)).alias("b"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(n, 1))).cast("int").alias("i"))
-    sampled = draws.join(F.broadcast(numbered.select("i", "m")), "i").groupBy("b").agg(F.avg("m").alias("m"))
-    interval = sampled.agg(F.percentile("m", low).alias("low"), F.percentile("m", high).alias("high"))
+    numbered = ranks.numbered(means, [F.col(cluster)], "i")
+    n = max(numbered.count(), 1)
+    told = F.concat_ws(":", F.lit(seed), F.floor(F.col("id") / n).cast("string"), F.pmod("id", F.lit(n)).cast("string"))
+    share = F.conv(F.substring(F.md5(told), 1, 13), 16, 10).cast("bigint") / F.lit(float(2**52))
+    draws = df.sparkSession.range(resamples * n).select(F.floor(F.col("id") / n).alias("b"), F.floor(share * n).cast("bigint").alias("i"))
+    sampled = draws.join(numbered.select("i", "m"), "i").groupBy("b").agg(F.avg("m").alias("m"))
+    interval = sampled.agg(F.percentile("m", low).alias("low"), F.percentile("m", high).alias("high"))  # of as many values as resamples
     return means.agg(F.avg("m").alias("mean"), F.count("*").alias("clusters")).crossJoin(F.broadcast(interval))
 
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def where_all(df: DataFrame, conditions: Sequence[Column | None]) -> DataFrame:
     """Filters by those of the optional conditions that are given."""
@@ -57,15 +59,12 @@ def both_sides(df: DataFrame, sides: dict[str, dict[str, str]], name: str = "sid
 
 
 def evenly_spaced(df: DataFrame, order: Sequence[Column], count: int) -> DataFrame:
-    """About `count` rows at equal steps of the order, the first and the last among them.
-
-    Numbers rows in one task; meant for lists of periods or reports.
-    """
+    """About `count` rows at equal steps of the order, which must be total; the first and the last are among them."""
     n = df.count()
     if n <= count:
         return df
     wanted = sorted({round(i * (n - 1) / max(count - 1, 1)) for i in range(count)})
-    return df.withColumn("_n", F.row_number().over(Window.orderBy(*order)) - 1).filter(F.col("_n").isin(wanted)).drop("_n")
+    return ranks.numbered(df, order, "_n").filter(F.col("_n").isin(wanted)).drop("_n")
 
 
 def shuffled(df: DataFrame, key: str, seed: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import metrics as M
 from ..operators import quality as Q
+from ..operators import relational as R
 from ..operators import scoring as O
 from ..operators import similarity
 from ..sources.tables import table
@@ -159,12 +160,26 @@ def conformal_radius(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("o_orderpriority", F.round("radius", 4).alias("radius"), "n")
 
 
-@register("bootstrap_ci")
+@register("bootstrap_ci", """
+WITH m AS (SELECT DATE_TRUNC('week', CAST(o_orderdate AS DATE) - 1) AS week, AVG(o_totalprice) AS m FROM orders GROUP BY 1),
+c AS (SELECT m, ROW_NUMBER() OVER (ORDER BY week) - 1 AS i, COUNT(*) OVER () AS n FROM m),
+d AS (SELECT id // n AS b, CAST(FLOOR(CAST('0x' || SUBSTR(MD5('bootstrap:' || (id // n) || ':' || (id % n)), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) * n) AS BIGINT) AS i FROM (SELECT MAX(n) AS n FROM c), (SELECT UNNEST(RANGE(2000 * (SELECT COUNT(*) FROM c))) AS id)),
+s AS (SELECT b, AVG(c.m) AS m FROM d JOIN c ON c.i = d.i GROUP BY b)
+SELECT (SELECT ROUND(AVG(m), 2) FROM c) AS mean, (SELECT COUNT(*) FROM c) AS clusters, ROUND(QUANTILE_CONT(m, 0.025), 2) AS low, ROUND(QUANTILE_CONT(m, 0.975), 2) AS high FROM s""")
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").withColumn("week", S.week_start(F.to_date("o_orderdate")))
     return M.bootstrap_mean(orders, "week", "o_totalprice").select(F.round("mean", 2).alias("mean"), "clusters", F.round("low", 2).alias("low"), F.round("high", 2).alias("high"))
 
 
+@register("evenly_spaced_orders", """
+WITH n AS (SELECT *, ROW_NUMBER() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS i, COUNT(*) OVER () AS n FROM orders)
+SELECT o_orderkey, o_totalprice FROM n WHERE i IN (SELECT CAST(ROUND_EVEN(k * (n - 1) / 99.0::DOUBLE, 0) AS BIGINT) FROM RANGE(100) t(k))""")
+def evenly_spaced_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """A hundred orders at equal steps of the price."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return R.evenly_spaced(orders, [F.col("o_totalprice"), F.col("o_orderkey")], 100)
+
+
 @register("prediction_coherence", "SELECT l_orderkey, l_linenumber, l_partkey, LEAST(l_discount, l_tax + 0.02) AS starts, LEAST(l_tax + 0.02, l_quantity / 50) AS appears FROM lineitem")
 def prediction_coherence(spark: SparkSession, sf: str) -> DataFrame:
     wide = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_discount").alias("starts"), (F.col("l_tax") + 0.02).alias("appears"), (F.col("l_quantity") / 50).alias("plays"))

@@ -158,17 +158,29 @@ def zero_excess_diagnosis(spark: SparkSession, sf: str) -> DataFrame:
     return L.zero_excess(counts, "n").select(F.round("zeros", 6).alias("zeros"), F.round("poisson_zeros", 6).alias("poisson_zeros"), "hurdle")
 
 
-@register("negative_binomial_by_segment")
+def _newton(rounds: int) -> str:
+    """Newton steps of the two weights of a log-linear count model, a table for each round."""
+    out = ["b0 AS (SELECT seg, 0.0::DOUBLE AS w, LN(GREATEST(AVG(y), 1e-6)) AS c, 0.1::DOUBLE AS a FROM d GROUP BY seg)"]
+    for k in range(rounds):
+        mean = "EXP(GREATEST(-20.0::DOUBLE, LEAST(20.0::DOUBLE, b.w * d.x + b.c)))"
+        out.append(f"""s{k} AS (SELECT seg, w, c, SUM(x * (y - m) / (1 + a * m)) - 0.01::DOUBLE * w AS g1, SUM((y - m) / (1 + a * m)) AS g2, SUM(m / (1 + a * m) * x * x) + 0.01::DOUBLE + 1e-9 AS h11, SUM(m / (1 + a * m) * x) AS h12, SUM(m / (1 + a * m)) + 1e-9 AS h22
+  FROM (SELECT d.seg, d.x, d.y, b.w, b.c, b.a, {mean} AS m FROM d JOIN b{k} b USING (seg)) GROUP BY seg, w, c)""")
+        out.append(f"n{k} AS (SELECT seg, w + GREATEST(-2, LEAST(2, (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12))) AS w, c + GREATEST(-2, LEAST(2, (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12))) AS c FROM s{k})")
+        out.append(f"b{k + 1} AS MATERIALIZED (SELECT seg, w, c, GREATEST(1e-6, AVG(((y - m) * (y - m) - m) / (GREATEST(m, 1e-9) * GREATEST(m, 1e-9)))) AS a FROM (SELECT d.seg, d.y, b.w, b.c, {mean} AS m FROM d JOIN n{k} b USING (seg)) GROUP BY seg, w, c)")
+    return ",\n".join(out)
+
+
+@register("negative_binomial_by_segment", f"""
+WITH o AS (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY 1),
+d AS MATERIALIZED (SELECT c_mktsegment AS seg, c_acctbal / 10000 AS x, COALESCE(n, 0)::DOUBLE AS y FROM customer LEFT JOIN o ON o_custkey = c_custkey),
+{_newton(12)}
+SELECT seg AS c_mktsegment, ROUND(w, 5) AS slope, ROUND(c, 5) AS intercept, ROUND(a, 5) AS dispersion, (SELECT COUNT(*) FROM d WHERE d.seg = b.seg) AS n FROM b12 b""")
 def negative_binomial_by_segment(spark: SparkSession, sf: str) -> DataFrame:
     """A count model for each market segment: orders of a customer by balance."""
     counts = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
     rows = table(spark, sf, "customer").join(counts, "c_custkey", "left").select("c_mktsegment", (F.col("c_acctbal") / 10000).alias("x"), F.coalesce("n", F.lit(0)).cast("double").alias("y"))
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        w, alpha = L.fit_negative_binomial(group[["x"]].to_numpy(), group["y"].to_numpy())
-        return pd.DataFrame({"c_mktsegment": group["c_mktsegment"].iloc[0], "slope": w[0], "intercept": w[1], "dispersion": alpha, "n": len(group)}, index=[0])
-
-    return rows.groupBy("c_mktsegment").applyInPandas(fit, "c_mktsegment string, slope double, intercept double, dispersion double, n bigint")
+    found = L.fit_negative_binomials(rows, "c_mktsegment", ["x"], "y")
+    return found.select("c_mktsegment", F.round(F.col("weights")[0], 5).alias("slope"), F.round(F.col("weights")[1], 5).alias("intercept"), F.round("dispersion", 5).alias("dispersion"), "n")
 
 
 @register("stream_tumbling_counts", "SELECT CAST(DATE_TRUNC('day', ts) AS TIMESTAMP) AS window_start, event_type, COUNT(*) AS n FROM events GROUP BY ALL")

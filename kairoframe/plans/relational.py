@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import ranks
 from ..operators import relational as R
 from ..operators import temporal as T
 from ..sources.tables import table
@@ -230,8 +231,10 @@ def shrinkage_prior(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("quantile_summary", "SELECT l_returnflag, ROUND(AVG(l_extendedprice), 4) AS mean, ROUND(QUANTILE_CONT(l_extendedprice, 0.5), 4) AS median, ROUND(QUANTILE_CONT(l_extendedprice, 0.1), 4) AS p10, ROUND(QUANTILE_CONT(l_extendedprice, 0.9), 4) AS p90, ROUND(AVG(CASE WHEN l_discount > 0.05 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS probability FROM lineitem GROUP BY l_returnflag")
 def quantile_summary(spark: SparkSession, sf: str) -> DataFrame:
-    x = F.col("l_extendedprice")
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.round(F.avg(x), 4).alias("mean"), *[F.round(F.percentile(x, q), 4).alias(n) for n, q in (("median", 0.5), ("p10", 0.1), ("p90", 0.9))], F.round(F.avg((F.col("l_discount") > 0.05).cast("double")), 6).alias("probability"))
+    x, lines = F.col("l_extendedprice"), table(spark, sf, "lineitem")
+    means = lines.groupBy("l_returnflag").agg(F.round(F.avg(x), 4).alias("mean"), F.round(F.avg((F.col("l_discount") > 0.05).cast("double")), 6).alias("probability"))
+    places = ranks.percentiles(lines, ["l_returnflag"], x, {"median": 0.5, "p10": 0.1, "p90": 0.9})
+    return means.join(places, "l_returnflag").select("l_returnflag", "mean", *[F.round(c, 4).alias(c) for c in ("median", "p10", "p90")], "probability")
 
 
 @register("argmax_category", "SELECT o_custkey, ARG_MAX(o_orderpriority, (t, o_orderpriority)) AS favourite, ROUND(MAX(t), 2) AS spent FROM (SELECT o_custkey, o_orderpriority, SUM(o_totalprice) AS t FROM orders GROUP BY ALL) GROUP BY o_custkey")
