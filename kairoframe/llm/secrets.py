@@ -1,23 +1,30 @@
 """Secret scans by grammar inference.
 
 Fixed patterns find credentials of three kinds; what they find in all texts
-are the labelled examples.  For each kind a prefix tree of its values is built
-and statistically compatible states are merged (ALERGIA, Carrasco and Oncina),
+are the labelled examples.  For each kind, and within it for each usual length
+and alphabet, a prefix tree of the values is built and statistically compatible states are merged (ALERGIA, Carrasco and Oncina),
 which gives a probabilistic automaton of the kind's format.  Beside the
 frequencies of characters and of stopping, two states must have like
 distributions of the number of characters that follow; so an automaton of keys
 of one length counts its positions, and one of a prefix keeps it.  Every token
-of a text that is at least half as long as the shortest example is a candidate and is
-scored: log2 of its likelihood under the best automaton, and how many bits a
-character that is above a model of ordinary tokens.  A candidate that gains at
-least `least_gain` is a secret.
+of a text that is at least half as long as the shortest example is a candidate.
+It is weighed by what its format says: log2 of its likelihood under each
+kind's automaton, less that under the best model of tokens that are no
+secrets.  These are ordinary tokens (a chain of characters) and random-looking
+ones, which documents have too: any characters of an alphabet (digits, hex,
+letters and digits, all), in any length, long ones rarer.  So a token gains
+only by what a kind's values share and random ones do not: length, prefix,
+places of characters.  A candidate is a secret of a kind if it gains at least
+what all but a fiftieth of that kind's labelled values gain that its automaton
+was not learned from, less `MARGIN` bits, and at least `LEAST` bits.
 
 What the patterns find always stays; the automata add spans of the kind
 `learned`, where no pattern's span overlaps.
 
 Training sample: of the distinct values of each kind in all texts the
-`examples` first by a hash, none of more than `longest` characters; of the
-ordinary tokens that occur in two of `ordinary_texts` texts 20 times as many.  Scanning covers every whole text.
+`examples` first by a hash, as long as they have `characters` in all (whole
+values only); of the ordinary tokens that occur in two of `ordinary_texts`
+different texts 20 times as many.  Scanning covers every whole text.
 
 Defined cases: a null text is empty; no finding gives zero counts and empty
 strings; without any labelled example nothing is learned and only the patterns
@@ -68,29 +75,33 @@ _SIZES = {"0": 10, "a": 26, "A": 26, "-": 6, "$": 1}
 
 @dataclass
 class Automaton:
-    """A probabilistic automaton: per state the log2 probabilities of stopping and of each character, and where it leads.
+    """A probabilistic automaton: per state the log2 probabilities of stopping and of each character it has seen, and where it leads.
 
-    A character that a state has not seen has a share of its class's
-    probability there and leads where the class mostly does.
+    A character that a state has not seen is as likely, for a share of what is
+    new there, as in all the values, and leads where its class mostly does (`others`);
+    one that no value has is unlikely everywhere (`classes`).
     """
 
     stop: list[float]
     steps: list[dict[str, tuple[float, int]]]
     classes: list[dict[str, tuple[float, int]]]
+    others: list[dict[str, tuple[float, int]]] = field(default_factory=list)
 
     def step(self, state: int, c: str) -> tuple[float, int]:
-        return self.steps[state].get(c) or self.classes[state][_class(c)]
+        return self.steps[state].get(c) or (self.others and self.others[state].get(c)) or self.classes[state][_class(c)]
 
-    def bits(self, token: str) -> float:
-        """log2 of the token's probability."""
+    def bits(self, token: str, least: float = -math.inf) -> float:
+        """log2 of the token's probability; -inf as soon as it is known to be below `least`."""
         state, total = 0, 0.0
         for c in token:
             more, state = self.step(state, c)
             total += more
+            if total < least:
+                return -math.inf
         return total + self.stop[state]
 
 
-def infer(values: list[str], alpha: float = 0.05, weight: float = 4.0) -> Automaton:
+def infer(values: list[str], alpha: float = 0.05) -> Automaton:
     """Merges compatible states of the values' prefix tree, in red-blue order.
 
     Two states are compatible if their frequencies of stopping and of each
@@ -181,21 +192,26 @@ def infer(values: list[str], alpha: float = 0.05, weight: float = 4.0) -> Automa
             is_red.add(state)
         blue = [(r, x) for r in red for x in links[r] if links[r][x] not in is_red]
     number = {state: i for i, state in enumerate(red)}
-    stop, steps, classes = [], [], []
+    letters = Counter("".join(values))
+    all_letters = sum(letters.values())
+    stop, steps, classes, others = [], [], [], []
     for state in red:
         total = visits[state]
-        of_class: Counter = Counter()
+        weight = float(len(count[state]) + (ends[state] > 0))  # as often as something new has come (Witten and Bell)
         ways: dict[str, Counter] = {}
         for c, n in count[state].items():
-            of_class[_class(c)] += n
             ways.setdefault(_class(c), Counter())[number[links[state][c]]] += n
         usual = sum(ways.values(), Counter()).most_common(1)
-        like = {k: (of_class[k] + 0.01) / (total + 0.05) / size for k, size in _SIZES.items()}
-        stop.append(math.log2((ends[state] + weight * like["$"]) / (total + weight)))
-        steps.append({c: (math.log2((n + weight * like[_class(c)]) / (total + weight)), number[links[state][c]]) for c, n in count[state].items()})
-        to = {k: ways[k].most_common(1)[0][0] if k in ways else usual[0][0] if usual else number[state] for k in like}
-        classes.append({k: (math.log2(weight * like[k] / (total + weight)), to[k]) for k in like})
-    return Automaton(stop, steps, classes)
+        to = {k: ways[k].most_common(1)[0][0] if k in ways else usual[0][0] if usual else number[state] for k in _SIZES}
+        # something new is the end as often as here, else a character as often as in all values, and seldom another one
+        ending = (ends[state] + 0.01) / (total + 0.05)
+        share = lambda n, of, total=total, weight=weight: math.log2((n + weight * of) / (total + weight))
+        stop.append(share(ends[state], ending))
+        told = {c: (share(count[state].get(c, 0), (1 - ending) * 0.99 * n / all_letters), number[links[state][c]] if c in count[state] else to[_class(c)]) for c, n in letters.items()}
+        steps.append({c: x for c, x in told.items() if c in count[state]})
+        others.append({c: x for c, x in told.items() if c not in count[state]})
+        classes.append({k: (share(0, (1 - ending) * 0.01 / 5 / size), to[k]) for k, size in _SIZES.items()})
+    return Automaton(stop, steps, classes, others)
 
 
 @dataclass
@@ -225,32 +241,64 @@ class Background:
         return total
 
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: What random-looking ordinary tokens are made of, the narrowest first; each is as likely as the others.
+ALPHABETS = [frozenset(x) for x in (
+    "0123456789", "0123456789abcdef", "0123456789ABCDEF", "0123456789.", "0123456789abcdef-", _UPPER.lower(), _UPPER, _UPPER + "0123456789", _UPPER.lower() + "0123456789",
+    _UPPER + _UPPER.lower(), _UPPER + _UPPER.lower() + "0123456789", _UPPER + _UPPER.lower() + "0123456789+/_.=-",
+)]
+_COSTS = [math.log2(len(x)) for x in ALPHABETS]
+#: Bits that a candidate must gain at least, and that it may gain less than the kind's own values.
+LEAST, MARGIN = 2.0, 2.0
+#: Values of one length and alphabet that are taken for a format of their own.
+SHAPED = 8
+
+
+def random_bits(token: str) -> float:
+    """log2 of the likelihood of a random-looking ordinary token: an alphabet, a length n with probability 1 / (n (n + 1)), and characters alike."""
+    used, n = frozenset(token), len(token)
+    cost = next((c for a, c in zip(ALPHABETS, _COSTS, strict=True) if used <= a), 8.0)
+    return -math.log2(len(ALPHABETS)) - math.log2(n * (n + 1)) - n * cost
+
+
 @dataclass
 class Grammar:
-    """The automata of the labelled kinds, the ordinary tokens' model, the shortest candidate and the least gain in bits a character."""
+    """The automata of the labelled kinds, what a candidate must gain by each, the ordinary tokens' model and the shortest candidate."""
 
     automata: dict[str, Automaton] = field(default_factory=dict)
     background: Background = field(default_factory=Background)
     shortest: int = 6
-    least_gain: float = 1.0
+    least: dict[str, float] = field(default_factory=dict)
     _known: dict[str, tuple[float, float]] = field(default_factory=dict, repr=False, compare=False)
 
+    def gain(self, kind: str, token: str) -> float:
+        """How many bits likelier the token is as a value of the kind than as an ordinary or random one."""
+        return self.automata[kind].bits(token) - max(random_bits(token), self.background.bits(token))
+
     def score(self, token: str) -> tuple[float, float]:
-        """log2 of the likelihood under the best automaton, and its gain over the ordinary model in bits a character."""
+        """log2 of the likelihood under the automaton that the token gains most by, and its gain above what that kind asks; -inf: none comes near."""
         held = self._known.get(token)
         if held is None:
-            best = max((a.bits(token) for a in self.automata.values()), default=-math.inf)
-            held = best, (best - self.background.bits(token)) / (len(token) + 1)
+            floor, held = random_bits(token), (-math.inf, -math.inf)
+            for kind, automaton in self.automata.items():
+                bits = automaton.bits(token, floor + self.least.get(kind, LEAST))
+                if bits > -math.inf:
+                    held = max(held, (bits - max(floor, self.background.bits(token)) - self.least.get(kind, LEAST), bits))
+            held = held[1], held[0]
             if len(self._known) > 100_000:
                 self._known.clear()
             if len(token) <= 64:
                 self._known[token] = held
         return held
 
+    def bits(self, token: str) -> float:
+        """log2 of the greatest likelihood under an automaton."""
+        return max((a.bits(token) for a in self.automata.values()), default=-math.inf)
+
     def spans(self, text: str) -> list[tuple[int, int, int, float | None]]:
         """(start, kind number, end, log2 likelihood) of what the patterns find and the candidates that the automata accept."""
         base = base_spans(text)
-        out = [(s, k, e, self.score(text[v:e])[0] if self.automata else None) for s, k, e, v in base]
+        out = [(s, k, e, self.bits(text[v:e]) if self.automata else None) for s, k, e, v in base]
         if self.automata:
             edges, at, reach = [(s, e) for s, _, e, _ in base], 0, 0
             for m in TOKEN.finditer(text):
@@ -261,13 +309,13 @@ class Grammar:
                     reach = max(reach, edges[at][1])
                     at += 1
                 if reach <= start:
-                    bits, gain = self.score(m[0])
-                    if gain >= self.least_gain:
+                    bits, above = self.score(m[0])
+                    if above >= 0:
                         out.append((start, 3, end, bits))
         return sorted(out)
 
 
-def learn(docs: DataFrame, examples: int = 300, longest: int = 256, least_examples: int = 5, ordinary_texts: int = 2000, text: str = "text") -> Grammar:
+def learn(docs: DataFrame, examples: int = 300, characters: int = 20_000, least_examples: int = 5, ordinary_texts: int = 2000, text: str = "text") -> Grammar:
     """Automata of the kinds that have at least `least_examples` distinct values."""
 
     def labelled(batches):
@@ -278,9 +326,8 @@ def learn(docs: DataFrame, examples: int = 300, longest: int = 256, least_exampl
         for rows in batches:
             for (t,) in rows:
                 for _, k, e, v in base_spans(t or ""):
-                    if e - v <= longest:
-                        value = t[v:e]
-                        held.setdefault(KINDS[k], {})[value] = xxhash.xxh64_intdigest(value.encode(), 7) >> 1
+                    value = t[v:e]
+                    held.setdefault(KINDS[k], {})[value] = xxhash.xxh64_intdigest(value.encode(), 7) >> 1
             for k, of in held.items():
                 if len(of) > 2 * examples:
                     held[k] = dict(sorted(of.items(), key=lambda x: (x[1], x[0]))[:examples])
@@ -294,23 +341,66 @@ def learn(docs: DataFrame, examples: int = 300, longest: int = 256, least_exampl
                 for s, _, e, _ in base_spans(t):
                     parts.append(t[at:s])
                     at = max(at, e)
-                yield {"value": [x for x in set(TOKEN.findall("\n".join([*parts, t[at:]]))) if 6 <= len(x) <= longest]}
+                yield {"value": [x for x in set(TOKEN.findall("\n".join([*parts, t[at:]]))) if len(x) >= 6]}
 
     values = common.staged(common.map_rows(docs.select(text), labelled, "kind string, value string, h bigint").distinct(), "labelled-values")
     by_kind: dict[str, list[str]] = {}
     for k in KINDS[:3]:  # take-ordered: of each task no more rows than are wanted in all
         top = values.filter(F.col("kind") == k).orderBy("h", "value").limit(examples)
-        by_kind[k] = [r["value"] for r in top.select("value").collect()]
+        by_kind[k] = _within([r["value"] for r in top.select("value").collect()], characters)
     common.release(values)
     order = F.xxhash64(F.lit("ordinary"), text)
     share = min(1.0, 2 * ordinary_texts / max(docs.count(), 1))
-    sample = docs.filter(F.col(text).isNotNull() & (F.pmod(order, F.lit(1 << 20)) < (1 << 20) * share)).select(F.col(text).alias("t"), order.alias("o"))
-    sample = sample.orderBy("o").limit(ordinary_texts).dropDuplicates(["o"]).select("t")
+    sample = docs.filter(F.col(text).isNotNull() & (F.pmod(order, F.lit(1 << 20)) < (1 << 20) * share)).groupBy(order.alias("o")).agg(F.min(text).alias("t"))  # different texts
+    sample = sample.orderBy("o").limit(ordinary_texts).select("t")
     tokens = common.map_rows(sample, ordinary, "value string").groupBy("value").count().filter("count > 1")  # a hidden secret occurs once
     tokens = tokens.orderBy(F.xxhash64("value"), "value").limit(20 * examples)
-    grammar = Grammar(background=Background().fit([r["value"] for r in tokens.select("value").collect()]))
-    grammar.automata = {k: infer(v) for k, v in by_kind.items() if len(v) >= least_examples}
-    grammar.shortest = max(6, min((len(x) for k in grammar.automata for x in by_kind[k]), default=0) // 2)
+    return fit({k: v for k, v in by_kind.items() if len(v) >= least_examples}, [r["value"] for r in tokens.select("value").collect()])
+
+
+def _within(values: list[str], characters: int) -> list[str]:
+    """The first values that have so many characters in all."""
+    out = []
+    for v in values:
+        if len(v) <= characters:
+            out.append(v)
+            characters -= len(v)
+    return out
+
+
+def shapes(values: list[str]) -> list[list[str]]:
+    """Values of a length and alphabet that at least `SHAPED` of them share, most first, then all others; each list in the values' order.
+
+    A kind's values may be of several formats, and a few values of one are not
+    unlike another's at most places of the tree; those of one shape are
+    learned by themselves, and what has no usual shape together.
+    """
+    alphabet = lambda v: next((i for i, a in enumerate(ALPHABETS) if set(v) <= a), len(ALPHABETS))
+    groups: dict[tuple[int, int], list[str]] = {}
+    for v in values:
+        groups.setdefault((len(v), alphabet(v)), []).append(v)
+    usual = {k for k, g in groups.items() if len(g) >= SHAPED}
+    rest = [v for v in values if (len(v), alphabet(v)) not in usual]
+    found = sorted((groups[k] for k in usual), key=lambda g: (-len(g), g[0]))
+    return [*found, rest] if len(rest) >= SHAPED or not found else found
+
+
+def fit(values: dict[str, list[str]], ordinary: list[str]) -> Grammar:
+    """Automata of the kinds' values, by shape, each with what it takes to be told one of them: from every fourth value, held out.
+
+    The first automaton of a kind has its name, the others have numbers.
+    """
+    grammar = Grammar(background=Background().fit(ordinary))
+    whole: dict[str, Automaton] = {}
+    for kind, known in values.items():
+        for n, group in enumerate(shapes(known)):
+            name = kind if not n else f"{kind} {n + 1}"
+            grammar.automata = {name: infer([v for i, v in enumerate(group) if i % 4 != 3])}
+            gains = sorted(grammar.gain(name, v) for i, v in enumerate(group) if i % 4 == 3)
+            grammar.least[name] = max(LEAST, gains[len(gains) // 50] - MARGIN) if gains else LEAST
+            whole[name] = infer(group)
+    grammar.automata = whole
+    grammar.shortest = max(6, min((len(x) for known in values.values() for x in known), default=0) // 2)
     return grammar
 
 

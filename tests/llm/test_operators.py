@@ -231,6 +231,88 @@ def test_unlabelled_secrets_are_found_in_documents(spark, real):
     assert len(found - hidden) <= 0.05 * len(hidden)
 
 
+def look_alikes(rng):
+    """Random-looking ordinary tokens: what no labelled value looks like, by length, letters or places of characters."""
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    hexes, upper, lower = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    found = {f"hex of {n}": (lambda n=n: draw(hexes, n)) for n in (8, 16, 20, 24, 32, 36, 39, 41, 48, 64)}
+    found |= {f"base 62 of {n}": (lambda n=n: draw(upper + lower + "0123456789", n)) for n in (16, 20, 24, 36, 40, 48)}
+    found |= {"uuid": lambda: "-".join(draw(hexes, n) for n in (8, 4, 4, 4, 12)), "number": lambda: draw("0123456789", 16), "version": lambda: "v" + ".".join(draw("0123456789", 2) for _ in range(3))}
+    found |= {"upper case": lambda: draw(upper + "0123456789", 20), "long number": lambda: draw("0123456789", 40)}
+    return found
+
+
+def labelled_values(rng, n):
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    hexes, upper = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    make = {"assign": lambda: draw(hexes, 40), "access": lambda: "AKIA" + draw(upper + "0123456789", 16), "hex": lambda: draw(hexes, 40)}
+    return {k: [f() for _ in range(n)] for k, f in make.items()}, make
+
+
+@pytest.mark.parametrize("states", ["all", "one"])
+def test_format_decides(states, real, monkeypatch):
+    """Labelled formats are found and look-alikes are not; with automata of one state, which have no format, they are."""
+    if states == "one":
+        whole = secrets.infer
+
+        def one_state(values):
+            a = whole(values, alpha=1e-300)
+            letters, n = "".join(values), sum(map(len, values)) + len(values)
+            shares = {c: (np.log2(letters.count(c) / n), 0) for c in set(letters)}
+            return secrets.Automaton([np.log2(len(values) / n)], [shares], [{k: (-12.0, 0) for k in a.classes[0]}])
+
+        monkeypatch.setattr(secrets, "infer", one_state)
+    rng = np.random.default_rng(12)
+    values, make = labelled_values(rng, 300)
+    words = [w for r in real.select("text").limit(60).collect() for w in secrets.TOKEN.findall(r.text or "") if len(w) >= 6]
+    grammar = secrets.fit(values, words[:6000])
+    accepted = lambda f: np.mean([grammar.score(f())[1] >= 0 for _ in range(200)])
+    found = {k: accepted(f) for k, f in make.items()}
+    wrong = {k: accepted(f) for k, f in look_alikes(rng).items()}
+    assert np.mean([grammar.score(w)[1] >= 0 for w in words]) < 0.01
+    if states == "all":
+        assert min(found.values()) >= 0.95 and max(wrong.values()) < 0.05, (found, wrong)
+    else:
+        assert max(wrong.values()) > 0.5
+
+
+def test_look_alikes_in_documents_stay_clean(spark, real):
+    """Documents with labelled keys of two formats, and unlabelled UUIDs, hex of other lengths and tokens of other letters."""
+    rng = np.random.default_rng(13)
+    values, _ = labelled_values(rng, 90)
+    others = list(look_alikes(rng).values())
+    rows, alike = [], 0
+    for i, r in enumerate(real.select("text").collect() * 2):
+        words = (r.text or "").split(" ")
+        at = int(rng.integers(len(words) + 1))
+        if i % 4 == 0:
+            words.insert(at, f"token={values['assign'][i // 4 % 90]}")
+        elif i % 4 == 1:
+            words.insert(at, values["access"][i // 4 % 90])
+        else:
+            words.insert(at, others[(i + 7 * (i % 4)) % len(others)]())
+            alike += 1
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {(r.doc_id, s.start, s.end) for r in secrets.scan(df, secrets.learn(df)).collect() for s in r.spans if s.kind == "learned"}
+    assert alike > 150 and len(found) <= 0.05 * alike
+
+
+def test_one_repeated_text_does_not_fill_the_sample(spark, real):
+    """A thousand copies of one text, and ordinary texts: still ordinary tokens to tell secrets from."""
+    rows = [(i, "nothing here occurs twice zebra quagga okapi") for i in range(3000)] + [(9000 + i, r.text) for i, r in enumerate(real.select("text").collect())]
+    grammar = secrets.learn(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert len(grammar.background.singles) > 40
+
+
+def test_long_values_are_learned_from_whole(spark):
+    """Values above 256 characters have a format too; what is bounded is how many values, not how long they are."""
+    draw = lambda i: hashlib.sha512(str(i).encode()).hexdigest() * 3  # noqa: E731  384 characters
+    df = spark.createDataFrame([(i, f"secret: {draw(i)}") for i in range(40)], "doc_id bigint, text string")
+    grammar = secrets.learn(df)
+    assert grammar.shortest == 192 and len(grammar.automata["assign"].stop) > 300
+
+
 def test_learned_spans_equal_plain_scoring(spark, real):
     """Every candidate scored one by one, by products of the automaton's probabilities, without cache or order tricks."""
     rows, _ = planted(real)
@@ -240,7 +322,7 @@ def test_learned_spans_equal_plain_scoring(spark, real):
     def likelihood(a, token):
         state, p = 0, 0.0
         for c in token:
-            step, state = a.steps[state][c] if c in a.steps[state] else a.classes[state]["0" if c in "0123456789" else "a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "-"]
+            step, state = a.steps[state][c] if c in a.steps[state] else a.others[state][c] if c in a.others[state] else a.classes[state]["0" if c in "0123456789" else "a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "-"]
             p += step
         return p + a.stop[state]
 
@@ -251,8 +333,9 @@ def test_learned_spans_equal_plain_scoring(spark, real):
             core = re.sub(r"[.-]+$", "", re.sub(r"^[.=-]+", "", m[0]))
             start = m.start() + m[0].find(core)
             if len(core) >= grammar.shortest and not any(s < start + len(core) and start < e for s, e in taken):
-                best = max(likelihood(a, core) for a in grammar.automata.values())
-                if (best - grammar.background.bits(core)) / (len(core) + 1) >= grammar.least_gain:
+                sizes = [len(x) for x in secrets.ALPHABETS if set(core) <= x]
+                chance = np.log2(1 / len(secrets.ALPHABETS) / len(core) / (len(core) + 1)) - len(core) * np.log2(sizes[0])
+                if any(likelihood(a, core) - max(chance, grammar.background.bits(core)) >= grammar.least[k] for k, a in grammar.automata.items()):
                     want.append((start, start + len(core)))
         assert [(s, e) for s, k, e, _ in grammar.spans(text) if k == 3] == want, i
 
