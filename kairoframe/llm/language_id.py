@@ -9,10 +9,10 @@ word (`label_words`); a document gets the language with the largest share of its
 
 Training: the labels are those of documents, so chains are made by joining
 runs of words from several labelled documents (code-switching with known
-switch points).  The model is fitted on a bounded sample: `docs_per_lang`
-documents of each language in the order of a hash, `chars_per_doc` characters
-from a place in the text that a hash chooses.  Statistics needed for the
-sample (documents per language) cover all rows.
+switch points).  The model is fitted on a bounded sample of whole texts:
+`docs_per_lang` different ones of each language in the order of a hash, with
+`chars_per_lang` characters in all.  Statistics needed for the sample
+(documents per language) cover all rows.
 
 Prediction takes the text alone and reads all of it.
 
@@ -32,7 +32,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -335,12 +335,13 @@ def _words(text: str) -> Iterator[list[str]]:
 # --------------------------------------------------------------------- Spark
 
 
-def train(docs: DataFrame, docs_per_lang: int = 300, chars_per_doc: int = 3000, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model | None:
+def train(docs: DataFrame, docs_per_lang: int = 250, chars_per_lang: int = 800_000, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model | None:
     """Fits a model on a bounded sample of the labelled rows of docs.
 
     The number of languages is taken to be small (one row each on the driver).
-    The sample is at most docs_per_lang rows of each language with at most
-    chars_per_doc characters of each.
+    The sample is, of each language's different texts in the order of a hash,
+    at most docs_per_lang, and as many of them as have chars_per_lang
+    characters in all; texts are whole.
     """
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy(lang).count().collect()}
@@ -348,14 +349,13 @@ def train(docs: DataFrame, docs_per_lang: int = 300, chars_per_doc: int = 3000,
         return None
     own = F.xxhash64(text)
     order = common.hash_share(F.col(key), own, seed="language-sample")
-    bound = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, min(1.0, 1.5 * docs_per_lang / v))])
-    begin = (common.hash_share(F.col(key), seed="language-place") * F.greatest(F.lit(1), F.length(text) - chars_per_doc + 1)).cast("int") + 1
-    sample = labelled.filter(order < bound[F.col(lang)]).select(F.col(lang).alias("lang"), (order / bound[F.col(lang)]).alias("o"), own.alias("own"), F.col(text).substr(begin, F.lit(chars_per_doc)).alias("t"))
-    rows = sample.orderBy("o", "own").limit(3 * docs_per_lang * len(counts)).collect()  # rows that repeat id and text fall together: a hard bound
-    by_lang: dict[str, list] = {}
-    for r in rows:
-        by_lang.setdefault(r["lang"], []).append(r["t"])
-    return Model(sorted(counts)).fit([(k, t) for k in sorted(by_lang) for t in by_lang[k][:docs_per_lang]])
+    bound = F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, min(1.0, 3.0 * docs_per_lang / v))])
+    sample = labelled.filter(order < bound[F.col(lang)]).groupBy(F.col(lang).alias("lang"), own.alias("own")).agg(F.min(order).alias("o"), F.min(text).alias("t"))
+    place = Window.partitionBy("lang").orderBy("o", "own")
+    first = sample.withColumn("n", F.row_number().over(place)).filter(F.col("n") <= docs_per_lang)  # cut by tasks before it is sorted
+    within = F.sum(F.length("t")).over(place.rowsBetween(Window.unboundedPreceding, 0))
+    rows = first.withColumn("upto", within).filter((F.col("upto") <= chars_per_lang) | (F.col("n") == 1)).orderBy("lang", "n").select("lang", "t").collect()
+    return Model(sorted(counts)).fit([(r["lang"], r["t"]) for r in rows])
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
