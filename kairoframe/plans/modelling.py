@@ -8,13 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import backtest
 from ..operators import decision as D
 from ..operators import learning as L
 from ..operators import market
 from ..operators import scoring as O
 from ..operators import simulation as X
 from ..sources import sinks
-from ..sources.tables import shared_folder, table
+from ..sources.tables import shared_folder, staged, table
 from ..streaming import live
 from .catalog import register
 
@@ -255,6 +256,50 @@ def matchup_lineups(spark: SparkSession, sf: str) -> DataFrame:
     return points.join(faced, ["team", "s"]).groupBy("team").applyInPandas(choose, "team bigint, players string, wins bigint, draws bigint, total bigint")
 
 
+#: Rosters and line-ups of the replayed cases: forty parts a case, ten weeks.
+CASE_SIZES, CASE_FORMATIONS = {"A": 3, "B": 3, "C": 2}, {"2-2-1": "AABBC"}
+_CASES = """
+WITH p AS (SELECT p_partkey // 40 AS case_id, p_partkey AS player, SUBSTR('ABC', p_size % 3 + 1, 1) AS role FROM part),
+l AS (SELECT l_partkey AS player, COALESCE(SUM(l_quantity) FILTER (WHERE y < 1998), 0) AS minutes, COALESCE(ROUND(AVG(l_quantity) FILTER (WHERE y < 1998), 4), 0) AS expected, COALESCE(SUM(l_quantity) FILTER (WHERE y >= 1998), 0) AS seen FROM (SELECT *, YEAR(l_shipdate) AS y FROM lineitem) GROUP BY 1),
+f AS (SELECT p.*, COALESCE(minutes, 0) AS minutes, COALESCE(expected, 0) AS expected, COALESCE(seen, 0) AS seen, CASE role WHEN 'C' THEN 2 ELSE 3 END AS n FROM p LEFT JOIN l USING (player)),
+r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY case_id, role ORDER BY minutes DESC, player) AS place, COUNT(*) OVER (PARTITION BY case_id, role) AS of FROM f),
+w AS (SELECT case_id FROM r WHERE place = 1 AND of >= 2 * n + 1 GROUP BY case_id HAVING COUNT(*) = 3),
+d AS (SELECT r.*, ROW_NUMBER() OVER (PARTITION BY r.case_id, role ORDER BY MD5('case:' || r.case_id || ':' || player), player) AS i FROM r JOIN w USING (case_id) WHERE place <= 4 * n + 1),
+m AS (SELECT *, CASE role WHEN 'C' THEN 1 ELSE 2 END AS k FROM d WHERE i <= n),
+s AS (SELECT case_id, SUM(seen) FILTER (WHERE a <= k) AS balanced, SUM(seen) FILTER (WHERE b <= k) AS naive, SUM(seen) FILTER (WHERE c <= k) AS hindsight FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY case_id, role ORDER BY expected DESC, player) AS a,
+  ROW_NUMBER() OVER (PARTITION BY case_id, role ORDER BY minutes DESC, player) AS b, ROW_NUMBER() OVER (PARTITION BY case_id, role ORDER BY seen DESC, player) AS c FROM m) GROUP BY case_id)
+"""
+
+
+def _replayed_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Cases of forty parts: what was shipped before 1998 is known, what was shipped later is observed."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("player"), "l_quantity", (F.col("l_orderkey") % 20).alias("s"), (F.year("l_shipdate") < 1998).alias("early"))
+    part = table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 40).alias("case_id"), F.col("p_partkey").alias("player"), F.substring(F.lit("ABC"), F.col("p_size") % 3 + 1, F.lit(1)).alias("role"))
+    sums = lines.groupBy("player").agg(F.sum(F.when(F.col("early"), F.col("l_quantity"))).alias("minutes"), F.round(F.avg(F.when(F.col("early"), F.col("l_quantity"))), 4).alias("expected"), F.sum(F.when(~F.col("early"), F.col("l_quantity"))).alias("seen"))
+    told = lines.filter("early").groupBy("player", "s").agg(F.round(F.avg("l_quantity"), 2).alias("v")).groupBy("player").agg(F.map_from_entries(F.collect_list(F.struct("s", "v"))).alias("m"))
+    scenarios = F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.coalesce(F.try_element_at("m", i.cast("bigint")), F.lit(0.0)))
+    known = part.join(sums, "player", "left").join(told, "player", "left").fillna(0.0, ["minutes", "expected", "seen"])
+    known = known.withColumn("scenarios", F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), 20)).otherwise(scenarios))
+    drafted = backtest.draft(known.select("case_id", "player", "role", "minutes"), "case", CASE_SIZES)
+    key = ["case_id", "player"]
+    return backtest.replay_cases(drafted, known.select(*key, F.col("expected").alias("points"), "scenarios"), known.select(*key, F.col("seen").alias("points")), known.select(*key, "minutes"), CASE_FORMATIONS)
+
+
+@register("backtest_cases", _CASES + "SELECT case_id, balanced, naive, hindsight, hindsight - balanced AS regret FROM s")
+def backtest_cases(spark: SparkSession, sf: str) -> DataFrame:
+    """Three policies of every case on what was observed; no line-up of the roster is above hindsight."""
+    found = _replayed_cases(spark, sf)
+    never = F.greatest("balanced", "naive", "matchup") > F.col("hindsight") + 1e-9
+    return found.filter(F.when(never, F.raise_error(F.lit("hindsight is beaten")).cast("boolean")).otherwise(F.lit(True))).select("case_id", "balanced", "naive", "hindsight", (F.col("hindsight") - F.col("balanced")).alias("regret"))
+
+
+@register("backtest_lifts")
+def backtest_lifts(spark: SparkSession, sf: str) -> DataFrame:
+    """Paired differences of the policies with intervals over ten weeks."""
+    cases = staged(_replayed_cases(spark, sf).withColumn("week", F.col("case_id") % 10), "cases")
+    return backtest.lifts(cases, "week").select("policy", "against", "clusters", *[F.round(c, 4).alias(c) for c in ("mean", "low", "high")])
+
+
 MARKET_FORMATIONS = {"2-2-2": "DDMMFF", "3-2-1": "DDDMMF", "2-3-1": "DDMMMF"}
 
 
