@@ -231,8 +231,19 @@ def safe_identifier(text: Column, length: int = 160) -> Column:
 
 
 def number(*texts: Column) -> Column:
-    """The first text that is a number; percent signs and decimal commas are understood."""
-    return F.coalesce(*[F.expr("null").cast("double")] if not texts else [F.replace(F.rtrim(F.trim(t.cast("string")), F.lit("%")), F.lit(","), F.lit(".")).try_cast("double") for t in texts])
+    """The first text that is a number; percent signs, decimal commas and marks of thousands are understood.
+
+    Of a comma and a full stop the last one is the decimal mark ("1.234,5" and
+    "1,234.5" are 1234.5); one of them alone is decimal.
+    """
+    out = [F.expr("null").cast("double")]
+    for t in texts:
+        bare = F.rtrim(F.trim(t.cast("string")), F.lit("%"))
+        comma, stop = F.length(bare) - F.locate(",", F.reverse(bare)), F.length(bare) - F.locate(".", F.reverse(bare))
+        both = F.contains(bare, F.lit(",")) & F.contains(bare, F.lit("."))
+        plain = F.when(both & (comma > stop), F.replace(bare, F.lit("."), F.lit(""))).when(both, F.replace(bare, F.lit(","), F.lit(""))).otherwise(bare)
+        out.append(F.replace(plain, F.lit(","), F.lit(".")).try_cast("double"))
+    return F.coalesce(*out)
 
 
 def observed(available: Column, values: Column, names: Sequence[str]) -> Column:

@@ -104,22 +104,37 @@ def select_classifier(df: DataFrame, features: Sequence[str], label: str, period
     return min(good, key=lambda k: (mean[k]["log_loss"], kinds.index(k)), default="baseline"), mean
 
 
-def calibrate(scored: DataFrame, label: str, least_isotonic: int = 500) -> tuple[str, object]:
-    """Identity, a logistic on the logit (Platt) or, with enough rows, an isotonic curve: the one of least log-loss."""
+def calibrate(scored: DataFrame, label: str, least_isotonic: int = 500, order: F.Column | None = None) -> tuple[str, object]:
+    """Identity, a logistic on the logit (Platt) or, with enough rows, an isotonic curve: the one of least log-loss.
+
+    Each is fitted on one half of the rows and judged on the other, so the one
+    that bends most has no edge; the one chosen is then fitted on all.
+    `order` deals the rows to the halves; if not given, a hash of the row.
+    """
     from ..functions.scalars import logit, sigmoid
 
-    y, rows = F.col(label).cast("double"), scored.withColumn("z", logit(F.col("p"))).persist()
-    candidates: dict[str, object] = {"identity": lambda df: df.withColumn("calibrated", F.col("p"))}
-    platt = LogisticRegression(labelCol=label, featuresCol="zv").fit(VectorAssembler(inputCols=["z"], outputCol="zv").transform(rows))
-    a, b = float(platt.coefficients[0]), float(platt.intercept)
-    candidates["platt"] = lambda df: df.withColumn("calibrated", sigmoid(F.lit(a) * logit(F.col("p")) + F.lit(b)))
+    half = F.pmod(F.xxhash64(*scored.columns) if order is None else order, F.lit(2))
+    y, rows = F.col(label).cast("double"), scored.withColumns({"_z": logit(F.col("p")), "_half": half}).persist()
+
+    def platt(known: DataFrame):
+        model = LogisticRegression(labelCol=label, featuresCol="_zv").fit(VectorAssembler(inputCols=["_z"], outputCol="_zv").transform(known))
+        a, b = float(model.coefficients[0]), float(model.intercept)
+        return lambda df: df.withColumn("calibrated", sigmoid(F.lit(a) * logit(F.col("p")) + F.lit(b)))
+
+    def isotonic(known: DataFrame):
+        curve = IsotonicRegression(labelCol=label, featuresCol="p", predictionCol="calibrated").fit(known.select("p", y.alias(label)))
+        return lambda df: curve.transform(df)
+
+    makers = {"identity": lambda known: lambda df: df.withColumn("calibrated", F.col("p")), "platt": platt}
     if rows.count() >= least_isotonic:
-        curve = IsotonicRegression(labelCol=label, featuresCol="p", predictionCol="calibrated").fit(rows.select("p", y.alias(label)))
-        candidates["isotonic"] = lambda df: curve.transform(df)
-    losses = {k: f(rows).agg(M.log_loss(y, F.col("calibrated"))).first()[0] for k, f in candidates.items()}
+        makers["isotonic"] = isotonic
+    known, judged = rows.filter("_half = 0"), rows.filter("_half = 1")
+    both = known.select(F.count_distinct(label)).first()[0] == 2 and not judged.isEmpty()
+    losses = {k: make(known)(judged).agg(M.log_loss(y, F.col("calibrated"))).first()[0] for k, make in makers.items()} if both else {"identity": 0.0}
+    best = min(losses, key=lambda k: (losses[k], list(makers).index(k)))
+    chosen = makers[best](rows)
     rows.unpersist()
-    best = min(candidates, key=lambda k: (losses[k], list(candidates).index(k)))
-    return best, candidates[best]
+    return best, chosen
 
 
 def fit_negative_binomial(x: np.ndarray, y: np.ndarray, l2: float = 0.01, rounds: int = 40) -> tuple[np.ndarray, float]:
@@ -202,6 +217,8 @@ def zero_excess(df: DataFrame, count: str) -> DataFrame:
 def fit_regressor(train: DataFrame, features: Sequence[str], label: str, kind: str = "linear", low: float = 0.0, high: float | None = None) -> Predictor:
     """A function that adds `prediction`, never outside [low, high]; rows without a label are not learned from."""
     rows = train.filter(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double"))
+    if rows.isEmpty():
+        raise ValueError(f"no row has the label {label}")
     if kind == "baseline":
         mean = float(rows.agg(F.avg(label)).first()[0])
         raw = lambda df: df.withColumn("prediction", F.lit(mean))
@@ -286,8 +303,9 @@ def select_regressor(df: DataFrame, features: Sequence[str], label: str, period:
     but the last period are folds; the winner must gain `least_gain` of the
     baseline's loss there, on the last period lose no more than `most_loss`
     against it, and no more than `group_slack` in any group of at least
-    `least_group` rows.  The chosen model learned from
-    all but the last period, which gives its interval's radius.
+    `least_group` rows.  The chosen model learned from all but the last
+    period; its interval's radius is of the errors that the same kind of model
+    makes in the period before the last, learned from those before.
     """
     rows = df.filter(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double"))
     y, p = F.col(label), F.col("prediction")
@@ -295,6 +313,8 @@ def select_regressor(df: DataFrame, features: Sequence[str], label: str, period:
     periods = [r[0] for r in rows.select(period).distinct().orderBy(period).collect()]
     if len(periods) < 4:
         raise ValueError("fewer than four periods")
+    if not rows.filter(y < 0).isEmpty():  # no counts
+        kinds = [k for k in kinds if k not in ("poisson", "hurdle")]
     names = ["baseline", *kinds]
     losses: dict[str, list[float]] = {k: [] for k in names}
     for test_period in periods[2:-1]:
@@ -314,33 +334,40 @@ def select_regressor(df: DataFrame, features: Sequence[str], label: str, period:
     passed = _no_group_worse(chosen(last), base(last), group, loss, group_slack, least_group)
     if promoted and not (passed and _beats(held["selected"], held["baseline"], most_loss)):
         promoted, chosen, held["selected"] = False, base, held["baseline"]
-    radius = M.conformal_radius(chosen(last), y - p, coverage).first()["radius"]
+    earlier, own = rows.filter(F.col(period) < periods[-2]), rows.filter(F.col(period) == periods[-2])
+    told = fit_regressor(earlier, features, label, best if promoted else "baseline", low, high)
+    radius = M.conformal_radius(told(own), y - p, coverage).first()["radius"]
     return Selection(best if promoted else "baseline", promoted, scores, held, passed, chosen, radius)
 
 
 def promote_classifier(df: DataFrame, features: Sequence[str], label: str, period: str, kinds: Sequence[str] = CLASSIFIERS, group: str | None = None, most_loss: float = 0.05, group_slack: float = 0.25, least_group: int = 100) -> Selection:
-    """`select_classifier` on all but the last period, then held to the last one, as a whole and in each group.
+    """The classifier that wins over rolling folds, calibrated on a period of its own and held to the last one, as a whole and in each group.
 
-    `predict` adds p, calibrated on the last period, of a model of all before.
+    Of the periods the last is the hold-out and the one before it calibrates;
+    `select_classifier` sees all but the last, the model learns from those
+    before the calibrating one, and what the hold-out judges is calibrated.
+    `predict` adds p.
     """
     rows = df.filter(F.col(label).isNotNull())
-    last_period = rows.agg(F.max(period)).first()[0]
-    fit, last = rows.filter(F.col(period) < last_period).persist(), rows.filter(F.col(period) == last_period)
-    name, means = select_classifier(fit, features, label, period, kinds)
-    prior = fit.agg(M.laplace_prior(F.col(label))).first()[0]
+    periods = [r[0] for r in rows.select(period).distinct().orderBy(period).collect()]
+    if len(periods) < 3:
+        raise ValueError("fewer than three periods")
+    seen, last = rows.filter(F.col(period) < periods[-1]).persist(), rows.filter(F.col(period) == periods[-1])
+    fit, own = seen.filter(F.col(period) < periods[-2]), seen.filter(F.col(period) == periods[-2])
+    name, means = select_classifier(seen, features, label, period, kinds)
+    prior = seen.agg(M.laplace_prior(F.col(label))).first()[0]
     y = F.col(label).cast("double")
     loss = M.log_loss(y, F.col("p"))
     base = lambda rows: rows.withColumn("p", F.lit(prior))
-    chosen = base
+    chosen, kind = base, "identity"
     if name != "baseline":
         model = fit_classifier(fit, features, label, name)
-        chosen = lambda rows: probabilities(model, rows, features)
+        kind, calibrated = calibrate(probabilities(model, own, features), label)
+        chosen = lambda rows: calibrated(probabilities(model, rows, features)).withColumn("p", F.col("calibrated")).select(*rows.columns, "p")
     held = {k: f(last).agg(loss).first()[0] for k, f in (("selected", chosen), ("baseline", base))}
     passed = _no_group_worse(chosen(last), base(last), group, loss, group_slack, least_group)
     promoted = name != "baseline" and passed and _beats(held["selected"], held["baseline"], most_loss)
     if not promoted:
         name, chosen, held["selected"] = "baseline", base, held["baseline"]
-    fit.unpersist()
-    kind, calibrated = calibrate(chosen(last), label) if promoted else ("identity", None)
-    predict = (lambda rows: calibrated(chosen(rows)).withColumn("p", F.col("calibrated")).drop("calibrated")) if promoted else chosen
-    return Selection(name, promoted, {k: v["log_loss"] for k, v in means.items()}, held, passed, predict, notes={"isotonic": float(kind == "isotonic")})
+    seen.unpersist()
+    return Selection(name, promoted, {k: v["log_loss"] for k, v in means.items()}, held, passed, chosen, notes={"isotonic": float(promoted and kind == "isotonic")})
