@@ -33,7 +33,10 @@ def _histories(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Data
         (k % 3 == 0).alias("started"), (k % 5 != 0).cast("int").alias("event_statistics_available"), (k % 4 + F.col("v")).cast("double").alias("goals"), F.when(k % 7 != 0, (k % 2).cast("double")).alias("assists"),
         F.when(k % 3 != 1, (k % 10) / 10.0).alias("xg"), F.lit(None).cast("double").alias("xa"), (k % 6).cast("double").alias("shots"), (k % 5).cast("double").alias("tackles"), F.when(k % 2 == 0, (k % 3).cast("double")).alias("interceptions"), F.lit(0.0).alias("saves"),
     )
-    players = players.groupBy("player_id", "event_time", "available_at").agg(F.max(F.struct(*[c for c in players.columns[3:]])).alias("x")).select("player_id", "event_time", "available_at", "x.*")
+    # the greatest of a day's rows, where what is not known is above all values, as in the SQL
+    held = players.columns[3:]
+    greatest = F.max(F.struct(*[F.struct(F.col(c).isNull().alias("unknown"), F.col(c).alias("value")).alias(c) for c in held]))
+    players = players.groupBy("player_id", "event_time", "available_at").agg(greatest.alias("x")).select("player_id", "event_time", "available_at", *[F.col("x")[c]["value"].alias(c) for c in held])
     teams = o.groupBy(F.concat(F.lit("t"), "nation").alias("team_id"), F.col("o_orderdate").alias("event_time")).agg(
         F.min(F.col("o_orderdate") + F.make_dt_interval(F.lit(1))).alias("available_at"), F.max(k % 4).cast("double").alias("goals_for"), F.min(k % 3).cast("double").alias("goals_against"),
         F.max(F.when(k % 2 == 0, (k % 20) / 10.0)).alias("xg_for"), F.max((k % 30) / 10.0).alias("xg_against"), F.max(k % 6).cast("double").alias("cards"), F.max(F.when(k % 5 != 0, (k % 2).cast("double"))).alias("penalties"),
