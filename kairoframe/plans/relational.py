@@ -191,9 +191,10 @@ SELECT c_custkey, p_partkey, p_retailprice FROM (
   SELECT c.c_custkey, p.p_partkey, p.p_retailprice, ROW_NUMBER() OVER (PARTITION BY c_custkey ORDER BY p_retailprice DESC, p_partkey) AS n
   FROM customer c JOIN part p ON p_size = c_custkey % 50 + 1 AND p_retailprice <= c_acctbal) WHERE n <= 3""")
 def theta_budget_swap(spark: SparkSession, sf: str) -> DataFrame:
+    """A customer's three dearest parts of a size within the balance, met by their numbers along the prices, not by all pairs of a size."""
     c = table(spark, sf, "customer").select("c_custkey", "c_acctbal", (F.col("c_custkey") % 50 + 1).cast("int").alias("p_size"))
-    joined = c.join(table(spark, sf, "part").select("p_size", "p_partkey", "p_retailprice"), "p_size").filter("p_retailprice <= c_acctbal")
-    return R.top_per_group(joined, ["c_custkey"], [F.desc("p_retailprice"), F.col("p_partkey")], 3).select("c_custkey", "p_partkey", "p_retailprice")
+    parts = table(spark, sf, "part").select("p_size", "p_partkey", "p_retailprice")
+    return ranks.last_below(c, parts, ["p_size"], "c_acctbal", "p_retailprice", "c_custkey", "p_partkey", 3).select("c_custkey", "p_partkey", "p_retailprice")
 
 
 @register("home_away_unpivot", """

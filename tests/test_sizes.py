@@ -1,11 +1,13 @@
 """Queries against their SQL on tables that are made for the case, and the plans that let them grow."""
 
 import math
+import random
 from pathlib import Path
 
 import duckdb
 import pytest
 
+from kairoframe.operators import ranks
 from kairoframe.plans import catalog
 
 SOURCE = "/root/testdata/sf0.001"
@@ -39,3 +41,24 @@ def test_of_a_days_orders_the_one_with_an_unknown_value_is_the_greatest(spark, t
     folder = tables(tmp_path, customer="SELECT * FROM customer", orders="SELECT * REPLACE (k AS o_orderkey, 3 AS o_custkey, TIMESTAMP '1997-01-01' + INTERVAL 1 DAY * d AS o_orderdate) FROM (SELECT * FROM orders LIMIT 1), (VALUES (7, 0), (187, 0), (500, 60), (901, 90)) t(k, d)")
     rows = same_as_sql(spark, "snapshot_players", folder)
     assert len(rows) == 4
+
+
+def plan(spark, name):
+    return catalog.queries()[name](spark, SOURCE)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("ranges", [1, 9])
+def test_asks_meet_the_dearest_offers_only(spark, ranges):
+    draw = random.Random(3)
+    asks = [(draw.choice([1, 1, 2, None]), draw.choice([None, float(draw.randrange(30)), -0.0]), i) for i in range(200)]
+    offers = [(draw.choice([1, 1, 2, 3, None]), draw.choice([None, float(draw.randrange(5, 30)), 0.0]), i) for i in range(150)]
+    found = ranks.last_below(spark.createDataFrame(asks, "k int, at double, ask int"), spark.createDataFrame(offers, "k int, v double, offer int"), ["k"], "at", "v", "ask", "offer", 3, ranges)
+    want = set()
+    for k, at, i in asks:
+        held = [(-v, o) for key, v, o in offers if None not in (k, at, v) and key == k and v <= at]
+        want |= {(i, o, -v) for v, o in sorted(held)[:3]}
+    assert {(r.ask, r.offer, r.v) for r in found.collect()} == want
+
+
+def test_budget_swaps_pair_nothing_by_price(spark):
+    assert "<= c_acctbal" not in plan(spark, "theta_budget_swap")
