@@ -6,6 +6,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from kairoframe.operators import ranks
 from kairoframe.plans import catalog
@@ -62,3 +63,15 @@ def test_asks_meet_the_dearest_offers_only(spark, ranges):
 
 def test_budget_swaps_pair_nothing_by_price(spark):
     assert "<= c_acctbal" not in plan(spark, "theta_budget_swap")
+
+
+@pytest.mark.parametrize("ranges", [1, 9])
+def test_the_best_so_far(spark, ranges):
+    draw = random.Random(4)
+    rows = [(draw.choice(["a", "b", None]), i, draw.choice([None, draw.randrange(1000)])) for i in range(300)]
+    found = ranks.best_so_far(spark.createDataFrame(rows, "k string, i int, v int"), ["k"], [F.desc("i")], F.col("v"), "least", ranges).collect()
+    assert {(r.i, r.least) for r in found} == {(i, min((v for key, j, v in rows if key == k and j >= i and v is not None), default=None)) for k, i, _ in rows}
+
+
+def test_transfers_pair_nothing_by_price(spark):
+    assert "<= c_acctbal" not in plan(spark, "transfer_ranking")
