@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from . import similarity
+from . import ranks, similarity
 
 #: Thresholds of the decision about the best candidate.
 RESOLVED, CONSIDERED, MARGIN = 0.87, 0.70, 0.04
@@ -87,6 +87,37 @@ def resolve_identities(queries: DataFrame, candidates: DataFrame, query: str, ca
     )
 
 
+def corroborated_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, other: str, name: str, other_name: str, ranges: int | None = None) -> DataFrame:
+    """(keys, pairs, corroborated): how many pairs with equal keys and at < other there are, and for how many of them `scalars.corroborated` holds of the two names.
+
+    Nothing is paired.  Pairs with one of a set of equal names, or of equal
+    tails and initials, are counted along the order of `at`: a row on the right
+    has as many partners as rows on the left come before it.  Corroborated are
+    pairs of equal names that no initial stands for, and pairs of equal tails
+    and initials but those where both first names are written out.
+    """
+    def lines(df: DataFrame, place: str, text: str, is_left: int) -> DataFrame:
+        words = F.split(F.col(text), " ")
+        head, long = F.element_at(words, 1), F.size(words) > 1
+        tail = F.concat_ws(" ", F.array(F.substring(head, 1, 1)), F.slice(words, 2, F.size(words)))
+        line = lambda kind, match, plus, when=None: F.when(F.lit(True) if when is None else F.col(text).isNotNull() & when, F.struct(F.lit(kind).alias("kind"), match.alias("match"), F.lit(plus).alias("plus")))
+        made = F.array(
+            line("pair", F.lit(""), 0),
+            line("name", F.col(text), 1, ~(long & (F.length(head) == 1))),
+            line("tail", tail, 1, long),
+            line("written out", tail, -1, long & (F.length(head) != 1)),
+        )
+        held = df.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, place)]))
+        return held.select(*keys, F.col(place).alias("_place"), F.lit(is_left).cast("bigint").alias("_left"), F.explode(F.array_compact(made)).alias("_line")).select(*keys, "_place", "_left", "_line.*")
+
+    both = lines(left, at, name, 1).unionByName(lines(right, other, other_name, 0))
+    # equal rows may stand in any order: at one place the right ones come first and are the same to the sum
+    counted = both.groupBy(*keys, "kind", "match", "plus", "_place", "_left").agg(F.count("*").alias("_n"))
+    run = ranks.running(counted, [*keys, "kind", "match"], [F.col("_place"), F.col("_left")], {"_before": F.col("_n") * F.col("_left")}, ranges).filter("_left = 0")
+    found = F.col("_n") * F.col("_before")
+    return run.groupBy(*keys).agg(F.sum(F.when(F.col("kind") == "pair", found).otherwise(0)).alias("pairs"), F.sum(found * F.col("plus")).alias("corroborated"))
+
+
 def redirects(df: DataFrame, key: str, same: Sequence[Column]) -> DataFrame:
     """(old, new) for the keys that stand for what a smaller key already stands for."""
     grouped = df.withColumn("new", F.min(key).over(Window.partitionBy(*same)))

@@ -44,8 +44,7 @@ def name_corroboration(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part").select("p_partkey", "p_brand", "p_size", S.normalize_name(F.col("p_name")).alias("full_name"))
     tokens = F.split("full_name", " ")
     other = part.select(F.col("p_partkey").alias("other"), "p_brand", "p_size", F.concat(F.substring("full_name", 1, 1), F.lit(" "), F.element_at(tokens, 2)).alias("short"))
-    pairs = part.join(other, ["p_brand", "p_size"]).filter("p_partkey < other")
-    return pairs.groupBy("p_brand").agg(F.count("*").alias("pairs"), F.count_if(S.corroborated(F.col("full_name"), F.col("short"))).alias("corroborated"))
+    return Q.corroborated_pairs(part, other, ["p_brand", "p_size"], "p_partkey", "other", "full_name", "short").groupBy("p_brand").agg(F.sum("pairs").alias("pairs"), F.sum("corroborated").alias("corroborated")).filter("pairs > 0")
 
 
 @register("reconcile_redirects", """

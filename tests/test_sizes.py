@@ -8,7 +8,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from kairoframe.operators import ranks
+from kairoframe.functions import scalars
+from kairoframe.operators import quality, ranks
 from kairoframe.plans import catalog
 
 SOURCE = "/root/testdata/sf0.001"
@@ -75,3 +76,19 @@ def test_the_best_so_far(spark, ranges):
 
 def test_transfers_pair_nothing_by_price(spark):
     assert "<= c_acctbal" not in plan(spark, "transfer_ranking")
+
+
+@pytest.mark.parametrize("ranges", [1, 9])
+def test_corroborated_pairs_are_counted_without_pairing(spark, ranges):
+    draw = random.Random(5)
+    names = ["a b", "ann b", "a", "ann", "anna b c", "a b c", "bo b", None, ""]
+    rows = [(draw.choice(["x", "x", "y", None]), draw.randrange(60), draw.choice(names), draw.choice(names)) for _ in range(120)]
+    df = spark.createDataFrame(rows, "k string, i int, name string, short string")
+    left, right = df.select("k", "i", "name"), df.select("k", F.col("i").alias("j"), "short")
+    pairs = left.join(right, "k").filter("i < j").groupBy("k").agg(F.count("*").alias("pairs"), F.count_if(scalars.corroborated(F.col("name"), F.col("short"))).alias("corroborated"))
+    found = quality.corroborated_pairs(left, right, ["k"], "i", "j", "name", "short", ranges)
+    assert sorted(map(tuple, found.filter("pairs > 0").collect())) == sorted(map(tuple, pairs.collect()))
+
+
+def test_name_corroboration_pairs_nothing(spark):
+    assert "< other" not in plan(spark, "name_corroboration")
