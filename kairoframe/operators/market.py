@@ -18,7 +18,7 @@ roster, a small table, and candidates meet them in an equi-join on roles.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -83,6 +83,48 @@ def exchange_values(ids: Sequence, points: Sequence[float], roles: Sequence[froz
     return out
 
 
+def exchange_arrays(points: np.ndarray, own: np.ndarray, roles: Sequence[frozenset[str]], formations: Sequence[Sequence[str]], incoming: Sequence[frozenset[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What `exchange_values` finds, for all fixtures of a roster at once: before (fixture), without (fixture, dropped), rest (fixture, dropped, incoming).
+
+    points and own (whether the player is in the roster then): fixture by
+    player.  Each choice of fixture, dropped player, incoming roles and
+    formation is a row; players enter in the order of their points, all rows
+    side by side.  What a fixture does not have is nan.
+    """
+    fixtures, n = points.shape
+    every = list(dict.fromkeys([*roles, *incoming]))
+    order = np.argsort(np.where(own, -points, np.inf), axis=1, kind="stable")
+    firsts: list[frozenset[str] | None] = [None, *incoming]
+    best = np.full((fixtures, n + 1, len(firsts)), -np.inf)
+    for slots in formations:
+        p = Places(slots, every)
+        inside = np.array([[r <= u for u in p.unions] for r in roles])
+        coming = np.array([[r is not None and r <= u for u in p.unions] for r in firsts])
+        free = np.broadcast_to(np.array(p.room) - coming, (fixtures, n + 1, len(firsts), len(p.unions))).astype(np.int16)
+        left = np.broadcast_to(p.size - np.array([r is not None for r in firsts]), best.shape).copy()
+        total = np.zeros(best.shape)
+        possible = (np.array(p.room) >= coming).all(axis=1)
+        for at in range(n):
+            i = order[:, at]
+            held = inside[i][:, None, None, :]
+            there = own[np.arange(fixtures), i][:, None] & (np.arange(n + 1)[None, :] != i[:, None])
+            enters = there[:, :, None] & (left > 0) & ((free > 0) | ~held).all(axis=3)
+            free -= enters[..., None] & held
+            left -= enters
+            total += np.where(enters, points[np.arange(fixtures), i][:, None, None], 0.0)
+        best = np.maximum(best, np.where((left == 0) & possible, total, -np.inf))
+    seen = own.any(axis=1)
+    shares = np.array([[bool(r & q) for q in incoming] for r in roles])
+    before = np.where(seen, best[:, n, 0], np.nan)
+    without = np.where(own, best[:, :n, 0], np.nan)
+    rest = np.where(own[:, :, None] & shares, best[:, :n, 1:], np.nan)
+    return before, without, rest
+
+
+#: Offers of a league that a manager's roster meets at once.
+OFFERS = 512
+
+
 def rank_exchanges(rosters: DataFrame, market: DataFrame, budgets: DataFrame, formations: Mapping[str, Sequence[str]], horizons: Sequence[int] = HORIZONS, refund: bool = False, limit: int = 20) -> DataFrame:
     """Each manager's best exchanges, at most one for a target.
 
@@ -93,44 +135,85 @@ def rank_exchanges(rosters: DataFrame, market: DataFrame, budgets: DataFrame, fo
     the longest horizon), over_replacement, efficiency, affordability,
     gain_<horizon>.  Only exchanges that improve; ties by what is above
     replacement, then price, then target.
+
+    A roster is one row and meets the offers of its league in blocks, so a
+    pair of a player and an offer is a number in an array and no row, and a
+    league of any size is met without being held whole.
     """
     last = max(horizons)
     key = lambda r: F.array_join(F.array_sort(F.array_distinct(r)), "/")
     owned = rosters.filter(F.col("fixture") <= last).withColumn("roles", key(F.col("roles")))
     offered = market.filter(F.col("fixture") <= last).withColumn("roles", key(F.col("roles")))
     kinds = sorted(r["roles"] for r in offered.select("roles").distinct().collect())  # sets of roles: few by their meaning
-    schema = f"manager {_type(owned, 'manager')}, fixture int, dropped {_type(owned, 'player')}, roles string, without double, rest double"
-
-    def values(squad: pd.DataFrame) -> pd.DataFrame:
-        squad = squad.sort_values("player")
-        found = exchange_values(squad["player"].tolist(), squad["points"].tolist(), [frozenset(r.split("/")) for r in squad["roles"]], formations, [frozenset(k.split("/")) for k in kinds])
-        head = (squad["manager"].iloc[0], squad["fixture"].iloc[0])
-        return pd.DataFrame([(*head, d, None if r is None else "/".join(sorted(r)), a, b) for d, r, a, b in found], columns=["manager", "fixture", "dropped", "roles", "without", "rest"])
-
-    numbers = owned.select("manager", F.col("fixture").cast("int").alias("fixture"), "player", "roles", F.col("points").cast("double").alias("points")).groupBy("manager", "fixture").applyInPandas(values, schema)
-    before = numbers.filter("dropped IS NULL").groupBy("manager").agg(F.map_from_entries(F.collect_list(F.struct("fixture", "without"))).alias("before"))
-    places = numbers.filter("dropped IS NOT NULL").groupBy("manager", "dropped", "roles").agg(F.map_from_entries(F.collect_list(F.struct("fixture", F.struct("without", "rest")))).alias("places"))
-    prices = owned.select("manager", "league", F.col("player").alias("dropped"), F.col("price").alias("paid")).distinct()
-    target = offered.groupBy("league", "player", "roles", "price").agg(F.map_from_entries(F.collect_list(F.struct(F.col("fixture").cast("int"), F.col("points").cast("double")))).alias("points")).withColumnRenamed("player", "target")
-    level = _replacement(owned, kinds, last)
-    asked = places.join(prices, ["manager", "dropped"]).join(budgets, "manager", "left").join(before, "manager")
-    # what a manager can pay is known before the join
-    most = F.col("budget") + (F.coalesce("paid", F.lit(0.0)) if refund else F.lit(0.0))
-    pairs = asked.join(target, ["league", "roles"]).filter(F.col("price").isNull() | most.isNull() | (F.col("price") <= most))
-    pairs = pairs.join(owned.select("manager", F.col("player").alias("target")).distinct(), ["manager", "target"], "left_anti")
-
-    def after(h: int) -> F.Column:
-        best = lambda f: F.greatest(F.try_element_at("places", F.lit(f))["without"], F.try_element_at("places", F.lit(f))["rest"] + F.try_element_at("points", F.lit(f)))
-        total = F.lit(0.0)
-        for f in range(1, h + 1):
-            gain = best(f) - F.try_element_at("before", F.lit(f))
-            total = total + gain
-        return F.when(F.abs(total) < float("inf"), total)
-
-    # over what the league's owned players of a shared role give at least
-    scored = pairs.select("manager", "target", "dropped", "price", "budget", "roles", F.aggregate(F.map_values("points"), F.lit(0.0), lambda a, x: a + x).alias("worth"), *[after(h).alias(f"gain_{h}") for h in horizons])
-    scored = scored.filter(F.col(f"gain_{last}") > 1e-9)
+    sets = [frozenset(k.split("/")) for k in kinds]
+    along = lambda column: F.transform(F.sequence(F.lit(1), F.lit(last)), lambda f: F.try_element_at(column, f))
+    by_fixture = F.map_from_entries(F.collect_list(F.struct(F.col("fixture").cast("int"), F.struct(F.lit(True).alias("own"), F.col("points").cast("double").alias("points"), F.col("roles")))))
+    players = owned.groupBy("manager", "player").agg(along(by_fixture).alias("at"), F.collect_set(F.struct("league", "price")).alias("held"))
+    squads = players.groupBy("manager").agg(F.sort_array(F.collect_list(F.struct("player", F.col("at.own").alias("own"), F.col("at.points").alias("points"), F.col("at.roles").alias("roles"), "held"))).alias("squad"))
+    managers = squads.join(budgets.select("manager", F.col("budget").cast("double").alias("budget")), "manager", "left").withColumn("league", F.explode(F.array_distinct(F.flatten(F.transform("squad", lambda p: F.transform(p["held"], lambda h: h["league"]))))))
+    priced = offered.groupBy("league", "player", "roles", "price").agg(along(F.map_from_entries(F.collect_list(F.struct(F.col("fixture").cast("int"), F.col("points").cast("double"))))).alias("points"), F.when(F.count("points") == F.count("*"), F.sum(F.col("points").cast("double"))).alias("worth"))
+    sizes = priced.groupBy("league").agg(F.count("*").alias("_n"))
+    dealt = priced.join(sizes, "league").withColumn("_block", F.pmod(F.xxhash64("player", "price"), F.ceil(F.col("_n") / OFFERS)))
+    blocks = dealt.groupBy("league", "_block").agg(F.collect_list(F.struct("player", "roles", F.col("price").cast("double").alias("paid"), "price", "points", "worth")).alias("offers")).drop("_block")
+    schema = f"manager {_type(owned, 'manager')}, target {_type(offered, 'player')}, dropped {_type(owned, 'player')}, roles string, price {_type(offered, 'price')}, budget double, worth double, " + ", ".join(f"gain_{h} double" for h in horizons)
+    names = [c.split()[0] for c in schema.split(", ")]
+    slots = list(formations.values())
+
+    def numbers(squad) -> list[tuple]:
+        """`exchange_arrays` of a roster; fixture by fixture where a player's roles change."""
+        own = np.array([[bool(x) for x in p["own"]] for p in squad]).T
+        points = np.array([[0.0 if x is None else x for x in p["points"]] for p in squad], dtype=float).T
+        role = [[frozenset(r.split("/")) if r is not None else None for r in p["roles"]] for p in squad]
+        fixed = [next(r for r in p if r is not None) for p in role]
+        if all(r in (None, f) for p, f in zip(role, fixed, strict=True) for r in p):
+            return exchange_arrays(points, own, fixed, slots, sets)
+        each = []
+        for f in range(last):
+            now = [r[f] if r[f] is not None else x for r, x in zip(role, fixed, strict=True)]
+            each.append(exchange_arrays(points[f : f + 1], own[f : f + 1], now, slots, sets))
+        return tuple(np.concatenate(x) for x in zip(*each, strict=True))
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        told: tuple = (None, None)
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                squad = list(row.squad)
+                if told[0] != row.manager:
+                    with np.errstate(invalid="ignore"):
+                        told = (row.manager, numbers(squad))
+                before, without, rest = told[1]
+                ids = {p["player"] for p in squad}
+                budget = None if row.budget is None or row.budget != row.budget else float(row.budget)
+                paid = [(d, h["price"]) for d, p in enumerate(squad) for h in p["held"] if h["league"] == row.league]
+                at = np.array([d for d, _ in paid])
+                most = np.array([np.inf if budget is None else budget + ((x or 0.0) if refund else 0.0) for _, x in paid])
+                for k, kind in enumerate(kinds):
+                    offers = [o for o in row.offers if o["roles"] == kind and o["player"] not in ids]
+                    if not offers:
+                        continue
+                    worth = np.array([[np.nan if x is None else x for x in o["points"]] for o in offers], dtype=float)
+                    price = np.array([-np.inf if o["paid"] is None else o["paid"] for o in offers], dtype=float)
+                    with np.errstate(invalid="ignore"):
+                        after = np.fmax(without[:, at].T[:, None, :], rest[:, at, k].T[:, None, :] + worth[None])
+                        total = np.cumsum(after - before, axis=2)
+                        shared = ~np.isnan(rest[:, at, k]).all(axis=0)
+                        total[~np.isfinite(total)] = np.nan
+                        gain = np.where(shared[:, None] & (price[None] <= most[:, None]), total[:, :, last - 1], np.nan)
+                        gain = np.where(gain > 1e-9, gain, -np.inf)
+                    first = gain.argmax(axis=0)  # players are in their order, so the first of equal ones is the smallest
+                    for o in np.flatnonzero(gain.max(axis=0) > 0):
+                        d = first[o]
+                        found = offers[o]
+                        out.append((row.manager, found["player"], squad[at[d]]["player"], kind, found["price"], budget, found["worth"], *[total[d, o, h - 1] for h in horizons]))
+            yield pd.DataFrame(out, columns=names)
+
+    pairs = managers.join(blocks, "league").select("manager", "league", "budget", "squad", "offers")
+    scored = pairs.mapInPandas(meet, schema)
+    nan = lambda c: F.when(~F.isnan(c), F.col(c))
+    scored = scored.withColumns({c: nan(c) for c in ("budget", "worth", *[f"gain_{h}" for h in horizons])} | ({"price": nan("price")} if _type(offered, "price") == "double" else {}))
     w = Window.partitionBy("manager", "target").orderBy(F.desc(f"gain_{last}"), "dropped")
+    level = _replacement(owned, kinds, last)
     best = scored.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n").join(level, ["manager", "roles"], "left")
     out = best.withColumn("over_replacement", F.col("worth") - F.coalesce("least", F.lit(0.0)))
     order = Window.partitionBy("manager").orderBy(F.desc(f"gain_{last}"), F.desc("over_replacement"), F.col("price").asc_nulls_last(), "target")

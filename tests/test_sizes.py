@@ -5,11 +5,12 @@ import random
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kairoframe.functions import scalars
-from kairoframe.operators import quality, ranks
+from kairoframe.operators import market, quality, ranks
 from kairoframe.plans import catalog
 
 SOURCE = "/root/testdata/sf0.001"
@@ -92,3 +93,28 @@ def test_corroborated_pairs_are_counted_without_pairing(spark, ranges):
 
 def test_name_corroboration_pairs_nothing(spark):
     assert "< other" not in plan(spark, "name_corroboration")
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_exchanges_of_all_fixtures_at_once_are_those_one_by_one(seed):
+    draw = np.random.default_rng(seed)
+    formations = {"a": "DDMF", "b": "DMMF", "c": "DDMM"}
+    sets = [frozenset("D"), frozenset("M"), frozenset("F"), frozenset("DM"), frozenset("MF")]
+    n = int(draw.integers(3, 9))
+    points, own = draw.integers(-5, 20, (6, n)) / 4, draw.random((6, n)) < 0.9
+    roles = [sets[k] for k in draw.integers(0, 5, n)]
+    before, without, rest = market.exchange_arrays(points, own, roles, list(formations.values()), sets)
+    for f in range(6):
+        held = np.flatnonzero(own[f])
+        if not len(held):
+            assert np.isnan(before[f])
+            continue
+        first, *others = market.exchange_values(held.tolist(), points[f, held], [roles[i] for i in held], formations, sets)
+        assert before[f] == first[2]
+        assert {(d, r) for d in range(n) for r in range(5) if not np.isnan(rest[f, d, r])} == {(d, sets.index(r)) for d, r, _, _ in others}
+        assert all((without[f, d], rest[f, d, sets.index(r)]) == (a, b) for d, r, a, b in others)
+
+
+def test_exchanges_are_no_rows_of_a_join(spark):
+    text = plan(spark, "market_exchanges")
+    assert "<= (budget" not in text and "FlatMapGroupsInPandas" not in text
