@@ -16,10 +16,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import staged
+from .tables import staged, unstaged
 from .versions import Store
 
 #: Kinds by what their name holds, in the order in which a run's observations are replayed.
@@ -69,29 +69,43 @@ def plan(runs: DataFrame, observations: DataFrame, bronze_only: Sequence[str] =
     skipped = originals.filter(F.coalesce(F.col("status") != "succeeded", F.lit(True))).select(F.lit("unavailable run").alias("reason"), "run_id")
     skipped = skipped.unionByName(runs.filter(F.col("replay_of").isNull() & F.col("source").isin(list(bronze_only))).select(F.lit("bronze only").alias("reason"), "run_id"))
     used = originals.filter("status = 'succeeded'").select("run_id", "source", "scope", "started_at")
-    rows = sound.join(used, "run_id")
-    request = F.sha2(F.to_json(F.struct("source", "scope", "kind", "object_id"), {"ignoreNullFields": "false"}), 256)
-    identity = F.sha2(F.to_json(F.struct("source", "scope", "kind", "object_id", "available_at", "sha256"), {"ignoreNullFields": "false"}), 256)
-    rows = rows.withColumns({"identity": identity, "priority": priority(F.col("kind")), "_request": request, "_valid": F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))})
-    rows = staged(rows, "replay-archive")
-    first = rows.groupBy("identity").agg(F.min(F.struct("started_at", "run_id")).alias("_first"), F.count("*").alias("_n"))
-    once = rows.join(first, "identity").filter((F.col("started_at") == F.col("_first.started_at")) & (F.col("run_id") == F.col("_first.run_id"))).dropDuplicates(["identity"])
-    repeats = first.filter("_n > 1").select(F.lit("repeated observation").alias("reason"), F.col("_first.run_id").alias("run_id"), "identity", F.explode(F.sequence(F.lit(2).cast("bigint"), F.col("_n"))).alias("_k")).drop("_k")
-    answers = once.filter("_valid").groupBy("_request").agg(F.max("started_at").alias("_last"), F.max_by("identity", F.struct("started_at", "identity")).alias("replacement"))
-    judged = once.join(answers, "_request", "left")
-    late = F.coalesce(F.col("_last") > F.col("started_at"), F.lit(False))
-    lost = F.raise_error(F.concat(F.lit("no later valid answer to a rejected payload: "), "identity")).cast("boolean")
-    kept = judged.filter(F.when(F.col("_valid"), True).when(late, False).otherwise(lost))
-    quarantined = judged.filter(~F.col("_valid") & late).select(F.lit("superseded payload").alias("reason"), "run_id", "identity", "replacement")
+    request = ["source", "scope", "kind", "object_id"]
+    same = [*request, "available_at", "content"]  # equal digests are equal contents
+    rows = sound.join(used, "run_id").select("run_id", "started_at", *same)
+    rows = rows.withColumn("_valid", F.lit(True) if valid is None else F.coalesce(valid, F.lit(False)))
+    # One shuffle, by request: what is equal and what answers a request are both found inside it, and digests are made anew where they are needed.
+    dealt = rows.repartition(*request)
+    seen = Window.partitionBy(*same)
+    once = dealt.withColumns({"_place": F.row_number().over(seen.orderBy("started_at", "run_id")), "_n": F.count("*").over(seen)}).filter("_place = 1").drop("_place")
+    answers = Window.partitionBy(*request)
+    answer = F.when(F.col("_valid"), F.struct("started_at", _identity().alias("identity")))
+    judged = once.withColumn("_answer", F.max(answer).over(answers))
+    late = F.coalesce(F.col("_answer.started_at") > F.col("started_at"), F.lit(False))
+    lost = F.raise_error(F.concat(F.lit("no later valid answer to a rejected payload: "), _identity())).cast("string")
+    judged = judged.withColumn("_replacement", F.when(F.col("_valid"), F.lit(None).cast("string")).when(late, F.col("_answer.identity")).otherwise(lost)).drop("_answer")
+    held = staged(judged, "replay-plan")
+    repeats = held.filter("_n > 1").select(F.lit("repeated observation").alias("reason"), "run_id", _identity().alias("identity"), F.explode(F.sequence(F.lit(2).cast("bigint"), F.col("_n"))).alias("_k")).drop("_k")
+    quarantined = held.filter("NOT _valid").select(F.lit("superseded payload").alias("reason"), "run_id", _identity().alias("identity"), F.col("_replacement").alias("replacement"))
     report = quarantined.unionByName(skipped, allowMissingColumns=True).unionByName(repeats, allowMissingColumns=True)
-    return Plan(staged(kept.select(*ORDER, "source", "scope", "kind", "content", "available_at"), "replay-plan"), report)
+    kept = held.filter("_valid").withColumns({"sha256": F.sha2("content", 256), "identity": _identity(), "priority": priority(F.col("kind"))})
+    return Plan(kept.select(*ORDER, "source", "scope", "kind", "content", "available_at"), report)
+
+
+def _identity() -> Column:
+    """The digest of what makes an observation."""
+    return F.sha2(F.to_json(F.struct("source", "scope", "kind", "object_id", "available_at", F.sha2("content", 256).alias("sha256")), {"ignoreNullFields": "false"}), 256)
 
 
 def fold(records: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row for each entity: its record that was available last, and of these the last in the replay; aggregated before the shuffle."""
-    place = F.struct("available_at", *ORDER)
+    place = ["available_at", *ORDER]
+    rest = [c for c in records.columns if c not in (*keys, *place)]
+    if any("map<" in kind for c, kind in records.dtypes if c in rest):  # maps have no order
+        latest = F.max_by(F.struct(*place, *rest), F.struct(*place))
+    else:
+        latest = F.max(F.struct(*place, *rest))  # what places a record travels once
     held = [c for c in records.columns if c not in keys]
-    return records.groupBy(*keys).agg(F.max_by(F.struct(*held), place).alias("_r")).select(*keys, *[F.col("_r")[c].alias(c) for c in held])
+    return records.groupBy(*keys).agg(latest.alias("_r")).select(*keys, *[F.col("_r")[c].alias(c) for c in held])
 
 
 def replay(store: Store, planned: Plan, targets: Sequence[Target], batches: int = 1, each: Callable[[int], None] | None = None) -> dict[str, int]:
@@ -122,4 +136,5 @@ def replay(store: Store, planned: Plan, targets: Sequence[Target], batches: int
                 work.note = f"replay of {new} observations"
             if each is not None:
                 each(k)
+        unstaged(fresh)
     return done

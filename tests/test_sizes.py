@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from kairoframe.functions import scalars
 from kairoframe.operators import market, quality, ranks
 from kairoframe.plans import catalog
+from kairoframe.sources import replay, versions
+from kairoframe.sources import tables as tables_source
 
 SOURCE = "/root/testdata/sf0.001"
 
@@ -118,3 +120,23 @@ def test_exchanges_of_all_fixtures_at_once_are_those_one_by_one(seed):
 def test_exchanges_are_no_rows_of_a_join(spark):
     text = plan(spark, "market_exchanges")
     assert "<= (budget" not in text and "FlatMapGroupsInPandas" not in text
+
+
+def test_the_archive_is_dealt_once_and_kept_without_digests(spark, tmp_path, monkeypatch):
+    made = []
+    keep = replay.staged
+    monkeypatch.setattr(replay, "staged", lambda df, name: made.append((name, df.columns)) or keep(df, name))
+    runs = spark.createDataFrame([("a", "s", "x", "succeeded", 1, None), ("b", "s", "x", "succeeded", 2, None)], "run_id string, source string, scope string, status string, started_at int, replay_of string")
+    rows = [("a", "player", "1", "bad", 5), ("b", "player", "1", "new", 5), ("a", "player", "2", "one", 5), ("b", "player", "2", "one", 5)]
+    observations = spark.createDataFrame(rows, "run_id string, kind string, object_id string, content string, available_at int").withColumn("sha256", F.sha2("content", 256))
+    planned = replay.plan(runs, observations, valid=F.col("content") != "bad")
+    assert [name for name, _ in made] == ["replay-plan"] and not {"sha256", "identity"} & set(made[0][1])
+    assert sorted((r.run_id, r.object_id, r.content) for r in planned.observations.collect()) == [("a", "2", "one"), ("b", "1", "new")]
+    identity = {(r.object_id, r.content): r.identity for r in planned.observations.collect()}
+    report = {(r.reason, r.run_id): (r.identity, r.replacement) for r in planned.report.collect()}
+    assert report[("superseded payload", "a")][1] == identity[("1", "new")] and report[("repeated observation", "a")][0] == identity[("2", "one")]
+    store = versions.Store(spark, f"file://{tmp_path}/store")
+    target = replay.Target("t", ("player",), ("object_id",), lambda df: df)
+    assert replay.replay(store, planned, [target]) == {"batch 0": 2}
+    assert not [p for p in tables_source._staged[spark.sparkContext.applicationId] if "replay-batch" in p]
+    assert {r.object_id for r in store.read("t").collect()} == {"1", "2"}
