@@ -12,8 +12,9 @@ roles of the one who comes, whoever that is: the best line-up without either
 
     best line-up after the exchange = max(without, rest + points of the new player)
 
-So no exchange is solved by itself: `exchange_values` finds the numbers for a
-roster, a small table, and candidates meet them in an equi-join on roles.
+So no exchange is solved by itself: `exchange_arrays` finds the numbers for a
+roster and all its fixtures (`exchange_values` for one), and candidates meet
+them in blocks of a league.
 """
 
 from __future__ import annotations
