@@ -48,18 +48,28 @@ def resolve_identities(queries: DataFrame, candidates: DataFrame, query: str, ca
     against one of another team.  mapping: (query, candidate) known before; if
     its candidate is among them, it is the one.  candidates: the k best, each
     with its confidence and evidence.  Names are searched by the edit-distance
-    join, so not every query meets every candidate.
+    join, so not every query meets every candidate.  Validities are taken as
+    the numbers of the days that are asked about: those that differ on none of
+    these are one.
     """
+    days = queries.agg(F.array_sort(F.collect_set("day")).alias("_days"))  # one row, the calendar days that are asked about
+    dated = queries.crossJoin(F.broadcast(days))
+    queries = dated.withColumns({"day": F.when(F.col("day").isNotNull(), F.array_position("_days", F.col("day")).cast("int")), "nationality": F.lower("nationality")}).drop("_days")
+    first = F.coalesce(F.size(F.filter("_days", lambda d: d < F.col("valid_from"))) + 1, F.lit(1))
+    last = F.when(F.col("valid_to").isNull(), F.size("_days")).otherwise(F.size(F.filter("_days", lambda d: d <= F.col("valid_to"))))
+    spans = candidates.crossJoin(F.broadcast(days)).withColumns({"valid_from": first, "valid_to": last, "nationality": F.lower("nationality")}).drop("_days")
+    never = F.col("valid_from") > F.col("valid_to")
+    candidates = spans.withColumns({"valid_from": F.when(never, 1).otherwise(F.col("valid_from")), "valid_to": F.when(never, 0).otherwise(F.col("valid_to"))})
     both = lambda x: F.col(x).isNotNull() & F.col(f"_{x}").isNotNull()
-    in_time = F.col("day").isNull() | ((F.col("_valid_from").isNull() | (F.col("_valid_from") <= F.col("day"))) & (F.col("_valid_to").isNull() | (F.col("_valid_to") >= F.col("day"))))
-    agrees = {x: F.col(x) == F.col(f"_{x}") for x, *_ in IDENTITY_EVIDENCE} | {"nationality": F.lower("nationality") == F.lower("_nationality")}
+    in_time = F.col("day").isNull() | ((F.col("_valid_from") <= F.col("day")) & (F.col("_valid_to") >= F.col("day")))
+    agrees = {x: F.col(x) == F.col(f"_{x}") for x, *_ in IDENTITY_EVIDENCE}
     extra = F.lit(0.0)
     for x, gain, loss, _ in IDENTITY_EVIDENCE:
         counts = F.when(agrees[x] & (in_time if x == "team" else F.lit(True)), gain).when(~agrees[x], -loss).otherwise(0.0)
         extra = extra + F.when(both(x), counts).otherwise(0.0)
     most = sum(gain for _, gain, _, _ in IDENTITY_EVIDENCE)
     evidence, facts = ["born", "nationality", "team", "day", "position"], ["born", "nationality", "team", "valid_from", "valid_to", "position"]
-    near = similarity.nearest(queries, candidates, query, candidate, "name", evidence, lambda a, b, alike: identity_score(a, b, extra, alike), lambda s: 0.70 * s + most, k, facts=facts)
+    near = similarity.nearest(queries, candidates, query, candidate, "name", evidence, lambda a, b, alike: identity_score(a, b, extra, alike), lambda s: 0.70 * s + most, k, agree={x: (x, *(("valid_from", "valid_to") if x == "team" else ())) for x, *_ in IDENTITY_EVIDENCE})
     named = candidates.select(candidate, *[F.col(x).alias(f"_{x}") for x in ("name", *facts)])
     told = near.join(named, candidate).join(queries.select(query, "name", *evidence), query)
     labels = [F.when(F.col("name") == F.col("_name"), "exact_normalized_name").otherwise("fuzzy_name"), F.when(both("born") & ~agrees["born"], "date_of_birth_conflict")]

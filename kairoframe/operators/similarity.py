@@ -14,12 +14,14 @@ key of an equi-join, which Spark splits.
 `nearest` finds for each query the best candidates by a score of name and
 evidence.  It works on profiles, one for all rows with equal name and
 evidence, and in rounds of falling similarity: a query is done when no
-candidate that is still unseen could reach its k-th best.
+candidate that is still unseen could reach its k-th best.  Of the candidates
+of a name it meets only the first few for each way to agree with the evidence,
+which an index holds, so the work for a query does not grow with them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -91,27 +93,34 @@ def nearest(
     bound: Callable[[float], float],
     k: int = 2,
     rounds: Sequence[float] = ROUNDS,
-    facts: Sequence[str] | None = None,
+    agree: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """(query, candidate, score): each query's k best candidates but itself, ties to the smaller candidate.
 
     queries: `query`, `name` and `evidence` columns; candidates: `candidate`,
-    `name` and `facts` (if not given, the same as `evidence`).  score takes the
-    name of the query, that of the candidate and the similarity, may use the
-    query's evidence and the candidate's facts as `_<column>`, and for a
-    similarity below s is at most bound(s).
+    `name` and facts.  agree: for each evidence column that is held against
+    facts those facts, the first of them being what it may be equal to (if not
+    given, each evidence column is held against the one of its name).  score
+    takes the name of the query, that of the candidate and the similarity, may
+    use the query's evidence and the candidate's facts as `_<column>`, and for
+    a similarity below s is at most bound(s).  Of the facts it may see only
+    whether the first is equal, unequal or null, and the others where it is
+    equal; equality counts no less than null and null no less than inequality,
+    and whoever has no evidence sees no difference.
     """
-    facts = evidence if facts is None else facts
+    agree = {c: (c,) for c in evidence} if agree is None else agree
+    facts = [c for each in agree.values() for c in each]
     # Of candidates that no score tells apart, a query needs its k best and one more, as it may be one of them itself.
     order = Window.partitionBy(name, *facts).orderBy(candidate)
     few = candidates.filter(F.col(name).isNotNull()).withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= k + 1)
-    profiles = few.groupBy(F.col(name).alias("_name"), *[F.col(c).alias(f"_{c}") for c in facts]).agg(F.sort_array(F.collect_list(candidate)).alias("_ids"))
-    profiles = staged(profiles, "profiles")
+    few = staged(few.select(F.col(candidate), F.col(name).alias("_name"), *[F.col(c).alias(f"_{c}") for c in facts]), "profiles")
+    unknown = few.agg(*[F.coalesce(F.bool_or(F.col(f"_{of[0]}").isNull()), F.lit(False)).alias(c) for c, of in agree.items()]).first().asDict() if agree else {}
+    index = staged(_index(few, candidate, agree, k + 1), "candidate-index")
     asked = queries.filter(F.col(name).isNotNull()).select(query, name, *evidence)
     rest = asked.select(name, *evidence).distinct()
     done = None
     for least in [*rounds, None]:
-        found = staged(_best(rest, profiles, candidate, name, evidence, score, k + 1, least), "likest")
+        found = staged(_best(_options(rest, agree, unknown), index, candidate, name, evidence, agree, score, k + 1, least), "likest")
         if least is not None:
             # One of the k + 1 best may be the query itself; what is unseen stays below the bound.
             scores = found.groupBy(name, *evidence).agg(F.sort_array(F.collect_list("score"), asc=False).alias("_s"))
@@ -132,16 +141,55 @@ def _alike(*columns: str) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in columns])
 
 
-def _best(queries: DataFrame, profiles: DataFrame, candidate: str, name: str, evidence: Sequence[str], score: Callable[[Column, Column, Column], Column], k: int, least: float | None) -> DataFrame:
-    """The k best candidates of each query profile among those at least so alike; without `least`, among all."""
+#: What is asked of a fact: anything, a value, or that it is null.
+_ANY, _EQUAL, _NULL = 0, 1, 2
+
+
+def _code(digits: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a * 3 + b, digits, F.lit(0))
+
+
+def _index(few: DataFrame, candidate: str, agree: Mapping[str, Sequence[str]], k: int) -> DataFrame:
+    """The k smallest candidates for every name and every choice of what is asked of the facts: `_code`, `_key_<evidence>` and their facts."""
+    masks = few.withColumn("_m", F.explode(F.sequence(F.lit(0), F.lit((1 << len(agree)) - 1))))
+    kinds, keys, others = [], {}, []
+    for i, (c, (first, *more)) in enumerate(agree.items()):
+        asked, held = F.col("_m").bitwiseAND(F.lit(1 << i)) != 0, F.col(f"_{first}")
+        kinds.append(F.when(asked, F.when(held.isNull(), _NULL).otherwise(_EQUAL)).otherwise(_ANY))
+        keys[f"_key_{c}"] = F.when(asked, held)
+        others += [F.when(asked, F.col(f"_{x}")) for x in more]
+    rows = masks.withColumns({"_code": _code(kinds), **keys})
+    w = Window.partitionBy("_name", "_code", *keys, *others).orderBy(candidate)
+    return rows.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= k).drop("_place", "_m")
+
+
+def _options(queries: DataFrame, agree: Mapping[str, Sequence[str]], unknown: Mapping[str, bool]) -> DataFrame:
+    """A row for each choice that a query asks the index for; of evidence that it does not have it asks nothing."""
+    rows = queries
+    for c in agree:
+        kinds = [_ANY, _EQUAL, *([_NULL] if unknown[c] else [])]
+        rows = rows.withColumn(f"_kind_{c}", F.explode(F.when(F.col(c).isNull(), F.array(F.lit(_ANY))).otherwise(F.array(*map(F.lit, kinds)))))
+    rows = rows.withColumns({"_code": _code([F.col(f"_kind_{c}") for c in agree]), **{f"_key_{c}": F.when(F.col(f"_kind_{c}") == _EQUAL, F.col(c)) for c in agree}})
+    return rows.drop(*[f"_kind_{c}" for c in agree])
+
+
+def _best(options: DataFrame, index: DataFrame, candidate: str, name: str, evidence: Sequence[str], agree: Mapping[str, Sequence[str]], score: Callable[[Column, Column, Column], Column], k: int, least: float | None) -> DataFrame:
+    """The k best candidates of each query profile among those at least so alike; without `least`, among all.
+
+    A candidate that agrees with the query in some of the evidence is beaten by
+    every smaller one of its name that agrees in as much, so one of the k best
+    is among the k smallest of what the index has for just this agreement.
+    """
+    ours, theirs = options.select(name).distinct(), index.select("_name").distinct()
     if least is None:
         spread = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("_b")
-        met = queries.select("*", spread).join(profiles.withColumn("_b", F.pmod(F.xxhash64("_name"), F.lit(BLOCKS)).cast("int")), "_b").drop("_b")
+        pairs = ours.select(name, spread).join(theirs.withColumn("_b", F.pmod(F.xxhash64("_name"), F.lit(BLOCKS)).cast("int")), "_b").drop("_b")
         size = F.greatest(F.length(name), F.length("_name"))
-        met = met.withColumn("similarity", F.when(size == 0, 1.0).otherwise(1 - F.levenshtein(name, "_name") / size))
+        pairs = pairs.withColumn("similarity", F.when(size == 0, 1.0).otherwise(1 - F.levenshtein(name, "_name") / size))
     else:
-        met = queries.join(edit_pairs(queries, profiles, name, "_name", least), name).join(profiles, "_name")
-    scored = met.withColumn("score", score(F.col(name), F.col("_name"), F.col("similarity")))
+        pairs = edit_pairs(ours, theirs, name, "_name", least)
+    met = options.join(pairs, name).alias("x").join(index.alias("y"), _alike("_name", "_code", *[f"_key_{c}" for c in agree]))
+    told = met.select(F.col("x._name").alias("_name"), name, *evidence, "similarity", candidate, *[f"_{x}" for of in agree.values() for x in of])
+    scored = told.select(name, *evidence, candidate, score(F.col(name), F.col("_name"), F.col("similarity")).alias("score")).distinct()
     w = Window.partitionBy(name, *evidence).orderBy(F.desc("score"), candidate)
-    each = scored.select(name, *evidence, "score", F.explode("_ids").alias(candidate))
-    return each.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= k).drop("_place")
+    return scored.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= k).drop("_place")

@@ -97,3 +97,19 @@ def test_five_thousand_rows_and_few_of_their_pairs(spark):
     assert {r.query: [(x.candidate, -x.s) for x in r.best] for r in best} == got
     met = similarity._segments(c.select(F.col("name").alias("t")).distinct(), 0.8).join(similarity._probes(q.select(F.col("other").alias("t")).distinct(), 0.8).withColumnRenamed("t", "p"), ["long_size", "i", "s"]).count()
     assert met < 0.01 * len(rows) * len(asked)
+
+
+def test_of_a_names_many_candidates_a_query_meets_a_few_for_each_agreement(spark):
+    """Facts that differ in nearly every row: the same best ones as by all pairs, and no more met as the candidates grow."""
+    draw = random.Random(8)
+    met = []
+    for n in (200, 1600):
+        rows = [(i, draw.choice(["anna", "anne"]), draw.choice([None, *map(str, range(n // 4))])) for i in range(n)]
+        asked = [r for r in rows if r[0] % 100 == 7] + [(n, "anna", None), (n + 1, "anna", "none")]
+        want, got = plain(rows, asked, 3), searched(spark, rows, asked, 3)
+        assert {q: [c for c, _ in v] for q, v in got.items()} == {q: [c for c, _ in v] for q, v in want.items()}
+        few = spark.createDataFrame(rows, "candidate int, _name string, _kind string")
+        index = similarity._index(few, "candidate", {"kind": ("kind",)}, 4)
+        options = similarity._options(spark.createDataFrame([("anna", "3")], "name string, kind string"), {"kind": ("kind",)}, {"kind": True})
+        met.append(options.join(index, (F.col("name") == F.col("_name")) & options["_code"].eqNullSafe(index["_code"]) & options["_key_kind"].eqNullSafe(index["_key_kind"])).count())
+    assert max(met) <= 12
