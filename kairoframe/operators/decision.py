@@ -107,6 +107,35 @@ def scenario_points(points: np.ndarray, appeared: np.ndarray, roles: Sequence[st
     return best
 
 
+def lineups_points(points: np.ndarray, appeared: np.ndarray, roles: Sequence[str], lineups: np.ndarray, benches: np.ndarray, formations: Sequence[dict[str, int]], limit: int = 5) -> np.ndarray:
+    """`scenario_points` of many line-ups at once: line-ups by scenarios; lineups and benches have a row of players for each."""
+    names = sorted({*roles, *(r for f in formations for r in f)})
+    code = np.array([names.index(r) for r in roles])
+    p, here = np.ascontiguousarray(points.T), np.ascontiguousarray(appeared.T)
+    each, n = np.arange(len(lineups)), len(points)
+    used, worth = np.zeros((len(names), len(lineups), n), dtype=np.int16), np.zeros((len(names), len(lineups), n))
+    for i in lineups.T:
+        used[code[i], each] += here[i]
+        worth[code[i], each] += np.where(here[i], p[i], 0)
+    missing = lineups.shape[1] - used.sum(axis=0)
+    best_rank, best = np.full((len(lineups), n), -np.inf), np.zeros((len(lineups), n))
+    for capacity in formations:
+        known = np.array([r in capacity for r in names])
+        free = np.array([capacity.get(r, 0) for r in names], dtype=np.int16)[:, None, None] - used
+        fits, total = (free >= 0).all(axis=0), worth[known].sum(axis=0)
+        count, mask = np.zeros((len(lineups), n)), np.zeros((len(lineups), n))
+        for place, i in enumerate(benches.T):
+            enters = here[i] & known[code[i]][:, None] & (free[code[i], each] > 0) & (count < np.minimum(limit, missing))
+            free[code[i], each] -= enters
+            total = total + np.where(enters, p[i], 0)
+            count += enters
+            mask += np.where(enters, 2.0 ** -(place + 1), 0)
+        rank = np.where(fits, count + mask / 2, -np.inf)
+        better = rank > best_rank
+        best_rank, best = np.where(better, rank, best_rank), np.where(better, total, best)
+    return best
+
+
 def multirole_points(points: np.ndarray, appeared: np.ndarray, roles: Sequence[Sequence[str]], starters: Sequence[int], bench: Sequence[int], formations: Sequence[Sequence[str]], limit: int = 5) -> np.ndarray:
     """As `scenario_points`, for players with any number of roles and formations given as lists of places.
 
@@ -155,17 +184,22 @@ def neighbours(starters: tuple[int, ...], bench: Sequence[int], roles: Sequence[
     return out
 
 
-def beam_search(first: Sequence[int], squad: Sequence[int], roles: Sequence[str], worth: Callable[[tuple[int, ...]], float], width: int = 3, rounds: int = 3, budget: int = 240) -> tuple[tuple[int, ...], float]:
-    """The best line-up found by widening the best few round by round; at most `budget` line-ups are valued."""
+def beam_search(first: Sequence[int], squad: Sequence[int], roles: Sequence[str], worth: Callable[[tuple[int, ...]], float], width: int = 3, rounds: int = 3, budget: int = 240, worths: Callable[[list[tuple[int, ...]]], Sequence[float]] | None = None) -> tuple[tuple[int, ...], float]:
+    """The best line-up found by widening the best few round by round; at most `budget` line-ups are valued.
+
+    worths, if given, values many line-ups at once, as worth does one.
+    """
+    worths = worths or (lambda lineups: [worth(x) for x in lineups])
     seen = {tuple(sorted(first)): worth(tuple(sorted(first)))}
     beam = list(seen)
     for _ in range(rounds):
         fresh = []
         for lineup in beam:
-            for other in neighbours(lineup, [i for i in squad if i not in lineup], roles):
-                if other not in seen and len(seen) < budget:
-                    seen[other] = worth(other)
-                    fresh.append(other)
+            others = dict.fromkeys(neighbours(lineup, [i for i in squad if i not in lineup], roles))
+            new = [x for x in others if x not in seen][: max(0, budget - len(seen))]
+            if new:
+                seen |= dict(zip(new, worths(new), strict=True))
+                fresh += new
         if not fresh:
             break
         beam = sorted(seen, key=lambda x: (-seen[x], x))[:width]

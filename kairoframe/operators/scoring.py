@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,12 @@ def points(base: Column, weights: dict[str, float], minutes: Column, least_minut
     return F.when((minutes >= least_minutes) & (minutes > 0), total).otherwise(0.0)
 
 
+def sample_points(samples: dict[str, np.ndarray], base: float, weights: dict[str, float], least_minutes: float = 1.0) -> np.ndarray:
+    """`points` of arrays of samples, which have the counts and the minutes by name."""
+    total = sum((samples[c] * w for c, w in weights.items()), np.full(samples["minutes"].shape, base))
+    return np.where((samples["minutes"] >= least_minutes) & (samples["minutes"] > 0), total, 0.0)
+
+
 def bands(value: Column, steps: dict[float, float]) -> Column:
     """A step function: the points of the highest band that the value reaches, 0 under all."""
     out = F.lit(0.0)

@@ -120,3 +120,43 @@ def test_upsert_and_pages(spark):
     assert sorted(tuple(r) for r in R.upsert(a, spark.createDataFrame([(2, 9), (3, 3)], "k int, v int"), ["k"]).collect()) == [(1, 1), (2, 9), (3, 3)]
     assert [tuple(r) for r in R.page(a, [F.col("k")], 1, 5).collect()] == [(2, 2, 2)]
     assert R.evenly_spaced(spark.range(100).toDF("k"), [F.col("k")], 3).orderBy("k").collect()[1][0] in (49, 50)
+
+
+def test_many_line_ups_are_valued_as_one_by_one():
+    rng = np.random.default_rng(12)
+    roles = [str(r) for r in rng.choice(["GK", "DEF", "MID", "XX"], 9)]
+    points, appeared = rng.integers(-4, 20, (60, 9)) / 2, rng.random((60, 9)) < 0.7
+    formations = [{"GK": 1, "DEF": 2, "MID": 2}, {"DEF": 3, "MID": 2}, {"GK": 1, "DEF": 1, "MID": 3}]
+    lineups = np.array([sorted(rng.choice(9, 5, replace=False)) for _ in range(40)])
+    benches = np.array([rng.permutation([i for i in range(9) if i not in x]) for x in lineups])
+    for limit in (0, 2, 5):
+        got = D.lineups_points(points, appeared, roles, lineups, benches, formations, limit)
+        assert (got == [D.scenario_points(points, appeared, roles, list(x), list(b), formations, limit) for x, b in zip(lineups, benches, strict=True)]).all()
+
+
+def test_minutes_are_those_of_a_bisection():
+    rng = np.random.default_rng(13)
+    raw, mask = rng.normal(60, 30, (300, 16)).clip(1, 90), rng.random((300, 16)) < 0.8
+    mask[:, :10] = True
+    down, up = np.full(300, -200.0), np.full(300, 200.0)
+    for _ in range(60):
+        mid = (down + up) / 2
+        over = np.where(mask, np.clip(raw + mid[:, None], 1, 90), 0).sum(axis=1) > 900
+        up, down = np.where(over, mid, up), np.where(over, down, mid)
+    exact = np.where(mask, np.clip(raw + down[:, None], 1, 90), 0)
+    m = X.shared_minutes(raw, mask)
+    assert (m.sum(axis=1) == 900).all() and (abs(m - exact) < 1 + 1e-9).all()
+    mask[:] = False
+    mask[:, 3:13] = True
+    assert (X.shared_minutes(raw, mask)[:, 3:13] == 90).all()
+
+
+def test_summaries_of_blocks_are_those_of_the_samples(spark, sf):
+    fixtures, players = modelling.squads(spark, sf)
+    samples = X.simulate(fixtures, players, 90, 40, 7)
+    want = sorted(map(tuple, X.summarize(samples).collect()))
+    blocks = X.simulate_summaries(fixtures, players, 90, 40, 7)
+    assert sorted(map(tuple, blocks.collect())) == want
+    rows = X.team_samples(fixtures, players, lambda mine: mine["goals"] * 1.0, 90, 40, 7)
+    assert rows.count() == 3 * players.count()  # blocks, not runs
+    assert sum(sum(r.points) for r in rows.collect()) == samples.agg(F.sum("goals")).first()[0]
