@@ -20,6 +20,8 @@ them in blocks of a league.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -238,6 +240,31 @@ def _replacement(owned: DataFrame, kinds: Sequence[str], last: int) -> DataFrame
 # ------------------------------------------------------------- head to head
 
 
+#: Choices of players up to which `best_against` values all of them in arrays; the result is the same.
+FEW_CHOICES = 2000
+
+
+def _best_of_all(points: np.ndarray, roles: Sequence[frozenset[str]], places: Sequence[Places], theirs: np.ndarray) -> tuple[tuple[int, ...], int, int, bool] | None:
+    """`best_against` by valuing every choice that can be placed."""
+    best = None
+    for size in sorted({p.size for p in places}):
+        chosen = np.array(list(combinations(range(len(points)), size)), dtype=np.intp).reshape(-1, size)
+        legal = np.zeros(len(chosen), dtype=bool)
+        for p in places:
+            if p.size == size:
+                inside = np.array([[r <= u for u in p.unions] for r in roles])
+                legal |= (inside[chosen].sum(axis=1) <= np.array(p.room)).all(axis=1)
+        chosen = chosen[legal]
+        if not len(chosen):
+            continue
+        score = points[chosen].sum(axis=1)
+        wins, draws, totals = (score > theirs).sum(axis=1), (score == theirs).sum(axis=1), score.sum(axis=1)
+        at = np.lexsort((np.arange(len(chosen)), -totals, -(2 * wins + draws)))[0]  # choices are in the order of their players
+        found = (2 * int(wins[at]) + int(draws[at]), int(totals[at]), tuple(-int(i) for i in chosen[at]), int(wins[at]), int(draws[at]))
+        best = found if best is None else max(best, found)
+    return None if best is None else (tuple(-i for i in best[2]), best[3], best[4], True)
+
+
 def best_against(points: np.ndarray, roles: Sequence[frozenset[str]], formations: Mapping[str, Sequence[str]], theirs: np.ndarray, nodes: int = 200_000) -> tuple[tuple[int, ...], int, int, bool] | None:
     """The line-up (players' places) with the greatest 2 * wins + draws over scenarios, then the greatest total; wins, draws, and whether it is proved.
 
@@ -249,12 +276,15 @@ def best_against(points: np.ndarray, roles: Sequence[frozenset[str]], formations
     opponent's; the sum over scenarios bounds what is left below a node, and
     so does the same sum for totals.  The first line-up is the one of greatest
     total.  After `nodes` nodes the best one so far is given, unproved.  None
-    if no formation can be filled.
+    if no formation can be filled.  Where there are few choices of players
+    they are valued side by side instead.
     """
-    total = points.sum(axis=1)
-    order = sorted(range(len(points)), key=lambda i: (-total[i], i))
     places = [Places(slots, roles) for slots in formations.values()]
     sizes = {p.size for p in places}
+    if sum(comb(len(points), size) for size in sizes) <= FEW_CHOICES:
+        return _best_of_all(points, roles, places, theirs)
+    total = points.sum(axis=1)
+    order = sorted(range(len(points)), key=lambda i: (-total[i], i))
     value = lambda score: 2 * int((score > theirs).sum()) + int((score == theirs).sum())
     best: tuple[int, int, tuple[int, ...]] | None = None
     for p in places:

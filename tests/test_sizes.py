@@ -140,3 +140,31 @@ def test_the_archive_is_dealt_once_and_kept_without_digests(spark, tmp_path, mon
     assert replay.replay(store, planned, [target]) == {"batch 0": 2}
     assert not [p for p in tables_source._staged[spark.sparkContext.applicationId] if "replay-batch" in p]
     assert {r.object_id for r in store.read("t").collect()} == {"1", "2"}
+
+
+def test_few_choices_are_valued_together_and_found_as_by_the_search(monkeypatch):
+    draw = np.random.default_rng(5)
+    sets = [frozenset("A"), frozenset("B"), frozenset("AB"), frozenset("C")]
+    for n in (3, 6, 8):
+        for _ in range(25):
+            points, theirs = draw.integers(0, 9, (n, 6)) * 50, draw.integers(4, 30, 6) * 50
+            roles = [sets[i] for i in draw.choice(4, n, p=[0.4, 0.3, 0.2, 0.1])]
+            formations = {"x": "AABB", "y": "AAAB", "z": "AB"}
+            monkeypatch.setattr(market, "FEW_CHOICES", 2000)
+            together = market.best_against(points, roles, formations, theirs)
+            monkeypatch.setattr(market, "FEW_CHOICES", 0)
+            assert together == market.best_against(points, roles, formations, theirs)
+
+
+def test_forecast_inputs_keep_no_row_for_each_target(spark):
+    text = plan(spark, "forecast_inputs")
+    assert "pivotfirst" not in text and "target" not in "".join(line.split("keys=")[1].split("]")[0] for line in text.splitlines() if "keys=" in line)
+
+
+def test_texts_are_folded_in_pieces_and_those_of_ascii_stay_in_spark(spark, monkeypatch):
+    monkeypatch.setattr(scalars, "FOLD_CHARACTERS", 20)
+    texts = ["Plain TEXT 1", None, "", "Éçole ﬁn Straße", "x" * 50 + "É", "É" * 19, "½ K", "tail"]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(1).sortWithinPartitions("i").select(scalars.folded(F.col("t"))).collect()]
+    assert got == ["plain text 1", None, "", "ecole fin strasse", "x" * 50 + "e", "e" * 19, "1⁄2 k", "tail"]
+    described = spark.createDataFrame([("a",)], "t string").select(scalars.folded(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in described and "lower(t" in described
