@@ -308,6 +308,7 @@ def select_regressor(df: DataFrame, features: Sequence[str], label: str, period:
     makes in the period before the last, learned from those before.
     """
     rows = df.filter(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double"))
+    rows = staged(rows, "examples")  # every fold and candidate reads them
     y, p = F.col(label), F.col("prediction")
     loss = M.poisson_deviance(y, p) if count else M.mae(y, p)
     periods = [r[0] for r in rows.select(period).distinct().orderBy(period).collect()]
