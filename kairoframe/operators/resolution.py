@@ -281,7 +281,8 @@ def forecast_inputs(predictions: DataFrame, sheets: DataFrame, priors: DataFrame
     A confirmed starter starts for certain, a player missing from its match's
     confirmed sheet does not play; a missing prior is 0.
     """
-    wide = predictions.groupBy("match_id", "player_id").pivot("target", list(targets)).agg(F.first("value"))
+    # one aggregate for all targets: a pivot would keep a row for each target and player in memory besides
+    wide = predictions.groupBy("match_id", "player_id").agg(*[F.first(F.when(F.col("target") == t, F.col("value")), ignorenulls=True).alias(t) for t in targets])
     confirmed = sheets.select("match_id").distinct().withColumn("confirmed", F.lit(True))
     j = wide.join(confirmed, "match_id", "left").join(sheets, ["match_id", "player_id"], "left").join(priors, "player_id", "left")
     named = F.coalesce("confirmed", F.lit(False))
