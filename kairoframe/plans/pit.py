@@ -44,24 +44,22 @@ def _history(kind: str, on: str, key: str, limit: int) -> str:
   QUALIFY r <= {limit})"""
 
 
-def _recent(contexts: DataFrame, events: DataFrame, key: str, of: str, fields: list[str], limit: int) -> DataFrame:
-    """The last orders of a key before each context's cutoff."""
-    return folds.recent_as_of(contexts, events, (key, of), "cutoff", "cutoff", None, [], fields, limit, tiebreak="row_id")
+def _recent(contexts: DataFrame, events: DataFrame, key: str, of: str, limit: int, measures: dict[str, tuple]) -> DataFrame:
+    """Measures of the last orders of a key before each context's cutoff."""
+    fields = sorted({how[1] for how in measures.values()})
+    return folds.recent_as_of(contexts, events, (key, of), "cutoff", "cutoff", None, [], fields, limit, tiebreak="row_id", measures=measures)
 
 
 def customer_features(candidates: DataFrame) -> DataFrame:
-    found = _recent(candidates, candidates, "customer", "customer", ["price"], 10)
-    found = found.withColumns({"_m5": T.array_moments("recent", "price", 5), "_m10": T.array_moments("recent", "price", 10)})
-    return found.select(
-        "row_id",
-        F.size("recent").cast("bigint").alias("history_count"),
-        _r(T.array_sum("recent", "price", 1)).alias("price_last_1"),
-        _r(T.array_sum("recent", "price", 5)).alias("price_last_5"),
-        _r(T.array_ewma("recent", "price", 10)).alias("price_ewma_10"),
-        _r(T.moments_trend(F.col("_m5"))).alias("price_trend_5"),
-        _r(T.moments_stddev(F.col("_m10"))).alias("price_volatility_10"),
-        F.get("recent", 0)["event_time"].alias("customer_max_available_at"),
-    )
+    measures = {
+        "price_last_1": ("sum", "price", 1),
+        "price_last_5": ("sum", "price", 5),
+        "price_ewma_10": ("ewma", "price", 10),
+        "price_trend_5": ("trend", "price", 5),
+        "price_volatility_10": ("stddev", "price", 10),
+    }
+    found = _recent(candidates.select("row_id", "customer", "cutoff"), candidates, "customer", "customer", 10, measures)
+    return found.select("row_id", F.col("held").alias("history_count"), *[_r(F.col(m)).alias(m) for m in measures], F.col("last").alias("customer_max_available_at"))
 
 
 CUSTOMER_SQL = """customer_features AS (
@@ -84,18 +82,18 @@ def nation_features(candidates: DataFrame) -> DataFrame:
     # A context asks twice: at its cutoff, and 14 days before, for how many orders there were by then.
     asks = contexts.select("nation", F.col("cutoff").alias("at"), F.explode(F.array(F.lit(0), F.lit(14))).alias("ago"))
     asks = asks.select("nation", "at", "ago", (F.col("at") - F.make_dt_interval(F.col("ago"))).alias("cutoff"))
-    told = _recent(asks, candidates, "nation", "nation", ["price"], 10)
+    measures = {"nation_price_last_5": ("sum", "price", 5), "nation_price_ewma_10": ("ewma", "price", 10)}
+    told = _recent(asks, candidates, "nation", "nation", 10, measures)
     now = F.col("ago") == 0
-    found = told.groupBy("nation", F.col("at").alias("cutoff")).agg(F.first(F.when(now, F.col("recent")), ignorenulls=True).alias("recent"), F.sum(F.when(now, F.col("events")).otherwise(-F.col("events"))).alias("congestion_14d"))
+    found = told.groupBy("nation", F.col("at").alias("cutoff")).agg(*[F.max(F.when(now, F.col(c))).alias(c) for c in ("held", "last", *measures)], F.sum(F.when(now, F.col("events")).otherwise(-F.col("events"))).alias("congestion_14d"))
     return found.select(
         "nation",
         "cutoff",
-        F.size("recent").cast("bigint").alias("nation_history_count"),
-        _r(T.array_sum("recent", "price", 5)).alias("nation_price_last_5"),
-        _r(T.array_ewma("recent", "price", 10)).alias("nation_price_ewma_10"),
-        F.datediff(F.col("cutoff"), F.get("recent", 0)["event_time"]).cast("bigint").alias("rest_days"),
+        F.col("held").alias("nation_history_count"),
+        *[_r(F.col(m)).alias(m) for m in measures],
+        F.datediff(F.col("cutoff"), F.col("last")).cast("bigint").alias("rest_days"),
         "congestion_14d",
-        F.get("recent", 0)["event_time"].alias("nation_max_available_at"),
+        F.col("last").alias("nation_max_available_at"),
     )
 
 
@@ -127,15 +125,9 @@ def pit_context_nation(spark: SparkSession, sf: str) -> DataFrame:
 
 def opponent_features(candidates: DataFrame) -> DataFrame:
     contexts = candidates.select("opponent", "cutoff").distinct()
-    found = _recent(contexts, candidates, "opponent", "nation", ["price"], 10)
-    return found.select(
-        "opponent",
-        "cutoff",
-        F.size("recent").cast("bigint").alias("opponent_history_count"),
-        _r(T.array_sum("recent", "price", 5)).alias("opponent_price_last_5"),
-        _r(T.array_ewma("recent", "price", 10)).alias("opponent_price_ewma_10"),
-        F.get("recent", 0)["event_time"].alias("opponent_max_available_at"),
-    )
+    measures = {"opponent_price_last_5": ("sum", "price", 5), "opponent_price_ewma_10": ("ewma", "price", 10)}
+    found = _recent(contexts, candidates, "opponent", "nation", 10, measures)
+    return found.select("opponent", "cutoff", F.col("held").alias("opponent_history_count"), *[_r(F.col(m)).alias(m) for m in measures], F.col("last").alias("opponent_max_available_at"))
 
 
 _OPPONENT = f"""opponent_contexts AS (SELECT DISTINCT opponent, cutoff FROM candidates), {_context_history('oh', 'opponent_contexts', 'opponent', 'nation', 10)},
@@ -158,13 +150,13 @@ def desk_features(candidates: DataFrame) -> DataFrame:
     """Share of large orders at the desk, smoothed towards a prior; a null desk matches nothing."""
     contexts = candidates.select("desk", "cutoff").distinct()
     large = candidates.withColumn("large", (F.col("price") > 400_000).cast("double"))
-    found = _recent(contexts, large, "desk", "desk", ["large"], DESK_EVENTS)
+    found = _recent(contexts, large, "desk", "desk", DESK_EVENTS, {"large": ("sum", "large", DESK_EVENTS)})
     return found.select(
         "desk",
         "cutoff",
-        F.size("recent").cast("bigint").alias("desk_history_count"),
-        _r(T.smoothed(T.array_sum("recent", "large", DESK_EVENTS), F.size("recent").cast("double"), DESK_PRIOR, DESK_STRENGTH)).alias("desk_large_rate_20"),
-        F.get("recent", 0)["event_time"].alias("desk_max_available_at"),
+        F.col("held").alias("desk_history_count"),
+        _r(T.smoothed(F.col("large"), F.col("held").cast("double"), DESK_PRIOR, DESK_STRENGTH)).alias("desk_large_rate_20"),
+        F.col("last").alias("desk_max_available_at"),
     )
 
 
@@ -245,12 +237,13 @@ def pit_bitemporal_shipments(spark: SparkSession, sf: str) -> DataFrame:
     )
     candidates = orders.select(F.col("o_orderkey").alias("row_id"), "o_custkey", F.col("o_orderdate").alias("cutoff"))
     newest = [F.desc(c) for c in ("available_at", "h_order", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
-    found = folds.recent_as_of(candidates, history, ("o_custkey", "h_cust"), "cutoff", "event_time", "available_at", newest, ["l_quantity", "l_extendedprice"], 10)
+    measures = {"value_last_5": ("sum", "l_extendedprice", 5), "value_per_90_units_10": ("rate", "l_extendedprice", "l_quantity", 10), "quantity_ewma_10": ("ewma", "l_quantity", 10)}
+    found = folds.recent_as_of(candidates, history, ("o_custkey", "h_cust"), "cutoff", "event_time", "available_at", newest, ["l_quantity", "l_extendedprice"], 10, measures=measures)
     return found.filter("events > 0").select(
         "row_id",
         "events",
-        F.round(T.array_sum("recent", "l_extendedprice", 5), 4).alias("value_last_5"),
-        _r(T.array_rate("recent", "l_extendedprice", "l_quantity", 10), 6).alias("value_per_90_units_10"),
-        _r(T.array_ewma("recent", "l_quantity", 10)).alias("quantity_ewma_10"),
+        F.round("value_last_5", 4).alias("value_last_5"),
+        _r(F.col("value_per_90_units_10"), 6).alias("value_per_90_units_10"),
+        _r(F.col("quantity_ewma_10")).alias("quantity_ewma_10"),
         F.col("known").alias("max_available_at"),
     )
