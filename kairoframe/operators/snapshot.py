@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import require, with_defaults
+from ..sources.tables import require, staged, with_defaults
 from . import folds
 from . import temporal as T
 
@@ -35,31 +35,30 @@ CONGESTED = 14 * 86_400_000_000
 _ALL = 1 << 30
 
 
-def _histories(contexts: DataFrame, history: DataFrame, on: tuple[str, str], fields: list[str], limit: int, horizon: int = 0) -> DataFrame:
-    """contexts with their last visible events, one version of each; equal versions fall to a hash of the row."""
+def _histories(contexts: DataFrame, history: DataFrame, on: tuple[str, str], fields: list[str], limit: int, horizon: int = 0, measures: dict[str, tuple] | None = None) -> DataFrame:
+    """contexts with their last visible events or measures of them, one version of each; equal versions fall to a hash of the row."""
     h = history.withColumn("_tie", F.xxhash64(*history.columns))
-    return folds.recent_as_of(contexts, h, on, CUTOFF, "event_time", "available_at", [F.desc("available_at"), F.col("_tie")], fields, limit, horizon)
+    return folds.recent_as_of(contexts, h, on, CUTOFF, "event_time", "available_at", [F.desc("available_at"), F.col("_tie")], fields, limit, horizon, measures=measures)
 
 
 def player_features(candidates: DataFrame, history: DataFrame) -> DataFrame:
     fields = ["minutes", "started", "event_statistics_available", *PLAYER_METRICS]
-    found = _histories(candidates.select("snapshot_row_id", "player_id", CUTOFF), history, ("player_id", "player_id"), fields, 10)
-    found = found.withColumns({"_m5": T.array_moments("recent", "minutes", 5), "_m10": T.array_moments("recent", "minutes", 10)})
+    history = history.withColumn("event_statistics_available", F.col("event_statistics_available").cast("int"))
     played = "bigint" if dict(history.dtypes)["minutes"] in ("tinyint", "smallint", "int", "bigint") else "double"
-    return found.select(
-        "snapshot_row_id",
-        T.array_count("recent", 10).alias("player_history_count"),
-        T.array_count("recent", 10, lambda x: x["event_statistics_available"].cast("int") == 1).alias("event_history_count"),
-        *[T.array_sum("recent", "minutes", n).cast(played).alias(f"minutes_last_{n}") for n in (1, 3, 5, 10)],
-        T.array_sum("recent", "started", 5).cast("bigint").alias("starts_last_5"),
-        T.array_sum("recent", "goals", 5).alias("goals_last_5"),
-        T.array_sum("recent", "assists", 5).alias("assists_last_5"),
-        T.array_ewma("recent", "minutes", 10).alias("minutes_ewma_10"),
-        *[T.array_rate("recent", c, "minutes", n).alias(f"{c}_per90_last_{n}") for c, n in (("xg", 10), ("xa", 10), ("shots", 5), ("tackles", 10), ("interceptions", 10), ("saves", 10))],
-        T.moments_stddev(F.col("_m10")).alias("minutes_volatility_10"),
-        T.moments_trend(F.col("_m5")).alias("minutes_trend_5"),
-        F.col("known").alias("player_max_available_at"),
-    )
+    measures = {
+        "event_history_count": ("ones", "event_statistics_available", 10),
+        **{f"minutes_last_{n}": ("sum", "minutes", n) for n in (1, 3, 5, 10)},
+        "starts_last_5": ("sum", "started", 5),
+        "goals_last_5": ("sum", "goals", 5),
+        "assists_last_5": ("sum", "assists", 5),
+        "minutes_ewma_10": ("ewma", "minutes", 10),
+        **{f"{c}_per90_last_{n}": ("rate", c, "minutes", n) for c, n in (("xg", 10), ("xa", 10), ("shots", 5), ("tackles", 10), ("interceptions", 10), ("saves", 10))},
+        "minutes_volatility_10": ("stddev", "minutes", 10),
+        "minutes_trend_5": ("trend", "minutes", 5),
+    }
+    whole = dict.fromkeys(("event_history_count", "starts_last_5"), "bigint") | {f"minutes_last_{n}": played for n in (1, 3, 5, 10)}
+    found = _histories(candidates.select("snapshot_row_id", "player_id", CUTOFF), history, ("player_id", "player_id"), fields, 10, measures=measures)
+    return found.select("snapshot_row_id", F.col("held").alias("player_history_count"), *[F.col(m).cast(whole.get(m, "double")).alias(m) for m in measures], F.col("known").alias("player_max_available_at"))
 
 
 def team_features(candidates: DataFrame, history: DataFrame) -> DataFrame:
@@ -83,28 +82,21 @@ def team_features(candidates: DataFrame, history: DataFrame) -> DataFrame:
 
 def opponent_features(candidates: DataFrame, history: DataFrame) -> DataFrame:
     contexts = candidates.select("opponent_team_id", CUTOFF).distinct()
-    found = _histories(contexts, history, ("opponent_team_id", "team_id"), ["goals_for", "goals_against", "xg_against"], 10)
-    return found.select(
-        "opponent_team_id",
-        CUTOFF,
-        T.array_count("recent", 10).alias("opponent_history_count"),
-        T.array_sum("recent", "goals_for", 5).alias("opponent_goals_for_last_5"),
-        T.array_sum("recent", "goals_against", 5).alias("opponent_goals_against_last_5"),
-        T.array_ewma("recent", "xg_against", 10).alias("opponent_xg_against_ewma_10"),
-        F.col("known").alias("opponent_max_available_at"),
-    )
+    measures = {"opponent_goals_for_last_5": ("sum", "goals_for", 5), "opponent_goals_against_last_5": ("sum", "goals_against", 5), "opponent_xg_against_ewma_10": ("ewma", "xg_against", 10)}
+    found = _histories(contexts, history, ("opponent_team_id", "team_id"), ["goals_for", "goals_against", "xg_against"], 10, measures=measures)
+    return found.select("opponent_team_id", CUTOFF, F.col("held").alias("opponent_history_count"), *measures, F.col("known").alias("opponent_max_available_at"))
 
 
 def referee_features(candidates: DataFrame, history: DataFrame) -> DataFrame:
     contexts = candidates.filter("referee_id IS NOT NULL").select("referee_id", CUTOFF).distinct()
-    found = _histories(contexts, history, ("referee_id", "referee_id"), ["cards", "penalties"], 20)
-    n = T.array_count("recent", 20).cast("double")
+    found = _histories(contexts, history, ("referee_id", "referee_id"), ["cards", "penalties"], 20, measures={c: ("sum", c, 20) for c in ("cards", "penalties")})
+    n = F.col("held").cast("double")
     return found.select(
         "referee_id",
         CUTOFF,
-        T.array_count("recent", 20).alias("referee_history_count"),
-        T.smoothed(T.array_sum("recent", "cards", 20), n, CARDS_PRIOR, CARDS_STRENGTH).alias("referee_cards_per_match_20"),
-        T.smoothed(T.array_sum("recent", "penalties", 20), n, PENALTIES_PRIOR, PENALTIES_STRENGTH).alias("referee_penalties_per_match_20"),
+        F.col("held").alias("referee_history_count"),
+        T.smoothed(F.col("cards"), n, CARDS_PRIOR, CARDS_STRENGTH).alias("referee_cards_per_match_20"),
+        T.smoothed(F.col("penalties"), n, PENALTIES_PRIOR, PENALTIES_STRENGTH).alias("referee_penalties_per_match_20"),
         F.col("known").alias("referee_max_available_at"),
     )
 
@@ -133,7 +125,9 @@ def build(candidates: DataFrame, player_history: DataFrame, team_history: DataFr
     candidates = with_defaults(candidates, {"referee_id": None}, {"referee_id": "string"})
     players = with_defaults(player_history, {"event_statistics_available": 1, **dict.fromkeys(PLAYER_METRICS)}, {"event_statistics_available": "int"})
     teams = with_defaults(team_history, dict.fromkeys(("xg_for", "xg_against", "cards", "penalties", "referee_id")), {"referee_id": "string"})
-    whistles = referee_history(teams) if referees is None else with_defaults(referees, dict.fromkeys(("cards", "penalties")))
+    # every family reads its history twice and the candidates once or twice
+    candidates, players, teams = staged(candidates, "candidates"), staged(players, "player-history"), staged(teams, "team-history")
+    whistles = staged(referee_history(teams), "referee-history") if referees is None else with_defaults(referees, dict.fromkeys(("cards", "penalties")))
     judged = referee_features(candidates, whistles).withColumnsRenamed({"referee_id": "_referee", CUTOFF: "_cutoff"})
     joined = (
         candidates.join(player_features(candidates, players), "snapshot_row_id", "left")
