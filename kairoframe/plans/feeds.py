@@ -294,13 +294,14 @@ def raw_replay(spark: SparkSession, sf: str) -> DataFrame:
             raise ConnectionError("the run is lost")
 
     try:
-        replay.replay(store, planned, targets, 3, lost)
+        replay.replay(store, planned, targets, 3, lost, keep=1)
     except ConnectionError:
-        replay.replay(store, planned, targets, 3)
+        replay.replay(store, planned, targets, 3, keep=1)
     number = store.head()[0]
-    replay.replay(store, planned, targets, 2)
+    replay.replay(store, planned, targets, 2, keep=1)
     if store.head()[0] != number:
         raise AssertionError("a second replay has changed the tables")
+    tables.unstaged(planned.observations)
     return store.read("lines").select("o", "line", "part", "quantity", "available_at", "run_id")
 
 

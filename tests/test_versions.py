@@ -1,11 +1,12 @@
 """Commits of several tables at once: two writers, readers without a gap, units of work that fail, replays that are lost."""
 
+import hashlib
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from kairoframe.sources import replay, sinks, versions
+from kairoframe.sources import replay, sinks, tables, versions
 
 ROWS = "k int, v string, at int"
 
@@ -165,3 +166,58 @@ def test_priorities_of_kinds(spark):
     names = ["release-manifest", "Fixtures", "team_match_stats", "lineups", "shot-map", "event", "odds", "player shots"]
     df = spark.createDataFrame([(n,) for n in names], "kind string")
     assert [r[0] for r in df.select(replay.priority(F.col("kind"))).collect()] == [0, 1, 2, 3, 4, 5, 6, 2]
+
+
+def test_appended_rows_are_one_more_folder_until_there_are_many(spark, store, monkeypatch):
+    monkeypatch.setattr(versions, "PARTS", 3)
+    folders = []
+    for k in range(5):
+        with store.begin() as work:
+            work.append("t", spark.createDataFrame([(k, str(k))], "k int, v string" if k % 2 else "k int, w string"))
+        folders.append(versions._paths(store.head()[1]["tables"]["t"]))
+        assert sorted(r.k for r in store.read("t").collect()) == list(range(k + 1))
+    assert [len(f) for f in folders] == [1, 2, 3, 1, 2]
+    assert folders[0] == folders[1][:1] == folders[2][:1] and folders[3] == folders[4][:1]
+    assert {(r.k, r.v, r.w) for r in store.read("t").collect()} == {(0, None, "0"), (1, "1", None), (2, None, "2"), (3, "3", None), (4, None, "4")}
+    store.vacuum(1)
+    assert store.read("t").count() == 5
+
+
+def test_a_plan_is_one_shuffle_and_a_lost_replay_leaves_nothing_staged(spark, store, monkeypatch):
+    shuffles = []
+    keep = replay.staged
+    monkeypatch.setattr(replay, "staged", lambda df, name: shuffles.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")) or keep(df, name))
+    runs = spark.range(2).select(F.concat(F.lit("r"), "id").alias("run_id"), F.lit("s").alias("source"), F.lit("x").alias("scope"), F.lit("succeeded").alias("status"), F.timestamp_seconds("id").alias("started_at"), F.lit(None).cast("string").alias("replay_of"))
+    content = F.to_json(F.struct(F.col("id").cast("int").alias("k"), F.lit("v").alias("v")))
+    seen = spark.range(20).select(F.concat(F.lit("r"), F.col("id") % 2).alias("run_id"), F.lit("shots").alias("kind"), F.col("id").cast("string").alias("object_id"), content.alias("content"), F.sha2(content, 256).alias("sha256"), F.timestamp_seconds("id").alias("available_at"))
+    planned = replay.plan(runs, seen)
+    assert shuffles == [1]
+
+    def lost(batch):
+        if batch == 1:
+            raise ConnectionError
+
+    before = {p for p in tables._staged[spark.sparkContext.applicationId] if "replay-batch" in p}
+    with pytest.raises(ConnectionError):
+        replay.replay(store, planned, TARGETS, 2, lost)
+    assert {p for p in tables._staged[spark.sparkContext.applicationId] if "replay-batch" in p} == before
+    assert replay.replay(store, planned, TARGETS, 2, keep=1) == {"batch 0": 0, "batch 1": 10}
+    assert replay.replay(store, planned, TARGETS, 3, keep=1) == {"batch 1": 0, "batch 2": 0}
+    assert store.read("shots").count() == 20 and not {"sha256", "identity"} & set(store.read("shots").columns)
+    assert {len(r.identity) for r in store.read(replay.LEDGER).collect()} == {16}
+
+
+def test_what_a_run_gains_after_its_replay_is_replayed_as_if_all_had_been_there(spark, store):
+    one = [("r1", "shots", "o1", '{"k":1,"v":"a"}', at(1)), ("r1", "shots", "o7", '{"k":7,"v":"x"}', at(1)), ("r2", "shots", "o2", '{"k":2,"v":"b"}', at(1)), ("r2", "fixture:a", "o3", '{"k":3,"v":"c"}', at(3))]
+    more = [("r1", "shots", "o1", '{"k":1,"v":"%s"}' % v, at(1)) for v in "bcdefg"] + [("r1", "shots", "o2", '{"k":2,"v":"b"}', at(1)), ("r2", "fixture:a", "o3", '{"k":3,"v":"d"}', at(3))]
+    first, both = replay.plan(*archive(spark, one)), replay.plan(*archive(spark, one + more))
+    assert replay.replay(store, first, TARGETS, 2) == {"batch 0": 2, "batch 1": 2}
+    assert replay.replay(store, both, TARGETS, 2) == {"batch 0": 6, "batch 1": 1}  # r1 has o2's observation now, which is in the ledger by r2
+    assert replay.replay(store, both, TARGETS, 1) == {"batch 0": 0}
+    fresh = versions.Store(spark, store.folder + "-again")
+    assert replay.replay(fresh, both, TARGETS, 1) == {"batch 0": 11}
+    for name in ("shots", "fixtures"):
+        assert content(store.read(name).select("k", "v")) == content(fresh.read(name).select("k", "v"))
+    last = max("abcdefg", key=lambda v: hashlib.sha256(b'{"k":1,"v":"%s"}' % v.encode()).hexdigest())
+    assert {r.k: r.v for r in fresh.read("shots").collect()} == {1: last, 2: "b", 7: "x"}
+    assert not [p for p in tables._staged[spark.sparkContext.applicationId] if "replay-batch" in p]
