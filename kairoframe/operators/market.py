@@ -13,8 +13,9 @@ roles of the one who comes, whoever that is: the best line-up without either
     best line-up after the exchange = max(without, rest + points of the new player)
 
 So no exchange is solved by itself: `exchange_arrays` finds the numbers for a
-roster and all its fixtures (`exchange_values` for one), and candidates meet
-them in blocks of a league.
+roster and all its fixtures (`exchange_values` for one).  Players and offers
+are short rows; a task keeps the numbers of a few rosters of a league and the
+league's offers pass by them.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HORIZONS = (1, 3, 5, 10)
@@ -124,8 +125,8 @@ def exchange_arrays(points: np.ndarray, own: np.ndarray, roles: Sequence[frozens
     return before, without, rest
 
 
-#: Offers of a league that a manager's roster meets at once.
-OFFERS = 512
+#: Offers of a league that a manager's roster meets at once, rosters of a league whose numbers a task keeps, and exchanges it keeps before it gives them.
+OFFERS, MANAGERS, EXCHANGES = 512, 64, 10_000
 
 
 def rank_exchanges(rosters: DataFrame, market: DataFrame, budgets: DataFrame, formations: Mapping[str, Sequence[str]], horizons: Sequence[int] = HORIZONS, refund: bool = False, limit: int = 20) -> DataFrame:
@@ -139,9 +140,12 @@ def rank_exchanges(rosters: DataFrame, market: DataFrame, budgets: DataFrame, fo
     gain_<horizon>.  Only exchanges that improve; ties by what is above
     replacement, then price, then target.
 
-    A roster is one row and meets the offers of its league in blocks, so a
-    pair of a player and an offer is a number in an array and no row, and a
-    league of any size is met without being held whole.
+    Rosters of a league are dealt into parts of about MANAGERS, and the offers
+    of the league go to each part after its players: a task reads a part's
+    players, keeps the numbers of their rosters, and lets the offers pass by in
+    blocks.  So a pair of a player and an offer is a number in an array and no
+    row, every row is a player or an offer, and neither a league's size nor
+    their number decides what a task holds.
     """
     last = max(horizons)
     key = lambda r: F.array_join(F.array_sort(F.array_distinct(r)), "/")
@@ -152,12 +156,16 @@ def rank_exchanges(rosters: DataFrame, market: DataFrame, budgets: DataFrame, fo
     along = lambda column: F.transform(F.sequence(F.lit(1), F.lit(last)), lambda f: F.try_element_at(column, f))
     by_fixture = F.map_from_entries(F.collect_list(F.struct(F.col("fixture").cast("int"), F.struct(F.lit(True).alias("own"), F.col("points").cast("double").alias("points"), F.col("roles")))))
     players = owned.groupBy("manager", "player").agg(along(by_fixture).alias("at"), F.collect_set(F.struct("league", "price")).alias("held"))
-    squads = players.groupBy("manager").agg(F.sort_array(F.collect_list(F.struct("player", F.col("at.own").alias("own"), F.col("at.points").alias("points"), F.col("at.roles").alias("roles"), "held"))).alias("squad"))
-    managers = squads.join(budgets.select("manager", F.col("budget").cast("double").alias("budget")), "manager", "left").withColumn("league", F.explode(F.array_distinct(F.flatten(F.transform("squad", lambda p: F.transform(p["held"], lambda h: h["league"]))))))
-    priced = offered.groupBy("league", "player", "roles", "price").agg(along(F.map_from_entries(F.collect_list(F.struct(F.col("fixture").cast("int"), F.col("points").cast("double"))))).alias("points"), F.when(F.count("points") == F.count("*"), F.sum(F.col("points").cast("double"))).alias("worth"))
-    sizes = priced.groupBy("league").agg(F.count("*").alias("_n"))
-    dealt = priced.join(sizes, "league").withColumn("_block", F.pmod(F.xxhash64("player", "price"), F.ceil(F.col("_n") / OFFERS)))
-    blocks = dealt.groupBy("league", "_block").agg(F.collect_list(F.struct("player", "roles", F.col("price").cast("double").alias("paid"), "price", "points", "worth")).alias("offers")).drop("_block")
+    leagues = owned.select("manager", "league").filter("league IS NOT NULL").distinct()
+    parts = leagues.groupBy("league").agg(F.ceil(F.count("*") / MANAGERS).alias("_parts"))
+    dealt = leagues.join(parts, "league").select(F.col("manager").alias("_manager"), "league", F.pmod(F.xxhash64("manager"), F.col("_parts")).alias("_part"))
+    spent = budgets.select("manager", F.col("budget").cast("double").alias("budget")).withColumn("budget", F.when(~F.isnan("budget"), F.col("budget"))).distinct()
+    squads = players.join(dealt, F.col("manager").eqNullSafe(F.col("_manager"))).join(spent, "manager", "left")
+    prices = F.transform(F.filter("held", lambda h: h["league"] == F.col("league")), lambda h: h["price"].cast("double"))
+    squads = squads.select("league", "_part", F.lit(0).alias("_side"), "manager", "budget", "player", F.col("at.own").alias("own"), F.col("at.points").alias("points"), F.col("at.roles").alias("each"), prices.alias("paid"))
+    priced = offered.groupBy("league", "player", "roles", "price").agg(along(F.map_from_entries(F.collect_list(F.struct(F.col("fixture").cast("int"), F.col("points").cast("double"))))).alias("points"), F.when(F.count("points") == F.count("*"), _sum()).alias("worth"))
+    passing = priced.join(parts, "league").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)))
+    passing = passing.select("league", "_part", F.lit(1).alias("_side"), F.col("player").alias("target"), "roles", "price", F.col("price").cast("double").alias("cost"), "points", "worth")
     schema = f"manager {_type(owned, 'manager')}, target {_type(offered, 'player')}, dropped {_type(owned, 'player')}, roles string, price {_type(offered, 'price')}, budget double, worth double, " + ", ".join(f"gain_{h} double" for h in horizons)
     names = [c.split()[0] for c in schema.split(", ")]
     slots = list(formations.values())
@@ -166,7 +174,7 @@ def rank_exchanges(rosters: DataFrame, market: DataFrame, budgets: DataFrame, fo
         """`exchange_arrays` of a roster; fixture by fixture where a player's roles change."""
         own = np.array([[bool(x) for x in p["own"]] for p in squad]).T
         points = np.array([[0.0 if x is None else x for x in p["points"]] for p in squad], dtype=float).T
-        role = [[frozenset(r.split("/")) if r is not None else None for r in p["roles"]] for p in squad]
+        role = [[frozenset(r.split("/")) if r is not None else None for r in p["each"]] for p in squad]
         fixed = [next(r for r in p if r is not None) for p in role]
         if all(r in (None, f) for p, f in zip(role, fixed, strict=True) for r in p):
             return exchange_arrays(points, own, fixed, slots, sets)
@@ -176,43 +184,74 @@ def rank_exchanges(rosters: DataFrame, market: DataFrame, budgets: DataFrame, fo
             each.append(exchange_arrays(points[f : f + 1], own[f : f + 1], now, slots, sets))
         return tuple(np.concatenate(x) for x in zip(*each, strict=True))
 
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        told: tuple = (None, None)
+    def roster(rows: list[dict]) -> tuple:
+        """What the offers of a league meet: manager, budget, players, those who may be dropped, what may be spent for each, the numbers of their exchanges."""
+        with np.errstate(invalid="ignore"):
+            before, without, rest = numbers(rows)
+        budget = rows[0]["budget"]
+        paid = [(d, x) for d, p in enumerate(rows) for x in p["paid"]]
+        at = np.array([d for d, _ in paid])
+        most = np.array([np.inf if budget is None else budget + ((x or 0.0) if refund else 0.0) for _, x in paid])
+        return rows[0]["manager"], budget, [p["player"] for p in rows], at, most, before, without[:, at], rest[:, at]
+
+    def offer(offers: list[dict], to: list[tuple]) -> Iterator[tuple]:
+        """The exchanges that improve, of a block of offers and rosters."""
+        for k, kind in enumerate(kinds):
+            alike = [o for o in offers if o["roles"] == kind]
+            if not alike:
+                continue
+            worth = np.array([o["points"] for o in alike], dtype=float)
+            price = np.array([-np.inf if o["cost"] is None else o["cost"] for o in alike], dtype=float)
+            for manager, budget, ids, at, most, before, without, rest in to:
+                own = set(ids)
+                open_ = np.array([o["target"] not in own for o in alike])
+                with np.errstate(invalid="ignore"):
+                    after = np.fmax(without.T[:, None, :], rest[:, :, k].T[:, None, :] + worth[None])
+                    total = np.cumsum(after - before, axis=2)
+                    shared = ~np.isnan(rest[:, :, k]).all(axis=0)
+                    total[~np.isfinite(total)] = np.nan
+                    gain = np.where(shared[:, None] & (price[None] <= most[:, None]) & open_[None], total[:, :, last - 1], np.nan)
+                    gain = np.where(gain > 1e-9, gain, -np.inf)
+                first = gain.argmax(axis=0)  # players are in their order, so the first of equal ones is the smallest
+                for o in np.flatnonzero(gain.max(axis=0) > 0):
+                    d = first[o]
+                    yield (manager, alike[o]["target"], ids[at[d]], kind, alike[o]["price"], budget, alike[o]["worth"], *[float(total[d, o, h - 1]) for h in horizons])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, reading, told, out, kept = None, [], [], [], None
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                squad = list(row.squad)
-                if told[0] != row.manager:
-                    with np.errstate(invalid="ignore"):
-                        told = (row.manager, numbers(squad))
-                before, without, rest = told[1]
-                ids = {p["player"] for p in squad}
-                budget = None if row.budget is None or row.budget != row.budget else float(row.budget)
-                paid = [(d, h["price"]) for d, p in enumerate(squad) for h in p["held"] if h["league"] == row.league]
-                at = np.array([d for d, _ in paid])
-                most = np.array([np.inf if budget is None else budget + ((x or 0.0) if refund else 0.0) for _, x in paid])
-                for k, kind in enumerate(kinds):
-                    offers = [o for o in row.offers if o["roles"] == kind and o["player"] not in ids]
-                    if not offers:
-                        continue
-                    worth = np.array([[np.nan if x is None else x for x in o["points"]] for o in offers], dtype=float)
-                    price = np.array([-np.inf if o["paid"] is None else o["paid"] for o in offers], dtype=float)
-                    with np.errstate(invalid="ignore"):
-                        after = np.fmax(without[:, at].T[:, None, :], rest[:, at, k].T[:, None, :] + worth[None])
-                        total = np.cumsum(after - before, axis=2)
-                        shared = ~np.isnan(rest[:, at, k]).all(axis=0)
-                        total[~np.isfinite(total)] = np.nan
-                        gain = np.where(shared[:, None] & (price[None] <= most[:, None]), total[:, :, last - 1], np.nan)
-                        gain = np.where(gain > 1e-9, gain, -np.inf)
-                    first = gain.argmax(axis=0)  # players are in their order, so the first of equal ones is the smallest
-                    for o in np.flatnonzero(gain.max(axis=0) > 0):
-                        d = first[o]
-                        found = offers[o]
-                        out.append((row.manager, found["player"], squad[at[d]]["player"], kind, found["price"], budget, found["worth"], *[total[d, o, h - 1] for h in horizons]))
-            yield pd.DataFrame(out, columns=names)
-
-    pairs = managers.join(blocks, "league").select("manager", "league", "budget", "squad", "offers")
-    scored = pairs.mapInPandas(meet, schema)
+            if kept is None:
+                of = {"dropped": "player"}
+                kept = pa.schema([(n, batch.schema.field(of.get(n, n)).type if n in ("manager", "target", "dropped", "roles", "price") else pa.float64()) for n in names])
+            place = list(zip(*[batch.column(c).to_pylist() for c in ("league", "_part", "_side")], strict=True))
+            starts = [i for i in range(len(place)) if not i or place[i] != place[i - 1]]
+            for start, stop in zip(starts, [*starts[1:], len(place)], strict=True):
+                if place[start][:2] != part:
+                    part, reading, told = place[start][:2], [], []
+                piece = batch.slice(start, stop - start)
+                if not place[start][2]:
+                    for row in piece.select(["manager", "budget", "player", "own", "points", "each", "paid"]).to_pylist():
+                        if reading and (reading[0]["manager"], reading[0]["budget"]) != (row["manager"], row["budget"]):
+                            told.append(roster(reading))
+                            reading = []
+                        reading.append(row)
+                    continue
+                if reading:
+                    told.append(roster(reading))
+                    reading = []
+                for block in range(0, len(piece), OFFERS):
+                    offers = piece.slice(block, OFFERS).select(["target", "roles", "price", "cost", "points", "worth"]).to_pylist()
+                    for found in offer(offers, told):
+                        out.append(found)
+                        if len(out) == EXCHANGES:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kept.types, strict=True)], schema=kept)
+                            out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kept.types, strict=True)], schema=kept)
+
+    spread = max(int(owned.sparkSession.conf.get("spark.sql.shuffle.partitions")), owned.sparkSession.sparkContext.defaultParallelism)  # few bytes, much work
+    line = squads.unionByName(passing, allowMissingColumns=True).repartition(spread, "league", "_part").sortWithinPartitions("league", "_part", "_side", "manager", "budget", "player")
+    scored = line.mapInArrow(meet, schema)
     nan = lambda c: F.when(~F.isnan(c), F.col(c))
     scored = scored.withColumns({c: nan(c) for c in ("budget", "worth", *[f"gain_{h}" for h in horizons])} | ({"price": nan("price")} if _type(offered, "price") == "double" else {}))
     w = Window.partitionBy("manager", "target").orderBy(F.desc(f"gain_{last}"), "dropped")
@@ -229,9 +268,15 @@ def _type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
+def _sum() -> Column:
+    """The sum of points, added in the order of the fixtures: equal points have equal sums, so ties are ties whatever came first."""
+    points = F.sort_array(F.collect_list(F.when(F.col("points").isNotNull(), F.struct("fixture", F.col("points").cast("double").alias("points")))))
+    return F.when(F.size(points) > 0, F.aggregate(points, F.lit(0.0), lambda total, p: total + p["points"]))
+
+
 def _replacement(owned: DataFrame, kinds: Sequence[str], last: int) -> DataFrame:
     """(manager, roles, least): the least that a manager's players who share a role with those roles give over the horizon."""
-    worth = owned.groupBy("manager", "player", "roles").agg(F.sum("points").alias("worth"))
+    worth = owned.groupBy("manager", "player", "roles").agg(_sum().alias("worth"))
     sets = F.explode(F.array(*map(F.lit, kinds))).alias("asked")
     shared = worth.select("manager", "worth", "roles", sets).filter(F.arrays_overlap(F.split("roles", "/"), F.split("asked", "/")))
     return shared.groupBy("manager", F.col("asked").alias("roles")).agg(F.min("worth").alias("least"))

@@ -96,3 +96,54 @@ def test_exchanges_of_rosters(spark):
         order = sorted(want, key=lambda c: (want[c][0], -(sum(players[c][2]) - least[c]), players[c][1], c))[:6]
         assert [(c, want[c][1], round(-want[c][0], 6), round(want[c][2], 6), "affordable" if m == "m1" else "unknown") for c in order] == got.get(m, [])
         assert len(order) > 2
+
+
+def _market(spark, draw, managers, leagues, targets):
+    roles = [sorted(r) for r in ROLES]
+    row = lambda k: (k, roles[draw.integers(0, 5)], float(draw.integers(1, 30)) if k % 7 else None)
+    points = lambda: [float(x) if x else None for x in draw.integers(0, 15, 3)]
+    owned, offered = [], []
+    for m in range(managers):
+        for i in range(draw.integers(4, 10)):
+            p = row(1000 * m + i)
+            owned += [(m, f"l{(m + i % 2) % leagues}", *p, f + 1, x) for f, x in enumerate(points())]
+    for k in range(targets):
+        p = row(900_000 + k)
+        offered += [(f"l{k % leagues}", *p, f + 1, x) for f, x in enumerate(points())]
+    kind = "league string, player bigint, roles array<string>, price double, fixture int, points double"
+    budgets = [(m, None if m % 3 == 0 else float("nan") if m % 5 == 0 else 6.0 + m) for m in range(managers)]
+    return spark.createDataFrame(owned, f"manager bigint, {kind}"), spark.createDataFrame(offered, kind), spark.createDataFrame(budgets + budgets[:2], "manager bigint, budget double")
+
+
+def test_offers_pass_by_rosters_in_parts_and_blocks_of_any_size(spark, monkeypatch):
+    """Batches of two rows, parts of two managers and blocks of three offers give what whole leagues give, and no row is a roster or a list of offers."""
+    tables = _market(spark, np.random.default_rng(11), 9, 2, 40)
+    plain = lambda df: sorted(map(str, df.collect()))
+    want = plain(market.rank_exchanges(*tables, FORMATIONS, (1, 3), refund=True, limit=8))
+    assert len(want) > 20
+    for name, n in (("OFFERS", 3), ("MANAGERS", 2), ("EXCHANGES", 2)):
+        monkeypatch.setattr(market, name, n)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        found = market.rank_exchanges(*tables, FORMATIONS, (1, 3), refund=True, limit=8)
+        text = found._jdf.queryExecution().executedPlan().toString()
+        assert plain(found) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "MapInArrow" in text and "MapInPandas" not in text and "collect_list(struct(player" not in text
+
+
+def test_equal_points_are_a_tie_whatever_order_they_come_in(spark):
+    kind = "league string, player int, roles array<string>, price double, fixture int, points double"
+    mine = [("m", "l", k, [r], 1.0, f, 0.0) for k, r in enumerate("DDMF") for f in (1, 2, 3)]
+    rosters = spark.createDataFrame(mine, f"manager string, {kind}")
+    offers = [("l", k, ["D"], 2.0, f, x) for k, order in ((9, (1, 2, 3)), (8, (3, 2, 1)), (7, (2, 3, 1))) for f, x in ((f, f / 10) for f in order)]
+    budgets = spark.createDataFrame([("m", 9.0)], "manager string, budget double")
+    found = market.rank_exchanges(rosters, spark.createDataFrame(offers, kind).coalesce(1), budgets, {"a": "DDMF"}, (1, 3))
+    assert [r.target for r in found.orderBy("rank").collect()] == [7, 8, 9]
+
+
+def test_points_of_a_roster_that_are_not_known_count_nothing(spark):
+    rosters, offered, budgets = _market(spark, np.random.default_rng(12), 6, 2, 20)
+    best = lambda df: sorted((r.manager, r.target, r.dropped, r.improvement) for r in market.rank_exchanges(df, offered, budgets, FORMATIONS, (1, 3), limit=50).collect())
+    assert rosters.filter("points IS NULL").count() and best(rosters) == best(rosters.fillna(0.0, ["points"])) != []
